@@ -97,9 +97,8 @@ def _scorer(bc, n_out: int, metric: str):
                 np.maximum(best[:, c], s[:, j], out=best[:, c])
             best[np.isneginf(best)] = 0.0
             out[valid] = best
-        res = pd.Series(list(out))
-        res[~valid] = None
-        return res
+        # a missing vector scores 0 everywhere, like a missing category
+        return pd.Series(list(out))
 
     return score
 

@@ -125,11 +125,24 @@ CONTRACTIONS_SQL = "fx_contractions AS (SELECT * FROM (VALUES " + ", ".join(
     "('" + c.replace("'", "''") + "', '" + e + "')" for c, e in CONTRACTION_ROWS
 ) + ") t(contraction, expansion))"
 
-TOKENS_SQL = (
-    "fx_tokens AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, toks[i] AS token FROM ("
-    f"SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_PATTERN}') AS toks FROM documents) s, "
-    "LATERAL (SELECT unnest(generate_series(1, len(toks))) AS i) g)"
-)
+def tokens_sql(name: str = "fx_tokens", text_expr: str = "lower(text)", source: str = "documents",
+               id_col: str = "doc_id") -> str:
+    """CTE of (id, pos, token) over ``source``; ``text_expr`` prepares the text."""
+    return (
+        f"{name} AS (SELECT {id_col}, CAST(i - 1 AS BIGINT) AS pos, toks[i] AS token FROM ("
+        f"SELECT {id_col}, toks, unnest(generate_series(1, len(toks))) AS i FROM ("
+        f"SELECT {id_col}, regexp_extract_all({text_expr}, '{TOKEN_PATTERN}') AS toks FROM {source})))"
+    )
+
+
+def expand_sql(expr: str) -> str:
+    """SQL form of ``expand_contractions_expr`` (replace every whole-word contraction)."""
+    for src, dst in CONTRACTION_ROWS:
+        expr = f"regexp_replace({expr}, '\\b{src.replace(chr(39), chr(39) * 2)}\\b', '{dst}', 'g')"
+    return expr
+
+
+TOKENS_SQL = tokens_sql()
 
 WORD_VECTORS_SQL = (
     "fx_word_vectors AS (SELECT r.token, r.rank, e.vec_id, e.embedding FROM ("
