@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_concepts, q_lexicon, q_scaling  # noqa: F401
+from . import q_concepts, q_eval, q_lexicon, q_scaling  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
