@@ -118,15 +118,16 @@ def lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: list[st
                         contractions=None, keep: list[str] | None = None) -> DataFrame:
     """One row per text, one count column per category (0 when absent), lexicon order."""
     keep = keep or []
-    hits = lexicon_hits(docs.select(id_col, text_col), lexicon, id_col, text_col, pattern, contractions)
-    base = docs.select(id_col, F.lit(None).cast("string").alias("category"))
-    rows = hits.select(id_col, "category").unionByName(base)
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    hits = lexicon_hits(docs.select(*ids, text_col), lexicon, ids, text_col, pattern, contractions)
+    base = docs.select(*ids, F.lit(None).cast("string").alias("category"))
+    rows = hits.select(*ids, "category").unionByName(base)
     aggs = [F.count_if(F.col("category") == F.lit(c)).alias(c) for c in categories]
-    wide = rows.groupBy(id_col).agg(*aggs)
+    wide = rows.groupBy(*ids).agg(*aggs)
     if binary:
-        wide = wide.select(id_col, *[(F.col(c) > 0).cast("long").alias(c) for c in categories])
+        wide = wide.select(*ids, *[(F.col(c) > 0).cast("long").alias(c) for c in categories])
     if keep:
-        wide = docs.select(id_col, *keep).join(wide, id_col, "left")
+        wide = docs.select(*ids, *keep).join(wide, ids, "left")
     return wide
 
 
@@ -134,8 +135,9 @@ def lexicon_counts(docs: DataFrame, lexicon: DataFrame, categories: list[str], i
                    text_col: str = "text", binary: bool = False, pattern: str = TOKEN_PATTERN,
                    contractions=None, value_col: str = "n") -> DataFrame:
     """Long, zero-filled ``(id, category, n)``: the wide counts unpivoted map-side."""
-    wide = lexicon_counts_wide(docs, lexicon, categories, id_col, text_col, binary, pattern, contractions)
-    return wide.unpivot([id_col], categories, "category", value_col)
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    wide = lexicon_counts_wide(docs, lexicon, categories, ids, text_col, binary, pattern, contractions)
+    return wide.unpivot(ids, categories, "category", value_col)
 
 
 def category_vectors(lexicon: DataFrame, word_vectors: DataFrame, token_col: str = "token",
@@ -171,6 +173,20 @@ def soft_lexicon_counts(docs: DataFrame, lexicon: DataFrame, categories: DataFra
     return concept_similarity(doc_vec, cat_vec, categories, id_col, "s", metric="dot", value_col=value_col)
 
 
+def soft_lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: DataFrame, word_vectors: DataFrame,
+                             id_col: str = "doc_id", text_col: str = "text", pattern: str = TOKEN_PATTERN,
+                             contractions=None, token_col: str = "token", vec_col: str = "embedding") -> DataFrame:
+    """Wide form of ``soft_lexicon_counts``: one column per category, no pivot shuffle."""
+    from .represent import concept_matrix
+
+    wv = word_vectors.select(F.col(token_col).alias("token"), l2_normalize(vec_col).alias("u"))
+    toks = tokenize(docs.select(id_col, text_col), id_col, text_col, pattern, contractions=contractions)
+    doc_sum = toks.join(maybe_broadcast(wv, BROADCAST_MAX_ROWS), "token").groupBy(id_col).agg(vector_sum("u").alias("s"))
+    doc_vec = docs.select(id_col).join(doc_sum, id_col, "left")
+    cat_vec = category_vectors(lexicon, word_vectors, token_col, vec_col)
+    return concept_matrix(doc_vec, cat_vec, categories, id_col, "s", metric="dot")
+
+
 def counts_with_targets(wide_counts: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Wide count table with the label columns attached by key (texts without labels keep nulls)."""
     return wide_counts.join(targets, id_col, "left")

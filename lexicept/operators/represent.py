@@ -63,8 +63,8 @@ def _model_blocks(centroids: DataFrame, cats: list[str], per_cluster: bool):
     return out
 
 
-def _scorer(bc, n_out: int, metric: str):
-    """Arrow-batched scorer: vectors -> array of n_out similarities (max over clusters)."""
+def _scorer(bc, n_out: int, metric: str, reduce: str = "max"):
+    """Arrow-batched scorer: vectors -> array of n_out similarities (max or mean over clusters)."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(vecs: pd.Series) -> pd.Series:
@@ -92,10 +92,18 @@ def _scorer(bc, n_out: int, metric: str):
                 s = x @ mat.T
             else:
                 raise ValueError(metric)
-            best = np.full((s.shape[0], n_out), -np.inf)
-            for j, c in enumerate(col_of_row):
-                np.maximum(best[:, c], s[:, j], out=best[:, c])
-            best[np.isneginf(best)] = 0.0
+            if reduce == "mean":
+                sums = np.zeros((s.shape[0], n_out))
+                cnt = np.bincount(col_of_row, minlength=n_out).astype(np.float64)
+                for j, c in enumerate(col_of_row):
+                    sums[:, c] += s[:, j]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    best = np.where(cnt > 0, sums / np.maximum(cnt, 1.0), 0.0)
+            else:
+                best = np.full((s.shape[0], n_out), -np.inf)
+                for j, c in enumerate(col_of_row):
+                    np.maximum(best[:, c], s[:, j], out=best[:, c])
+                best[np.isneginf(best)] = 0.0
             out[valid] = best
         # a missing vector scores 0 everywhere, like a missing category
         return pd.Series(list(out))
@@ -104,7 +112,7 @@ def _scorer(bc, n_out: int, metric: str):
 
 
 def concept_scores(docs: DataFrame, centroids: DataFrame, categories: DataFrame, vec_col: str = "embedding",
-                   metric: str = "cosine", per_cluster: bool = False, out_col: str = "scores"):
+                   metric: str = "cosine", per_cluster: bool = False, out_col: str = "scores", reduce: str = "max"):
     """Append ``scores array<double>`` (one entry per output name) to ``docs``.
 
     Returns ``[(df, names)]``, one element per model block (normally one).
@@ -116,7 +124,7 @@ def concept_scores(docs: DataFrame, centroids: DataFrame, categories: DataFrame,
     result = []
     for names, mat, col_of_row in _model_blocks(centroids, cats, per_cluster):
         bc = sc.broadcast((mat, col_of_row))
-        result.append((docs.withColumn(out_col, _scorer(bc, len(names), metric)(F.col(vec_col))), names))
+        result.append((docs.withColumn(out_col, _scorer(bc, len(names), metric, reduce)(F.col(vec_col))), names))
     return result
 
 
@@ -145,10 +153,11 @@ def concept_similarity(docs: DataFrame, centroids: DataFrame, categories: DataFr
 
 
 def concept_matrix(docs: DataFrame, centroids: DataFrame, categories: DataFrame, id_col: str = "doc_id",
-                   vec_col: str = "embedding", metric: str = "cosine", keep: list[str] | None = None) -> DataFrame:
+                   vec_col: str = "embedding", metric: str = "cosine", keep: list[str] | None = None,
+                   reduce: str = "max") -> DataFrame:
     """Wide form: one row per text, one double column per category in lexicon order."""
     keep = keep or []
-    blocks = concept_scores(docs.select(id_col, vec_col, *keep), centroids, categories, vec_col, metric)
+    blocks = concept_scores(docs.select(id_col, vec_col, *keep), centroids, categories, vec_col, metric, reduce=reduce)
     if len(blocks) == 1:
         scored, names = blocks[0]
         return scored.select(id_col, *keep, *[F.col("scores")[i].alias(c) for i, (c, _) in enumerate(names)])

@@ -56,10 +56,14 @@ def token_array(text, pattern: str = TOKEN_PATTERN, max_chars: int | None = None
 
 def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = TOKEN_PATTERN, max_chars: int | None = None,
              contractions=None, keep: list[str] | None = None) -> DataFrame:
-    """(id, pos, token): one row per token occurrence, 0-based position, map-side only."""
+    """(id..., pos, token): one row per token occurrence, 0-based position, map-side only.
+
+    ``id_col`` is a column name or a list of key columns.
+    """
     keep = keep or []
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     arr = token_array(text_col, pattern, max_chars, contractions)
-    return df.select(id_col, *keep, F.posexplode(arr).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    return df.select(*ids, *keep, F.posexplode(arr).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def tokenize_prefix(df: DataFrame, id_col: str, text_col: str, max_chars: int = 512, pattern: str = TOKEN_PATTERN) -> DataFrame:

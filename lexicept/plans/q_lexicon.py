@@ -204,6 +204,9 @@ _SOFT_SQL = (
 )
 
 
+SOFT_RAW_SQL = _SOFT_SQL.replace(sql_r6("coalesce(sc.score, 0)"), "coalesce(sc.score, 0)")
+
+
 @query("soft_lexicon_counts", _SOFT_SQL)
 def q_soft_lexicon_counts(spark, sf):
     out = L.soft_lexicon_counts(_docs(spark, sf), _lex(spark), fx.fx_categories(spark), fx.fx_word_vectors(spark, sf),
@@ -278,10 +281,25 @@ def q_reference_centroids(spark, sf):
     return explode_vector(cent, ["category"], "centroid")
 
 
+EMBED_BASE_SQL = (
+    _ATTACH_SQL.rstrip("\n") + ",\n" + _REF_CENT_SQL + ",\n" + CATS
+    + ",\ncl AS (SELECT category, list(x ORDER BY i) AS c FROM rc GROUP BY category)"
+)
+
+
+def embed_sims_sql(metric: str = "cosine") -> str:
+    """Full query (doc_id, category, s): unrounded similarity of every document to every category."""
+    if metric == "cosine":
+        e = "coalesce(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), cl.c), 0)"
+    else:
+        e = "coalesce(exp(-list_distance(CAST(d.embedding AS DOUBLE[]), cl.c) / len(d.embedding)), 0)"
+    return (EMBED_BASE_SQL + f"\nSELECT d.doc_id, k.category, {e} AS s "
+            "FROM fx_doc_vectors d CROSS JOIN fx_categories k LEFT JOIN cl ON cl.category = k.category")
+
+
 @query(
     "embed",
-    _ATTACH_SQL.rstrip("\n") + ",\n" + _REF_CENT_SQL + ",\n" + CATS
-    + ",\ncl AS (SELECT category, list(x ORDER BY i) AS c FROM rc GROUP BY category),\n"
+    EMBED_BASE_SQL + ",\n"
     "sims AS (SELECT d.doc_id, k.category, coalesce(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), cl.c), 0) AS s "
     "FROM fx_doc_vectors d CROSS JOIN fx_categories k LEFT JOIN cl ON cl.category = k.category)\n"
     "SELECT doc_id, " + ", ".join(f"{sql_r6(f'max(CASE WHEN category = {chr(39)}{c}{chr(39)} THEN s END)')} AS {c}" for c in LEX_CATS)

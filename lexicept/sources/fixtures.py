@@ -169,3 +169,85 @@ POINT_CATEGORIES_SQL = (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# ---------------------------------------------------------------- survey inputs
+
+# The survey's category batch list and its question grid.
+SURVEY_CATEGORIES = ["article", "conj", "prep"]
+SURVEY_TURNS = list(range(1, 11))
+SURVEY_QUESTIONS = [f"{t}_QS1C1_{j}" for t in SURVEY_TURNS for j in range(1, len(SURVEY_CATEGORIES) + 1)] + ["21_QS1C1_1"]
+
+
+def _answer(n):
+    return (
+        F.when(n == 0, F.lit("Not expressed"))
+        .when(n <= 5, F.lit("Potentially expressed"))
+        .otherwise(F.lit("Most likely expressed"))
+    )
+
+
+def fx_survey_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long answers derived from ``conversations``: respondent = conversation, one question per
+    (turn, category), answered from the turn's lexicon count; plus one attention item."""
+    from ..operators.lexicon import lexicon_counts_wide
+
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    counts = lexicon_counts_wide(conv, fx_lexicon(spark), SURVEY_CATEGORIES, ["conv_id", "turn"])
+    qs = counts.unpivot(["conv_id", "turn"], SURVEY_CATEGORIES, "category", "n")
+    pos = F.array_position(F.array(*[F.lit(c) for c in SURVEY_CATEGORIES]), F.col("category"))
+    answers = qs.select(
+        "conv_id",
+        F.concat((F.col("turn") + 1).cast("string"), F.lit("_QS1C1_"), pos.cast("string")).alias("question"),
+        _answer(F.col("n")).alias("answer"),
+    )
+    attention = conv.filter(F.col("turn") == 0).select(
+        "conv_id",
+        F.lit("21_QS1C1_1").alias("question"),
+        F.when(F.col("role") == "user", F.lit("Not expressed")).otherwise(F.lit("Potentially expressed")).alias("answer"),
+    )
+    return answers.unionByName(attention)
+
+
+def fx_survey_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide survey export: QProlificID, SentenceBatch, CategoryBatch and one column per question."""
+    conv = table(spark, sf_dir, "conversations")
+    batches = conv.groupBy("conv_id").agg(
+        F.count("*").cast("string").alias("SentenceBatch"),
+        F.min_by("role", "turn").alias("CategoryBatch"),
+    )
+    wide = fx_survey_answers(spark, sf_dir).groupBy("conv_id").pivot("question", SURVEY_QUESTIONS).agg(F.first("answer"))
+    return batches.join(wide, "conv_id").select(
+        F.concat(F.lit("R"), F.col("conv_id").cast("string")).alias("QProlificID"), "SentenceBatch", "CategoryBatch",
+        *[F.col(f"`{q}`") for q in SURVEY_QUESTIONS],
+    )
+
+
+def fx_survey_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labels`` unpivoted: rater in {quality, toxic}, object = doc_id, score."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long"), F.col("toxic").cast("long"))
+    return lab.unpivot(["doc_id"], ["quality", "toxic"], "rater", "score").withColumnRenamed("doc_id", "object")
+
+
+def _answer_sql(n: str) -> str:
+    return (f"CASE WHEN {n} = 0 THEN 'Not expressed' WHEN {n} <= 5 THEN 'Potentially expressed' "
+            "ELSE 'Most likely expressed' END")
+
+
+SURVEY_ANSWERS_SQL = (
+    tokens_sql("ct", "lower(text)", "conversations", "conv_id, turn") + ",\n"
+    "ch AS (SELECT DISTINCT t.conv_id, t.turn, t.pos, l.category FROM ct t JOIN fx_lexicon l ON "
+    "(CASE WHEN l.pattern LIKE '%*' THEN starts_with(t.token, rtrim(l.pattern, '*')) ELSE t.token = l.pattern END)),\n"
+    "sc AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i + 1})" for i, c in enumerate(SURVEY_CATEGORIES))
+    + ") t(category, j)),\n"
+    "cq AS (SELECT c.conv_id, c.turn, sc.j, count(ch.pos) AS n FROM conversations c CROSS JOIN sc "
+    "LEFT JOIN ch ON ch.conv_id = c.conv_id AND ch.turn = c.turn AND ch.category = sc.category GROUP BY c.conv_id, c.turn, sc.j),\n"
+    "answers AS (SELECT conv_id, CAST(turn + 1 AS VARCHAR) || '_QS1C1_' || CAST(j AS VARCHAR) AS question, "
+    + _answer_sql("n") + " AS answer FROM cq "
+    "UNION ALL SELECT conv_id, '21_QS1C1_1', CASE WHEN role = 'user' THEN 'Not expressed' ELSE 'Potentially expressed' END "
+    "FROM conversations WHERE turn = 0),\n"
+    "batches AS (SELECT conv_id, CAST(count(*) AS VARCHAR) AS SentenceBatch, arg_min(role, turn) AS CategoryBatch "
+    "FROM conversations GROUP BY conv_id),\n"
+    "sl AS (SELECT 'R' || CAST(a.conv_id AS VARCHAR) AS QProlificID, b.SentenceBatch, b.CategoryBatch, a.question, a.answer "
+    "FROM answers a JOIN batches b ON b.conv_id = a.conv_id)"
+)
