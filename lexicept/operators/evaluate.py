@@ -9,6 +9,7 @@ use Spark ML estimators; the loop over the five folds runs on the driver
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
@@ -110,9 +111,14 @@ def majority_baseline_cv(df: DataFrame, label: str, fold_col: str = "fold") -> D
 
 
 def majority_baseline_holdout(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
-    """Accuracy on ``test`` of always predicting the training mode (ties -> smallest)."""
-    mode = train.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(label)).limit(1)
-    m = mode.select(F.col(label).alias("_m")).scalar()
+    """Accuracy on ``test`` of always predicting the training mode (ties -> smallest).
+
+    The mode is a fitted parameter: class counts (one row per class) are
+    brought to the driver and the winner applied as a literal.
+    """
+    counts = collect_bounded(train.groupBy(label).agg(F.count("*").alias("n")), MODEL_MAX_ROWS, "class counts")
+    best = min(counts, key=lambda r: (-r["n"], r[label]))[label] if counts else None
+    m = F.lit(best)
     return test.agg(F.avg((F.col(label) == m).cast("double")).alias("accuracy")).withColumn("majority", m)
 
 
@@ -130,15 +136,15 @@ def mean_baseline_cv(df: DataFrame, label: str, fold_col: str = "fold") -> DataF
 
 def _fold_means(stats: DataFrame, fold_col: str) -> DataFrame:
     """(fold, training mean, test mean) from per-fold sums: a handful of rows."""
-    s_all = stats.agg(F.sum("s")).scalar()
-    n_all = stats.agg(F.sum("n")).scalar()
+    tot = stats.agg(F.sum("s"), F.sum("n")).first()
+    s_all, n_all = F.lit(tot[0]), F.lit(tot[1])
     return stats.select(fold_col, ((s_all - F.col("s")) / (n_all - F.col("n"))).alias("m_train"), (F.col("s") / F.col("n")).alias("m_test"))
 
 
 def mean_baseline_holdout(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
-    m = train.agg(F.avg(F.col(label).cast("double"))).scalar()
     y = F.col(label).cast("double")
-    mt = test.agg(F.avg(y)).scalar()
+    m = F.lit(train.agg(F.avg(y)).first()[0])  # fitted parameter: the training mean
+    mt = F.lit(test.agg(F.avg(y)).first()[0])
     agg = test.agg(F.sum((y - m) ** 2).alias("sse"), F.sum((y - mt) ** 2).alias("sst"), F.count("*").alias("n"))
     return agg.select((1 - F.try_divide("sse", "sst")).alias("r2"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
 
@@ -186,8 +192,10 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
 def _estimator(task: str, model: str, max_iter: int = 50):
     if task == "classification":
         if model == "svm":
-            return OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol="label_idx", featuresCol="features")
-        return OneVsRest(classifier=LogisticRegression(maxIter=max_iter), labelCol="label_idx", featuresCol="features")
+            return OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol="label_idx", featuresCol="features",
+                             parallelism=4)
+        return OneVsRest(classifier=LogisticRegression(maxIter=max_iter), labelCol="label_idx", featuresCol="features",
+                         parallelism=4)
     return LinearRegression(maxIter=max_iter, labelCol="label_y", featuresCol="features")
 
 
@@ -207,7 +215,12 @@ def fit_model(train: DataFrame, features, label: str, task: str = "classificatio
     else:
         mapping = None
         data = data.withColumn("label_y", F.col(label).cast("double"))
-    fitted = Pipeline(stages=[_estimator(task, model, max_iter)]).fit(data)
+    # iterative optimisers rescan their input: keep it materialised for the fit only
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = Pipeline(stages=[_estimator(task, model, max_iter)]).fit(data)
+    finally:
+        data.unpersist()
     return fitted, mapping
 
 
@@ -253,6 +266,7 @@ def cross_validate(df: DataFrame, features, label: str, fold_col: str = "fold",
     Returns (fold, metric, value); baselines follow the reference (the CV
     majority baseline uses the test fold's own mode).
     """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # scanned once per fold and per fitted scaler
     parts = []
     for f in range(n_folds):
         tr, te = df.filter(F.col(fold_col) != f), df.filter(F.col(fold_col) == f)

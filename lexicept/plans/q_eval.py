@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash_sql
@@ -164,7 +165,7 @@ def q_metrics(spark, sf):
 
 
 def _split_features(spark, sf):
-    m = V.random_split(_features(spark, sf), "vec_id", SPLIT_SEED)
+    m = V.random_split(_features(spark, sf), "vec_id", SPLIT_SEED).persist(StorageLevel.MEMORY_AND_DISK)
     return m.filter(F.col("split") == "train"), m.filter(F.col("split") == "validation")
 
 
@@ -198,7 +199,7 @@ def q_fit_regressor(spark, sf):
 
 @query("cross_validate")
 def q_cross_validate(spark, sf):
-    m = V.stratified_folds(_features(spark, sf), "vec_id", "label")
+    m = V.stratified_folds(_features(spark, sf).persist(StorageLevel.MEMORY_AND_DISK), "vec_id", "label")
     return V.cross_validate(m, POINT_CATEGORIES, "label", "fold", "classification", "lr", POINT_CATEGORIES, ML_ITERS)
 
 
@@ -221,11 +222,12 @@ def q_experiment_grid(spark, sf):
     pts = fx.fx_centroid_points(spark, sf)
     cats = fx.fx_point_categories(spark, sf)
     split = V.random_split(emb, "vec_id", SPLIT_SEED)
-    parts = []
+    parts = []  # one held-out fit per configuration; each representation is persisted while it is fitted
     for k in (1, 2):
         cent = mean_centroids(pts) if k == 1 else kmeans_centroids(pts, k=k, seed=7, iterations=2, key_col="key")
         for metric in ("cosine", "l2"):
-            m = concept_matrix(split, cent, cats, "vec_id", metric=metric, keep=["label", "split"])
+            m = concept_matrix(split, cent, cats, "vec_id", metric=metric, keep=["label", "split"]).persist(
+                StorageLevel.MEMORY_AND_DISK)
             tr, te = m.filter(F.col("split") == "train"), m.filter(F.col("split") == "validation")
             res = V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", "classification", "lr", POINT_CATEGORIES, ML_ITERS)
             parts.append(res.withColumn("k", F.lit(k)).withColumn("distance", F.lit(metric)))
