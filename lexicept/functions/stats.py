@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sizing import maybe_broadcast
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -128,9 +127,14 @@ def pearson_agg(x: str, y: str) -> Column:
 
 
 def _attach(df: DataFrame, small: DataFrame, g: list[str]) -> DataFrame:
-    """Attach per-group values: a size-checked broadcast join by group, or scalar subqueries when ungrouped."""
+    """Attach per-group values by group key, or as scalar subqueries when ungrouped.
+
+    ``small`` is an aggregate (one row per group) behind a shuffle, so AQE
+    measures its real size at run time and turns the join into a broadcast
+    when it is small, without an extra counting job.
+    """
     if g:
-        return df.join(maybe_broadcast(small), g)
+        return df.join(small, g)
     return df.select("*", *[small.select(c).scalar().alias(c) for c in small.columns])
 
 

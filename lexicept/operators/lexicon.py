@@ -151,40 +151,47 @@ def category_vectors(lexicon: DataFrame, word_vectors: DataFrame, token_col: str
     )
 
 
-def soft_lexicon_counts(docs: DataFrame, lexicon: DataFrame, categories: DataFrame, word_vectors: DataFrame,
-                        id_col: str = "doc_id", text_col: str = "text", pattern: str = TOKEN_PATTERN,
-                        contractions=None, token_col: str = "token", vec_col: str = "embedding",
-                        value_col: str = "score") -> DataFrame:
-    """Sum over tokens and over a category's words of cosine(token vector, word vector).
-
-    Rewritten as (sum of unit token vectors) . (sum of unit word vectors): two
-    vector sums and one dot product per (text, category) instead of a
-    token x vocabulary product. An out-of-vocabulary token is a zero vector;
-    a text without in-vocabulary tokens scores 0 everywhere.
-    """
-    from .represent import concept_similarity
+def token_category_scores(lexicon: DataFrame, categories: DataFrame, word_vectors: DataFrame,
+                          token_col: str = "token", vec_col: str = "embedding") -> tuple[DataFrame, list[str]]:
+    """S[t, c] = unit(t) . (sum of unit vectors of c's words), one row per vocabulary token, one column per category."""
+    from .represent import concept_matrix, ordered_categories
 
+    cats = ordered_categories(categories)
     wv = word_vectors.select(F.col(token_col).alias("token"), l2_normalize(vec_col).alias("u"))
-    toks = tokenize(docs.select(id_col, text_col), id_col, text_col, pattern, contractions=contractions)
-    wv_side = maybe_broadcast(wv, BROADCAST_MAX_ROWS)
-    doc_sum = toks.join(wv_side, "token").groupBy(id_col).agg(vector_sum("u").alias("s"))
-    doc_vec = docs.select(id_col).join(doc_sum, id_col, "left")
     cat_vec = category_vectors(lexicon, word_vectors, token_col, vec_col)
-    return concept_similarity(doc_vec, cat_vec, categories, id_col, "s", metric="dot", value_col=value_col)
+    return concept_matrix(wv, cat_vec, categories, "token", "u", metric="dot"), cats
 
 
 def soft_lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: DataFrame, word_vectors: DataFrame,
                              id_col: str = "doc_id", text_col: str = "text", pattern: str = TOKEN_PATTERN,
                              contractions=None, token_col: str = "token", vec_col: str = "embedding") -> DataFrame:
-    """Wide form of ``soft_lexicon_counts``: one column per category, no pivot shuffle."""
-    from .represent import concept_matrix
-
-    wv = word_vectors.select(F.col(token_col).alias("token"), l2_normalize(vec_col).alias("u"))
+    """Sum over tokens and over a category's words of cosine(token vector, word vector), wide.
+
+    Rewritten as sum over tokens of S[t, c] with S = unit(t) . sum_w unit(w):
+    the vocabulary-sized table S is computed once, joined to the token
+    occurrences (broadcast when size-checked small, else a shuffle join), and
+    each text sums C plain doubles -- no token x vocabulary product, no
+    d-dimensional aggregation. An out-of-vocabulary token contributes 0; a
+    text without in-vocabulary tokens scores 0 everywhere.
+    """
+    scores, cats = token_category_scores(lexicon, categories, word_vectors, token_col, vec_col)
     toks = tokenize(docs.select(id_col, text_col), id_col, text_col, pattern, contractions=contractions)
-    doc_sum = toks.join(maybe_broadcast(wv, BROADCAST_MAX_ROWS), "token").groupBy(id_col).agg(vector_sum("u").alias("s"))
-    doc_vec = docs.select(id_col).join(doc_sum, id_col, "left")
-    cat_vec = category_vectors(lexicon, word_vectors, token_col, vec_col)
-    return concept_matrix(doc_vec, cat_vec, categories, id_col, "s", metric="dot")
+    hits = toks.join(maybe_broadcast(scores, BROADCAST_MAX_ROWS), "token").select(id_col, *cats)
+    base = docs.select(id_col, *[F.lit(None).cast("double").alias(c) for c in cats])
+    summed = hits.unionByName(base).groupBy(id_col).agg(*[F.sum(c).alias(c) for c in cats])
+    return summed.select(id_col, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cats])
+
+
+def soft_lexicon_counts(docs: DataFrame, lexicon: DataFrame, categories: DataFrame, word_vectors: DataFrame,
+                        id_col: str = "doc_id", text_col: str = "text", pattern: str = TOKEN_PATTERN,
+                        contractions=None, token_col: str = "token", vec_col: str = "embedding",
+                        value_col: str = "score") -> DataFrame:
+    """Long form ``(id, category, score)`` of ``soft_lexicon_counts_wide`` (map-side unpivot)."""
+    from .represent import ordered_categories
+
+    wide = soft_lexicon_counts_wide(docs, lexicon, categories, word_vectors, id_col, text_col, pattern, contractions,
+                                    token_col, vec_col)
+    return wide.unpivot([id_col], ordered_categories(categories), "category", value_col)
 
 
 def counts_with_targets(wide_counts: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:

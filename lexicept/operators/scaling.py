@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,13 +71,20 @@ def apply_columns(df: DataFrame, model: dict[str, tuple[float, float]], cols: li
 
 
 def column_standardize(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    return apply_columns(df, fit_columns(fit_on if fit_on is not None else df, cols), cols)
+    """Fit on ``fit_on`` (default: the table itself), then apply.
+
+    Fitting and applying are two passes; when both read the same table it is
+    persisted in between so its lineage runs once.
+    """
+    if fit_on is None:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        fit_on = df
+    return apply_columns(df, fit_columns(fit_on, cols), cols)
 
 
 def row_then_column(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows first, then columns fitted on the row-standardised table (annotation order)."""
-    rows = row_standardize(df, cols)
-    return column_standardize(rows, cols)
+    return column_standardize(row_standardize(df, cols), cols)
 
 
 def column_then_row(df: DataFrame, cols: list[str], fit_on: DataFrame) -> DataFrame:

@@ -52,6 +52,9 @@ def recode(answer, codes=ANSWER_CODES) -> Column:
 def survey_to_long(wide: DataFrame, rater_col: str = "QProlificID", codes=ANSWER_CODES) -> DataFrame:
     """(Rater, Object, Score) over the question columns; null scores dropped."""
     qcols = question_columns(wide.columns)
+    if not qcols:  # nothing answered in this selection: empty result, same schema
+        return wide.select(F.col(rater_col).alias("Rater"), F.lit(None).cast("string").alias("Object"),
+                           F.lit(None).cast("long").alias("Score")).filter(F.lit(False))
     long = wide.select(rater_col, *[F.col(f"`{c}`") for c in qcols]).unpivot([rater_col], qcols, "Object", "answer")
     return long.select(F.col(rater_col).alias("Rater"), "Object", recode("answer", codes).alias("Score")).na.drop(subset=["Score"])
 

@@ -31,11 +31,19 @@ def contraction_rules(contractions: DataFrame | list | None) -> list[tuple[str,
 
 
 def expand_contractions_expr(text, rules: list[tuple[str, str]]) -> Column:
-    """Rewrite whole-word contractions (on already lower-cased text)."""
-    out = _c(text)
+    """Rewrite whole-word contractions (on already lower-cased text).
+
+    One combined ``rlike`` test gates the per-rule replacements, so a text
+    holding no contraction is scanned once instead of once per rule.
+    """
+    t = _c(text)
+    if not rules:
+        return t
+    out = t
     for src, dst in rules:
         out = F.regexp_replace(out, F.lit(r"\b" + src + r"\b"), F.lit(dst))
-    return out
+    any_rule = r"\b(?:" + "|".join(src for src, _ in rules) + r")\b"
+    return F.when(t.rlike(any_rule), out).otherwise(t)
 
 
 def prepared_text(text, max_chars: int | None = None, contractions=None) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.stats import icc_average, paired_t_test, row_pearson
@@ -63,7 +64,7 @@ def q_batch_filter(spark, sf):
 
 @query("question_columns", SURVEY + f"SELECT DISTINCT question AS column_name FROM sl WHERE {IN_BATCH} AND {REL}")
 def q_question_columns(spark, sf):
-    batch = U.drop_sparse_columns(U.batch_filter(_wide(spark, sf), *BATCH), 1)
+    batch = U.drop_sparse_columns(U.batch_filter(_wide(spark, sf), *BATCH), 1, keep=ID_COLS)
     return spark.createDataFrame([(c,) for c in U.question_columns(batch.columns)], "column_name string")
 
 
@@ -101,7 +102,7 @@ def q_response_sum(spark, sf):
     f"WHERE {IN_BATCH} AND {REL}",
 )
 def q_survey_to_long(spark, sf):
-    batch = U.drop_sparse_columns(U.batch_filter(_wide(spark, sf), *BATCH), 1)
+    batch = U.drop_sparse_columns(U.batch_filter(_wide(spark, sf), *BATCH), 1, keep=ID_COLS)
     return U.survey_to_long(batch)
 
 
@@ -225,7 +226,7 @@ def _correlations(spark, sf):
     corpus = fx.fx_doc_vectors(spark, sf)
     lex, con, cats_df = fx.fx_lexicon(spark), fx.fx_contractions(spark), fx.fx_categories(spark)
     docs = corpus.select("doc_id", "text")
-    cent = reference_centroids(corpus, lex)
+    cent = reference_centroids(corpus, lex).persist(StorageLevel.MEMORY_AND_DISK)  # one model, two metrics
     vecs = corpus.select("doc_id", "embedding")
     tables = {
         "hum": L.lexicon_counts_wide(docs, lex, LEX_CATS, contractions=con),

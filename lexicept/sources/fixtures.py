@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_row_number
+from ..session import shared_dir
+from ..sources.readers import balanced
 from ..operators.text import TOKEN_PATTERN, tokenize
 
 # The test lexicon (category, ord, pattern); a trailing '*' marks a prefix.
@@ -47,8 +49,13 @@ SUBSET_MIN_ORD = 2
 SENSE_KEYWORD = "that"
 
 
+# Tables whose rows carry long texts or vectors: per-row work dominates, so small scans are spread out.
+_SPREAD = {"documents", "conversations", "pages", "embeddings"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balanced(df) if name in _SPREAD else df
 
 
 def fx_lexicon(spark: SparkSession) -> DataFrame:
@@ -78,9 +85,10 @@ def fx_word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = toks.groupBy("token").agg(F.count("*").alias("n"))
     ranked = global_row_number(counts, [F.desc("n"), F.asc("token")], "rank")
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ranked.join(emb, F.col("rank") - 1 == F.col("vec_id")).select(
-        "token", "rank", "vec_id", "embedding"
-    )
+    out = ranked.join(emb, F.col("rank") - 1 == F.col("vec_id")).select("token", "rank", "vec_id", "embedding")
+    # reused by several operators of one query: materialise once in the shared checkpoint folder
+    shared_dir(spark)
+    return out.checkpoint(eager=True)
 
 
 def fx_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

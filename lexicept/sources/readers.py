@@ -12,12 +12,25 @@ CORPUS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars l
 VECTORS_SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
+def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a scan over the cluster when it yields fewer partitions than the default parallelism.
+
+    Large inputs (many files / row groups) already have more splits than
+    cores and pass through untouched; a small file stored as one row group
+    would otherwise tokenise in a single task.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
 def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA, fmt: str = "parquet",
                 columns: list[str] | None = None) -> DataFrame:
     """Text table with a declared schema; the key comes from the data, never from row order."""
     reader = spark.read.schema(schema)
     df = reader.parquet(path) if fmt == "parquet" else reader.option("header", True).option("multiLine", True).csv(path)
-    return df.select(*columns) if columns else df
+    return balanced(df.select(*columns) if columns else df)
 
 
 def read_vectors(spark: SparkSession, path: str, schema: str = VECTORS_SCHEMA) -> DataFrame:
