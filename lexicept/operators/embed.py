@@ -82,14 +82,17 @@ def mean_pool(token_vectors: DataFrame, id_col: str = "doc_id", vec_col: str = "
 
 def encode_distinct(df: DataFrame, encode: Callable[[DataFrame], DataFrame], id_col: str = "doc_id",
                     text_col: str = "text", vec_col: str = "embedding") -> DataFrame:
-    """Encode each distinct text once, then join the vectors back to every row carrying it.
+    """Encode each distinct text once, then attach the vector to every row carrying it.
 
-    ``encode`` maps a one-column DataFrame of texts (``text_col``) to
-    (``text_col``, ``vec_col``).
+    Texts are keyed by a SHA-256 digest: the de-duplication shuffles each
+    text once (copies collapse map-side), and the join back moves only the
+    32-byte key with the row id. ``encode`` maps a DataFrame with columns
+    (``_tk``, ``text_col``) to (``_tk``, ``vec_col``).
     """
-    distinct = df.select(text_col).na.drop().distinct()
-    vecs = encode(distinct).select(text_col, vec_col)
-    return df.select(id_col, text_col).join(vecs, text_col, "left")
+    keyed = df.select(id_col, text_col).withColumn("_tk", F.sha2(F.col(text_col), 256))
+    distinct = keyed.select("_tk", text_col).na.drop().dropDuplicates(["_tk"])
+    vecs = encode(distinct).select("_tk", vec_col)
+    return keyed.join(vecs, "_tk", "left").drop("_tk")
 
 
 def static_text_encoder(word_vectors: DataFrame, pattern: str = TOKEN_PATTERN, text_col: str = "text",
@@ -97,10 +100,8 @@ def static_text_encoder(word_vectors: DataFrame, pattern: str = TOKEN_PATTERN, t
     """An ``encode`` for ``encode_distinct``: mean of the static vectors of a text's tokens."""
 
     def encode(texts: DataFrame) -> DataFrame:
-        keyed = texts.withColumn("_tid", F.sha2(F.col(text_col), 256))
-        tv = encode_tokens(keyed, word_vectors, "_tid", text_col, pattern, vec_col=vec_col)
-        pooled = mean_pool(tv, "_tid", vec_col)
-        return keyed.join(pooled, "_tid").select(text_col, vec_col)
+        tv = encode_tokens(texts, word_vectors, "_tk", text_col, pattern, vec_col=vec_col)
+        return mean_pool(tv, "_tk", vec_col)
 
     return encode
 
