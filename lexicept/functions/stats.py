@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def _betacf(a: float, b: float, x: float) -> float:
     """Continued fraction for the regularised incomplete beta function (modified Lentz)."""
     tiny, eps = 1e-300, 3e-16
@@ -81,15 +80,17 @@ def t_pvalue_greater(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_pvalue_scalar(a, b, "greater") if pd.notna(a) and pd.notna(b) else np.nan for a, b in zip(t, df)])
 
 
-def paired_t_test(df: DataFrame, a: str, b: str, group_cols: list[str] | None = None, with_p: bool = True) -> DataFrame:
+def paired_t_test(df: DataFrame, a: str, b: str, group_cols: list[str] | None = None, with_p: bool = True,
+                  extra_aggs: list[Column] | None = None) -> DataFrame:
     """Paired t-test of columns a vs b: one aggregate of d = a - b (rows with a null skipped).
 
-    Returns (groups..., n, mean_diff, sd_diff, t, df[, p_two_sided, p_greater]).
+    Returns (groups..., n, mean_diff, sd_diff, t, df[, p_two_sided, p_greater]) plus any
+    ``extra_aggs`` computed in the same pass.
     """
     g = group_cols or []
     d = (F.col(a) - F.col(b)).cast("double")
     agg = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*g).agg(
-        F.count("*").alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd_diff")
+        F.count("*").alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd_diff"), *(extra_aggs or [])
     )
     t = F.try_divide(F.col("mean_diff"), F.col("sd_diff") / F.sqrt(F.col("n")))
     out = agg.withColumn("t", t).withColumn("df", (F.col("n") - 1).cast("double"))
@@ -126,45 +127,40 @@ def pearson_agg(x: str, y: str) -> Column:
     return F.when(den == 0, F.lit(None).cast("double")).otherwise(cov / den)
 
 
-def _attach(df: DataFrame, small: DataFrame, g: list[str]) -> DataFrame:
-    """Attach per-group values by group key, or as scalar subqueries when ungrouped.
-
-    ``small`` is an aggregate (one row per group) behind a shuffle, so AQE
-    measures its real size at run time and turns the join into a broadcast
-    when it is small, without an extra counting job.
-    """
-    if g:
-        return df.join(small, g)
-    return df.select("*", *[small.select(c).scalar().alias(c) for c in small.columns])
-
-
 def icc_average(long: DataFrame, object_col: str = "object", rater_col: str = "rater", score_col: str = "score",
                 group_cols: list[str] | None = None) -> DataFrame:
     """Two-way ICC, absolute agreement, average-rater unit: (MSR - MSE) / (MSR + (MSC - MSE) / n).
 
     Complete cases only (objects scored by every rater of their group). The
-    sums of squares come from object means, rater means and the grand mean,
-    each a grouped aggregate with partial aggregation; nothing is gathered
-    per group.
+    two-way ANOVA sums of squares come from sums alone --
+    SSR = sum_i R_i^2 / k - G^2 / N, SSC = sum_j C_j^2 / n - G^2 / N,
+    SST = sum x^2 - G^2 / N (R_i object sums, C_j rater sums, G grand sum) --
+    so the plan is three grouped aggregates (per object, per rater, per
+    group), each with partial aggregation, and joins of per-group rows.
     """
     g = group_cols or []
     x = long.select(*g, object_col, rater_col, F.col(score_col).cast("double").alias("x")).na.drop()
     k_by = x.groupBy(*g).agg(F.countDistinct(rater_col).alias("k"))
-    per_obj = x.groupBy(*g, object_col).agg(F.count("*").alias("m"), F.avg("x").alias("rm"))
-    complete = _attach(per_obj, k_by, g).filter(F.col("m") == F.col("k")).select(*g, object_col, "rm")
-    xc = x.join(complete, [*g, object_col])
-    grand = xc.groupBy(*g).agg(
-        F.avg("x").alias("gm"), F.countDistinct(object_col).alias("n"), F.countDistinct(rater_col).alias("k")
+    per_obj = x.groupBy(*g, object_col).agg(
+        F.count("*").alias("m"), F.sum("x").alias("R"), F.sum(F.col("x") * F.col("x")).alias("Q")
+    )
+    complete = (per_obj.join(k_by, g) if g else per_obj.withColumn("k", k_by.select("k").scalar())).filter(
+        F.col("m") == F.col("k")
+    )
+    rows = complete.groupBy(*g).agg(
+        F.count("*").alias("n"), F.first("k").alias("k"), F.sum("R").alias("G"),
+        F.sum(F.col("R") * F.col("R")).alias("RR"), F.sum("Q").alias("XX"),
+    )
+    col_sums = x.join(complete.select(*g, object_col), [*g, object_col], "left_semi").groupBy(*g, rater_col).agg(
+        F.sum("x").alias("C")
     )
-    gm = grand.select(*g, "gm")
-    sr = _attach(complete, gm, g).groupBy(*g).agg(F.sum((F.col("rm") - F.col("gm")) ** 2).alias("sr"))
-    cm = xc.groupBy(*g, rater_col).agg(F.avg("x").alias("cmean"))
-    sc = _attach(cm, gm, g).groupBy(*g).agg(F.sum((F.col("cmean") - F.col("gm")) ** 2).alias("sc"))
-    st = _attach(xc, gm, g).groupBy(*g).agg(F.sum((F.col("x") - F.col("gm")) ** 2).alias("st"))
-    parts = _attach(_attach(_attach(grand, sr, g), sc, g), st, g)
+    cols = col_sums.groupBy(*g).agg(F.sum(F.col("C") * F.col("C")).alias("CC"))
+    parts = rows.join(cols, g) if g else rows.withColumn("CC", cols.select("CC").scalar())
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    ssr, ssc = k * F.col("sr"), n * F.col("sc")
-    sse = F.col("st") - ssr - ssc
+    corr = F.col("G") * F.col("G") / (n * k)
+    ssr = F.col("RR") / k - corr
+    ssc = F.col("CC") / n - corr
+    sse = (F.col("XX") - corr) - ssr - ssc
     msr, msc, mse = ssr / (n - 1), ssc / (k - 1), sse / ((n - 1) * (k - 1))
     icc = (msr - mse) / (msr + (msc - mse) / n)
     return parts.select(*g, F.col("n").cast("long").alias("n_objects"), F.col("k").cast("long").alias("n_raters"),

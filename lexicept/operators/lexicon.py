@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import BROADCAST_MAX_ROWS, MODEL_MAX_ROWS, collect_bounded, is_small, maybe_broadcast
+from ..functions.sizing import BROADCAST_MAX_ROWS, MODEL_MAX_ROWS, collect_bounded, maybe_broadcast
 from ..functions.vectors import l2_normalize, vector_sum
 from ..sources.readers import read_lexicon
 from .text import TOKEN_PATTERN, token_array, tokenize
@@ -41,8 +41,6 @@ def category_subset(lexicon: DataFrame, min_ord: int = 21, categories: list[str]
 def minimal_lexicon(lexicon: DataFrame) -> DataFrame:
     """Drop (pattern, category) rows covered by another prefix pattern of the same category."""
     lex = read_lexicon(lexicon) if "is_prefix" not in lexicon.columns else lexicon
-    if not is_small(lex, MODEL_MAX_ROWS):
-        raise ValueError("lexicon above the broadcast bound")
     cover = lex.filter("is_prefix").select(
         F.col("category").alias("c_cat"), F.col("stem").alias("c_stem"), F.col("pattern").alias("c_pat")
     )
@@ -54,9 +52,23 @@ def minimal_lexicon(lexicon: DataFrame) -> DataFrame:
     return lex.join(F.broadcast(cover), cond, "left_anti")
 
 
-def _prefix_lengths(lex: DataFrame) -> list[int]:
-    rows = collect_bounded(lex.filter("is_prefix").select(F.length("stem").alias("n")).distinct(), 10_000, "prefix lengths")
-    return sorted(int(r["n"]) for r in rows)
+_COMPILED_SCHEMA = "category string, pattern string, is_prefix boolean, stem string"
+
+
+def compile_lexicon(lexicon: DataFrame, minimise: bool = True) -> tuple[DataFrame, list[int]]:
+    """A lexicon ready to probe: (broadcastable table, prefix lengths in use).
+
+    The dictionary is brought to the driver once through a bounded collect
+    (that collect is its size check) and rebuilt as a local table, so the
+    main query plans a plain broadcast of a known-small relation and the
+    prefix lengths come without another job.
+    """
+    lex = read_lexicon(lexicon) if "is_prefix" not in lexicon.columns else lexicon
+    src = minimal_lexicon(lex) if minimise else lex
+    rows = collect_bounded(src.select("category", "pattern", "is_prefix", "stem"), MODEL_MAX_ROWS, "lexicon")
+    lens = sorted({len(r["stem"]) for r in rows if r["is_prefix"]})
+    table = lexicon.sparkSession.createDataFrame([tuple(r) for r in rows], _COMPILED_SCHEMA)
+    return table, lens
 
 
 def _candidates(token_col: str, lens: list[int]):
@@ -73,24 +85,24 @@ def _candidates(token_col: str, lens: list[int]):
     return F.concat(exact, pref)
 
 
+def _probe(rows: DataFrame, token_col: str, table: DataFrame, lens: list[int], extra: list[str]) -> DataFrame:
+    probes = rows.withColumn("_probe", F.explode(_candidates(token_col, lens)))
+    side = F.broadcast(table.select(F.col("is_prefix").alias("_ip"), F.col("stem").alias("_key"), *extra))
+    hit = probes.join(side, (F.col("_probe.is_prefix") == F.col("_ip")) & (F.col("_probe.key") == F.col("_key")))
+    return hit.drop("_probe", "_ip", "_key")
+
+
 def match_tokens(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token") -> DataFrame:
     """Token rows x minimised lexicon -> one row per (token row, category) hit."""
-    lex = minimal_lexicon(lexicon)
-    lens = _prefix_lengths(lex)
-    probes = tokens.withColumn("_probe", F.explode(_candidates(token_col, lens)))
-    table = F.broadcast(lex.select(F.col("is_prefix").alias("_ip"), F.col("stem").alias("_key"), "category"))
-    hit = probes.join(table, (F.col("_probe.is_prefix") == F.col("_ip")) & (F.col("_probe.key") == F.col("_key")))
-    return hit.drop("_probe", "_ip", "_key")
+    table, lens = compile_lexicon(lexicon)
+    return _probe(tokens, token_col, table, lens, ["category"])
 
 
 def pattern_matches(words: DataFrame, lexicon: DataFrame, word_col: str = "word") -> DataFrame:
     """(word, category, pattern) for every pattern a word matches (lexicon not minimised)."""
-    lex = read_lexicon(lexicon) if "is_prefix" not in lexicon.columns else lexicon
-    lens = _prefix_lengths(lex)
-    probes = words.select(F.col(word_col).alias("word")).withColumn("_probe", F.explode(_candidates("word", lens)))
-    table = F.broadcast(lex.select(F.col("is_prefix").alias("_ip"), F.col("stem").alias("_key"), "category", "pattern"))
-    hit = probes.join(table, (F.col("_probe.is_prefix") == F.col("_ip")) & (F.col("_probe.key") == F.col("_key")))
-    return hit.select("word", "category", "pattern")
+    table, lens = compile_lexicon(lexicon, minimise=False)
+    rows = words.select(F.col(word_col).alias("word"))
+    return _probe(rows, "word", table, lens, ["category", "pattern"]).select("word", "category", "pattern")
 
 
 def word_categories(words: DataFrame, lexicon: DataFrame, word_col: str = "word") -> DataFrame:

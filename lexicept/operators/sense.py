@@ -70,12 +70,9 @@ def same_vs_opposite(sims: DataFrame, truth: DataFrame, senses: list[str], id_co
     same = F.when(F.col(sense_col) == a, F.col(a)).otherwise(F.col(b))
     opp = F.when(F.col(sense_col) == a, F.col(b)).otherwise(F.col(a))
     pairs = j.select(same.alias("same"), opp.alias("opposite"))
-    test = paired_t_test(pairs, "same", "opposite", [], with_p)
-    return test.select(
-        "*",
-        pairs.agg(F.avg("same")).scalar().alias("same_mean"),
-        pairs.agg(F.avg("opposite")).scalar().alias("opposite_mean"),
-    ).withColumn("ratio", F.col("same_mean") / F.col("opposite_mean"))
+    means = [F.avg("same").alias("same_mean"), F.avg("opposite").alias("opposite_mean")]
+    test = paired_t_test(pairs, "same", "opposite", [], with_p, extra_aggs=means)
+    return test.withColumn("ratio", F.col("same_mean") / F.col("opposite_mean"))
 
 
 def sense_representation(vectors: DataFrame, centroids: DataFrame, categories: DataFrame, cat_names: list[str],

@@ -153,7 +153,7 @@ def q_argmax_prediction(spark, sf):
     + " AS r2 FROM f",
 )
 def q_metrics(spark, sf):
-    p = _predictions(spark, sf)
+    p = _predictions(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)  # read by both metric families
     c = V.classification_metrics(p, "label", "prediction")
     r = V.regression_metrics(p, "label", "prediction")
     # both are single-row aggregates: the regression pair rides along as scalar subqueries

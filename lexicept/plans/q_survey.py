@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark import StorageLevel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import icc_average, paired_t_test, row_pearson
@@ -228,9 +229,11 @@ def _correlations(spark, sf):
     docs = corpus.select("doc_id", "text")
     cent = reference_centroids(corpus, lex).persist(StorageLevel.MEMORY_AND_DISK)  # one model, two metrics
     vecs = corpus.select("doc_id", "embedding")
+    counts = L.lexicon_counts_wide(docs, lex, LEX_CATS, contractions=con).persist(StorageLevel.MEMORY_AND_DISK)
     tables = {
-        "hum": L.lexicon_counts_wide(docs, lex, LEX_CATS, contractions=con),
-        "flags": L.lexicon_counts_wide(docs, lex, LEX_CATS, binary=True, contractions=con),
+        "hum": counts,
+        # flags are the counts' indicator: derived from the same table, not re-tokenised
+        "flags": counts.select("doc_id", *[(F.col(c) > 0).cast("long").alias(c) for c in LEX_CATS]),
         "soft": L.soft_lexicon_counts_wide(docs, lex, cats_df, fx.fx_word_vectors(spark, sf), contractions=con),
         "embed": concept_matrix(vecs, cent, cats_df),
         "embed_l2": concept_matrix(vecs, cent, cats_df, metric="l2"),
@@ -336,7 +339,8 @@ def q_icc_average(spark, sf):
         fx.table(spark, sf, "documents").select(F.col("doc_id").alias("object"), F.col("lang").alias("batch")), "object"
     )
     per = icc_average(long, "object", "rater", "score", ["batch"])
-    mean_icc = per.agg(F.avg("icc")).scalar()
+    # the mean over batches is a window over the per-batch result (one row per batch), not a second pass
+    mean_icc = F.avg("icc").over(Window.partitionBy())
     return per.select("batch", "n_objects", "n_raters", r6("msr", "msr"), r6("msc", "msc"), r6("mse", "mse"),
                       r6("icc", "icc"), r6(mean_icc, "mean_icc"))
 
