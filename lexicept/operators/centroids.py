@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import stable_hash
-from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded
+from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded, maybe_broadcast
 from ..functions.vectors import as_double, sq_distance, vector_mean
 
 CENTROID_SCHEMA = T.StructType(
@@ -45,7 +45,7 @@ def centroid_headers(centroids: DataFrame, k: int) -> DataFrame:
 def align_centroids(centroids: DataFrame, categories: DataFrame) -> DataFrame:
     """Keep centroids of lexicon categories only, carrying the lexicon order."""
     cats = categories.select("category", "ord").distinct()
-    return centroids.join(F.broadcast(cats), "category", "inner")
+    return centroids.join(maybe_broadcast(cats, MODEL_MAX_ROWS), "category", "inner")
 
 
 def _centers_frame(spark: SparkSession, centers: dict) -> DataFrame:

@@ -126,7 +126,7 @@ def mean_baseline_cv(df: DataFrame, label: str, fold_col: str = "fold") -> DataF
     """Per fold: R^2 and RMSE of predicting the mean of the other folds."""
     stats = df.groupBy(fold_col).agg(F.sum(label).alias("s"), F.count("*").alias("n"))
     fold_means = _fold_means(stats, fold_col)
-    j = df.join(F.broadcast(fold_means), fold_col)
+    j = df.join(fold_means, fold_col)  # one row per fold, behind a shuffle: AQE broadcasts it from its measured size
     y = F.col(label).cast("double")
     agg = j.groupBy(fold_col).agg(
         F.sum((y - F.col("m_train")) ** 2).alias("sse"), F.sum((y - F.col("m_test")) ** 2).alias("sst"), F.count("*").alias("n")

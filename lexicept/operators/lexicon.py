@@ -39,7 +39,11 @@ def category_subset(lexicon: DataFrame, min_ord: int = 21, categories: list[str]
 
 
 def minimal_lexicon(lexicon: DataFrame) -> DataFrame:
-    """Drop (pattern, category) rows covered by another prefix pattern of the same category."""
+    """Drop (pattern, category) rows covered by another prefix pattern of the same category.
+
+    DataFrame form for callers holding a lexicon table; matching uses the
+    equivalent driver-side pass of ``compile_lexicon`` on the bounded rows.
+    """
     lex = read_lexicon(lexicon) if "is_prefix" not in lexicon.columns else lexicon
     cover = lex.filter("is_prefix").select(
         F.col("category").alias("c_cat"), F.col("stem").alias("c_stem"), F.col("pattern").alias("c_pat")
@@ -49,23 +53,41 @@ def minimal_lexicon(lexicon: DataFrame) -> DataFrame:
         & F.col("stem").startswith(F.col("c_stem"))
         & (F.col("pattern") != F.col("c_pat"))
     )
-    return lex.join(F.broadcast(cover), cond, "left_anti")
+    return lex.join(maybe_broadcast(cover, MODEL_MAX_ROWS), cond, "left_anti")
 
 
 _COMPILED_SCHEMA = "category string, pattern string, is_prefix boolean, stem string"
 
 
+def _minimise_rows(rows: list) -> list:
+    """Driver-side form of ``minimal_lexicon`` on an already collected (bounded) lexicon."""
+    stems: dict = {}
+    for r in rows:
+        if r["is_prefix"]:
+            stems.setdefault(r["category"], set()).add(r["stem"])
+    kept = []
+    for r in rows:
+        own = stems.get(r["category"], set())
+        s = r["stem"]
+        # a prefix pattern is covered by a strictly shorter stem, an exact word by any stem it starts with
+        top = len(s) if r["is_prefix"] else len(s) + 1
+        if not any(s[:i] in own for i in range(top)):
+            kept.append(r)
+    return kept
+
+
 def compile_lexicon(lexicon: DataFrame, minimise: bool = True) -> tuple[DataFrame, list[int]]:
     """A lexicon ready to probe: (broadcastable table, prefix lengths in use).
 
     The dictionary is brought to the driver once through a bounded collect
-    (that collect is its size check) and rebuilt as a local table, so the
-    main query plans a plain broadcast of a known-small relation and the
-    prefix lengths come without another job.
+    (that collect is its size check), minimised there, and rebuilt as a
+    local table, so the main query broadcasts a relation of proven size and
+    the prefix lengths come without another job.
     """
     lex = read_lexicon(lexicon) if "is_prefix" not in lexicon.columns else lexicon
-    src = minimal_lexicon(lex) if minimise else lex
-    rows = collect_bounded(src.select("category", "pattern", "is_prefix", "stem"), MODEL_MAX_ROWS, "lexicon")
+    rows = collect_bounded(lex.select("category", "pattern", "is_prefix", "stem"), MODEL_MAX_ROWS, "lexicon")
+    if minimise:
+        rows = _minimise_rows(rows)
     lens = sorted({len(r["stem"]) for r in rows if r["is_prefix"]})
     table = lexicon.sparkSession.createDataFrame([tuple(r) for r in rows], _COMPILED_SCHEMA)
     return table, lens

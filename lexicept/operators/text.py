@@ -122,7 +122,7 @@ def subword_tokens(df: DataFrame, id_col: str, text_col: str, pieces: DataFrame,
     an Arrow-batched pandas UDF against a size-checked broadcast piece set.
     """
     spark = df.sparkSession
-    vocab = frozenset(r[0] for r in collect_bounded(pieces.select(piece_col), 5_000_000, "piece list"))
+    vocab = frozenset(r[0] for r in collect_bounded(pieces.select(piece_col), 1_000_000, "piece list"))
     bc = spark.sparkContext.broadcast(vocab)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
