@@ -149,13 +149,18 @@ def lexicon_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", te
 
 def lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: list[str], id_col: str = "doc_id",
                         text_col: str = "text", binary: bool = False, pattern: str = TOKEN_PATTERN,
-                        contractions=None, keep: list[str] | None = None) -> DataFrame:
-    """One row per text, one count column per category (0 when absent), lexicon order."""
+                        contractions=None, keep: list[str] | None = None, max_chars: int | None = None,
+                        fill_missing: bool = True) -> DataFrame:
+    """One row per text, one count column per category (0 when absent), lexicon order.
+
+    ``fill_missing=False`` leaves out texts without any hit.
+    """
     keep = keep or []
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    hits = lexicon_hits(docs.select(*ids, text_col), lexicon, ids, text_col, pattern, contractions)
-    base = docs.select(*ids, F.lit(None).cast("string").alias("category"))
-    rows = hits.select(*ids, "category").unionByName(base)
+    hits = lexicon_hits(docs.select(*ids, text_col), lexicon, ids, text_col, pattern, contractions, max_chars)
+    rows = hits.select(*ids, "category")
+    if fill_missing:
+        rows = rows.unionByName(docs.select(*ids, F.lit(None).cast("string").alias("category")))
     aggs = [F.count_if(F.col("category") == F.lit(c)).alias(c) for c in categories]
     wide = rows.groupBy(*ids).agg(*aggs)
     if binary:

@@ -1,8 +1,8 @@
 """Derived test inputs, each written once as a DataFrame and once as SQL.
 
 All of them are computed from the driver-provided tables, so their size
-grows with the scale factor. The SQL text is used by the DuckDB oracle in
-``plans/oracle.py``; keep both forms in step.
+grows with the scale factor. The SQL text is used by the DuckDB oracle SQL of
+the registered queries (``plans/q_*.py``); keep both forms in step.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_row_number
-from ..session import shared_dir
-from ..sources.readers import balanced
 from ..operators.text import TOKEN_PATTERN, tokenize
+from ..session import shared_dir
+from .readers import balanced
 
 # The test lexicon (category, ord, pattern); a trailing '*' marks a prefix.
 LEXICON_ROWS = [
@@ -53,9 +53,9 @@ SENSE_KEYWORD = "that"
 _SPREAD = {"documents", "conversations", "pages", "embeddings"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balanced(df) if name in _SPREAD else df
+    return balanced(df) if spread and name in _SPREAD else df
 
 
 def fx_lexicon(spark: SparkSession) -> DataFrame:
@@ -97,7 +97,7 @@ def fx_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     The modulus is a scalar subquery (evaluated once), not a cross join.
     """
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n_vec = emb.agg(F.count("*")).scalar()
+    n_vec = table(spark, sf_dir, "embeddings", spread=False).agg(F.count("*")).scalar()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = docs.withColumn("vec_id", F.pmod(F.col("doc_id"), n_vec))
     return keyed.join(emb, "vec_id").select("doc_id", "text", "vec_id", "embedding")
