@@ -45,3 +45,21 @@ def collect_bounded(df: DataFrame, bound: int = MODEL_MAX_ROWS, what: str = "tab
     if len(rows) > bound:
         raise TooLargeError(f"{what} has more than {bound} rows; refusing to bring it to the driver")
     return rows
+
+
+def lookup_join(big: DataFrame, table: DataFrame, key: str, salt_cols: list[str], how: str = "inner",
+                bound: int = BROADCAST_MAX_ROWS, buckets: int = 32) -> DataFrame:
+    """Join a large row set to a lookup table on ``key`` without a hot-key bottleneck.
+
+    A table proven to hold at most ``bound`` rows is broadcast. Beyond that
+    the join is salted: every big-side row draws one of ``buckets`` salts from
+    a hash of ``salt_cols`` (deterministic, so retried tasks agree) and the
+    table is replicated once per salt. A key that holds a third of the big
+    side (a very frequent token) is then spread over ``buckets`` reducers
+    instead of one.
+    """
+    if is_small(table, bound):
+        return big.join(F.broadcast(table), key, how)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(buckets)))
+    replicated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return salted.join(replicated, [key, "_salt"], how).drop("_salt")

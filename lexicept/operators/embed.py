@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sizing import maybe_broadcast
+from ..functions.sizing import lookup_join
 from ..functions.vectors import vector_mean
 from .text import TOKEN_PATTERN, tokenize
 
@@ -72,7 +72,7 @@ def encode_tokens(df: DataFrame, word_vectors: DataFrame, id_col: str = "doc_id"
     """(id, pos, token, embedding) for every token that has a static vector."""
     toks = tokenize(df.select(id_col, text_col), id_col, text_col, pattern)
     wv = word_vectors.select(F.col(token_col).alias("token"), F.col(vec_col).alias("embedding"))
-    return toks.join(maybe_broadcast(wv), "token").select(id_col, "pos", "token", "embedding")
+    return lookup_join(toks, wv, "token", [id_col, "pos"]).select(id_col, "pos", "token", "embedding")
 
 
 def mean_pool(token_vectors: DataFrame, id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import BROADCAST_MAX_ROWS, MODEL_MAX_ROWS, collect_bounded, maybe_broadcast
+from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded, lookup_join, maybe_broadcast
 from ..functions.vectors import l2_normalize, vector_sum
 from ..sources.readers import read_lexicon
 from .text import TOKEN_PATTERN, token_array, tokenize
@@ -137,7 +137,7 @@ def word_categories(words: DataFrame, lexicon: DataFrame, word_col: str = "word"
 def category_words(word_cats: DataFrame, word_vectors: DataFrame, token_col: str = "token") -> DataFrame:
     """(category, word) restricted to words that have a vector (left semi join)."""
     vocab = word_vectors.select(F.col(token_col).alias("word"))
-    return word_cats.join(maybe_broadcast(vocab), "word", "left_semi").select("category", "word")
+    return lookup_join(word_cats, vocab, "word", ["word", "category"], "left_semi").select("category", "word")
 
 
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -215,7 +215,8 @@ def soft_lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: Da
     """
     scores, cats = token_category_scores(lexicon, categories, word_vectors, token_col, vec_col)
     toks = tokenize(docs.select(id_col, text_col), id_col, text_col, pattern, contractions=contractions)
-    hits = toks.join(maybe_broadcast(scores, BROADCAST_MAX_ROWS), "token").select(id_col, *cats)
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    hits = lookup_join(toks, scores, "token", [*ids, "pos"]).select(id_col, *cats)
     base = docs.select(id_col, *[F.lit(None).cast("double").alias(c) for c in cats])
     summed = hits.unionByName(base).groupBy(id_col).agg(*[F.sum(c).alias(c) for c in cats])
     return summed.select(id_col, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cats])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import maybe_broadcast
+from ..functions.sizing import lookup_join
 from ..functions.stats import paired_t_test
 from ..functions.vectors import vector_mean
 from .represent import concept_matrix
@@ -31,9 +31,9 @@ def keyword_context_vectors(docs: DataFrame, word_vectors: DataFrame, keyword: s
     start = F.greatest(k - window, F.lit(0))
     ctx = F.slice(toks, start + 1, k + window - start + 1)
     rows = docs.select(id_col, ctx.alias("ctx")).filter(F.col("ctx").isNotNull())
-    ex = rows.select(id_col, F.explode("ctx").alias("token"))
+    ex = rows.select(id_col, F.posexplode("ctx").alias("pos", "token"))
     wv = word_vectors.select(F.col(token_col).alias("token"), F.col(vec_col).alias("v"))
-    return ex.join(maybe_broadcast(wv), "token").groupBy(id_col).agg(vector_mean("v").alias(vec_col))
+    return lookup_join(ex, wv, "token", [id_col, "pos"]).groupBy(id_col).agg(vector_mean("v").alias(vec_col))
 
 
 def sense_word_vectors(senses: DataFrame, word_vectors: DataFrame, token_col: str = "token",

@@ -161,3 +161,14 @@ def test_vector_helpers(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     r = df.select(norm("a").alias("n"), cosine("a", "b").alias("c")).collect()
     assert r[0]["n"] == 5.0 and abs(r[0]["c"] - 1.0) < 1e-12 and r[1]["c"] == 0.0
+
+
+def test_salted_lookup_join_equals_broadcast_join(spark, sf_small):
+    from lexicept.functions.sizing import lookup_join
+
+    toks = tokenize(fx.documents(spark, sf_small), "doc_id", "text")
+    wv = fx.fx_word_vectors(spark, sf_small).select("token", "rank")
+    fast = lookup_join(toks, wv, "token", ["doc_id", "pos"])
+    salted = lookup_join(toks, wv, "token", ["doc_id", "pos"], bound=0, buckets=7)
+    assert salted.count() == fast.count()
+    assert salted.select(*fast.columns).exceptAll(fast).count() == 0
