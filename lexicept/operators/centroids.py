@@ -97,10 +97,10 @@ def kmeans_centroids(points: DataFrame, k: int, seed: int = 230706, iterations:
     which is the loop control; the points stay distributed and persisted.
     """
     spark = points.sparkSession
-    pts = points.select(
+    cached = points.select(
         F.col(category_col).alias("category"), F.col(key_col).alias("key"), as_double(vec_col).alias("vec")
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    pts = pts.withColumn("h", F.struct(stable_hash("key", seed).alias("h"), F.col("key")))
+    pts = cached.withColumn("h", F.struct(stable_hash("key", seed).alias("h"), F.col("key")))
 
     # Start rows: K passes of a partial min_by per category (no window sort of a hot category).
     centers: dict = {}
@@ -126,10 +126,14 @@ def kmeans_centroids(points: DataFrame, k: int, seed: int = 230706, iterations:
         for r in collect_bounded(means, max_centers, "k-means centres"):
             centers[(r["category"], int(r["cluster"]))] = r["c"]
 
-    final = _assign(base, _centers_frame(spark, centers))
-    return final.groupBy("category", F.col("cluster").cast("int").alias("cluster")).agg(
+    final = _assign(base, _centers_frame(spark, centers)).groupBy("category", F.col("cluster").cast("int").alias("cluster")).agg(
         vector_mean("vec").alias("centroid")
     )
+    # the result is C*K centres (bounded like every step before); materialise it and release the points
+    rows = collect_bounded(final, max_centers, "k-means centroids")
+    cached.unpersist()
+    return spark.createDataFrame([(r["category"], int(r["cluster"]), [float(x) for x in r["centroid"]]) for r in rows],
+                                 CENTROID_SCHEMA)
 
 
 def kmeans_objective(points: DataFrame, centroids: DataFrame, category_col: str = "category",
