@@ -238,8 +238,11 @@ def _correlations(spark, sf):
         "embed": concept_matrix(vecs, cent, cats_df),
         "embed_l2": concept_matrix(vecs, cent, cats_df, metric="l2"),
     }
-    scaled = {k: _prefixed(S.row_then_column(t.select("doc_id", *LEX_CATS), LEX_CATS), k, LEX_CATS) for k, t in tables.items()}
-    joined = reduce(lambda a, b: a.join(b, "doc_id", "left"), [docs.select("doc_id")] + list(scaled.values()))
+    # rows standardised per method, all methods side by side, then every column fitted in one aggregate
+    rows = {k: _prefixed(S.row_standardize(t.select("doc_id", *LEX_CATS), LEX_CATS), k, LEX_CATS) for k, t in tables.items()}
+    wide = reduce(lambda a, b: a.join(b, "doc_id", "left"), [docs.select("doc_id")] + list(rows.values()))
+    cols = [f"{k}_{c}" for k in tables for c in LEX_CATS]
+    joined = S.column_standardize(wide, cols)
     hum = [f"hum_{c}" for c in LEX_CATS]
     return joined.select(
         "doc_id", *[F.round(row_pearson(hum, [f"{m}_{c}" for c in LEX_CATS]), 3).alias(f"{m}_corr") for m in METHODS]
