@@ -22,6 +22,7 @@ before the only shuffle.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +215,7 @@ def soft_lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: Da
     text without in-vocabulary tokens scores 0 everywhere.
     """
     scores, cats = token_category_scores(lexicon, categories, word_vectors, token_col, vec_col)
+    scores = scores.persist(StorageLevel.MEMORY_AND_DISK)  # sized, then joined: score the vocabulary once
     toks = tokenize(docs.select(id_col, text_col), id_col, text_col, pattern, contractions=contractions)
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     hits = lookup_join(toks, scores, "token", [*ids, "pos"]).select(id_col, *cats)
