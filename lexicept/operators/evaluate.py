@@ -9,6 +9,8 @@ use Spark ML estimators; the loop over the five folds runs on the driver
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
@@ -23,6 +25,8 @@ from ..functions.ranking import global_row_number
 from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded
 from .scaling import apply_columns, fit_columns
 
+ROWS_PER_FIT_PARTITION = 50_000
+
 # ---------------------------------------------------------------- folds and splits
 
 
@@ -193,9 +197,9 @@ def _estimator(task: str, model: str, max_iter: int = 50):
     if task == "classification":
         if model == "svm":
             return OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol="label_idx", featuresCol="features",
-                             parallelism=4)
+                             parallelism=8)
         return OneVsRest(classifier=LogisticRegression(maxIter=max_iter), labelCol="label_idx", featuresCol="features",
-                         parallelism=4)
+                         parallelism=8)
     return LinearRegression(maxIter=max_iter, labelCol="label_y", featuresCol="features")
 
 
@@ -215,12 +219,16 @@ def fit_model(train: DataFrame, features, label: str, task: str = "classificatio
     else:
         mapping = None
         data = data.withColumn("label_y", F.col(label).cast("double"))
-    # iterative optimisers rescan their input: keep it materialised for the fit only
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    # iterative optimisers rescan their input: keep it materialised for the fit only, and size its
+    # partitions to the data (each optimiser step is one job over every partition)
+    cached = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fitted = Pipeline(stages=[_estimator(task, model, max_iter)]).fit(data)
+        n = cached.count()
+        target = max(1, -(-n // ROWS_PER_FIT_PARTITION))
+        fit_input = cached.coalesce(target) if target < cached.rdd.getNumPartitions() else cached
+        fitted = Pipeline(stages=[_estimator(task, model, max_iter)]).fit(fit_input)
     finally:
-        data.unpersist()
+        cached.unpersist()
     return fitted, mapping
 
 
@@ -260,18 +268,22 @@ def holdout_evaluate(train: DataFrame, test: DataFrame, features, label: str, ta
 
 def cross_validate(df: DataFrame, features, label: str, fold_col: str = "fold", task: str = "classification",
                    model: str = "lr", scale_cols: list[str] | None = None, max_iter: int = 50,
-                   n_folds: int = 5) -> DataFrame:
+                   n_folds: int = 5, parallelism: int = 5) -> DataFrame:
     """Per fold: scaler fitted on the training part, model fitted, test fold scored.
 
     Returns (fold, metric, value); baselines follow the reference (the CV
     majority baseline uses the test fold's own mode).
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)  # scanned once per fold and per fitted scaler
-    parts = []
-    for f in range(n_folds):
+
+    def one_fold(f: int) -> DataFrame:
         tr, te = df.filter(F.col(fold_col) != f), df.filter(F.col(fold_col) == f)
         res = holdout_evaluate(tr, te, features, label, task, model, scale_cols, max_iter)
-        parts.append(res.withColumn(fold_col, F.lit(f)))
+        return res.withColumn(fold_col, F.lit(f))
+
+    # folds are independent fits: submit them concurrently (as CrossValidator's parallelism does)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:
+        parts = list(pool.map(one_fold, range(n_folds)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

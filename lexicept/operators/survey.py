@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Column names of the survey export format.
+RATER_COL = "QProlificID"
+SENTENCE_BATCH_COL = "SentenceBatch"
+CATEGORY_BATCH_COL = "CategoryBatch"
+
 # Answer texts and their ordinal codes.
 ANSWER_CODES = [("Not expressed", 0), ("Potentially expressed", 1), ("Most likely expressed", 2)]
 ANSWER_CODES_SIGNED = [("Not expressed", -1), ("Potentially expressed", 0), ("Most likely expressed", 1)]
@@ -25,8 +30,8 @@ def drop_sparse_columns(df: DataFrame, thresh: int = 4, keep: list[str] | None =
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c in keep or counts[c] >= thresh])
 
 
-def batch_filter(df: DataFrame, sentence_batch, category_batch, sb_col: str = "SentenceBatch",
-                 cb_col: str = "CategoryBatch") -> DataFrame:
+def batch_filter(df: DataFrame, sentence_batch, category_batch, sb_col: str = SENTENCE_BATCH_COL,
+                 cb_col: str = CATEGORY_BATCH_COL) -> DataFrame:
     """Rows of one (sentence batch, category batch), compared as strings."""
     return df.filter((F.col(sb_col).cast("string") == str(sentence_batch)) & (F.col(cb_col).cast("string") == str(category_batch)))
 
@@ -49,7 +54,7 @@ def recode(answer, codes=ANSWER_CODES) -> Column:
     return expr.otherwise(F.lit(None)).cast("long")
 
 
-def survey_to_long(wide: DataFrame, rater_col: str = "QProlificID", codes=ANSWER_CODES) -> DataFrame:
+def survey_to_long(wide: DataFrame, rater_col: str = RATER_COL, codes=ANSWER_CODES) -> DataFrame:
     """(Rater, Object, Score) over the question columns; null scores dropped."""
     qcols = question_columns(wide.columns)
     if not qcols:  # nothing answered in this selection: empty result, same schema
@@ -59,14 +64,14 @@ def survey_to_long(wide: DataFrame, rater_col: str = "QProlificID", codes=ANSWER
     return long.select(F.col(rater_col).alias("Rater"), "Object", recode("answer", codes).alias("Score")).na.drop(subset=["Score"])
 
 
-def attention_score(wide: DataFrame, rater_col: str = "QProlificID") -> DataFrame:
+def attention_score(wide: DataFrame, rater_col: str = RATER_COL) -> DataFrame:
     """Per respondent, the number of attention items answered 'Not expressed'."""
     acols = attention_columns(wide.columns)
     long = wide.select(rater_col, *[F.col(f"`{c}`") for c in acols]).unpivot([rater_col], acols, "item", "answer")
     return long.groupBy(rater_col).agg(F.count_if(F.col("answer") == "Not expressed").alias("attention"))
 
 
-def response_sum(wide: DataFrame, rater_col: str = "QProlificID", marker: str = "_QS1C1") -> DataFrame:
+def response_sum(wide: DataFrame, rater_col: str = RATER_COL, marker: str = "_QS1C1") -> DataFrame:
     """Per respondent, the sum of -1/0/1 codes over question columns containing ``marker``."""
     cols = [c for c in wide.columns if marker in c]
     long = wide.select(rater_col, *[F.col(f"`{c}`") for c in cols]).unpivot([rater_col], cols, "item", "answer")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
@@ -222,15 +224,19 @@ def q_experiment_grid(spark, sf):
     pts = fx.fx_centroid_points(spark, sf)
     cats = fx.fx_point_categories(spark, sf)
     split = V.random_split(emb, "vec_id", SPLIT_SEED)
-    parts = []  # one held-out fit per configuration; each representation is persisted while it is fitted
-    for k in (1, 2):
-        cent = mean_centroids(pts) if k == 1 else kmeans_centroids(pts, k=k, seed=7, iterations=2, key_col="key")
-        for metric in ("cosine", "l2"):
-            m = concept_matrix(split, cent, cats, "vec_id", metric=metric, keep=["label", "split"]).persist(
-                StorageLevel.MEMORY_AND_DISK)
-            tr, te = m.filter(F.col("split") == "train"), m.filter(F.col("split") == "validation")
-            res = V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", "classification", "lr", POINT_CATEGORIES, ML_ITERS)
-            parts.append(res.withColumn("k", F.lit(k)).withColumn("distance", F.lit(metric)))
+    models = {1: mean_centroids(pts), 2: kmeans_centroids(pts, k=2, seed=7, iterations=2, key_col="key")}
+
+    def one_config(cfg):
+        k, metric = cfg
+        m = concept_matrix(split, models[k], cats, "vec_id", metric=metric, keep=["label", "split"]).persist(
+            StorageLevel.MEMORY_AND_DISK)
+        tr, te = m.filter(F.col("split") == "train"), m.filter(F.col("split") == "validation")
+        res = V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", "classification", "lr", POINT_CATEGORIES, ML_ITERS)
+        return res.withColumn("k", F.lit(k)).withColumn("distance", F.lit(metric))
+
+    # one held-out fit per configuration; the configurations are independent and fitted concurrently
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        parts = list(pool.map(one_config, [(k, m) for k in (1, 2) for m in ("cosine", "l2")]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -22,7 +22,7 @@ from .q_lexicon import EMBED_BASE_SQL, EXPANDED_TOKENS, LEX_CATS, SOFT_RAW_SQL,
 from .registry import query
 
 W = fx.with_ctes
-ID_COLS = ["QProlificID", "SentenceBatch", "CategoryBatch"]
+ID_COLS = [U.RATER_COL, U.SENTENCE_BATCH_COL, U.CATEGORY_BATCH_COL]
 BATCH = ("6", "user")
 SURVEY = W(fx.LEXICON_SQL, fx.SURVEY_ANSWERS_SQL)
 IN_BATCH = f"SentenceBatch = '{BATCH[0]}' AND CategoryBatch = '{BATCH[1]}'"
