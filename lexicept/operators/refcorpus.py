@@ -17,26 +17,33 @@ from pyspark.sql import functions as F
 
 from .centroids import mean_centroids
 from ..sources.readers import read_lexicon
-from .lexicon import lexicon_counts_wide, lexicon_hits
-from .text import TOKEN_PATTERN
+from .lexicon import lexicon_counts_wide, lexicon_hits, match_tokens
+from .text import TOKEN_PATTERN, tokenize
 
 
 def reference_pairs(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    max_chars: int | None = None, pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """(id, category, word, word_idx, sentence): one row per (token position, category) hit.
-
-    ``max_chars`` reproduces an encoder input window (the reference uses 512);
-    the default reads whole texts.
+                    max_chars: int | None = None, pattern: str = TOKEN_PATTERN, with_text: bool = False) -> DataFrame:
+    """(id, category, word, word_idx, sentence_key): one row per (token position, category) hit.
+
+    ``sentence_key`` is a SHA-256 digest of the text, computed once per text
+    and carried through tokenising, so a hit row holds 32 bytes instead of
+    the sentence and no join back to the texts is needed. ``with_text=True``
+    attaches the sentence by key. ``max_chars`` reproduces an encoder input
+    window (the reference uses 512); the default reads whole texts.
     """
-    hits = lexicon_hits(corpus.select(id_col, text_col), lexicon, id_col, text_col, pattern, max_chars=max_chars)
-    text = corpus.select(id_col, F.col(text_col).alias("sentence"))
-    return hits.join(text, id_col).select(
-        id_col, "category", F.col("token").alias("word"), F.col("pos").alias("word_idx"), "sentence"
+    keyed = corpus.select(id_col, text_col).withColumn("sentence_key", F.sha2(F.col(text_col), 256))
+    toks = tokenize(keyed, id_col, text_col, pattern, max_chars=max_chars, keep=["sentence_key"])
+    pairs = match_tokens(toks, lexicon).select(
+        id_col, "category", F.col("token").alias("word"), F.col("pos").alias("word_idx"), "sentence_key"
     )
+    if with_text:
+        pairs = pairs.join(keyed.select(id_col, F.col(text_col).alias("sentence")), id_col)
+    return pairs
 
 
 def dedupe_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.dropDuplicates(["category", "word", "word_idx", "sentence"])
+    """Distinct (category, word, word_idx, sentence), compared through the sentence key."""
+    return pairs.dropDuplicates(["category", "word", "word_idx", "sentence_key"])
 
 
 def pair_weights(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",

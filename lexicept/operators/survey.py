@@ -109,13 +109,23 @@ def rating_matrix(ratings: DataFrame, categories: list[str], object_col: str = "
     return ratings.groupBy(object_col).pivot("category", categories).agg(F.first("rating"))
 
 
+def _digest(text_col: str) -> Column:
+    return F.sha2(F.col(text_col), 256)
+
+
 def text_overlap(a: DataFrame, b: DataFrame, text_col: str, key_col: str) -> DataFrame:
-    """Texts of ``a`` that also occur in ``b``, once each, at their first key in ``a``."""
-    hit = a.join(b.select(text_col).distinct(), text_col, "left_semi")
-    return hit.groupBy(text_col).agg(F.min(key_col).alias(key_col))
+    """Texts of ``a`` that also occur in ``b``, once each, at their first key in ``a``.
+
+    Texts are compared through a SHA-256 digest: ``b`` contributes 32-byte keys
+    (copies collapse map-side) and only matched rows of ``a`` carry their text
+    through the final aggregation.
+    """
+    keys = b.select(_digest(text_col).alias("_tk")).distinct()
+    hit = a.withColumn("_tk", _digest(text_col)).join(keys, "_tk", "left_semi")
+    return hit.groupBy("_tk").agg(F.any_value(text_col).alias(text_col), F.min(key_col).alias(key_col)).drop("_tk")
 
 
 def first_match(texts: DataFrame, b: DataFrame, text_col: str, key_col: str, out_col: str = "match_key") -> DataFrame:
-    """For each text, the smallest key of a row of ``b`` carrying it."""
-    first = b.groupBy(text_col).agg(F.min(key_col).alias(out_col))
-    return texts.join(first, text_col)
+    """For each text, the smallest key of a row of ``b`` carrying it (digest-keyed, partial aggregate)."""
+    first = b.groupBy(_digest(text_col).alias("_tk")).agg(F.min(key_col).alias(out_col))
+    return texts.withColumn("_tk", _digest(text_col)).join(first, "_tk").drop("_tk")

@@ -221,7 +221,7 @@ _HITS_SQL = W(LEX, fx.TOKENS_SQL, f"hits AS ({_match_sql('fx_tokens')})")
 
 @query("reference_pairs", _HITS_SQL + "SELECT doc_id, category, token AS word, pos AS word_idx FROM hits")
 def q_reference_pairs(spark, sf):
-    return R.reference_pairs(_docs(spark, sf), _lex(spark)).drop("sentence")
+    return R.reference_pairs(_docs(spark, sf), _lex(spark)).drop("sentence_key")
 
 
 _DEDUPE_SQL = (
@@ -232,11 +232,11 @@ _DEDUPE_SQL = (
 
 @query(
     "dedupe_pairs",
-    _HITS_SQL.rstrip("\n") + ",\n" + _DEDUPE_SQL + "\nSELECT category, word, word_idx, md5(sentence) AS sentence_md5 FROM dd",
+    _HITS_SQL.rstrip("\n") + ",\n" + _DEDUPE_SQL + "\nSELECT category, word, word_idx, sha256(sentence) AS sentence_key FROM dd",
 )
 def q_dedupe_pairs(spark, sf):
     pairs = R.dedupe_pairs(R.reference_pairs(_docs(spark, sf), _lex(spark)))
-    return pairs.select("category", "word", "word_idx", F.md5("sentence").alias("sentence_md5"))
+    return pairs.select("category", "word", "word_idx", "sentence_key")
 
 
 _ATTACH_SQL = (
