@@ -14,7 +14,7 @@ broadcast on its own and the long results are unioned.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,50 +63,63 @@ def _model_blocks(centroids: DataFrame, cats: list[str], per_cluster: bool):
     return out
 
 
+def _similarities(x: np.ndarray, mat: np.ndarray, metric: str) -> np.ndarray:
+    """(n, d) x (m, d) -> (n, m) similarity matrix."""
+    if metric == "cosine":
+        xn = np.linalg.norm(x, axis=1)
+        cn = np.linalg.norm(mat, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = (x @ mat.T) / np.outer(xn, cn)
+        s[~np.isfinite(s)] = 0.0
+        return s
+    if metric == "l2":
+        d2 = (x * x).sum(1)[:, None] + (mat * mat).sum(1)[None, :] - 2.0 * (x @ mat.T)
+        return np.exp(-np.sqrt(np.clip(d2, 0.0, None)) / x.shape[1])
+    if metric == "l1":
+        s = np.empty((x.shape[0], mat.shape[0]))
+        for j in range(mat.shape[0]):
+            s[:, j] = np.abs(x - mat[j]).sum(1)
+        return np.exp(-s / x.shape[1])
+    if metric == "dot":
+        return x @ mat.T
+    raise ValueError(metric)
+
+
+def _reduce(s: np.ndarray, col_of_row: np.ndarray, n_out: int, reduce: str) -> np.ndarray:
+    """Collapse centroid columns to output columns: max (or mean) over a category's clusters; none -> 0."""
+    if reduce == "mean":
+        sums = np.zeros((s.shape[0], n_out))
+        np.add.at(sums.T, col_of_row, s.T)
+        cnt = np.bincount(col_of_row, minlength=n_out).astype(np.float64)
+        return np.where(cnt > 0, sums / np.maximum(cnt, 1.0), 0.0)
+    best = np.full((s.shape[0], n_out), -np.inf)
+    for j, c in enumerate(col_of_row):
+        np.maximum(best[:, c], s[:, j], out=best[:, c])
+    best[np.isneginf(best)] = 0.0
+    return best
+
+
 def _scorer(bc, n_out: int, metric: str, reduce: str = "max"):
-    """Arrow-batched scorer: vectors -> array of n_out similarities (max or mean over clusters)."""
+    """Arrow-native scorer: a batch of vectors -> array of n_out scores per row.
+
+    The list column's flat value buffer is viewed as an (n, d) matrix (no
+    per-row conversion), scored with one matrix product against the
+    broadcast model, and returned as one flat buffer plus offsets. A missing
+    vector scores 0 everywhere, like a missing category.
+    """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(vecs: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(vecs: pa.Array) -> pa.Array:
         mat, col_of_row = bc.value
         n = len(vecs)
-        valid = vecs.notna().to_numpy()
         out = np.zeros((n, n_out), dtype=np.float64)
+        valid = np.asarray(vecs.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
         if valid.any() and len(col_of_row):
-            x = np.vstack([np.asarray(v, dtype=np.float64) for v in vecs[valid]])
-            if metric == "cosine":
-                xn = np.linalg.norm(x, axis=1)
-                cn = np.linalg.norm(mat, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = (x @ mat.T) / np.outer(xn, cn)
-                s[~np.isfinite(s)] = 0.0
-            elif metric == "l2":
-                d2 = (x * x).sum(1)[:, None] + (mat * mat).sum(1)[None, :] - 2.0 * (x @ mat.T)
-                s = np.exp(-np.sqrt(np.clip(d2, 0.0, None)) / x.shape[1])
-            elif metric == "l1":
-                s = np.empty((x.shape[0], mat.shape[0]))
-                for j in range(mat.shape[0]):
-                    s[:, j] = np.abs(x - mat[j]).sum(1)
-                s = np.exp(-s / x.shape[1])
-            elif metric == "dot":
-                s = x @ mat.T
-            else:
-                raise ValueError(metric)
-            if reduce == "mean":
-                sums = np.zeros((s.shape[0], n_out))
-                cnt = np.bincount(col_of_row, minlength=n_out).astype(np.float64)
-                for j, c in enumerate(col_of_row):
-                    sums[:, c] += s[:, j]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    best = np.where(cnt > 0, sums / np.maximum(cnt, 1.0), 0.0)
-            else:
-                best = np.full((s.shape[0], n_out), -np.inf)
-                for j, c in enumerate(col_of_row):
-                    np.maximum(best[:, c], s[:, j], out=best[:, c])
-                best[np.isneginf(best)] = 0.0
-            out[valid] = best
-        # a missing vector scores 0 everywhere, like a missing category
-        return pd.Series(list(out))
+            flat = np.asarray(vecs.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+            x = flat.reshape(int(valid.sum()), mat.shape[1])
+            out[valid] = _reduce(_similarities(x, mat, metric), col_of_row, n_out, reduce)
+        offsets = pa.array(np.arange(0, (n + 1) * n_out, n_out, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel(), type=pa.float64()))
 
     return score
 
