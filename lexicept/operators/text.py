@@ -125,28 +125,34 @@ def subword_tokens(df: DataFrame, id_col: str, text_col: str, pieces: DataFrame,
     vocab = frozenset(r[0] for r in collect_bounded(pieces.select(piece_col), 1_000_000, "piece list"))
     bc = spark.sparkContext.broadcast(vocab)
 
+    def split_one(w: str, v: frozenset) -> list:
+        start, parts = 0, []
+        while start < len(w):
+            end = len(w)
+            piece = None
+            while end > start:
+                cand = w[start:end] if start == 0 else "##" + w[start:end]
+                if cand in v:
+                    piece = cand
+                    break
+                end -= 1
+            if piece is None:
+                return [unknown]
+            parts.append(piece)
+            start = end
+        return parts
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split_words(words: pd.Series) -> pd.Series:
         v = bc.value
+        memo: dict = {}  # one split per distinct word of the batch: work follows the vocabulary
         out = []
         for word_list in words:
             res = []
             for w in (word_list if word_list is not None else []):
-                start, parts = 0, []
-                while start < len(w):
-                    end = len(w)
-                    piece = None
-                    while end > start:
-                        cand = w[start:end] if start == 0 else "##" + w[start:end]
-                        if cand in v:
-                            piece = cand
-                            break
-                        end -= 1
-                    if piece is None:
-                        parts = [unknown]
-                        break
-                    parts.append(piece)
-                    start = end
+                parts = memo.get(w)
+                if parts is None:
+                    parts = memo[w] = split_one(w, v)
                 res.extend(parts)
             out.append(res)
         return pd.Series(out)

@@ -99,7 +99,8 @@ def q_first_keyword_token(spark, sf):
 def q_subword_tokens(spark, sf):
     docs = _docs(spark, sf)
     words = fx.fx_word_vectors(spark, sf).select(F.col("token").alias("piece"))
-    letters = docs.select(F.explode(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]", ""), "")).alias("ch")).distinct()
+    # the alphabet comes from the distinct vocabulary, not from every character of every text
+    letters = corpus_vocab(docs).select(F.explode(F.split("word", "")).alias("ch")).distinct()
     pieces = words.unionByName(letters.select(F.col("ch").alias("piece"))).unionByName(
         letters.select(F.concat(F.lit("##"), "ch").alias("piece"))
     )

@@ -101,3 +101,15 @@ def test_survey_drop_sparse_and_attention(spark):
     assert att == {"r1": 0, "r2": 1}
     long = {(r["Rater"], r["Object"]): r["Score"] for r in U.survey_to_long(kept).collect()}
     assert long == {("r1", "1_QS1C1_1"): 0, ("r2", "1_QS1C1_1"): 1}
+
+
+def test_subword_greedy_longest_match(spark):
+    from lexicept.operators.text import subword_tokens
+
+    docs = spark.createDataFrame([(1, "Unaffable playing"), (2, "xyz play")], "doc_id long, text string")
+    pieces = spark.createDataFrame([(p,) for p in ["un", "##aff", "##able", "play", "##ing", "p", "##lay"]], "piece string")
+    got = {}
+    for r in subword_tokens(docs, "doc_id", "text", pieces).collect():
+        got.setdefault(r["doc_id"], []).append((r["pos"], r["token"]))
+    assert [t for _, t in sorted(got[1])] == ["un", "##aff", "##able", "play", "##ing"]
+    assert [t for _, t in sorted(got[2])] == ["[UNK]", "play"]
