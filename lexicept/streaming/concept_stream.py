@@ -36,10 +36,15 @@ def stream_concept_matrix(texts: DataFrame, vectors: DataFrame, centroids: DataF
     return concept_matrix(joined.select(id_col, vec_col), centroids, categories, id_col, vec_col, metric)
 
 
-def run_available(stream: DataFrame, name: str, timeout_s: int = 600) -> str:
-    """Process everything available now into a parquet table in the shared folder; returns its path."""
+def run_available(stream: DataFrame, name: str, timeout_s: int = 600, base: str | None = None) -> str:
+    """Process everything available now into a parquet table; returns its path.
+
+    ``base`` (output + checkpoint) defaults to a fresh folder in the shared
+    checkpoint folder. Passing the same ``base`` again resumes: files already
+    committed by an earlier run (or by a run that died midway) are not read twice.
+    """
     spark = stream.sparkSession
-    base = shared_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
+    base = base or shared_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
     q = (
         stream.writeStream.format("parquet")
         .option("path", base + "/data")
