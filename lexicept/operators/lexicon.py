@@ -32,6 +32,9 @@ from ..sources.readers import read_lexicon
 from .text import TOKEN_PATTERN, token_array, tokenize
 
 
+CONDITIONAL_COUNT_MAX_CATEGORIES = 64
+
+
 def category_subset(lexicon: DataFrame, min_ord: int = 21, categories: list[str] | None = None) -> DataFrame:
     """Keep categories from position ``min_ord`` on (the reference drops the first 21), or a given list."""
     if categories is not None:
@@ -162,8 +165,13 @@ def lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: list[st
     rows = hits.select(*ids, "category")
     if fill_missing:
         rows = rows.unionByName(docs.select(*ids, F.lit(None).cast("string").alias("category")))
-    aggs = [F.count_if(F.col("category") == F.lit(c)).alias(c) for c in categories]
-    wide = rows.groupBy(*ids).agg(*aggs)
+    if len(categories) <= CONDITIONAL_COUNT_MAX_CATEGORIES:
+        # one aggregate keyed by the text, one conditional count per category: a single shuffle
+        wide = rows.groupBy(*ids).agg(*[F.count_if(F.col("category") == F.lit(c)).alias(c) for c in categories])
+    else:
+        # wide lexicons: a fixed-list pivot keeps one array buffer per text instead of C fields
+        # (C fields beyond spark.sql.codegen.maxFields would switch whole-stage codegen off)
+        wide = rows.groupBy(*ids).pivot("category", categories).count().fillna(0, subset=categories)
     if binary:
         wide = wide.select(*ids, *[(F.col(c) > 0).cast("long").alias(c) for c in categories])
     if keep:

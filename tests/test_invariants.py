@@ -172,3 +172,13 @@ def test_salted_lookup_join_equals_broadcast_join(spark, sf_small):
     salted = lookup_join(toks, wv, "token", ["doc_id", "pos"], bound=0, buckets=7)
     assert salted.count() == fast.count()
     assert salted.select(*fast.columns).exceptAll(fast).count() == 0
+
+
+def test_wide_lexicon_pivot_path_equals_conditional_counts(spark, sf_small, monkeypatch):
+    docs = fx.documents(spark, sf_small)
+    lex = fx.fx_lexicon(spark)
+    a = L.lexicon_counts_wide(docs, lex, CATS5)
+    monkeypatch.setattr(L, "CONDITIONAL_COUNT_MAX_CATEGORIES", 2)
+    b = L.lexicon_counts_wide(docs, lex, CATS5)
+    assert a.count() == b.count()
+    assert a.select("doc_id", *CATS5).exceptAll(b.select("doc_id", *CATS5)).count() == 0
