@@ -223,13 +223,18 @@ def soft_lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: Da
     text without in-vocabulary tokens scores 0 everywhere.
     """
     scores, cats = token_category_scores(lexicon, categories, word_vectors, token_col, vec_col)
-    scores = scores.persist(StorageLevel.MEMORY_AND_DISK)  # sized, then joined: score the vocabulary once
     toks = tokenize(docs.select(id_col, text_col), id_col, text_col, pattern, contractions=contractions)
-    ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    hits = lookup_join(toks, scores, "token", [*ids, "pos"]).select(id_col, *cats)
-    base = docs.select(id_col, *[F.lit(None).cast("double").alias(c) for c in cats])
-    summed = hits.unionByName(base).groupBy(id_col).agg(*[F.sum(c).alias(c) for c in cats])
-    return summed.select(id_col, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cats])
+    if len(cats) <= CONDITIONAL_COUNT_MAX_CATEGORIES:
+        scores = scores.persist(StorageLevel.MEMORY_AND_DISK)  # sized, then joined: score the vocabulary once
+        hits = lookup_join(toks, scores, "token", [id_col, "pos"]).select(id_col, *cats)
+        base = docs.select(id_col, *[F.lit(None).cast("double").alias(c) for c in cats])
+        summed = hits.unionByName(base).groupBy(id_col).agg(*[F.sum(c).alias(c) for c in cats])
+        return summed.select(id_col, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cats])
+    # wide lexicons: each token carries its C scores as one vector, summed per text in one buffer
+    vec = scores.select("token", F.array(*[F.col(c) for c in cats]).alias("s")).persist(StorageLevel.MEMORY_AND_DISK)
+    per_text = lookup_join(toks, vec, "token", [id_col, "pos"]).groupBy(id_col).agg(vector_sum("s").alias("s"))
+    filled = docs.select(id_col).join(per_text, id_col, "left")
+    return filled.select(id_col, *[F.coalesce(F.col("s")[i], F.lit(0.0)).alias(c) for i, c in enumerate(cats)])
 
 
 def soft_lexicon_counts(docs: DataFrame, lexicon: DataFrame, categories: DataFrame, word_vectors: DataFrame,

@@ -182,3 +182,13 @@ def test_wide_lexicon_pivot_path_equals_conditional_counts(spark, sf_small, monk
     b = L.lexicon_counts_wide(docs, lex, CATS5)
     assert a.count() == b.count()
     assert a.select("doc_id", *CATS5).exceptAll(b.select("doc_id", *CATS5)).count() == 0
+
+
+def test_wide_lexicon_soft_vector_path_equals_column_sums(spark, sf_small, monkeypatch):
+    docs = fx.documents(spark, sf_small)
+    lex, cats, wv = fx.fx_lexicon(spark), fx.fx_categories(spark), fx.fx_word_vectors(spark, sf_small)
+    a = L.soft_lexicon_counts_wide(docs, lex, cats, wv).toPandas().set_index("doc_id").sort_index()
+    monkeypatch.setattr(L, "CONDITIONAL_COUNT_MAX_CATEGORIES", 2)
+    b = L.soft_lexicon_counts_wide(docs, lex, cats, wv).toPandas().set_index("doc_id").sort_index()
+    assert a.shape == b.shape
+    assert float((a[CATS5] - b[CATS5]).abs().max().max()) < 1e-9
