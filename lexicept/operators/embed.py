@@ -92,7 +92,8 @@ def encode_distinct(df: DataFrame, encode: Callable[[DataFrame], DataFrame], id_
     keyed = df.select(id_col, text_col).withColumn("_tk", F.sha2(F.col(text_col), 256))
     distinct = keyed.select("_tk", text_col).na.drop().dropDuplicates(["_tk"])
     vecs = encode(distinct).select("_tk", vec_col)
-    return keyed.join(vecs, "_tk", "left").drop("_tk")
+    # a text repeated in many rows is a hot key: broadcast when proven small, else salted by row id
+    return lookup_join(keyed, vecs, "_tk", [id_col], how="left").drop("_tk")
 
 
 def static_text_encoder(word_vectors: DataFrame, pattern: str = TOKEN_PATTERN, text_col: str = "text",

@@ -121,8 +121,11 @@ def text_overlap(a: DataFrame, b: DataFrame, text_col: str, key_col: str) -> Dat
     through the final aggregation.
     """
     keys = b.select(_digest(text_col).alias("_tk")).distinct()
-    hit = a.withColumn("_tk", _digest(text_col)).join(keys, "_tk", "left_semi")
-    return hit.groupBy("_tk").agg(F.any_value(text_col).alias(text_col), F.min(key_col).alias(key_col)).drop("_tk")
+    # pre-aggregate a per text first (copies fold map-side), so both join sides hold each key once
+    firsts = a.groupBy(_digest(text_col).alias("_tk")).agg(
+        F.any_value(text_col).alias(text_col), F.min(key_col).alias(key_col)
+    )
+    return firsts.join(keys, "_tk", "left_semi").drop("_tk")
 
 
 def first_match(texts: DataFrame, b: DataFrame, text_col: str, key_col: str, out_col: str = "match_key") -> DataFrame:
