@@ -49,3 +49,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table_path(spark: SparkSession, name: str) -> str:
     return shared_dir(spark).rstrip("/") + "/tables/" + name
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lexicept`` importable on every executor (``SparkContext.addPyFile``).
+
+    Python UDFs defined in this package are unpickled on executors by module
+    name, so the package has to travel with the job, as ``--py-files`` would do.
+    The zip is built once per SparkContext in the shared folder.
+    """
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    target = shared_dir(spark).rstrip("/")
+    if target.startswith("file:"):
+        target = target[len("file:"):]
+    os.makedirs(target, exist_ok=True)
+    path = os.path.join(target, f"lexicept-{os.getpid()}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for f in pkg.rglob("*.py"):
+            zf.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

@@ -15,12 +15,13 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from lexicept.session import local_session
+    from lexicept.session import local_session, ship_package
 
     s = local_session("4", shuffle_partitions=8, app="lexicept-tests")
     # tests only: no cluster checkpoint folder is configured, so use a scratch one
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-ckpt-"))
+    ship_package(s)
     yield s
     s.stop()
 
