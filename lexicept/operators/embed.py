@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,6 +105,3 @@ def static_text_encoder(word_vectors: DataFrame, pattern: str = TOKEN_PATTERN, t
 
     return encode
 
-
-def to_pandas_vectors(s: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in s])

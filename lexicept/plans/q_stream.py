@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators.refcorpus import reference_centroids
 from ..operators.represent import attach_targets, concept_matrix

@@ -192,3 +192,21 @@ def test_wide_lexicon_soft_vector_path_equals_column_sums(spark, sf_small, monke
     b = L.soft_lexicon_counts_wide(docs, lex, cats, wv).toPandas().set_index("doc_id").sort_index()
     assert a.shape == b.shape
     assert float((a[CATS5] - b[CATS5]).abs().max().max()) < 1e-9
+
+
+def test_long_form_variants_match_wide(spark):
+    from lexicept.functions.stats import pearson_agg, row_pearson
+
+    wide = spark.createDataFrame([(1, 1.0, 2.0, 4.0), (2, 3.0, 3.0, 0.0), (3, 5.0, 1.0, 2.0)], "doc_id long, a double, b double, c double")
+    cols = ["a", "b", "c"]
+    long = wide.unpivot(["doc_id"], cols, "category", "v")
+    rw = {r["doc_id"]: r for r in S.row_standardize(wide, cols).collect()}
+    for r in S.row_standardize_long(long, "doc_id", "v", "z").collect():
+        assert abs(r["z"] - rw[r["doc_id"]][r["category"]]) < 1e-12
+    fitted = {r["category"]: (r["mean"], r["std"]) for r in S.fit_columns_long(long, "category", "v").collect()}
+    assert all(abs(fitted[c][0] - m) < 1e-12 and abs(fitted[c][1] - s) < 1e-12 for c, (m, s) in S.fit_columns(wide, cols).items())
+    pairs = spark.createDataFrame([(1.0, 2.0), (2.0, 4.5), (3.0, 5.0), (4.0, 9.0)], "x double, y double")
+    r_agg = pairs.agg(pearson_agg("x", "y")).first()[0]
+    one_row = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 2.0, 4.5, 5.0, 9.0)], "x1 double, x2 double, x3 double, x4 double, y1 double, y2 double, y3 double, y4 double")
+    r_row = one_row.select(row_pearson(["x1", "x2", "x3", "x4"], ["y1", "y2", "y3", "y4"])).first()[0]
+    assert abs(r_agg - r_row) < 1e-12 and abs(r_agg - float(np.corrcoef([1, 2, 3, 4], [2, 4.5, 5, 9])[0, 1])) < 1e-12
