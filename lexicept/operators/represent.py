@@ -151,7 +151,15 @@ def concept_similarity(docs: DataFrame, centroids: DataFrame, categories: DataFr
     + ``zero_fill``).
     """
     parts = []
-    for scored, names in concept_scores(docs.select(id_col, vec_col), centroids, categories, vec_col, metric, per_cluster):
+    blocks = concept_scores(docs.select(id_col, vec_col), centroids, categories, vec_col, metric, per_cluster)
+    if len(blocks) > 1 and not per_cluster:
+        # categories without any centroid belong to no block: they score 0 (zero fill)
+        covered = {c for _, names in blocks for c, _ in names}
+        missing = [c for c in ordered_categories(categories) if c not in covered]
+        if missing:
+            parts.append(docs.select(id_col, F.explode(F.array(*[F.lit(c) for c in missing])).alias("category"),
+                                     F.lit(0.0).alias(value_col)))
+    for scored, names in blocks:
         name_arr = F.array(*[F.lit(c) for c, _ in names])
         ex = scored.select(id_col, F.posexplode("scores").alias("i", value_col))
         cols = [F.col(id_col), F.element_at(name_arr, F.col("i") + 1).alias("category")]

@@ -210,3 +210,23 @@ def test_long_form_variants_match_wide(spark):
     one_row = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 2.0, 4.5, 5.0, 9.0)], "x1 double, x2 double, x3 double, x4 double, y1 double, y2 double, y3 double, y4 double")
     r_row = one_row.select(row_pearson(["x1", "x2", "x3", "x4"], ["y1", "y2", "y3", "y4"])).first()[0]
     assert abs(r_agg - r_row) < 1e-12 and abs(r_agg - float(np.corrcoef([1, 2, 3, 4], [2, 4.5, 5, 9])[0, 1])) < 1e-12
+
+
+def test_blocked_model_scoring_equals_single_block(spark, sf_small, monkeypatch):
+    from lexicept.operators import represent as RP
+
+    pts = _points(spark, sf_small)
+    emb = fx.table(spark, sf_small, "embeddings").select("vec_id", "embedding")
+    cats = fx.fx_point_categories(spark, sf_small)
+    cent = kmeans_centroids(pts, 2, seed=5, iterations=1, key_col="key")
+    names = ["vec_id"] + [f"c{i}" for i in range(10)] + ["c_empty"]
+    one = RP.concept_matrix(emb, cent, cats, "vec_id").select(*names).toPandas().set_index("vec_id").sort_index()
+    long_one = RP.concept_similarity(emb, cent, cats, "vec_id").toPandas()
+    monkeypatch.setattr(RP, "MAX_MODEL_CELLS", 64 * 3)  # at most three centroids per broadcast block
+    many = RP.concept_matrix(emb, cent, cats, "vec_id").select(*names).toPandas().set_index("vec_id").sort_index()
+    long_many = RP.concept_similarity(emb, cent, cats, "vec_id").toPandas()
+    assert float((one - many).abs().max().max()) < 1e-12
+    key = ["vec_id", "category"]
+    m = long_one.merge(long_many, on=key, how="outer", suffixes=("_a", "_b"))
+    assert len(long_many) == len(long_one) == len(m)
+    assert float((m["similarity_a"] - m["similarity_b"]).abs().max()) < 1e-12
