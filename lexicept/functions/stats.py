@@ -127,6 +127,35 @@ def pearson_agg(x: str, y: str) -> Column:
     return F.when(den == 0, F.lit(None).cast("double")).otherwise(cov / den)
 
 
+MAP_MAX_GROUPS = 1000
+
+
+def _with_group_k(per_obj: DataFrame, k_by: DataFrame, g: list[str]) -> DataFrame:
+    """Attach each group's rater count to its objects.
+
+    The per-group table is a fitted parameter of a few rows (one per batch):
+    it is collected (bounded) and applied as a literal map, so objects are not
+    shuffled to meet it and a batch holding a third of all objects costs
+    nothing extra. Very many groups fall back to a join (AQE broadcasts it
+    from its measured size).
+    """
+    if not g:
+        return per_obj.withColumn("k", k_by.select("k").scalar())
+    rows = k_by.limit(MAP_MAX_GROUPS + 1).collect()
+    if len(rows) > MAP_MAX_GROUPS:
+        return per_obj.join(k_by, g)
+    types = {c: per_obj.schema[c].dataType for c in g}
+
+    def key_of(r):
+        if len(g) == 1:
+            return F.lit(r[g[0]]).cast(types[g[0]])
+        return F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in g])
+
+    kmap = F.create_map(*[x for r in rows for x in (key_of(r), F.lit(int(r["k"])))])
+    key = F.col(g[0]) if len(g) == 1 else F.struct(*[F.col(c) for c in g])
+    return per_obj.withColumn("k", F.element_at(kmap, key))
+
+
 def icc_average(long: DataFrame, object_col: str = "object", rater_col: str = "rater", score_col: str = "score",
                 group_cols: list[str] | None = None) -> DataFrame:
     """Two-way ICC, absolute agreement, average-rater unit: (MSR - MSE) / (MSR + (MSC - MSE) / n).
@@ -144,9 +173,7 @@ def icc_average(long: DataFrame, object_col: str = "object", rater_col: str = "r
     per_obj = x.groupBy(*g, object_col).agg(
         F.count("*").alias("m"), F.sum("x").alias("R"), F.sum(F.col("x") * F.col("x")).alias("Q")
     )
-    complete = (per_obj.join(k_by, g) if g else per_obj.withColumn("k", k_by.select("k").scalar())).filter(
-        F.col("m") == F.col("k")
-    )
+    complete = _with_group_k(per_obj, k_by, g).filter(F.col("m") == F.col("k"))
     rows = complete.groupBy(*g).agg(
         F.count("*").alias("n"), F.first("k").alias("k"), F.sum("R").alias("G"),
         F.sum(F.col("R") * F.col("R")).alias("RR"), F.sum("Q").alias("XX"),

@@ -113,3 +113,15 @@ def test_subword_greedy_longest_match(spark):
         got.setdefault(r["doc_id"], []).append((r["pos"], r["token"]))
     assert [t for _, t in sorted(got[1])] == ["un", "##aff", "##able", "play", "##ing"]
     assert [t for _, t in sorted(got[2])] == ["[UNK]", "play"]
+
+
+def test_index_labels_unseen_classes(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a",), ("z",)], "label string")
+    mapping = V.label_index(spark.createDataFrame([("b",), ("a",)], "label string"))
+    assert mapping == {"a": 0, "b": 1}
+    assert [(r[0], r[1]) for r in V.index_labels(df, mapping).orderBy("label").collect()] == [("a", 0), ("z", None)]
+    assert V.index_labels(df, mapping, handle_invalid="skip").count() == 1
+    with pytest.raises(Exception):
+        V.index_labels(df, mapping, handle_invalid="error").collect()
