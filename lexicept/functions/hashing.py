@@ -18,7 +18,10 @@ MULTIPLIER = 48271
 
 def stable_hash(key, seed: int) -> Column:
     k = F.col(key) if isinstance(key, str) else key
-    h = F.pmod(k.cast("long") + F.lit(int(seed)), F.lit(MODULUS))
+    # a key that is no integer counts by the first 15 hex digits of the md5 of its text
+    digest = F.conv(F.substring(F.md5(k.cast("string")), 1, 15), 16, 10).cast("long")
+    number = F.pmod(F.coalesce(k.try_cast("long"), digest), F.lit(MODULUS))
+    h = F.pmod(number + F.lit(int(seed)), F.lit(MODULUS))
     h = F.pmod(h * F.lit(MULTIPLIER), F.lit(MODULUS))
     return F.pmod(h * F.lit(MULTIPLIER), F.lit(MODULUS))
 

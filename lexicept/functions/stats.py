@@ -17,31 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction for the regularised incomplete beta function (modified Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
+def _tail_fraction(a: float, b: float, x: float) -> float:
+    """1 / (1 + d1 / (1 + d2 / (1 + ...))) of the incomplete beta function, DLMF 8.17.22, summed from its tail.
+
+    d(2m) = m (b - m) x / ((a + 2m - 1)(a + 2m)); d(2m + 1) = -(a + m)(a + b + m) x / ((a + 2m)(a + 2m + 1)).
+    Below the turning point x < (a + 1) / (a + b + 2) about sqrt(max(a, b)) terms settle it.
+    """
+    terms = 100 + int(8 * math.sqrt(max(a, b)))
+    value = 1.0
+    for m in range(min(terms, 200_000), 0, -1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        value = 1.0 + even / value
+        k = m - 1
+        odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        value = 1.0 + odd / value
+    return 1.0 / value
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -52,8 +42,8 @@ def betainc(a: float, b: float, x: float) -> float:
         return 1.0
     lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbeta) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbeta) * _betacf(b, a, 1.0 - x) / b
+        return math.exp(lbeta) * _tail_fraction(a, b, x) / a
+    return 1.0 - math.exp(lbeta) * _tail_fraction(b, a, 1.0 - x) / b
 
 
 def t_pvalue_scalar(t: float, df: float, alternative: str = "two-sided") -> float:
@@ -117,43 +107,14 @@ def row_pearson(a_cols: list[str], b_cols: list[str]) -> Column:
 
 
 def pearson_agg(x: str, y: str) -> Column:
-    """Aggregate Pearson r from sums; null (not an error) when a variance is 0."""
-    n = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
-    sx, sy = F.sum(F.col(x).cast("double")), F.sum(F.col(y).cast("double"))
-    sxx, syy = F.sum(F.col(x).cast("double") ** 2), F.sum(F.col(y).cast("double") ** 2)
-    sxy = F.sum(F.col(x).cast("double") * F.col(y).cast("double"))
-    cov = sxy - sx * sy / n
-    den = F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))
-    return F.when(den == 0, F.lit(None).cast("double")).otherwise(cov / den)
-
-
-MAP_MAX_GROUPS = 1000
+    """Aggregate Pearson r over complete pairs; null (not an error) when a variance is 0.
 
-
-def _with_group_k(per_obj: DataFrame, k_by: DataFrame, g: list[str]) -> DataFrame:
-    """Attach each group's rater count to its objects.
-
-    The per-group table is a fitted parameter of a few rows (one per batch):
-    it is collected (bounded) and applied as a literal map, so objects are not
-    shuffled to meet it and a batch holding a third of all objects costs
-    nothing extra. Very many groups fall back to a join (AQE broadcasts it
-    from its measured size).
+    Moments are taken around running means, so large offsets do not cancel.
     """
-    if not g:
-        return per_obj.withColumn("k", k_by.select("k").scalar())
-    rows = k_by.limit(MAP_MAX_GROUPS + 1).collect()
-    if len(rows) > MAP_MAX_GROUPS:
-        return per_obj.join(k_by, g)
-    types = {c: per_obj.schema[c].dataType for c in g}
-
-    def key_of(r):
-        if len(g) == 1:
-            return F.lit(r[g[0]]).cast(types[g[0]])
-        return F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in g])
-
-    kmap = F.create_map(*[x for r in rows for x in (key_of(r), F.lit(int(r["k"])))])
-    key = F.col(g[0]) if len(g) == 1 else F.struct(*[F.col(c) for c in g])
-    return per_obj.withColumn("k", F.element_at(kmap, key))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+    den = F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))
+    return F.when(den > 0, F.covar_pop(a, b) / den)
 
 
 def icc_average(long: DataFrame, object_col: str = "object", rater_col: str = "rater", score_col: str = "score",
@@ -165,15 +126,23 @@ def icc_average(long: DataFrame, object_col: str = "object", rater_col: str = "r
     SSR = sum_i R_i^2 / k - G^2 / N, SSC = sum_j C_j^2 / n - G^2 / N,
     SST = sum x^2 - G^2 / N (R_i object sums, C_j rater sums, G grand sum) --
     so the plan is three grouped aggregates (per object, per rater, per
-    group), each with partial aggregation, and joins of per-group rows.
+    group), each with partial aggregation, and joins of per-group rows. Scores
+    are first shifted by their group's mean, which changes none of the sums of
+    squares and keeps them from cancelling under a large common offset.
     """
     g = group_cols or []
-    x = long.select(*g, object_col, rater_col, F.col(score_col).cast("double").alias("x")).na.drop()
-    k_by = x.groupBy(*g).agg(F.countDistinct(rater_col).alias("k"))
+    raw = long.select(*g, object_col, rater_col, F.col(score_col).cast("double").alias("x")).na.drop()
+    per_group = raw.groupBy(*g).agg(F.countDistinct(rater_col).alias("k"), F.avg("x").alias("_mean"))
+    # one row per group, behind a shuffle: AQE broadcasts it from its measured size
+    if g:
+        x = raw.join(per_group, g)
+    else:
+        x = raw.withColumn("k", per_group.select("k").scalar()).withColumn("_mean", per_group.select("_mean").scalar())
+    x = x.withColumn("x", F.col("x") - F.col("_mean")).drop("_mean")
     per_obj = x.groupBy(*g, object_col).agg(
-        F.count("*").alias("m"), F.sum("x").alias("R"), F.sum(F.col("x") * F.col("x")).alias("Q")
+        F.count("*").alias("m"), F.first("k").alias("k"), F.sum("x").alias("R"), F.sum(F.col("x") * F.col("x")).alias("Q")
     )
-    complete = _with_group_k(per_obj, k_by, g).filter(F.col("m") == F.col("k"))
+    complete = per_obj.filter(F.col("m") == F.col("k"))
     rows = complete.groupBy(*g).agg(
         F.count("*").alias("n"), F.first("k").alias("k"), F.sum("R").alias("G"),
         F.sum(F.col("R") * F.col("R")).alias("RR"), F.sum("Q").alias("XX"),

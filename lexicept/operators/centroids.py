@@ -14,6 +14,9 @@ from ..functions.hashing import stable_hash
 from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded, maybe_broadcast
 from ..functions.vectors import as_double, sq_distance, vector_mean
 
+#: A centre that moves less than this in every coordinate stands still (sums differ in their last bits between runs).
+SETTLED = 1e-12
+
 CENTROID_SCHEMA = T.StructType(
     [
         T.StructField("category", T.StringType()),
@@ -83,14 +86,15 @@ def _assign(points: DataFrame, centers_df: DataFrame) -> DataFrame:
     return joined.select("category", "key", "vec", best["cluster"].alias("cluster"), best["d"].alias("d2"))
 
 
-def kmeans_centroids(points: DataFrame, k: int, seed: int = 230706, iterations: int = 10,
+def kmeans_centroids(points: DataFrame, k: int, seed: int = 230706, iterations: int = 300,
                      category_col: str = "category", key_col: str = "key", vec_col: str = "embedding",
                      max_centers: int = MODEL_MAX_ROWS) -> DataFrame:
     """Grouped Lloyd's k-means: K clusters inside every category, all categories in one job per step.
 
     * start centres: the K rows with the smallest ``stable_hash(key, seed)`` in
       each category (a category with fewer than K rows gets one cluster per row);
-    * ``iterations`` Lloyd steps; an empty cluster keeps its previous centre;
+    * Lloyd steps until no centre moves (``iterations`` is an emergency stop); an
+      empty cluster keeps its previous centre;
     * result: members of each cluster under the final centres, averaged.
 
     Only the C*K centres (size-checked) visit the driver between steps,
@@ -123,8 +127,13 @@ def kmeans_centroids(points: DataFrame, k: int, seed: int = 230706, iterations:
     for _ in range(iterations):
         assigned = _assign(base, _centers_frame(spark, centers))
         means = assigned.groupBy("category", "cluster").agg(vector_mean("vec").alias("c"))
+        moved = 0.0
         for r in collect_bounded(means, max_centers, "k-means centres"):
-            centers[(r["category"], int(r["cluster"]))] = r["c"]
+            at = (r["category"], int(r["cluster"]))
+            moved = max(moved, max((abs(x - y) for x, y in zip(r["c"], centers[at], strict=True)), default=0.0))
+            centers[at] = r["c"]
+        if moved <= SETTLED:
+            break
 
     final = _assign(base, _centers_frame(spark, centers)).groupBy("category", F.col("cluster").cast("int").alias("cluster")).agg(
         vector_mean("vec").alias("centroid")

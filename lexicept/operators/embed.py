@@ -2,28 +2,67 @@
 
 ``encode_texts`` is the one place where a model runs: a caller-supplied
 encoder factory is instantiated once per Python worker and fed Arrow
-batches through ``mapInPandas``. Everything else (token vectors from a
+batches of the text column. Everything else (token vectors from a
 vector table, mean pooling, normalisation) is native Spark.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sizing import lookup_join
+from ..functions.sizing import BROADCAST_MAX_BYTES, lookup_join
 from ..functions.vectors import vector_mean
 from .text import TOKEN_PATTERN, tokenize
 
 _ENCODERS: dict = {}
 
 
+def worker_encoder(factory: Callable, key: str):
+    """The encoder of this Python worker, made on first use.
+
+    Tasks reach this function by import, so ``_ENCODERS`` is the worker's own
+    module-level table and outlives a task.
+    """
+    if key not in _ENCODERS:
+        _ENCODERS[key] = factory()
+    return _ENCODERS[key]
+
+
+#: Assumed bytes of one encoded text when the distinct texts are sized for a broadcast (1,024 floats and the key).
+VECTOR_BYTES = 4096 + 64
+
+
+class Md5Encoder:
+    """Feature hashing by md5, whose arithmetic SQL can repeat: a token adds 1 to place h mod d, h its first 8 hex digits."""
+
+    def __init__(self, dim: int = 16):
+        self.dim = dim
+        self._word = re.compile(r"[^\W\d_]+")
+        self._place: dict[str, int] = {}
+
+    def __call__(self, texts: list) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        for i, t in enumerate(texts):
+            for w in self._word.findall(t.lower()) if t else ():
+                p = self._place.get(w)
+                if p is None:
+                    p = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dim
+                    if len(self._place) < 1_000_000:
+                        self._place[w] = p
+                out[i, p] += 1.0
+        return out
+
+
 class HashingEncoder:
     """Deterministic stand-in encoder: signed feature hashing of word tokens, L2-normalised.
 
@@ -49,21 +88,21 @@ class HashingEncoder:
 
 
 def encode_texts(df: DataFrame, text_col: str = "text", encoder_factory: Callable = HashingEncoder,
-                 out_col: str = "embedding") -> DataFrame:
-    """Append ``out_col array<float>`` computed by the encoder over Arrow batches."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
-    key = (getattr(encoder_factory, "__module__", ""), getattr(encoder_factory, "__qualname__", repr(encoder_factory)))
+                 out_col: str = "embedding", encoder_id: str | None = None) -> DataFrame:
+    """Append ``out_col array<float>`` computed by the encoder over Arrow batches of the text column alone.
+
+    ``encoder_id`` names the encoder in a worker's table; two factories need
+    two names. Without one, each call of ``encode_texts`` has its own.
+    """
+    key = encoder_id or uuid.uuid4().hex
 
-    def run(batches):
-        enc = _ENCODERS.get(key)
-        if enc is None:
-            enc = _ENCODERS[key] = encoder_factory()
-        for pdf in batches:
-            vecs = enc(pdf[text_col].tolist())
-            pdf[out_col] = list(np.asarray(vecs, dtype=np.float32))
-            yield pdf
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def encode(texts: pa.Array) -> pa.Array:
+        vecs = np.asarray(worker_encoder(encoder_factory, key)(texts.to_pylist()), dtype=np.float32)
+        dim = vecs.shape[1] if vecs.ndim == 2 else 0
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(vecs.ravel(), pa.float32()))
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(out_col, encode(F.col(text_col)))
 
 
 def encode_tokens(df: DataFrame, word_vectors: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -91,8 +130,10 @@ def encode_distinct(df: DataFrame, encode: Callable[[DataFrame], DataFrame], id_
     keyed = df.select(id_col, text_col).withColumn("_tk", F.sha2(F.col(text_col), 256))
     distinct = keyed.select("_tk", text_col).na.drop().dropDuplicates(["_tk"])
     vecs = encode(distinct).select("_tk", vec_col)
-    # a text repeated in many rows is a hot key: broadcast when proven small, else salted by row id
-    return lookup_join(keyed, vecs, "_tk", [id_col], how="left").drop("_tk")
+    # a text repeated in many rows is a hot key: broadcast when small, else salted by row id; the check counts keys, so
+    # nothing is encoded for it
+    keys = keyed.select("_tk").na.drop().distinct().count()
+    return lookup_join(keyed, vecs, "_tk", [id_col], how="left", small=keys * VECTOR_BYTES <= BROADCAST_MAX_BYTES).drop("_tk")
 
 
 def static_text_encoder(word_vectors: DataFrame, pattern: str = TOKEN_PATTERN, text_col: str = "text",

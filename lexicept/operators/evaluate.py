@@ -15,17 +15,23 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import stable_hash
 from ..functions.ranking import global_row_number
 from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded
 from .scaling import apply_columns, fit_columns
 
-ROWS_PER_FIT_PARTITION = 50_000
+#: Doubles per partition of a cached fit input (rows times features).
+CELLS_PER_FIT_PARTITION = 4_000_000
+MAX_ITER = 5000
+FIT_TOLERANCE = 1e-8
+#: Strength of the classifiers' L2 penalty: half the squared weights against C times the summed loss.
+INVERSE_PENALTY = 1.0
 
 # ---------------------------------------------------------------- folds and splits
 
@@ -49,7 +55,7 @@ def _stratified_bounds(counts: list[tuple], n_folds: int) -> dict:
     index; fold i receives the positions congruent to i (mod k) of that range.
     """
     bounds, start = {}, 0
-    for label, n in sorted(counts, key=lambda t: t[0]):
+    for label, n in sorted(counts, key=lambda t: (t[0] is None, t[0])):
         end = start + n
         alloc = [((end - 1 - i) // n_folds) - ((start - 1 - i) // n_folds) for i in range(n_folds)]
         cum, acc = [], 0
@@ -62,14 +68,16 @@ def _stratified_bounds(counts: list[tuple], n_folds: int) -> dict:
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, n_folds: int = 5, out_col: str = "fold") -> DataFrame:
-    """Unshuffled stratified k folds: per class, contiguous blocks in key order."""
+    """Unshuffled stratified k folds: per class, contiguous blocks in key order. A null label is a class of its own, the last."""
     counts = [(r[0], int(r[1])) for r in collect_bounded(df.groupBy(label).count(), MODEL_MAX_ROWS, "class counts")]
     bounds = _stratified_bounds(counts, n_folds)
     ranked = global_row_number(df, [F.asc(key)], "_r", group_cols=[label])
-    bmap = F.create_map(*[x for lab, cum in bounds.items() for x in (F.lit(lab), F.array(*[F.lit(c) for c in cum]))])
+    schema = T.StructType([T.StructField("_label", df.schema[label].dataType), T.StructField("_cum", T.ArrayType(T.LongType()))])
+    table = df.sparkSession.createDataFrame(list(bounds.items()), schema)  # one row per class
     p = F.col("_r") - 1
-    fold = F.size(F.filter(F.element_at(bmap, F.col(label)), lambda b: b <= p))
-    return ranked.withColumn(out_col, fold.cast("int")).drop("_r")
+    fold = F.size(F.filter("_cum", lambda b: b <= p))
+    placed = ranked.join(F.broadcast(table), F.col(label).eqNullSafe(F.col("_label")))
+    return placed.withColumn(out_col, fold.cast("int")).drop("_r", "_label", "_cum")
 
 
 def random_split(df: DataFrame, key: str, seed: int, train_pct: int = 75, out_col: str = "split") -> DataFrame:
@@ -92,9 +100,9 @@ def label_index(train: DataFrame, label_col: str = "label") -> dict:
 def index_labels(df: DataFrame, mapping: dict, label_col: str = "label", out_col: str = "label_idx",
                  handle_invalid: str = "keep") -> DataFrame:
     """Apply a fitted class index; unseen classes -> null ('keep'), dropped ('skip') or an error."""
-    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    idx = F.element_at(m, F.col(label_col)) if mapping else F.lit(None)
-    out = df.withColumn(out_col, idx.cast("long"))
+    schema = T.StructType([T.StructField("_class", df.schema[label_col].dataType), T.StructField(out_col, T.LongType())])
+    table = df.sparkSession.createDataFrame(list(mapping.items()), schema)  # one row per class
+    out = df.drop(out_col).join(F.broadcast(table), F.col(label_col) == F.col("_class"), "left").drop("_class")
     if handle_invalid == "skip":
         return out.filter(F.col(out_col).isNotNull())
     if handle_invalid == "error":
@@ -127,7 +135,8 @@ def majority_baseline_holdout(train: DataFrame, test: DataFrame, label: str) ->
 
 
 def mean_baseline_cv(df: DataFrame, label: str, fold_col: str = "fold") -> DataFrame:
-    """Per fold: R^2 and RMSE of predicting the mean of the other folds."""
+    """Per fold: R^2 and RMSE of predicting the mean of the other folds (rows with a null label count nowhere)."""
+    df = df.filter(F.col(label).isNotNull())
     stats = df.groupBy(fold_col).agg(F.sum(label).alias("s"), F.count("*").alias("n"))
     fold_means = _fold_means(stats, fold_col)
     j = df.join(fold_means, fold_col)  # one row per fold, behind a shuffle: AQE broadcasts it from its measured size
@@ -149,7 +158,7 @@ def mean_baseline_holdout(train: DataFrame, test: DataFrame, label: str) -> Data
     y = F.col(label).cast("double")
     m = F.lit(train.agg(F.avg(y)).first()[0])  # fitted parameter: the training mean
     mt = F.lit(test.agg(F.avg(y)).first()[0])
-    agg = test.agg(F.sum((y - m) ** 2).alias("sse"), F.sum((y - mt) ** 2).alias("sst"), F.count("*").alias("n"))
+    agg = test.filter(y.isNotNull()).agg(F.sum((y - m) ** 2).alias("sse"), F.sum((y - mt) ** 2).alias("sst"), F.count("*").alias("n"))
     return agg.select((1 - F.try_divide("sse", "sst")).alias("r2"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
 
 
@@ -180,27 +189,26 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                        group_cols: list[str] | None = None) -> DataFrame:
-    """RMSE and R^2 (1 - SSE/SST around the evaluated rows' own mean)."""
+    """RMSE and R^2 (1 - SSE/SST around the evaluated rows' own mean); rows with a null on either side are left out."""
     g = group_cols or []
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    agg = pred.groupBy(*g).agg(
-        F.count("*").alias("n"), F.sum((y - p) ** 2).alias("sse"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")
+    agg = pred.filter(y.isNotNull() & p.isNotNull()).groupBy(*g).agg(
+        F.count("*").alias("n"), F.sum((y - p) ** 2).alias("sse"), F.var_pop(y).alias("var")
     )
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    sst = F.col("var") * F.col("n")
     return agg.select(*g, "n", F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), (1 - F.try_divide(F.col("sse"), sst)).alias("r2"))
 
 
 # ---------------------------------------------------------------- Spark ML fits
 
 
-def _estimator(task: str, model: str, max_iter: int = 50):
+def _estimator(task: str, model: str, max_iter: int, reg_param: float):
+    """Optimisers stop at ``tol``; ``max_iter`` is only their emergency stop. Penalties apply to the features as given."""
     if task == "classification":
-        if model == "svm":
-            return OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol="label_idx", featuresCol="features",
-                             parallelism=8)
-        return OneVsRest(classifier=LogisticRegression(maxIter=max_iter), labelCol="label_idx", featuresCol="features",
-                         parallelism=8)
-    return LinearRegression(maxIter=max_iter, labelCol="label_y", featuresCol="features")
+        kind = LinearSVC if model == "svm" else LogisticRegression
+        one = kind(maxIter=max_iter, regParam=reg_param, standardization=False, tol=FIT_TOLERANCE)
+        return OneVsRest(classifier=one, labelCol="label_idx", featuresCol="features", parallelism=8)
+    return LinearRegression(maxIter=max_iter, solver="normal", labelCol="label_y", featuresCol="features")
 
 
 def _assemble(df: DataFrame, features: list[str] | str) -> DataFrame:
@@ -210,8 +218,8 @@ def _assemble(df: DataFrame, features: list[str] | str) -> DataFrame:
 
 
 def fit_model(train: DataFrame, features, label: str, task: str = "classification", model: str = "lr",
-              max_iter: int = 50):
-    """Fit a one-vs-rest logistic regression / linear SVM, or a linear regression."""
+              max_iter: int = MAX_ITER):
+    """Fit an L2-regularised one-vs-rest logistic regression / linear SVM, or an ordinary linear regression, to convergence."""
     data = _assemble(train, features)
     if task == "classification":
         mapping = label_index(train, label)
@@ -223,10 +231,11 @@ def fit_model(train: DataFrame, features, label: str, task: str = "classificatio
     # partitions to the data (each optimiser step is one job over every partition)
     cached = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = cached.count()
-        target = max(1, -(-n // ROWS_PER_FIT_PARTITION))
+        n, width = cached.agg(F.count("*"), F.max(F.size(vector_to_array("features")))).first()
+        target = max(1, -(-n * (width or 1) // CELLS_PER_FIT_PARTITION))
         fit_input = cached.coalesce(target) if target < cached.rdd.getNumPartitions() else cached
-        fitted = Pipeline(stages=[_estimator(task, model, max_iter)]).fit(fit_input)
+        # mean loss + reg / 2 |w|^2 is C * summed loss + 1 / 2 |w|^2 for reg = 1 / (C n)
+        fitted = Pipeline(stages=[_estimator(task, model, max_iter, 1.0 / (INVERSE_PENALTY * max(n, 1)))]).fit(fit_input)
     finally:
         cached.unpersist()
     return fitted, mapping
@@ -241,7 +250,7 @@ def predict(fitted, mapping, df: DataFrame, features, label: str, task: str = "c
 
 
 def holdout_evaluate(train: DataFrame, test: DataFrame, features, label: str, task: str = "classification",
-                     model: str = "lr", scale_cols: list[str] | None = None, max_iter: int = 50) -> DataFrame:
+                     model: str = "lr", scale_cols: list[str] | None = None, max_iter: int = MAX_ITER) -> DataFrame:
     """Fit on train, score on test; columns scaled with a population scaler fitted on train.
 
     Returns (metric, value) rows, the model's and the baseline's.
@@ -267,7 +276,7 @@ def holdout_evaluate(train: DataFrame, test: DataFrame, features, label: str, ta
 
 
 def cross_validate(df: DataFrame, features, label: str, fold_col: str = "fold", task: str = "classification",
-                   model: str = "lr", scale_cols: list[str] | None = None, max_iter: int = 50,
+                   model: str = "lr", scale_cols: list[str] | None = None, max_iter: int = MAX_ITER,
                    n_folds: int = 5, parallelism: int = 5) -> DataFrame:
     """Per fold: scaler fitted on the training part, model fitted, test fold scored.
 

@@ -22,6 +22,8 @@ before the only shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,29 +44,11 @@ def category_subset(lexicon: DataFrame, min_ord: int = 21, categories: list[str]
     return lexicon.filter(F.col("ord") >= min_ord)
 
 
-def minimal_lexicon(lexicon: DataFrame) -> DataFrame:
-    """Drop (pattern, category) rows covered by another prefix pattern of the same category.
-
-    DataFrame form for callers holding a lexicon table; matching uses the
-    equivalent driver-side pass of ``compile_lexicon`` on the bounded rows.
-    """
-    lex = read_lexicon(lexicon) if "is_prefix" not in lexicon.columns else lexicon
-    cover = lex.filter("is_prefix").select(
-        F.col("category").alias("c_cat"), F.col("stem").alias("c_stem"), F.col("pattern").alias("c_pat")
-    )
-    cond = (
-        (F.col("category") == F.col("c_cat"))
-        & F.col("stem").startswith(F.col("c_stem"))
-        & (F.col("pattern") != F.col("c_pat"))
-    )
-    return lex.join(maybe_broadcast(cover, MODEL_MAX_ROWS), cond, "left_anti")
-
-
 _COMPILED_SCHEMA = "category string, pattern string, is_prefix boolean, stem string"
 
 
 def _minimise_rows(rows: list) -> list:
-    """Driver-side form of ``minimal_lexicon`` on an already collected (bounded) lexicon."""
+    """Drop (pattern, category) rows covered by another prefix pattern of the same category (bounded lexicon rows)."""
     stems: dict = {}
     for r in rows:
         if r["is_prefix"]:
@@ -174,8 +158,10 @@ def lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: list[st
         wide = rows.groupBy(*ids).pivot("category", categories).count().fillna(0, subset=categories)
     if binary:
         wide = wide.select(*ids, *[(F.col(c) > 0).cast("long").alias(c) for c in categories])
-    if keep:
-        wide = docs.select(*ids, *keep).join(wide, ids, "left")
+    if keep:  # ids may be null or repeated: every input row gets its own counts
+        right = wide.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)], *categories)
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_id{i}")) for i, c in enumerate(ids)])
+        wide = docs.select(*ids, *keep).join(right, same, "left").select(*ids, *keep, *categories)
     return wide
 
 
@@ -230,11 +216,13 @@ def soft_lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: Da
         base = docs.select(id_col, *[F.lit(None).cast("double").alias(c) for c in cats])
         summed = hits.unionByName(base).groupBy(id_col).agg(*[F.sum(c).alias(c) for c in cats])
         return summed.select(id_col, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cats])
-    # wide lexicons: each token carries its C scores as one vector, summed per text in one buffer
+    # wide lexicons: each token carries its C scores as one vector, summed per id in one buffer; like above, a zero row
+    # per text keeps ids without hits, and null or repeated ids make one group each
     vec = scores.select("token", F.array(*[F.col(c) for c in cats]).alias("s")).persist(StorageLevel.MEMORY_AND_DISK)
-    per_text = lookup_join(toks, vec, "token", [id_col, "pos"]).groupBy(id_col).agg(vector_sum("s").alias("s"))
-    filled = docs.select(id_col).join(per_text, id_col, "left")
-    return filled.select(id_col, *[F.coalesce(F.col("s")[i], F.lit(0.0)).alias(c) for i, c in enumerate(cats)])
+    hits = lookup_join(toks, vec, "token", [id_col, "pos"]).select(id_col, "s")
+    base = docs.select(id_col, F.array_repeat(F.lit(0.0), len(cats)).alias("s"))
+    per_text = hits.unionByName(base).groupBy(id_col).agg(vector_sum("s").alias("s"))
+    return per_text.select(id_col, *[F.col("s")[i].alias(c) for i, c in enumerate(cats)])
 
 
 def soft_lexicon_counts(docs: DataFrame, lexicon: DataFrame, categories: DataFrame, word_vectors: DataFrame,

@@ -8,7 +8,7 @@ plain projection and the long form a ``posexplode``: no shuffle, no
 per-pair rows, no join of texts with centroids.
 
 A model above the bound is split into category blocks; every block is
-broadcast on its own and the long results are unioned.
+broadcast on its own and adds one score array to the same rows.
 """
 
 from __future__ import annotations
@@ -124,53 +124,41 @@ def _scorer(bc, n_out: int, metric: str, reduce: str = "max"):
     return score
 
 
-def concept_scores(docs: DataFrame, centroids: DataFrame, categories: DataFrame, vec_col: str = "embedding",
-                   metric: str = "cosine", per_cluster: bool = False, out_col: str = "scores", reduce: str = "max"):
-    """Append ``scores array<double>`` (one entry per output name) to ``docs``.
+def score_blocks(docs: DataFrame, centroids: DataFrame, categories: DataFrame, vec_col: str = "embedding", metric: str = "cosine",
+                 per_cluster: bool = False, reduce: str = "max", prefix: str = "_scores") -> tuple[DataFrame, dict]:
+    """Append one score array per model block to every row: (frame, {output name: score column}).
 
-    Returns ``[(df, names)]``, one element per model block (normally one).
-    ``names`` are ``(category, None)`` (max over clusters, missing category = 0)
-    or ``(category, cluster)`` when ``per_cluster``.
+    However many blocks the model has, rows are only widened: nothing is
+    grouped or joined, so repeated and null ids keep their rows.
     """
     cats = ordered_categories(categories)
     sc = docs.sparkSession.sparkContext
-    result = []
-    for names, mat, col_of_row in _model_blocks(centroids, cats, per_cluster):
+    names: dict = {}
+    for i, (outs, mat, col_of_row) in enumerate(_model_blocks(centroids, cats, per_cluster)):
         bc = sc.broadcast((mat, col_of_row))
-        result.append((docs.withColumn(out_col, _scorer(bc, len(names), metric, reduce)(F.col(vec_col))), names))
-    return result
+        docs = docs.withColumn(f"{prefix}{i}", _scorer(bc, len(outs), metric, reduce)(F.col(vec_col)))
+        for j, name in enumerate(outs):
+            names[name] = F.col(f"{prefix}{i}")[j]
+    if not per_cluster:  # categories without any centroid score 0
+        names = {(c, None): names.get((c, None), F.lit(0.0)) for c in cats}
+    return docs, names
 
 
 def concept_similarity(docs: DataFrame, centroids: DataFrame, categories: DataFrame, id_col: str = "doc_id",
                        vec_col: str = "embedding", metric: str = "cosine", per_cluster: bool = False,
-                       value_col: str = "similarity") -> DataFrame:
+                       value_col: str = "similarity", reduce: str = "max") -> DataFrame:
     """Long form ``(id, category[, cluster], similarity)``.
 
     With ``per_cluster=False`` this is already the max over each category's
     clusters with missing categories filled by 0 (``concept_similarity_max``
     + ``zero_fill``).
     """
-    parts = []
-    blocks = concept_scores(docs.select(id_col, vec_col), centroids, categories, vec_col, metric, per_cluster)
-    if len(blocks) > 1 and not per_cluster:
-        # categories without any centroid belong to no block: they score 0 (zero fill)
-        covered = {c for _, names in blocks for c, _ in names}
-        missing = [c for c in ordered_categories(categories) if c not in covered]
-        if missing:
-            parts.append(docs.select(id_col, F.explode(F.array(*[F.lit(c) for c in missing])).alias("category"),
-                                     F.lit(0.0).alias(value_col)))
-    for scored, names in blocks:
-        name_arr = F.array(*[F.lit(c) for c, _ in names])
-        ex = scored.select(id_col, F.posexplode("scores").alias("i", value_col))
-        cols = [F.col(id_col), F.element_at(name_arr, F.col("i") + 1).alias("category")]
-        if per_cluster:
-            cl_arr = F.array(*[F.lit(int(k)) for _, k in names])
-            cols.append(F.element_at(cl_arr, F.col("i") + 1).alias("cluster"))
-        parts.append(ex.select(*cols, F.col(value_col)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    scored, names = score_blocks(docs.select(id_col, vec_col), centroids, categories, vec_col, metric, per_cluster, reduce)
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("category"), *([F.lit(int(k)).alias("cluster")] if per_cluster else []), v.alias(value_col))
+        for (c, k), v in names.items()
+    ])
+    return scored.select(id_col, F.inline(entries))
 
 
 def concept_matrix(docs: DataFrame, centroids: DataFrame, categories: DataFrame, id_col: str = "doc_id",
@@ -178,21 +166,8 @@ def concept_matrix(docs: DataFrame, centroids: DataFrame, categories: DataFrame,
                    reduce: str = "max") -> DataFrame:
     """Wide form: one row per text, one double column per category in lexicon order."""
     keep = keep or []
-    blocks = concept_scores(docs.select(id_col, vec_col, *keep), centroids, categories, vec_col, metric, reduce=reduce)
-    if len(blocks) == 1:
-        scored, names = blocks[0]
-        return scored.select(id_col, *keep, *[F.col("scores")[i].alias(c) for i, (c, _) in enumerate(names)])
-    cats = ordered_categories(categories)
-    long = concept_similarity(docs, centroids, categories, id_col, vec_col, metric)
-    wide = long.groupBy(id_col).pivot("category", cats).agg(F.first("similarity"))
-    return docs.select(id_col, *keep).join(wide, id_col, "left").fillna(0.0, subset=cats)
-
-
-def pivot_long(long: DataFrame, categories: list[str], id_col: str = "doc_id", value_col: str = "similarity",
-               fill: float | None = 0.0) -> DataFrame:
-    """Long ``(id, category, value)`` -> wide, fixed column list (no value discovery pass)."""
-    wide = long.groupBy(id_col).pivot("category", categories).agg(F.first(value_col))
-    return wide.fillna(fill, subset=categories) if fill is not None else wide
+    scored, names = score_blocks(docs.select(id_col, vec_col, *keep), centroids, categories, vec_col, metric, reduce=reduce)
+    return scored.select(id_col, *keep, *[v.alias(c) for (c, _), v in names.items()])
 
 
 def attach_targets(rep: DataFrame, targets: DataFrame, id_col: str = "doc_id", how: str = "left") -> DataFrame:

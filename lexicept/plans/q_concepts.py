@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import explode_vector
 from ..operators.centroids import align_centroids, centroid_headers, kmeans_centroids, mean_centroids
-from ..operators.represent import concept_matrix, concept_similarity
+from ..operators.represent import concept_matrix, concept_similarity, score_blocks
 from ..sources import fixtures as fx
 from ..sources.readers import centroids_long_to_wide, centroids_wide_to_long
 from .common import POINT_CATEGORIES, long_, r6, sql_centroid_lists, sql_long_mean_centroids, sql_r6
@@ -119,9 +119,12 @@ def q_kernel_similarity(spark, sf):
     pts = _points(spark, sf)
     cent = mean_centroids(pts)
     cats = fx.fx_point_categories(spark, sf)
-    l2 = concept_similarity(_vectors(spark, sf), cent, cats, "vec_id", metric="l2", value_col="sim_l2")
-    l1 = concept_similarity(_vectors(spark, sf), cent, cats, "vec_id", metric="l1", value_col="sim_l1")
-    return l2.join(l1, ["vec_id", "category"]).select("vec_id", "category", r6("sim_l2", "sim_l2"), r6("sim_l1", "sim_l1"))
+    # both kernels on the same row: one pass over the vectors, no join of long results
+    l2, by_l2 = score_blocks(_vectors(spark, sf), cent, cats, metric="l2", prefix="_l2_")
+    both, by_l1 = score_blocks(l2, cent, cats, metric="l1", prefix="_l1_")
+    entries = F.array(*[F.struct(F.lit(c).alias("category"), v.alias("sim_l2"), by_l1[(c, k)].alias("sim_l1")) for (c, k), v in by_l2.items()])
+    long = both.select("vec_id", F.inline(entries))
+    return long.select("vec_id", "category", r6("sim_l2", "sim_l2"), r6("sim_l1", "sim_l1"))
 
 
 @query(
@@ -130,5 +133,5 @@ def q_kernel_similarity(spark, sf):
     "FROM (SELECT category, unnest([0, 1]) AS c FROM (SELECT category, count(*) AS n FROM fx_centroid_points GROUP BY category) WHERE n >= 2)",
 )
 def q_centroid_headers(spark, sf):
-    cent = kmeans_centroids(_points(spark, sf), k=2, seed=7, iterations=2, key_col="key")
+    cent = kmeans_centroids(_points(spark, sf), k=2, seed=7, key_col="key")
     return centroid_headers(cent, 2).select("category", long_("cluster", "cluster"), "header")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
@@ -22,7 +23,6 @@ from .registry import query
 
 W = fx.with_ctes
 FOLD_SEED, SPLIT_SEED, SAMPLE_SEED = 3, 203948, 220511
-ML_ITERS = 10
 
 
 def _emb(spark, sf):
@@ -175,7 +175,7 @@ def _fit_predict(spark, sf, model):
     tr, te = _split_features(spark, sf)
     sc = S.fit_columns(tr, POINT_CATEGORIES)
     tr, te = S.apply_columns(tr, sc, POINT_CATEGORIES), S.apply_columns(te, sc, POINT_CATEGORIES)
-    fitted, mapping = V.fit_model(tr, POINT_CATEGORIES, "label", "classification", model, ML_ITERS)
+    fitted, mapping = V.fit_model(tr, POINT_CATEGORIES, "label", "classification", model)
     return V.predict(fitted, mapping, te, POINT_CATEGORIES, "label").select("vec_id", "label", "prediction")
 
 
@@ -195,26 +195,26 @@ def q_fit_regressor(spark, sf):
     wide = L.lexicon_counts_wide(docs, fx.fx_lexicon(spark), LEX_CATS, keep=["n_chars"])
     split = V.random_split(wide, "doc_id", SPLIT_SEED)
     tr, te = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "validation")
-    fitted, _ = V.fit_model(tr, LEX_CATS, "n_chars", "regression", "lr", ML_ITERS)
+    fitted, _ = V.fit_model(tr, LEX_CATS, "n_chars", "regression", "lr")
     return V.predict(fitted, None, te, LEX_CATS, "n_chars", "regression").select("doc_id", "n_chars", r6("prediction", "prediction"))
 
 
 @query("cross_validate")
 def q_cross_validate(spark, sf):
     m = V.stratified_folds(_features(spark, sf).persist(StorageLevel.MEMORY_AND_DISK), "vec_id", "label")
-    return V.cross_validate(m, POINT_CATEGORIES, "label", "fold", "classification", "lr", POINT_CATEGORIES, ML_ITERS)
+    return V.cross_validate(m, POINT_CATEGORIES, "label", "fold", "classification", "lr", POINT_CATEGORIES)
 
 
 @query("holdout_evaluate")
 def q_holdout_evaluate(spark, sf):
     tr, te = _split_features(spark, sf)
-    return V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", "classification", "lr", POINT_CATEGORIES, ML_ITERS)
+    return V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", "classification", "lr", POINT_CATEGORIES)
 
 
 @query("raw_vector_baseline")
 def q_raw_vector_baseline(spark, sf):
     tr, te = _split_features(spark, sf)
-    return V.holdout_evaluate(tr, te, "embedding", "label", "classification", "lr", None, ML_ITERS)
+    return V.holdout_evaluate(tr, te, "embedding", "label", "classification", "lr")
 
 
 @query("experiment_grid")
@@ -231,7 +231,7 @@ def q_experiment_grid(spark, sf):
         m = concept_matrix(split, models[k], cats, "vec_id", metric=metric, keep=["label", "split"]).persist(
             StorageLevel.MEMORY_AND_DISK)
         tr, te = m.filter(F.col("split") == "train"), m.filter(F.col("split") == "validation")
-        res = V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", "classification", "lr", POINT_CATEGORIES, ML_ITERS)
+        res = V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", "classification", "lr", POINT_CATEGORIES)
         return res.withColumn("k", F.lit(k)).withColumn("distance", F.lit(metric))
 
     # one held-out fit per configuration; the configurations are independent and fitted concurrently
@@ -254,8 +254,8 @@ def _write_counts(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text", "lang")
     counts = L.lexicon_counts(docs, fx.fx_lexicon(spark), LEX_CATS, contractions=fx.fx_contractions(spark))
     out = counts.join(docs.select("doc_id", "lang"), "doc_id")
-    name = "counts_" + "".join(ch if ch.isalnum() else "_" for ch in sf.rstrip("/").split("/")[-1])
-    return write_result(out, table_path(spark, name), ["lang"])
+    out = out.withColumn("lexicon", F.lit("test"))
+    return write_result(out, table_path(spark, "counts-" + uuid.uuid4().hex), ["lexicon", "lang"])  # a table per call
 
 
 @query("write_result", _COUNTS_LANG)
@@ -267,7 +267,7 @@ def q_write_result(spark, sf):
 @query("select_run", _COUNTS_LANG.replace("FROM (", "FROM (", 1) + " WHERE d.lang = 'en'")
 def q_select_run(spark, sf):
     path = _write_counts(spark, sf)
-    return select_run(spark, path, lang="en").select("doc_id", "category", "n", "lang")
+    return select_run(spark, path, lexicon="test", lang="en").select("doc_id", "category", "n", "lang")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions.vectors import explode_vector, l2_normalize, norm
@@ -9,6 +11,7 @@ from ..operators import embed as E
 from ..operators import lexicon as L
 from ..operators import refcorpus as R
 from ..operators import text as T
+from ..operators.concepts import embed
 from ..operators.represent import concept_matrix, ordered_categories
 from ..sources import fixtures as fx
 from ..sources.readers import corpus_vocab, read_lexicon, read_pairs
@@ -367,7 +370,38 @@ def q_encode_distinct(spark, sf):
     return explode_vector(out, ["doc_id"], "embedding")
 
 
-@query("encode_texts")
+MD5_DIM = 16
+# the md5 feature hashing encoder in SQL: (doc_id, text, embedding)
+MD5_VECTORS_SQL = (
+    f"md5_places AS (SELECT doc_id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % {MD5_DIM} AS i, count(*) AS n FROM fx_tokens GROUP BY 1, 2),\n"
+    "fx_doc_vectors AS (SELECT d.doc_id, d.text, 0 AS vec_id, list(CAST(coalesce(p.n, 0) AS DOUBLE) ORDER BY g.i) AS embedding "
+    f"FROM documents d CROSS JOIN range({MD5_DIM}) g(i) LEFT JOIN md5_places p ON p.doc_id = d.doc_id AND p.i = g.i GROUP BY d.doc_id, d.text)"
+)
+
+
+@query(
+    "encode_texts",
+    W(fx.TOKENS_SQL, MD5_VECTORS_SQL)
+    + "SELECT doc_id, CAST(i - 1 AS BIGINT) AS dim, " + sql_r6("embedding[i]") + " AS x FROM ("
+    "SELECT doc_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM fx_doc_vectors)",
+)
 def q_encode_texts(spark, sf):
-    out = E.encode_texts(_docs(spark, sf), "text", E.HashingEncoder)
-    return out.select("doc_id", r6(norm("embedding"), "norm"))
+    out = E.encode_texts(_docs(spark, sf), "text", partial(E.Md5Encoder, MD5_DIM), encoder_id=f"md5-{MD5_DIM}")
+    return explode_vector(out, ["doc_id"], "embedding")
+
+
+TEXT_EMBED_BASE_SQL = EMBED_BASE_SQL.replace(fx.DOC_VECTORS_SQL, MD5_VECTORS_SQL)
+TEXT_EMBED_SQL = (
+    TEXT_EMBED_BASE_SQL + ",\n"
+    "sims AS (SELECT d.doc_id, k.category, coalesce(list_cosine_similarity(d.embedding, cl.c), 0) AS s "
+    "FROM fx_doc_vectors d CROSS JOIN fx_categories k LEFT JOIN cl ON cl.category = k.category)\n"
+    "SELECT doc_id, " + ", ".join(f"{sql_r6(f'max(CASE WHEN category = {chr(39)}{c}{chr(39)} THEN s END)')} AS {c}" for c in LEX_CATS)
+    + " FROM sims GROUP BY doc_id"
+)
+
+
+@query("embed_texts", TEXT_EMBED_SQL)
+def q_embed_texts(spark, sf):
+    """The callable flagship end to end: texts, encoder, centroids of their own lexicon hits, similarities."""
+    wide = embed(_docs(spark, sf), _lex(spark), partial(E.Md5Encoder, MD5_DIM), encoder_id=f"md5-{MD5_DIM}")
+    return wide.select("doc_id", *[r6(c, c) for c in LEX_CATS])

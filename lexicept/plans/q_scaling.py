@@ -14,11 +14,13 @@ from .common import POINT_CATEGORIES, long_, r6, sql_centroid_lists, sql_r6
 from .registry import query
 
 W = fx.with_ctes
-K, SEED, ITERS = 3, 7, 2
+K, SEED = 3, 7
+# more steps than the provided tables need; further ones leave settled centres where they are
+ORACLE_STEPS = 12
 SPLIT_SEED, TRAIN_PCT = 11, 80
 
 
-def kmeans_sql(points: str = "fx_centroid_points", k: int = K, seed: int = SEED, iterations: int = ITERS) -> list[str]:
+def kmeans_sql(points: str = "fx_centroid_points", k: int = K, seed: int = SEED, iterations: int = ORACLE_STEPS) -> list[str]:
     """CTEs for grouped Lloyd's k-means unrolled ``iterations`` times; result CTE ``km``."""
 
     def assign(src: str, out: str) -> str:
@@ -35,15 +37,15 @@ def kmeans_sql(points: str = "fx_centroid_points", k: int = K, seed: int = SEED,
         )
 
     ctes = [
-        f"kp AS (SELECT category, key, CAST(embedding AS DOUBLE[]) AS v, {stable_hash_sql('key', seed)} AS hv FROM {points})",
-        f"c0 AS (SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY hv, key) - 1 AS INTEGER) AS cluster, v AS c "
+        f"kp AS MATERIALIZED (SELECT category, key, CAST(embedding AS DOUBLE[]) AS v, {stable_hash_sql('key', seed)} AS hv FROM {points})",
+        f"c0 AS MATERIALIZED (SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY hv, key) - 1 AS INTEGER) AS cluster, v AS c "
         f"FROM kp QUALIFY row_number() OVER (PARTITION BY category ORDER BY hv, key) <= {k})",
     ]
     for t in range(iterations):
         ctes.append(assign(f"c{t}", f"a{t}"))
         ctes.append(means(f"a{t}", f"m{t + 1}"))
         ctes.append(
-            f"c{t + 1} AS (SELECT o.category, o.cluster, coalesce(m.c, o.c) AS c FROM c{t} o "
+            f"c{t + 1} AS MATERIALIZED (SELECT o.category, o.cluster, coalesce(m.c, o.c) AS c FROM c{t} o "
             f"LEFT JOIN m{t + 1} m ON m.category = o.category AND m.cluster = o.cluster)"
         )
     ctes.append(assign(f"c{iterations}", "af"))
@@ -62,7 +64,7 @@ def _points(spark, sf):
     "FROM (SELECT category, cluster, c, unnest(generate_series(1, len(c))) AS i FROM km)",
 )
 def q_kmeans_centroids(spark, sf):
-    cent = kmeans_centroids(_points(spark, sf), k=K, seed=SEED, iterations=ITERS, key_col="key")
+    cent = kmeans_centroids(_points(spark, sf), k=K, seed=SEED, key_col="key")
     return explode_vector(cent.select("category", long_("cluster", "cluster"), "centroid"), ["category", "cluster"], "centroid")
 
 
@@ -74,7 +76,7 @@ def q_kmeans_centroids(spark, sf):
     "GROUP BY e.vec_id, k.category",
 )
 def q_concept_similarity_max(spark, sf):
-    cent = kmeans_centroids(_points(spark, sf), k=K, seed=SEED, iterations=ITERS, key_col="key")
+    cent = kmeans_centroids(_points(spark, sf), k=K, seed=SEED, key_col="key")
     emb = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
     out = concept_similarity(emb, cent, fx.fx_point_categories(spark, sf), "vec_id")
     return out.select("vec_id", "category", r6("similarity", "similarity"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 
+from functools import partial
+
+from ..operators.concepts import category_centroids, encode
+from ..operators.embed import Md5Encoder
 from ..operators.refcorpus import reference_centroids
 from ..operators.represent import attach_targets, concept_matrix
 from ..sources import fixtures as fx
-from ..streaming.concept_stream import run_available, stream_concept_matrix, stream_table, vector_key
+from ..streaming.concept_stream import run_available, stream_embed, stream_table
 from .common import long_, r6, sql_r6
-from .q_lexicon import EMBED_BASE_SQL, LEX_CATS
+from .q_lexicon import EMBED_BASE_SQL, LEX_CATS, MD5_DIM, TEXT_EMBED_SQL
 from .registry import query
 
 _WIDE_SQL = (
@@ -20,15 +24,14 @@ _WIDE_SQL = (
 )
 
 
-@query("stream_embed", _WIDE_SQL + "SELECT doc_id, " + ", ".join(f"{sql_r6(c)} AS {c}" for c in LEX_CATS) + " FROM wide")
+@query("stream_embed", TEXT_EMBED_SQL)
 def q_stream_embed(spark, sf):
-    """Flagship representation computed by a Structured Streaming query over the documents files."""
-    corpus = fx.fx_doc_vectors(spark, sf)
-    cent = reference_centroids(corpus, fx.fx_lexicon(spark))
-    vectors = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    n_vec = vectors.count()
-    texts = stream_table(spark, sf, "documents").select("doc_id", vector_key("doc_id", n_vec).alias("vec_id"))
-    wide = stream_concept_matrix(texts, vectors, cent, fx.fx_categories(spark))
+    """Flagship representation by a Structured Streaming query: the streamed texts are encoded and scored as they arrive."""
+    encoder, name = partial(Md5Encoder, MD5_DIM), f"md5-{MD5_DIM}"
+    lex = fx.fx_lexicon(spark)
+    cent = category_centroids(encode(fx.documents(spark, sf), encoder, encoder_id=name), lex)
+    texts = stream_table(spark, sf, "documents").select("doc_id", "text")
+    wide = stream_embed(texts, cent, fx.fx_categories(spark), encoder, encoder_id=name)
     path = run_available(wide, "stream_embed")
     return spark.read.parquet(path).select("doc_id", *[r6(c, c) for c in LEX_CATS])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,8 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors for written tables and checkpoints.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names. Only when
-    it is unset (local tests) do we create a scratch folder and register it.
+    On a cluster this is whatever ``spark.checkpoint.dir`` names; without it a
+    cluster session is refused, because a machine-local folder is not shared.
+    A local master has one machine, so a scratch folder serves there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -59,7 +63,8 @@ def ship_package(spark: SparkSession) -> None:
 
     Python UDFs defined in this package are unpickled on executors by module
     name, so the package has to travel with the job, as ``--py-files`` would do.
-    The zip is built once per SparkContext in the shared folder.
+    The zip is built once per SparkContext in a driver-side temporary folder;
+    ``addPyFile`` carries it to the executors.
     """
     import zipfile
     from pathlib import Path
@@ -69,11 +74,7 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     pkg = Path(__file__).resolve().parent
-    target = shared_dir(spark).rstrip("/")
-    if target.startswith("file:"):
-        target = target[len("file:"):]
-    os.makedirs(target, exist_ok=True)
-    path = os.path.join(target, f"lexicept-{os.getpid()}.zip")
+    path = os.path.join(tempfile.mkdtemp(prefix="run-ship-"), f"lexicept-{os.getpid()}.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
         for f in pkg.rglob("*.py"):
             zf.write(f, f.relative_to(pkg.parent).as_posix())

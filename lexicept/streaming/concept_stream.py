@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.embed import encode_texts
 from ..operators.represent import concept_matrix
 from ..session import shared_dir
 from ..sources.readers import CORPUS_SCHEMA
@@ -36,12 +37,20 @@ def stream_concept_matrix(texts: DataFrame, vectors: DataFrame, centroids: DataF
     return concept_matrix(joined.select(id_col, vec_col), centroids, categories, id_col, vec_col, metric)
 
 
-def run_available(stream: DataFrame, name: str, timeout_s: int = 600, base: str | None = None) -> str:
+def stream_embed(texts: DataFrame, centroids: DataFrame, categories: DataFrame, encoder_factory, encoder_id: str | None = None,
+                 id_col: str = "doc_id", text_col: str = "text", metric: str = "cosine") -> DataFrame:
+    """Wide representation of streamed texts: encode and score row by row, no join and no state."""
+    vectors = encode_texts(texts.select(id_col, text_col), text_col, encoder_factory, encoder_id=encoder_id)
+    return concept_matrix(vectors.select(id_col, "embedding"), centroids, categories, id_col, metric=metric)
+
+
+def run_available(stream: DataFrame, name: str, timeout_s: int | None = None, base: str | None = None) -> str:
     """Process everything available now into a parquet table; returns its path.
 
     ``base`` (output + checkpoint) defaults to a fresh folder in the shared
     checkpoint folder. Passing the same ``base`` again resumes: files already
     committed by an earlier run (or by a run that died midway) are not read twice.
+    ``timeout_s`` limits the wait only when given; a backlog takes the time it needs.
     """
     spark = stream.sparkSession
     base = base or shared_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
@@ -53,8 +62,9 @@ def run_available(stream: DataFrame, name: str, timeout_s: int = 600, base: str
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
     if q.exception() is not None:
