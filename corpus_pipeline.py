@@ -44,10 +44,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     row = ["doc_id", "_key"]
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     found = simhash.near_duplicates(keyed, keep=["_key"])
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp:"), F.col("fp").cast("string")))
-    rows = written(found.groupBy(group.alias("g"), "component_id", *row).agg(F.count("*").alias("n")), "pipeline-groups")
-    best = rows.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("g").agg(F.min(F.struct("_key", "doc_id")).alias("b"))
-    judged = rows.join(best, "g", "left").withColumn("stays", F.struct("_key", "doc_id").eqNullSafe(F.col("b")))
+    rows = written(found.groupBy("group", "component_id", *row).agg(F.count("*").alias("n")), "pipeline-groups")
+    best = rows.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("group").agg(F.min(F.struct("_key", "doc_id")).alias("b"))
+    judged = rows.join(best, "group", "left").withColumn("stays", F.struct("_key", "doc_id").eqNullSafe(F.col("b")))
     gone = written(judged.filter(~F.col("stays")).select(*row), "pipeline-duplicates")
     twice = written(judged.filter(F.col("stays") & (F.col("n") > 1)).select(*row), "pipeline-repeated")
     kept = keyed.join(maybe_broadcast(gone.select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k"))), F.expr(SAME), "left_anti")

@@ -11,7 +11,7 @@ is the content region, and the text of the whole region is the result:
 headings and short paragraphs inside it belong to it although their own
 ratio is low.
 
-Elements that never hold the article (menus, headers and footers outside it,
+Elements that never hold the article (menus, footers, headers outside it,
 asides, forms, scripts, styles) and those whose class, id or role names an
 advert, notice, sidebar, menu or reader comments are left out before paths
 are counted.
@@ -26,6 +26,7 @@ the empty text; repeated rows get equal results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -84,19 +85,23 @@ def _boilerplate(tag: str, rest: str) -> bool:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "skip", "depth")
+    __slots__ = ("tag", "parent", "path", "skip", "depth", "in_region", "weight", "inside")
 
-    def __init__(self, tag: str, parent: _Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: _Node | None, skip: bool, path: int):
+        self.tag, self.parent, self.skip, self.path = tag, parent, skip, path
         self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        self.in_region = tag in REGION_TAGS or parent is not None and parent.in_region
+        self.weight, self.inside = 0, False
 
 
 class _Page:
     """Collects text pieces as (element, block number, text, inside a link)."""
 
     def __init__(self):
-        self.top = _Node("", None, False)
+        self.top = _Node("", None, False, 0)
+        self.nodes = [self.top]  # in page order: parents before children
+        self.paths: dict[tuple[int, str], int] = {}  # a tag path is named by its parent path and its last tag
+        self.open: Counter = Counter()  # open elements by tag
         self.pieces: list[tuple[_Node, int, str, bool]] = []
         self.block = 0
         self.links = 0
@@ -128,6 +133,7 @@ class _Page:
 
     def _close_to(self, node: _Node) -> None:
         while self.top is not node:
+            self.open[self.top.tag] -= 1
             if self.top.tag == "a":
                 self.links -= 1
             elif self.top.tag not in INLINE:
@@ -136,6 +142,8 @@ class _Page:
 
     def _open(self, tags: set, stops: set) -> _Node | None:
         n = self.top
+        if not any(self.open[t] for t in tags):
+            return None
         while n.parent is not None and n.tag not in stops:
             if n.tag in tags:
                 return n
@@ -155,12 +163,16 @@ class _Page:
             self.pieces.append((self.top, self.block, " ", False))
         if tag in VOID:
             return
-        skip = self.top.skip or _boilerplate(tag, rest)
+        skip = self.top.skip or _boilerplate(tag, rest) or tag == "header" and not self.top.in_region
         if tag == "a":
             self.links += 1
-        self.top = _Node(tag, self.top, skip)
+        self.top = _Node(tag, self.top, skip, self.paths.setdefault((self.top.path, tag), len(self.paths) + 1))
+        self.nodes.append(self.top)
+        self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         n = self.top
         while n.parent is not None and n.tag != tag:
             n = n.parent
@@ -174,9 +186,9 @@ class _Page:
             self.pieces.append((self.top, self.block, unescape(data) if "&" in data else data, self.links > 0))
 
 
-def _content_paths(pieces: list) -> set[str]:
+def _content_paths(pieces: list) -> set[int]:
     """Paths whose smoothed and fused ratio reaches the threshold."""
-    stats: dict[str, list[float]] = {}
+    stats: dict[int, list[float]] = {}
     for node, _, text, linked in pieces:
         n = len(text.strip())
         if n:
@@ -202,27 +214,25 @@ def _content_paths(pieces: list) -> set[str]:
     return {p for p, f in zip(paths, fused, strict=True) if f > 0 and f >= THRESHOLD * mean}
 
 
-def _region(pieces: list, content: set[str]) -> _Node | None:
+def _region(page: _Page, content: set[int]) -> _Node | None:
     """The region tag, else the smallest element, that holds the bulk of the content text."""
-    weight: dict[_Node, int] = {}
     total = 0
-    for node, _, text, _ in pieces:
+    for node, _, text, _ in page.pieces:
         n = len(text.strip())
         if n and node.path in content:
             total += n
-            at: _Node | None = node
-            while at is not None:
-                weight[at] = weight.get(at, 0) + n
-                at = at.parent
+            node.weight += n
     if not total:
         return None
-    named = [n for n in weight if n.tag in REGION_TAGS]
+    for node in reversed(page.nodes):  # children before parents
+        if node.parent is not None:
+            node.parent.weight += node.weight
     for tag in REGION_TAGS:
-        best = max((n for n in named if n.tag == tag), key=lambda n: (weight[n], -n.depth), default=None)
-        if best is not None and weight[best] >= 0.5 * total:
+        best = max((n for n in page.nodes if n.tag == tag), key=lambda n: (n.weight, -n.depth), default=None)
+        if best is not None and best.weight >= 0.5 * total:
             return best
-    enough = [n for n in weight if weight[n] >= REGION_SHARE * total and n.tag not in INLINE and n.tag not in ("p", "h1", "h2", "li", "td")]
-    return max(enough, key=lambda n: (n.depth, weight[n]), default=None)
+    enough = (n for n in page.nodes if n.weight >= REGION_SHARE * total and n.tag not in INLINE and n.tag not in ("p", "h1", "h2", "li", "td"))
+    return max(enough, key=lambda n: (n.depth, n.weight), default=None)
 
 
 def extract_text(html: str | None) -> str:
@@ -230,21 +240,15 @@ def extract_text(html: str | None) -> str:
         return ""
     page = _Page()
     page.feed(html)
-    region = _region(page.pieces, _content_paths(page.pieces))
+    region = _region(page, _content_paths(page.pieces))
     if region is None:
         return ""
-    inside: dict[int, bool] = {}
-
-    def within(node: _Node) -> bool:
-        known = inside.get(id(node))
-        if known is None:
-            known = inside[id(node)] = node is region or (node.parent is not None and within(node.parent))
-        return known
-
+    for node in page.nodes:
+        node.inside = node is region or node.parent is not None and node.parent.inside
     blocks: list[str] = []
     current, number = [], None
     for node, block, text, _ in page.pieces:
-        if not within(node):
+        if not node.inside:
             continue
         if block != number:
             blocks.append("".join(current))

@@ -216,9 +216,11 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: ``id_col``, ``fp`` (long), ``component_id``, and the columns named in ``keep``.
+    """One row per document: ``id_col``, ``fp`` (long), ``group``, ``component_id``, and the columns named in ``keep``.
 
-    The result is narrow; texts are read once, for the fingerprint.
+    ``group`` (a fingerprint of the component) tells components apart where
+    ids repeat; ``component_id`` is the smallest id of the component. The
+    result is narrow; texts are read once, for the fingerprint.
     """
     cols = [F.col(id_col), *[F.col(c) for c in keep or []]]
     prints = written(docs.select(*cols, fingerprint(text_col, shingle_words).alias("fp")), "simhash-prints")
@@ -226,8 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(covering_links(nodes.select("fp"), radius))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp", "left").select(id_col, *(keep or []), "fp", "component_id")
+    labels = placed.join(least, "root").select("fp", F.col("root").alias("group"), "component_id")
+    return prints.join(labels, "fp", "left").select(id_col, *(keep or []), "fp", "group", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
