@@ -161,3 +161,14 @@ def icc_average(long: DataFrame, object_col: str = "object", rater_col: str = "r
     icc = (msr - mse) / (msr + (msc - mse) / n)
     return parts.select(*g, F.col("n").cast("long").alias("n_objects"), F.col("k").cast("long").alias("n_raters"),
                         msr.alias("msr"), msc.alias("msc"), mse.alias("mse"), icc.alias("icc"))
+
+
+def stack_columns(df: DataFrame, id_cols: list[str], columns: dict[str, str], name_col: str, value_col: str) -> DataFrame:
+    """Side-by-side columns under each other: (ids..., name, value), one pass."""
+    entries = F.array(*[F.struct(F.lit(k).alias(name_col), F.col(c).alias(value_col)) for k, c in columns.items()])
+    return df.select(*id_cols, F.inline(entries))
+
+
+def column_summary(long: DataFrame, group_col: str, value_col: str) -> DataFrame:
+    """(group, mean, median) of a long table; nulls count nowhere."""
+    return long.groupBy(group_col).agg(F.avg(value_col).alias("mean"), F.median(value_col).alias("median"))

@@ -29,7 +29,7 @@ from .scaling import apply_columns, fit_columns
 #: Doubles per partition of a cached fit input (rows times features).
 CELLS_PER_FIT_PARTITION = 4_000_000
 MAX_ITER = 5000
-FIT_TOLERANCE = 1e-8
+FIT_TOLERANCE = 1e-6
 #: Strength of the classifiers' L2 penalty: half the squared weights against C times the summed loss.
 INVERSE_PENALTY = 1.0
 
@@ -300,3 +300,69 @@ def cross_validate(df: DataFrame, features, label: str, fold_col: str = "fold",
         maj = majority_baseline_cv(df, label, fold_col).select(fold_col, F.lit("cv_majority_accuracy").alias("metric"), F.col("accuracy").alias("value"))
         out = out.filter(F.col("metric") != "majority_accuracy").unionByName(maj)
     return out
+
+
+# ---------------------------------------------------------------- optimality and reports
+
+
+def classifier_gradient(fitted, mapping: dict, train: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(class, feature, gradient) of the regularised logistic objective at the fitted weights: zero at the optimum.
+
+    One aggregate with a sum per class and feature; the constant's entry is called ``intercept``.
+    """
+    n = train.filter(F.col(label).isin(*mapping)).count()
+    by_index = {i: k for k, i in mapping.items()}
+    cells = []
+    for i, m in enumerate(fitted.stages[0].models):
+        w = [float(x) for x in m.coefficients.toArray()]
+        z = F.lit(float(m.intercept))
+        for c, x in zip(features, w, strict=True):
+            z = z + F.col(c) * F.lit(x)
+        off = F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - (F.col(label) == F.lit(by_index[i])).cast("double")
+        for c, x in [*zip(features, w, strict=True), ("intercept", 0.0)]:
+            term = off if c == "intercept" else off * F.col(c)
+            value = F.avg(term) + F.lit(x / (INVERSE_PENALTY * n))
+            cells.append(F.struct(F.lit(by_index[i]).alias("class"), F.lit(c).alias("feature"), value.alias("gradient")))
+    return train.filter(F.col(label).isin(*mapping)).agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+def residual_moments(pred: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(feature, moment): cosine of the training residuals with every feature and the constant, zero for least squares."""
+    r = F.col(label).cast("double") - F.col("prediction")
+    cells = []
+    for c in [*features, "intercept"]:
+        x = F.lit(1.0) if c == "intercept" else F.col(c).cast("double")
+        cos = F.coalesce(F.try_divide(F.sum(r * x), F.sqrt(F.sum(r * r)) * F.sqrt(F.sum(x * x))), F.lit(0.0))
+        cells.append(F.struct(F.lit(c).alias("feature"), cos.alias("moment")))
+    return pred.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+def compare_with_baseline(results: DataFrame, group_cols: list[str], task: str = "classification") -> DataFrame:
+    """(groups..., baseline, at_least_baseline) from (groups..., metric, value) rows."""
+    value = lambda *names: F.max(F.when(F.col("metric").isin(*names), F.col("value")))
+    if task == "classification":
+        got, base = value("accuracy"), value("majority_accuracy", "cv_majority_accuracy")
+        good = got >= base - 1e-9
+    else:
+        got, base = value("rmse"), value("baseline_rmse")
+        good = got <= base * (1 + 1e-9)
+    return results.groupBy(*group_cols).agg(base.alias("baseline"), good.alias("at_least_baseline"))
+
+
+def experiment_grid(build, configs: list[dict], features, label: str, task: str = "classification", parallelism: int = 4) -> DataFrame:
+    """Held-out evaluation of every configuration: ``build(config) -> (train, test)``; (coordinates..., metric, value).
+
+    Configurations are independent and submitted concurrently.
+    """
+
+    def one(config: dict) -> DataFrame:
+        train, test = build(config)
+        res = holdout_evaluate(train, test, features, label, task, scale_cols=features if isinstance(features, list) else None)
+        return res.select(*[F.lit(v).alias(k) for k, v in config.items()], "metric", "value")
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(configs)))) as pool:
+        parts = list(pool.map(one, configs))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -33,17 +33,21 @@ def contraction_rules(contractions: DataFrame | list | None) -> list[tuple[str,
 def expand_contractions_expr(text, rules: list[tuple[str, str]]) -> Column:
     """Rewrite whole-word contractions (on already lower-cased text).
 
-    One combined ``rlike`` test gates the per-rule replacements, so a text
-    holding no contraction is scanned once instead of once per rule.
+    Rules are literal text. Each contraction first becomes a marker (its rule
+    number between two private-use characters) and all markers are expanded
+    at the end, so no rule sees another rule's expansion. One combined
+    ``rlike`` test gates the work: a text without contractions is scanned once.
     """
     t = _c(text)
     if not rules:
         return t
+    literal = [r"\b\Q" + src.replace(r"\E", r"\E\\E\Q") + r"\E\b" for src, _ in rules]
     out = t
-    for src, dst in rules:
-        out = F.regexp_replace(out, F.lit(r"\b" + src + r"\b"), F.lit(dst))
-    any_rule = r"\b(?:" + "|".join(src for src, _ in rules) + r")\b"
-    return F.when(t.rlike(any_rule), out).otherwise(t)
+    for i, p in enumerate(literal):
+        out = F.regexp_replace(out, F.lit(p), F.lit(f"\ue000{i}\ue001"))
+    for i, (_, dst) in enumerate(rules):
+        out = F.replace(out, F.lit(f"\ue000{i}\ue001"), F.lit(dst))
+    return F.when(t.rlike("|".join(literal)), out).otherwise(t)
 
 
 def prepared_text(text, max_chars: int | None = None, contractions=None) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
@@ -163,7 +162,7 @@ def q_metrics(spark, sf):
                     r6(r.select("rmse").scalar(), "rmse"), r6(r.select("r2").scalar(), "r2"))
 
 
-# ---------------------------------------------------------------- Spark ML (rows-only checks)
+# ---------------------------------------------------------------- Spark ML fits
 
 
 def _split_features(spark, sf):
@@ -171,76 +170,177 @@ def _split_features(spark, sf):
     return m.filter(F.col("split") == "train"), m.filter(F.col("split") == "validation")
 
 
-def _fit_predict(spark, sf, model):
+def _scaled_split(spark, sf):
     tr, te = _split_features(spark, sf)
     sc = S.fit_columns(tr, POINT_CATEGORIES)
-    tr, te = S.apply_columns(tr, sc, POINT_CATEGORIES), S.apply_columns(te, sc, POINT_CATEGORIES)
-    fitted, mapping = V.fit_model(tr, POINT_CATEGORIES, "label", "classification", model)
-    return V.predict(fitted, mapping, te, POINT_CATEGORIES, "label").select("vec_id", "label", "prediction")
+    return S.apply_columns(tr, sc, POINT_CATEGORIES), S.apply_columns(te, sc, POINT_CATEGORIES)
 
 
-@query("fit_classifier")
+_TRAIN_SQL = f"tr AS (SELECT label, ({stable_hash_sql('vec_id', SPLIT_SEED)}) % 100 < 75 AS train FROM embeddings)"
+_FEATURES_SQL = "f(feature) AS (VALUES " + ", ".join(f"('{c}')" for c in [*POINT_CATEGORIES, "intercept"]) + ")"
+
+
+@query(
+    "fit_classifier",
+    W(_TRAIN_SQL, _FEATURES_SQL)
+    + "SELECT CAST(label AS BIGINT) AS class, feature, 0.0::DOUBLE AS gradient, CAST((SELECT count(*) FROM tr WHERE train) AS BIGINT) AS n_train "
+    "FROM (SELECT DISTINCT label FROM tr WHERE train) CROSS JOIN f",
+)
 def q_fit_classifier(spark, sf):
-    return _fit_predict(spark, sf, "lr")
+    """The fitted weights' certificate: the objective's gradient vanishes in every class and feature."""
+    tr, _ = _scaled_split(spark, sf)
+    fitted, mapping = V.fit_model(tr, POINT_CATEGORIES, "label")
+    g = V.classifier_gradient(fitted, mapping, tr, POINT_CATEGORIES, "label")
+    return g.select("class", "feature", (F.round("gradient", 3) + F.lit(0.0)).alias("gradient"), F.lit(tr.count()).cast("long").alias("n_train"))
 
 
-@query("fit_svm")
+@query(
+    "fit_svm",
+    W(_TRAIN_SQL) + "SELECT CAST(count(*) FILTER (WHERE train) AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE NOT train) AS BIGINT) AS n_test, "
+    "true AS beats_majority FROM tr",
+)
 def q_fit_svm(spark, sf):
-    return _fit_predict(spark, sf, "svm")
+    """Rows predicted, and whether the held-out accuracy exceeds the training mode's."""
+    tr, te = _scaled_split(spark, sf)
+    fitted, mapping = V.fit_model(tr, POINT_CATEGORIES, "label", model="svm")
+    m = V.classification_metrics(V.predict(fitted, mapping, te, POINT_CATEGORIES, "label"), "label_idx", "prediction")
+    base = V.majority_baseline_holdout(tr, te, "label")
+    return m.select(F.lit(tr.count()).cast("long").alias("n_train"), long_("n", "n_test"),
+                    (F.col("accuracy") > base.select("accuracy").scalar()).alias("beats_majority"))
 
 
-@query("fit_regressor")
-def q_fit_regressor(spark, sf):
+_REGRESSION_SPLIT_SQL = f"({stable_hash_sql('doc_id', SPLIT_SEED)}) % 100 < 75"
+
+
+def _regression_rows(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
-    wide = L.lexicon_counts_wide(docs, fx.fx_lexicon(spark), LEX_CATS, keep=["n_chars"])
-    split = V.random_split(wide, "doc_id", SPLIT_SEED)
-    tr, te = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "validation")
-    fitted, _ = V.fit_model(tr, LEX_CATS, "n_chars", "regression", "lr")
-    return V.predict(fitted, None, te, LEX_CATS, "n_chars", "regression").select("doc_id", "n_chars", r6("prediction", "prediction"))
+    return L.lexicon_counts_wide(docs, fx.fx_lexicon(spark), LEX_CATS, keep=["n_chars"])
+
+
+@query(
+    "fit_regressor",
+    "WITH f(feature) AS (VALUES " + ", ".join(f"('{c}')" for c in [*LEX_CATS, "intercept"]) + ") SELECT feature, 0.0::DOUBLE AS moment, "
+    f"CAST((SELECT count(*) FROM documents WHERE {_REGRESSION_SPLIT_SQL}) AS BIGINT) AS n_train FROM f",
+)
+def q_fit_regressor(spark, sf):
+    """The least-squares certificate: training residuals are orthogonal to every feature and the constant."""
+    tr = V.random_split(_regression_rows(spark, sf), "doc_id", SPLIT_SEED).filter("split = 'train'")
+    fitted, _ = V.fit_model(tr, LEX_CATS, "n_chars", "regression")
+    m = V.residual_moments(V.predict(fitted, None, tr, LEX_CATS, "n_chars", "regression"), LEX_CATS, "n_chars")
+    return m.select("feature", (F.round("moment", 5) + F.lit(0.0)).alias("moment"), F.lit(tr.count()).cast("long").alias("n_train"))
+
+
+_FOLD_MAJORITY_SQL = (
+    "fc AS (SELECT fold, label, count(*) AS n FROM sfolds GROUP BY fold, label)",
+    "fm AS (SELECT fold, " + sql_r6("max(n) / sum(n)") + " AS baseline, true AS at_least_baseline FROM fc GROUP BY fold)",
+)
 
 
-@query("cross_validate")
+@query("cross_validate", W(*_STRAT_SQL, *_FOLD_MAJORITY_SQL) + "SELECT fold, baseline, at_least_baseline FROM fm")
 def q_cross_validate(spark, sf):
-    m = V.stratified_folds(_features(spark, sf).persist(StorageLevel.MEMORY_AND_DISK), "vec_id", "label")
-    return V.cross_validate(m, POINT_CATEGORIES, "label", "fold", "classification", "lr", POINT_CATEGORIES)
+    """Five stratified folds: rows standardised, then columns refitted per fold."""
+    rows = S.row_standardize(_features(spark, sf), POINT_CATEGORIES)
+    m = V.stratified_folds(rows, "vec_id", "label")
+    res = V.compare_with_baseline(V.cross_validate(m, POINT_CATEGORIES, "label", scale_cols=POINT_CATEGORIES), ["fold"])
+    return res.select(long_("fold", "fold"), r6("baseline", "baseline"), "at_least_baseline")
+
+
+_REG_FOLDS_SQL = (
+    "f AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS y, ntile(5) OVER (ORDER BY doc_id) - 1 AS fold FROM documents)",
+    "st AS (SELECT fold, sum(y) AS s, count(*) AS n FROM f GROUP BY fold)",
+    "fm AS (SELECT fold, ((SELECT sum(s) FROM st) - s) / ((SELECT sum(n) FROM st) - n) AS m_train FROM st)",
+)
 
 
-@query("holdout_evaluate")
+@query(
+    "cross_validate_regression",
+    W(*_REG_FOLDS_SQL) + "SELECT CAST(f.fold AS BIGINT) AS fold, " + sql_r6("sqrt(avg((y - m_train) ^ 2))")
+    + " AS baseline, true AS at_least_baseline FROM f JOIN fm ON fm.fold = f.fold GROUP BY f.fold",
+)
+def q_cross_validate_regression(spark, sf):
+    """Five contiguous folds of a regression, against predicting the other folds' mean."""
+    m = V.contiguous_folds(_regression_rows(spark, sf), "doc_id")
+    res = V.cross_validate(m, LEX_CATS, "n_chars", task="regression", scale_cols=LEX_CATS)
+    out = V.compare_with_baseline(res, ["fold"], "regression")
+    return out.select(long_("fold", "fold"), r6("baseline", "baseline"), "at_least_baseline")
+
+
+_HOLDOUT_MAJORITY_SQL = (
+    _TRAIN_SQL,
+    "mode AS (SELECT label FROM tr WHERE train GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)",
+    "b AS (SELECT " + sql_r6("avg(CASE WHEN label = (SELECT label FROM mode) THEN 1.0 ELSE 0.0 END)") + " AS baseline FROM tr WHERE NOT train)",
+)
+
+
+@query("holdout_evaluate", W(*_HOLDOUT_MAJORITY_SQL) + "SELECT baseline, true AS at_least_baseline FROM b")
 def q_holdout_evaluate(spark, sf):
     tr, te = _split_features(spark, sf)
-    return V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", "classification", "lr", POINT_CATEGORIES)
+    tr, te = S.row_standardize(tr, POINT_CATEGORIES), S.row_standardize(te, POINT_CATEGORIES)
+    res = V.compare_with_baseline(V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", scale_cols=POINT_CATEGORIES), [])
+    return res.select(r6("baseline", "baseline"), "at_least_baseline")
 
 
-@query("raw_vector_baseline")
+@query(
+    "holdout_regression",
+    f"WITH f AS (SELECT CAST(n_chars AS DOUBLE) AS y, {_REGRESSION_SPLIT_SQL} AS train FROM documents) SELECT "
+    + sql_r6("sqrt(avg((y - (SELECT avg(y) FROM f WHERE train)) ^ 2))") + " AS baseline, true AS at_least_baseline FROM f WHERE NOT train",
+)
+def q_holdout_regression(spark, sf):
+    split = V.random_split(_regression_rows(spark, sf), "doc_id", SPLIT_SEED)
+    tr, te = split.filter("split = 'train'"), split.filter("split = 'validation'")
+    res = V.compare_with_baseline(V.holdout_evaluate(tr, te, LEX_CATS, "n_chars", "regression", scale_cols=LEX_CATS), [], "regression")
+    return res.select(r6("baseline", "baseline"), "at_least_baseline")
+
+
+@query(
+    "raw_vector_baseline",
+    W(*_STRAT_SQL, *_FOLD_MAJORITY_SQL) + "SELECT s.scaled, fold, baseline, true AS scored FROM fm CROSS JOIN (VALUES (true), (false)) s(scaled)",
+)
 def q_raw_vector_baseline(spark, sf):
-    tr, te = _split_features(spark, sf)
-    return V.holdout_evaluate(tr, te, "embedding", "label", "classification", "lr")
+    """The vectors themselves as features: five folds, with and without column scaling; ``scored``: the fold has an accuracy.
+
+    On the provided vectors the labels are near chance, so the accuracy itself is no invariant.
+    """
+    emb = _emb(spark, sf)
+    dim = len(emb.select("embedding").first()[0])
+    cols = [f"x{i}" for i in range(dim)]
+    wide = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    m = V.stratified_folds(wide, "vec_id", "label")
+    parts = [
+        V.compare_with_baseline(V.cross_validate(m, cols, "label", scale_cols=cols if scaled else None), ["fold"])
+        .select(F.lit(scaled).alias("scaled"), long_("fold", "fold"), r6("baseline", "baseline"), F.col("at_least_baseline").isNotNull().alias("scored"))
+        for scaled in (True, False)
+    ]
+    return parts[0].unionByName(parts[1])
+
 
+GRID = [{"k": k, "distance": d, "reference": r} for k in (1, 2, 3, 4) for d in ("cosine", "l2") for r in ("all", "train")]
 
-@query("experiment_grid")
+
+@query(
+    "experiment_grid",
+    W(*_HOLDOUT_MAJORITY_SQL) + "SELECT CAST(k AS BIGINT) AS k, distance, reference, baseline, true AS at_least_baseline FROM b "
+    "CROSS JOIN (VALUES (1), (2), (3), (4)) a(k) CROSS JOIN (VALUES ('cosine'), ('l2')) d(distance) CROSS JOIN (VALUES ('all'), ('train')) r(reference)",
+)
 def q_experiment_grid(spark, sf):
-    """K in {1, 2} x {cosine, l2} concept representations, each scored by a held-out LR fit."""
-    emb = _emb(spark, sf)
+    """K x distance x reference corpus, each a held-out fit; results stored by run coordinates and read back by them."""
     pts = fx.fx_centroid_points(spark, sf)
     cats = fx.fx_point_categories(spark, sf)
-    split = V.random_split(emb, "vec_id", SPLIT_SEED)
-    models = {1: mean_centroids(pts), 2: kmeans_centroids(pts, k=2, seed=7, iterations=2, key_col="key")}
-
-    def one_config(cfg):
-        k, metric = cfg
-        m = concept_matrix(split, models[k], cats, "vec_id", metric=metric, keep=["label", "split"]).persist(
-            StorageLevel.MEMORY_AND_DISK)
-        tr, te = m.filter(F.col("split") == "train"), m.filter(F.col("split") == "validation")
-        res = V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", "classification", "lr", POINT_CATEGORIES)
-        return res.withColumn("k", F.lit(k)).withColumn("distance", F.lit(metric))
-
-    # one held-out fit per configuration; the configurations are independent and fitted concurrently
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        parts = list(pool.map(one_config, [(k, m) for k in (1, 2) for m in ("cosine", "l2")]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    split = V.random_split(_emb(spark, sf), "vec_id", SPLIT_SEED)
+    train_keys = split.filter("split = 'train'").select(F.col("vec_id").alias("key"))
+    sources = {"all": pts, "train": pts.join(train_keys, "key", "left_semi")}
+    models = {(k, r): mean_centroids(p) if k == 1 else kmeans_centroids(p, k=k, seed=7) for k in (1, 2, 3, 4) for r, p in sources.items()}
+
+    def build(c):
+        m = concept_matrix(split, models[(c["k"], c["reference"])], cats, "vec_id", metric=c["distance"], keep=["label", "split"])
+        rows = S.row_standardize(m, POINT_CATEGORIES)
+        return rows.filter("split = 'train'"), rows.filter("split = 'validation'")
+
+    res = V.experiment_grid(build, GRID, POINT_CATEGORIES, "label")
+    path = write_result(res, table_path(spark, "grid-" + uuid.uuid4().hex), ["k", "distance", "reference"])
+    runs = [select_run(spark, path, distance=d) for d in ("cosine", "l2")]
+    out = V.compare_with_baseline(runs[0].unionByName(runs[1]), ["k", "distance", "reference"])
+    return out.select(long_("k", "k"), "distance", "reference", r6("baseline", "baseline"), "at_least_baseline")
 
 
 # ---------------------------------------------------------------- sources and sinks

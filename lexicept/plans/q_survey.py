@@ -5,10 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import icc_average, paired_t_test, row_pearson
+from ..functions.stats import column_summary, icc_average, paired_t_test, row_pearson, stack_columns
 from ..operators import lexicon as L
 from ..operators import scaling as S
 from ..operators import sense as N
@@ -259,9 +258,7 @@ def q_vector_correlation(spark, sf):
     " UNION ALL ".join(f"SELECT doc_id, '{m}' AS method, {m}_corr AS r FROM ({CORR_SQL})" for m in METHODS),
 )
 def q_stack_batches(spark, sf):
-    corr = _correlations(spark, sf)
-    parts = [corr.select("doc_id", F.lit(m).alias("method"), F.col(f"{m}_corr").alias("r")) for m in METHODS]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return stack_columns(_correlations(spark, sf), ["doc_id"], {m: f"{m}_corr" for m in METHODS}, "method", "r")
 
 
 @query(
@@ -272,18 +269,16 @@ def q_stack_batches(spark, sf):
     ),
 )
 def q_column_summary(spark, sf):
-    corr = _correlations(spark, sf)
-    long = corr.unpivot(["doc_id"], [f"{m}_corr" for m in METHODS], "col", "r").withColumn(
-        "method", F.regexp_replace("col", "_corr$", "")
-    )
-    return long.groupBy("method").agg(r6(F.avg("r"), "mean_r"), r6(F.median("r"), "median_r"))
+    long = stack_columns(_correlations(spark, sf), ["doc_id"], {m: f"{m}_corr" for m in METHODS}, "method", "r")
+    return column_summary(long, "method", "r").select("method", r6("mean", "mean_r"), r6("median", "median_r"))
 
 
 PAIRS = [(a, b) for i, a in enumerate(METHODS) for b in METHODS[i + 1:]]
 
 
-def _ttest_sql(a: str, b: str, src: str) -> str:
+def _ttest_sql(a: str, b: str, src: str, raw: bool = False) -> str:
     d = f"({a}_corr - {b}_corr)"
+    sql_r6 = (lambda e: f"CAST({e} AS DOUBLE)") if raw else globals()["sql_r6"]
     return (
         f"SELECT '{a}' AS a, '{b}' AS b, CAST(count({d}) AS BIGINT) AS n, {sql_r6(f'avg({d})')} AS mean_diff, "
         f"{sql_r6(f'stddev_samp({d})')} AS sd_diff, {sql_r6(f'avg({d}) / (stddev_samp({d}) / sqrt(count({d})))')} AS t, "
@@ -293,11 +288,9 @@ def _ttest_sql(a: str, b: str, src: str) -> str:
 
 def _ttests(spark, sf, with_p: bool):
     corr = _correlations(spark, sf)
-    parts = []
-    for a, b in PAIRS:
-        t = paired_t_test(corr, f"{a}_corr", f"{b}_corr", with_p=with_p)
-        parts.append(t.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*"))
-    out = reduce(lambda x, y: x.unionByName(y), parts)
+    # all pairs side by side, one grouped aggregate
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_corr").alias("x"), F.col(f"{b}_corr").alias("y")) for a, b in PAIRS])
+    out = paired_t_test(corr.select(F.inline(pairs)), "x", "y", ["a", "b"], with_p=with_p)
     cols = ["mean_diff", "sd_diff", "t", "df"] + (["p_two_sided", "p_greater"] if with_p else [])
     return out.select("a", "b", "n", *[r6(c, c) for c in cols])
 
@@ -307,7 +300,21 @@ def q_paired_t_test(spark, sf):
     return _ttests(spark, sf, with_p=False)
 
 
-@query("paired_t_pvalue")
+# P(|T| > |t|) = 1 - 2 c * integral of cos(u)^(df - 1) from 0 to atan(|t| / sqrt(df)), by Simpson's rule with 2,000 steps
+_P_STEPS = 2000
+
+
+def _pvalue_sql(src: str) -> str:
+    f = f"power(cos(atan(abs(t) / sqrt(df)) * i / {_P_STEPS}), df - 1) * (CASE WHEN i IN (0, {_P_STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    c = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi())"
+    return (
+        f"WITH tt AS ({src}), p AS (SELECT a, b, n, mean_diff, sd_diff, t, df, 1 - 2 * {c} * (SELECT sum({f}) FROM range({_P_STEPS + 1}) r(i)) "
+        f"* atan(abs(t) / sqrt(df)) / {_P_STEPS} / 3 AS two FROM tt) SELECT a, b, n, " + ", ".join(f"{sql_r6(x)} AS {x}" for x in ("mean_diff", "sd_diff", "t", "df"))
+        + f", {sql_r6('two')} AS p_two_sided, {sql_r6('CASE WHEN t > 0 THEN two / 2 ELSE 1 - two / 2 END')} AS p_greater FROM p"
+    )
+
+
+@query("paired_t_pvalue", _pvalue_sql(" UNION ALL ".join(_ttest_sql(a, b, CORR_SQL, raw=True) for a, b in PAIRS)))
 def q_paired_t_pvalue(spark, sf):
     return _ttests(spark, sf, with_p=True)
 
@@ -342,10 +349,8 @@ def q_icc_average(spark, sf):
         fx.table(spark, sf, "documents").select(F.col("doc_id").alias("object"), F.col("lang").alias("batch")), "object"
     )
     per = icc_average(long, "object", "rater", "score", ["batch"])
-    # the mean over batches is a window over the per-batch result (one row per batch), not a second pass
-    mean_icc = F.avg("icc").over(Window.partitionBy())
     return per.select("batch", "n_objects", "n_raters", r6("msr", "msr"), r6("msc", "msc"), r6("mse", "mse"),
-                      r6("icc", "icc"), r6(mean_icc, "mean_icc"))
+                      r6("icc", "icc"), r6(per.agg(F.avg("icc")).scalar(), "mean_icc"))
 
 
 # ---------------------------------------------------------------- word senses

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 def test_stream_equals_batch(spark, sf_small):
     q = E.queries()
     s = q["stream_embed"](spark, sf_small)
-    b = q["embed"](spark, sf_small)
+    b = q["embed_texts"](spark, sf_small)
     assert s.count() == b.count()
     assert s.exceptAll(b.select(*s.columns)).count() == 0
 
