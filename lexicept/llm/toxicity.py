@@ -43,9 +43,11 @@ from .common import add_struct, written
 
 SAMPLE_DOCS = 8_000
 #: Words of a labelled row that can teach a weight must be in at least this many toxic rows.
-MIN_ROWS = 3
+MIN_ROWS = 4
 #: Least log odds of a learned word or stem.
-MIN_WEIGHT = 1.5
+MIN_WEIGHT = 3.0
+#: Rows of prior belief added to every entry, split between the labels as the sample is.
+PRIOR_ROWS = 2.0
 #: Lexicon entries kept, by evidence.
 LEXICON_SIZE = 50_000
 STEM_LENGTHS = (5, 6, 7, 8, 10)
@@ -156,13 +158,13 @@ class Grammar:
 
 
 def features(tapes: list[float], words: int) -> list[float]:
-    """Model inputs: each tape damped and per square root of length, and a constant."""
+    """Model inputs: each tape damped and per square root of length, the length, and a constant."""
     scale = (50 + words) ** 0.5
-    return [*[min(20.0, t) for t in tapes], *[min(20.0, 10 * t / scale) for t in tapes], 1.0]
+    return [*[math.log1p(t) for t in tapes], *[min(20.0, 10 * t / scale) for t in tapes], math.log(50 + words), 1.0]
 
 
 #: Used when there are no labels of both kinds.
-DEFAULT_WEIGHTS = [1.0, 1.0, 0.1, 0.2, 1.0, 0, 0, 0, 0, 0, -3.0]
+DEFAULT_WEIGHTS = [3.0, 3.0, 0.3, 0.6, 3.0, 0, 0, 0, 0, 0, 0, -3.0]
 
 
 def entries(text: str) -> tuple[set[str], set[str]]:
@@ -172,11 +174,12 @@ def entries(text: str) -> tuple[set[str], set[str]]:
 
 
 def weights_of(counts: dict[str, tuple[int, int]], n: tuple[int, int]) -> dict[str, float]:
-    """Log odds of (other, toxic) row counts, kept when clearly toxic."""
+    """Log odds of (other, toxic) row counts, shrunk to the labels' shares and kept when clearly toxic."""
     ranked = []
+    prior = PRIOR_ROWS / max(1, n[0] + n[1])
     for w, (q, p) in counts.items():
-        if p >= MIN_ROWS:
-            odds = math.log((p + 0.2) / (n[1] + 1)) - math.log((q + 0.2) / (n[0] + 1))
+        if p >= MIN_ROWS and n[0]:
+            odds = math.log((p + prior * n[1]) / n[1]) - math.log((q + prior * n[0]) / n[0])
             if odds >= MIN_WEIGHT:
                 ranked.append((odds * p, w, min(odds, 8.0)))
     return {w: o for _, w, o in sorted(ranked, reverse=True)[:LEXICON_SIZE]}
