@@ -81,3 +81,20 @@ def sense_representation(vectors: DataFrame, centroids: DataFrame, categories: D
     rep = concept_matrix(vectors, centroids, categories, id_col, vec_col)
     scaled = apply_columns(rep, fit_columns(corpus_matrix, cat_names), cat_names)
     return row_standardize(scaled, cat_names)
+
+
+def concept_space(ctx: DataFrame, words: DataFrame, centroids: DataFrame, categories: DataFrame, cat_names: list[str],
+                  corpus_matrix: DataFrame, id_col: str = "doc_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Context vectors (id, vector) and words (token, vector) in the scaled concept space: the same two shapes, C values each.
+
+    Both go through one representation pass; an id is written as text with a leading letter for its side.
+    """
+    sides = ctx.select(F.concat(F.lit("c"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("id"), vec_col).unionByName(
+        words.select(F.concat(F.lit("w"), "token").alias("id"), vec_col))
+    rep = sense_representation(sides, centroids, categories, cat_names, corpus_matrix, "id", vec_col)
+    vec = F.array(*[F.col(c) for c in cat_names]).alias(vec_col)
+    key = F.expr("substring(id, 2)")
+    return (
+        rep.filter(F.col("id").startswith("c")).select(F.nullif(key, F.lit("")).cast(ctx.schema[id_col].dataType).alias(id_col), vec),
+        rep.filter(F.col("id").startswith("w")).select(key.alias("token"), vec),
+    )

@@ -380,8 +380,7 @@ _SENSE_CTES = (
 _SENSE_SQL = W(fx.TOKENS_SQL, *_SENSE_CTES)
 
 
-def fx_senses(spark, sf):
-    wv = fx.fx_word_vectors(spark, sf)
+def fx_senses(wv):
     return wv.filter(F.col("rank").between(10, 15)).select(
         F.when(F.col("rank") <= 12, F.lit("sense_1")).otherwise(F.lit("sense_2")).alias("sense"), F.col("token").alias("word")
     )
@@ -391,7 +390,7 @@ def _sense_sims(spark, sf):
     wv = fx.fx_word_vectors(spark, sf)
     docs = keyword_append(keyword_filter(fx.documents(spark, sf), "text", KW), "text", KW, "doc_id")
     ctx = N.keyword_context_vectors(docs, wv, KW, 2)
-    return N.sense_similarity(ctx, fx_senses(spark, sf), wv, SENSES)
+    return N.sense_similarity(ctx, fx_senses(wv), wv, SENSES)
 
 
 def _truth(spark, sf):
@@ -467,9 +466,53 @@ def q_sense_representation(spark, sf):
     ctx = N.keyword_context_vectors(docs, wv, KW, 2).select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("keyword")).alias("id"), "embedding"
     )
-    words = fx_senses(spark, sf).join(wv.select(F.col("token").alias("word"), "embedding"), "word").select(
+    words = fx_senses(wv).join(wv.select(F.col("token").alias("word"), "embedding"), "word").select(
         F.col("word").alias("id"), "embedding"
     )
     corpus_matrix = concept_matrix(corpus.select("doc_id", "embedding"), cent, cats_df)
     rep = N.sense_representation(ctx.unionByName(words), cent, cats_df, LEX_CATS, corpus_matrix)
     return rep.select("id", *[r6(c, c) for c in LEX_CATS])
+
+
+# the same analysis in concept space: contexts and reference words as scaled category similarities
+_CONCEPT_SENSE_SQL = (
+    _REP_SQL[:_REP_SQL.index("SELECT id, " + sql_r6("max(CASE WHEN category = '" + LEX_CATS[0] + "' THEN z END)"))].rstrip("\n")
+    + ",\nrv AS (SELECT id, list(z ORDER BY category) AS v FROM rz GROUP BY id),\n"
+    "cw AS (SELECT c.doc_id, sw.sense, list_cosine_similarity(rc.v, rw.v) AS s FROM cv c "
+    "JOIN rv rc ON rc.id = COALESCE(CAST(c.doc_id AS VARCHAR), 'keyword') CROSS JOIN sw JOIN rv rw ON rw.id = sw.word),\n"
+    "css AS (SELECT doc_id, avg(CASE WHEN sense = 'sense_1' THEN s END) AS sense_1, avg(CASE WHEN sense = 'sense_2' THEN s END) AS sense_2 "
+    "FROM cw GROUP BY doc_id),\n"
+    "ctr AS (SELECT doc_id, sense_1, sense_2, 'sense_' || CAST(doc_id % 2 + 1 AS VARCHAR) AS true_sense FROM css WHERE doc_id IS NOT NULL)\n"
+)
+
+
+def _concept_sense_sims(spark, sf):
+    corpus = fx.fx_doc_vectors(spark, sf)
+    lex, cats_df = fx.fx_lexicon(spark), fx.fx_categories(spark)
+    cent = reference_centroids(corpus, lex)
+    wv = fx.fx_word_vectors(spark, sf)
+    docs = keyword_append(keyword_filter(fx.documents(spark, sf), "text", KW), "text", KW, "doc_id")
+    senses = fx_senses(wv)
+    words = wv.join(senses.select(F.col("word").alias("token")), "token", "left_semi").select("token", "embedding")
+    ctx, reps = N.concept_space(N.keyword_context_vectors(docs, wv, KW, 2), words, cent, cats_df, LEX_CATS,
+                                concept_matrix(corpus.select("doc_id", "embedding"), cent, cats_df))
+    return N.sense_similarity(ctx, senses, reps, SENSES)
+
+
+@query(
+    "sense_concept_similarity",
+    _CONCEPT_SENSE_SQL + f"SELECT doc_id, {sql_r6('sense_1')} AS sense_1, {sql_r6('sense_2')} AS sense_2, {sql_r6('sense_1 - sense_2')} AS diff FROM css",
+)
+def q_sense_concept_similarity(spark, sf):
+    s = _concept_sense_sims(spark, sf)
+    return s.select("doc_id", r6("sense_1", "sense_1"), r6("sense_2", "sense_2"), r6("diff", "diff"))
+
+
+@query(
+    "sense_concept_same_vs_opposite",
+    _CONCEPT_SENSE_SQL + f"SELECT CAST(count(*) AS BIGINT) AS n, {sql_r6(f'avg({_SAME})')} AS same_mean, {sql_r6(f'avg({_OPP})')} AS opposite_mean, "
+    f"{sql_r6(f'avg({_SAME}) / avg({_OPP})')} AS ratio FROM ctr",
+)
+def q_sense_concept_same_vs_opposite(spark, sf):
+    s = N.same_vs_opposite(_concept_sense_sims(spark, sf), _truth(spark, sf), SENSES)
+    return s.select("n", *[r6(c, c) for c in ("same_mean", "opposite_mean", "ratio")])
