@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import row_pearson
+from .scaling import row_then_column
+
 # Column names of the survey export format.
 RATER_COL = "QProlificID"
 SENTENCE_BATCH_COL = "SentenceBatch"
@@ -132,3 +135,23 @@ def first_match(texts: DataFrame, b: DataFrame, text_col: str, key_col: str, out
     """For each text, the smallest key of a row of ``b`` carrying it (digest-keyed, partial aggregate)."""
     first = b.groupBy(_digest(text_col).alias("_tk")).agg(F.min(key_col).alias(out_col))
     return texts.withColumn("_tk", _digest(text_col)).join(first, "_tk").drop("_tk")
+
+
+def human_agreement(ratings: DataFrame, object_texts: DataFrame, corpus: DataFrame, methods: dict[str, DataFrame], categories: list[str],
+                    object_col: str = "object", text_col: str = "text", key_col: str = "doc_id", digits: int = 3) -> DataFrame:
+    """Per rated object, the Pearson r between its human vector and every method's vector of the same text.
+
+    ``ratings`` is the object x category matrix, ``object_texts`` gives each
+    object its text, ``methods`` maps a name to a (key, categories...) table.
+    Human and computed matrices are each standardised by rows, then by
+    columns; an object meets the computed vectors at the first corpus row that
+    carries its text. Objects whose text is not in the corpus drop out.
+    """
+    human = row_then_column(ratings, categories).select(object_col, *[F.col(c).cast("double").alias(f"_h_{c}") for c in categories])
+    shared = text_overlap(object_texts, corpus, text_col, object_col)
+    out = first_match(shared, corpus, text_col, key_col, key_col).select(object_col, key_col).join(human, object_col)
+    for name, table in methods.items():
+        scaled = row_then_column(table, categories).select(key_col, *[F.col(c).alias(f"_{name}_{c}") for c in categories])
+        out = out.join(scaled, key_col, "left")
+    h = [f"_h_{c}" for c in categories]
+    return out.select(object_col, key_col, *[F.round(row_pearson(h, [f"_{m}_{c}" for c in categories]), digits).alias(f"{m}_corr") for m in methods])

@@ -516,3 +516,39 @@ def q_sense_concept_similarity(spark, sf):
 def q_sense_concept_same_vs_opposite(spark, sf):
     s = N.same_vs_opposite(_concept_sense_sims(spark, sf), _truth(spark, sf), SENSES)
     return s.select("n", *[r6(c, c) for c in ("same_mean", "opposite_mean", "ratio")])
+
+
+# ---------------------------------------------------------------- human agreement, end to end
+
+_SURVEY_LIST = ", ".join(f"'{c}'" for c in fx.SURVEY_CATEGORIES)
+_AGREEMENT_METHODS = {
+    "counts": f"(SELECT doc_id, category, CAST(n AS DOUBLE) AS v FROM ({_counts_sql(EXPANDED_TOKENS)}) WHERE category IN ({_SURVEY_LIST}))",
+    "embed": f"(SELECT doc_id, category, s AS v FROM ({embed_sims_sql('cosine')}) WHERE category IN ({_SURVEY_LIST}))",
+}
+_AGREEMENT_SQL = (
+    SURVEY.rstrip("\n") + ",\n"
+    "rated AS (" + _MEAN_RATING + "),\n"
+    "texts AS (SELECT o.object, d.text FROM (SELECT DISTINCT object FROM rated) o JOIN documents d ON d.doc_id = CAST(split_part(o.object, '_', 1) AS BIGINT)),\n"
+    "shared AS (SELECT text, min(object) AS object FROM texts GROUP BY text),\n"
+    "linked AS (SELECT s.object, min(d.doc_id) AS doc_id FROM shared s JOIN documents d ON d.text = s.text GROUP BY s.object),\n"
+    "z_h0 AS (" + _rtc_sql("(SELECT object AS doc_id, category, rating AS v FROM rated)") + "),\n"
+    "z_h AS (SELECT l.doc_id, z.category, z.z FROM z_h0 z JOIN linked l ON l.object = z.doc_id),\n"
+    + ",\n".join(f"z_{m} AS ({_rtc_sql(src)}),\nr_{m} AS ({_pearson_sql('z_h', 'z_' + m)})" for m, src in _AGREEMENT_METHODS.items())
+    + "\nSELECT l.object, l.doc_id, " + ", ".join(f"r_{m}.r AS {m}_corr" for m in _AGREEMENT_METHODS) + " FROM linked l "
+    + " ".join(f"LEFT JOIN r_{m} ON r_{m}.doc_id = l.doc_id" for m in _AGREEMENT_METHODS)
+)
+
+
+@query("human_agreement", _AGREEMENT_SQL)
+def q_human_agreement(spark, sf):
+    """Survey answers to per-method correlations: the object of turn t is rated, document t is its text."""
+    cats = fx.SURVEY_CATEGORIES
+    ratings = U.rating_matrix(U.mean_rating(U.assign_category(_long_all(spark, sf), cats)), cats)
+    docs = fx.documents(spark, sf)
+    turn = F.split("object", "_")[0].cast("long")
+    texts = ratings.select("object", turn.alias("doc_id")).join(docs, "doc_id").select("object", "text")
+    corpus, lex = fx.fx_doc_vectors(spark, sf), fx.fx_lexicon(spark)
+    counts = L.lexicon_counts_wide(docs, lex, LEX_CATS, contractions=fx.fx_contractions(spark))
+    sims = concept_matrix(corpus.select("doc_id", "embedding"), reference_centroids(corpus, lex), fx.fx_categories(spark))
+    methods = {"counts": counts.select("doc_id", *cats), "embed": sims.select("doc_id", *cats)}
+    return U.human_agreement(ratings, texts, docs, methods, cats)
