@@ -98,7 +98,20 @@ def q_first_keyword_token(spark, sf):
     return T.first_keyword_token(_docs(spark, sf), "doc_id", "text", KW)
 
 
-@query("subword_tokens")
+# continuations are single letters here, so greedy splitting is: the longest prefix that is a piece, then letter by letter
+@query(
+    "subword_tokens",
+    W(fx.TOKENS_SQL, fx.WORD_VECTORS_SQL,
+      "voc AS (SELECT DISTINCT token AS w FROM fx_tokens)",
+      "pieces AS (SELECT token AS piece FROM fx_word_vectors UNION SELECT DISTINCT unnest(string_split(w, '')) FROM voc)",
+      "pre AS (SELECT v.w, max(v.l) AS l FROM (SELECT w, unnest(range(1, length(w) + 1)) AS l FROM voc) v "
+      "JOIN pieces p ON p.piece = substr(v.w, 1, v.l) GROUP BY v.w)",
+      "parts AS (SELECT w, list_concat([substr(w, 1, l)], CASE WHEN l = length(w) THEN [] "
+      "ELSE ['##' || c FOR c IN string_split(substr(w, l + 1), '')] END) AS ps FROM pre)",
+      "doc AS (SELECT t.doc_id, flatten(list(parts.ps ORDER BY t.pos)) AS ps FROM fx_tokens t JOIN parts ON parts.w = t.token GROUP BY t.doc_id)")
+    + "SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, ps[i] AS token FROM ("
+    "SELECT doc_id, ps, unnest(generate_series(1, len(ps))) AS i FROM doc)",
+)
 def q_subword_tokens(spark, sf):
     docs = _docs(spark, sf)
     words = fx.fx_word_vectors(spark, sf).select(F.col("token").alias("piece"))
