@@ -56,7 +56,7 @@ REGION_TAGS = ("article", "main")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form alertdialog".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|"
-    r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|side-bar|aside|widgets?|nav|navbar|navigation|menus?|"
+    r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|side[_-]?bar|aside|widgets?|nav|navbar|navigation|menus?|"
     r"breadcrumbs?|header|masthead|topbar|footer|foot|copyright|comments?|commentlist|discussion|disqus|replies|respond|related|"
     r"recommended|recommendations|share|sharing|social|toolbar|pagination|pager|skip|alert|paywall)(?:$|[\s_-]|\d)",
     re.IGNORECASE,
@@ -66,6 +66,8 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = frozenset("script style textarea title noscript iframe".split())
+#: Layout words such as "has-sidebar" say what stands beside an element, not what it is.
+_LAYOUT = re.compile(r"(?:^|\s)(?:has|with|without|no)[_-]\S*", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。，！？；：]")
 
@@ -73,11 +75,13 @@ _PUNCT = re.compile(r"[.,;:!?…。，！？；：]")
 def _boilerplate(tag: str, rest: str) -> bool:
     if tag in SKIPPED:
         return True
-    if not rest or tag in ("html", "body", "article", "main"):
+    if not rest or tag in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(rest):
         k, v = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if k in ("class", "id") and _NAMES.search(v) or k == "role" and v.lower() in _ROLES or k == "hidden":
+        if k in ("class", "id") and _NAMES.search(_LAYOUT.sub(" ", v)) or k == "role" and v.lower() in _ROLES or k == "hidden":
+            return True
+        if k == "style" and "display:none" in v.replace(" ", "").lower():
             return True
         if k == "aria-hidden" and v.lower() == "true":
             return True

@@ -30,6 +30,13 @@ def test_without_article_tags():
     assert htmltext.extract_text(page) == TEXT
 
 
+def test_names():
+    assert htmltext.extract_text(f'<div class="layout has-sidebar no-header"><article class="post with-comments">{BODY}</article></div>') == TEXT
+    page = f'<article>{BODY}</article><article class="comment">Well, I think so, too. And more, much more.</article><p style="display: none">Hidden, text.</p>'
+    assert htmltext.extract_text(page) == TEXT
+    assert htmltext.extract_text(page.replace("article", "div")) == TEXT
+
+
 def test_edges():
     assert htmltext.extract_text(None) == htmltext.extract_text("") == htmltext.extract_text("<nav>only, menus.</nav>") == ""
     assert htmltext.extract_text("<p>a < b, and c > d.") == "a < b, and c > d."
