@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_struct, written
+from .common import written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -198,12 +198,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself: every document as often as it is taken, with its columns. Texts meet only the bounded cell plan."""
     rows = written(measured(docs, id_col, text_col, source_col), "mixing-sizes")
     cells = written(plan(rows, share), "mixing-plan").select("src", "cell", "base", "cut")
-    keyed = add_struct(docs, "_mix", F.struct(
-        source_key(source_col).alias("src"), size_of(text_col).alias("size"),
-        F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("h")))
-    keyed = keyed.withColumn("_cell", cell_of("_mix.size"))
+    # plain columns (prefixed, dropped at the end): the words of a text are counted once per row
+    keyed = docs.withColumns({
+        "_mix_key": source_key(source_col), "_mix_size": size_of(text_col),
+        "_mix_h": F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)),
+    }).withColumn("_mix_place", cell_of("_mix_size"))
     cells = cells.select(*[F.col(c).alias(f"_mix_{c}") for c in cells.columns])
-    joined = keyed.join(cells, (F.col("_mix.src") == F.col("_mix_src")) & (F.col("_cell") == F.col("_mix_cell")))
-    n = F.when(F.col("_mix.size") > 0, copies_of("_mix_base", "_mix_cut", "_mix.h")).otherwise(F.lit(0)).cast("int")
+    joined = keyed.join(cells, (F.col("_mix_key") == F.col("_mix_src")) & (F.col("_mix_place") == F.col("_mix_cell")))
+    n = F.when(F.col("_mix_size") > 0, copies_of("_mix_base", "_mix_cut", "_mix_h")).otherwise(F.lit(0)).cast("int")
     taken = joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), n)).alias("_one"))
     return taken.drop("_one")
