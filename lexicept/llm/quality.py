@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizing import collect_bounded
-from .common import add_struct
+from .common import add_struct, written
 
 MIN_TEXT_WORDS = 20
 MAX_REPEATED = (30, 100)
@@ -171,7 +171,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         )
 
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, F.col(text_col).cast("binary"))
-    sums = rows.mapInArrow(run, schema).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    sums = written(rows.mapInArrow(run, schema).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "quality-counts")  # read twice
     floor = sums.filter("kind = 'total'").select(F.col("lang").alias("_l"), (F.col("n") / 5000).alias("_floor"))
     frequent = sums.join(F.broadcast(floor), F.col("lang") == F.col("_l")).filter("kind != 'word' or n >= _floor").drop("_l", "_floor")
     model: dict = {}
