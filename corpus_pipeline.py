@@ -19,7 +19,7 @@ if _ROOT not in sys.path:
 
 from lexicept.functions.sizing import maybe_broadcast  # noqa: E402
 from lexicept.llm import decontaminate, langid, mixing, secretscan, simhash  # noqa: E402
-from lexicept.llm.common import crc_fold, table, written  # noqa: E402
+from lexicept.llm.common import crc_fold, table, text_batches, written  # noqa: E402
 from lexicept.session import ship_package  # noqa: E402
 
 #: A document row and an entry (_i, _k) of a narrow table of rows, null ids included.
@@ -29,6 +29,7 @@ SAME = "doc_id <=> _i and _key <=> _k"
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised; texts without letters or with a narrow margin go."""
     ship_package(spark)
+    text_batches(spark)
     model = langid.fit(docs.filter(crc_fold("doc_id", 4) != 2))
     found = langid.identify(docs, model, out_col="_language")
     return found.filter(~F.col("_language.rejected")).drop("_language")
@@ -41,11 +42,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keeps its smallest text hash. Only the narrow table of losers meets the documents again.
     """
     ship_package(spark)
+    text_batches(spark)
     row = ["doc_id", "_key"]
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     found = simhash.near_duplicates(keyed, keep=["_key"])
     rows = written(found.groupBy("group", "component_id", *row).agg(F.count("*").alias("n")), "pipeline-groups")
-    best = rows.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("group").agg(F.min(F.struct("_key", "doc_id")).alias("b"))
+    first = rows.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    # written, so that the join below has plain inputs and a large group can be split
+    best = written(first.groupBy("group").agg(F.min(F.struct("_key", "doc_id")).alias("b")), "pipeline-first")
     judged = rows.join(best, "group", "left").withColumn("stays", F.struct("_key", "doc_id").eqNullSafe(F.col("b")))
     gone = written(judged.filter(~F.col("stays")).select(*row), "pipeline-duplicates")
     twice = written(judged.filter(F.col("stays") & (F.col("n") > 1)).select(*row), "pipeline-repeated")
@@ -59,6 +63,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark window."""
     ship_package(spark)
+    text_batches(spark)
     found = decontaminate.match(docs, table(spark, sf_dir, "benchmark"))
     bad = written(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_i"), F.col("doc_key").alias("_k")).distinct(), "pipeline-contaminated")
     keyed = docs.withColumn("_key", F.xxhash64("text"))
@@ -68,7 +73,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; all documents stay."""
     ship_package(spark)
-    clean = secretscan.redact(secretscan.scan(docs, out_col="_secrets"), secrets_col="_secrets")
+    text_batches(spark)
+    clean = secretscan.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

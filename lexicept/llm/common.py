@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of at most 1,000 rows and 8 MB.
+
+    The default batch (10,000 rows, 64 MB) is held several times over: in the
+    executor's Arrow buffers, on both ends of the pipe and in the worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def crc_fold(key: str, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(folds))

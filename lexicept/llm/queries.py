@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, htmltext, langid, licenses, mixing, pii, quality, secretscan, simhash, toxicity
-from .common import crc_fold, table
+from .common import crc_fold, table, text_batches
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(crc_fold("doc_id", 5) != 0))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
@@ -17,15 +18,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     found = decontaminate.report(decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.drop("n_near_items")  # proximity matches have no short SQL form; the operator's own tests cover them
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(crc_fold("doc_id", 4) != 2))
     found = langid.identify(docs.select("doc_id", "text"), model)
@@ -33,28 +37,34 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return quality.assess(docs.select("doc_id", "text"), quality.learn(docs)).select("doc_id", "quality.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     pages = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

@@ -155,23 +155,25 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secrets", reac
     return add_struct(docs, out_col, spans(text_col, reach))
 
 
-def redact(docs: DataFrame, text_col: str = "text", secrets_col: str = "secrets") -> DataFrame:
-    """Replace every reported span by ``REDACTED`` (overlapping spans once); texts without spans stay as they are."""
+def redacted(text: str | None, reach: int = REACH) -> str | None:
+    """The text with every reported span replaced by ``REDACTED`` (overlapping spans once)."""
+    parts, at = [], 0
+    for _, s, e, _ in find(text, reach):
+        if s >= at:
+            parts += [text[at:s], REDACTED]
+        at = max(at, e)
+    return "".join(parts) + text[at:] if at else text
+
+
+def redact(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """``docs`` with secrets replaced in the text; found and replaced in one pass, so a task needs one Python worker."""
 
     @F.arrow_udf("string")
-    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, fs in zip(texts, found, strict=True):
-            t, parts, at = t.as_py(), [], 0
-            for f in (fs.as_py() or []) if t else []:
-                s, e = f["start"], f["end"]
-                if s >= at:
-                    parts += [t[at:s], REDACTED]
-                at = max(at, e)
-            out.append("".join(parts) + t[at:] if at else t)
-        return pa.array(out, pa.string())
-
-    return docs.withColumn(text_col, F.when(F.size(secrets_col) > 0, run(F.col(text_col), F.col(secrets_col))).otherwise(F.col(text_col)))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([redacted(t.as_py(), reach) for t in texts], pa.string())
+
+    return docs.withColumn(text_col, run(F.col(text_col)))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", secrets_col: str = "secrets") -> DataFrame:
