@@ -24,19 +24,28 @@ from pyspark.sql import functions as F
 
 from .common import add_struct
 
-# Known licence sentences, normalised, by identifier.
+# Known licence sentences, normalised, by identifier, as the two cuts yield them from the licence texts. A
+# licence whose text comes out differently (wrapped or one line a paragraph, ';' or ',') has one identifier for each form.
+# A copyright line before the first sentence has no sentence end and is joined to it by the second cut: such licences also
+# have a rule without their first sentence.
 SENTENCES = {
     "all_rights": "all rights reserved",
     "apache_line": "licensed under the apache license version 2 0",
     "apache_grant": "licensed under the apache license version 2 0 the license",
     "apache_use": "you may not use this file except in compliance with the license",
     "apache_copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "apache_at": "you may obtain a copy of the license at",
+    "apache_url": "http www apache org licenses license 2 0",
+    "apache_urls": "https www apache org licenses license 2 0",
     "apache_asis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache_copy_asis": "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache_copys_asis": "you may obtain a copy of the license at https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache_see": "see the license for the specific language governing permissions and limitations under the license",
     "mit_line": "released under the mit license",
     "mit_line2": "licensed under the mit license",
     "mit_name": "mit license",
-    "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit_notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit_asis": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "bsd_grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
@@ -45,6 +54,13 @@ SENTENCES = {
     "gpl3_line": "this work is licensed under the gnu general public license version 3",
     "gpl2_line": "this work is licensed under the gnu general public license version 2",
     "gpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl3_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl3_either": "either version 3 of the license or at your option any later version",
+    "gpl2_either": "either version 2 of the license or at your option any later version",
+    "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl_even": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl_warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl_copy": "you should have received a copy of the gnu general public license along with this program",
     "cc_by_line": "licensed under cc by 4 0",
@@ -56,11 +72,23 @@ SENTENCES = {
 # Fixed values: (licence, class, identifier sequence), in the order in which rules are tried.
 RULES = (
     ("Apache-2.0", "permissive", ("apache_grant", "apache_use", "apache_copy", "apache_asis", "apache_see")),
+    ("Apache-2.0", "permissive", ("apache_grant", "apache_use", "apache_copy_asis", "apache_see")),
+    ("Apache-2.0", "permissive", ("apache_grant", "apache_use", "apache_copys_asis", "apache_see")),
+    ("Apache-2.0", "permissive", ("apache_use", "apache_copy_asis", "apache_see")),
+    ("Apache-2.0", "permissive", ("apache_use", "apache_copys_asis", "apache_see")),
+    ("Apache-2.0", "permissive", ("apache_grant", "apache_use", "apache_at", "apache_url", "apache_asis", "apache_see")),
+    ("Apache-2.0", "permissive", ("apache_grant", "apache_use", "apache_at", "apache_urls", "apache_asis", "apache_see")),
     ("BSD-3-Clause", "permissive", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", "permissive", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("GPL-3.0-or-later", "copyleft", ("gpl_free", "gpl_warranty", "gpl_copy")),
-    ("MIT", "permissive", ("mit_name", "mit_grant", "mit_asis")),
+    ("GPL-3.0-or-later", "copyleft", ("gpl3_terms", "gpl_hope", "gpl_even", "gpl_copy")),
+    ("GPL-3.0-or-later", "copyleft", ("gpl_terms", "gpl3_either", "gpl_hope", "gpl_even", "gpl_copy")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl2_terms", "gpl_hope", "gpl_even", "gpl_copy")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl_terms", "gpl2_either", "gpl_hope", "gpl_even", "gpl_copy")),
+    ("MIT", "permissive", ("mit_name", "mit_grant", "mit_notice", "mit_asis")),
+    ("MIT", "permissive", ("mit_grant", "mit_notice", "mit_asis")),
     ("MIT", "permissive", ("mit_grant", "mit_asis")),
+    ("MIT", "permissive", ("mit_notice", "mit_asis")),
     ("Apache-2.0", "permissive", ("apache_grant",)),
     ("Apache-2.0", "permissive", ("apache_line",)),
     ("MIT", "permissive", ("mit_line",)),
@@ -69,6 +97,10 @@ RULES = (
     ("GPL-3.0-only", "copyleft", ("gpl3_line",)),
     ("GPL-2.0-only", "copyleft", ("gpl2_line",)),
     ("GPL-3.0-or-later", "copyleft", ("gpl_free",)),
+    ("GPL-3.0-or-later", "copyleft", ("gpl3_terms",)),
+    ("GPL-3.0-or-later", "copyleft", ("gpl_terms", "gpl3_either")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl2_terms",)),
+    ("GPL-2.0-or-later", "copyleft", ("gpl_terms", "gpl2_either")),
     ("CC-BY-NC-4.0", "noncommercial", ("cc_by_nc_line",)),
     ("CC-BY-SA-4.0", "copyleft", ("cc_by_sa_line",)),
     ("CC-BY-4.0", "permissive", ("cc_by_line",)),

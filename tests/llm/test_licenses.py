@@ -1,4 +1,7 @@
 import re
+import textwrap
+
+from pyspark.sql import functions as F
 
 from lexicept.llm import licenses, queries
 
@@ -48,3 +51,54 @@ def test_edge_rows(spark):
 def test_query_plan_is_native(spark, sf_small):
     plan = queries.op3_licenses(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
+
+
+MIT = """Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM."""
+APACHE = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """Copyright (C) 2020 Jane Doe
+
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+GPL2 = GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+GENUINE = {"MIT": [MIT], "Apache-2.0": [APACHE, APACHE.replace("http:", "https:")],
+           "GPL-3.0-or-later": [GPL, GPL2.replace("version 2", "version 3")], "GPL-2.0-or-later": [GPL2, GPL2.replace("Foundation; ", "Foundation, ")]}
+
+
+def wrapped(text, start="", width=70):
+    return "\n\n".join("\n".join(start + x for x in textwrap.wrap(p, width, break_on_hyphens=False)) for p in text.split("\n\n"))
+
+
+def test_genuine_texts(spark):
+    texts = [(name, t, form(t)) for name, ts in GENUINE.items() for t in ts for form in (str, wrapped, lambda t: wrapped(t, "# "), lambda t: wrapped(t, "", 45))]
+    assert [g[2] for g in found(spark, *[x for _, _, x in texts])] == [name for name, _, _ in texts]
+
+
+def test_long_rules_match_genuine_texts(spark):
+    bodies = [x for ts in GENUINE.values() for t in ts for x in (t, t.split("\n\n", 1)[1])]  # with and without the copyright line
+    texts = bodies + [wrapped(t) for t in bodies] + ["MIT License\n\n" + MIT]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    cuts = docs.select(*[licenses._matched(licenses._sequence(F.col("text"), w)) for w in (False, True)]).collect()
+    seen = {licenses.RULES[i - 1][2] for row in cuts for c in row for i in c}
+    for ids in (("apache_grant", "apache_use", "apache_copy_asis", "apache_see"), ("apache_grant", "apache_use", "apache_copys_asis", "apache_see"),
+                ("apache_use", "apache_copy_asis", "apache_see"), ("apache_use", "apache_copys_asis", "apache_see"),
+                ("apache_grant", "apache_use", "apache_at", "apache_url", "apache_asis", "apache_see"),
+                ("apache_grant", "apache_use", "apache_at", "apache_urls", "apache_asis", "apache_see"),
+                ("mit_name", "mit_grant", "mit_notice", "mit_asis"), ("mit_grant", "mit_notice", "mit_asis"), ("mit_notice", "mit_asis"), ("gpl3_terms", "gpl_hope", "gpl_even", "gpl_copy"),
+                ("gpl_terms", "gpl3_either", "gpl_hope", "gpl_even", "gpl_copy"), ("gpl2_terms", "gpl_hope", "gpl_even", "gpl_copy"),
+                ("gpl_terms", "gpl2_either", "gpl_hope", "gpl_even", "gpl_copy")):
+        assert ids in seen
