@@ -108,8 +108,8 @@ RULES = (
     ("Public-Domain", "permissive", ("public_domain",)),
     ("Proprietary", "proprietary", ("all_rights",)),
 )
-#: Every known sentence holds one of these.
-MARKERS = "licen|copyright|rights reserved|warrant|redistribut|permission"
+#: Every known sentence holds one of these; parts of single words, because they are searched before white space and marks are normalised.
+MARKERS = "licen|copyright|reserved|warrant|redistribut|permission"
 SENTENCE_END = r"[.!?;:]+(?:\s+|$)"
 
 

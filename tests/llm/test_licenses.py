@@ -102,3 +102,9 @@ def test_long_rules_match_genuine_texts(spark):
                 ("gpl_terms", "gpl3_either", "gpl_hope", "gpl_even", "gpl_copy"), ("gpl2_terms", "gpl_hope", "gpl_even", "gpl_copy"),
                 ("gpl_terms", "gpl2_either", "gpl_hope", "gpl_even", "gpl_copy")):
         assert ids in seen
+
+
+def test_markers_do_not_depend_on_spacing(spark):
+    texts = ["All rights\nreserved.", "x. All rights  reserved.", "All rights-reserved.", "All\nrights\u00a0reserved.", "Tables are reserved."]
+    assert [g[2] for g in found(spark, *texts)] == ["Proprietary"] * 4 + [""]
+    assert re.fullmatch("[a-z0-9|]+", licenses.MARKERS)
