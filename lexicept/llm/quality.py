@@ -9,10 +9,11 @@ is not judged by its histograms: too few counts to compare.
 
 References are corpus statistics over all labelled rows: class counts are
 exact sums; common words are the ``TOP_WORDS`` most frequent words of a
-language. Each task keeps word counts in a bounded table that drops the
-smallest counts when it is full (a frequent-items summary: a dropped word
-was rarer than 1 / ``TASK_WORDS`` of the task's words), then the summaries
-are added up by word.
+language, ties in byte order of the word. Each task counts words in a bounded
+table that is sent on as partial counts when it is full, and the partial
+counts are added up by language and word: the counts are exact and do not
+depend on the partitions. The most frequent words are taken per language and
+share of the words first, then per language.
 
 Defined cases: null text has no words (and fails the length rule); without
 references the method's verdict is to keep; rows with null lang add to no
@@ -23,10 +24,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizing import collect_bounded
@@ -37,8 +39,12 @@ MAX_REPEATED = (30, 100)
 REPEAT_WINDOW = 8
 MIN_WORDS = 60
 TOP_WORDS = 200
-TASK_WORDS = 50_000
-SENT_WORDS = 2_000
+#: A task's table of word counts is full at this many words or after this many bytes of text (which bound the words it holds).
+TASK_WORDS = 200_000
+TASK_BYTES = 64 << 20
+#: Counts sent on at once, and shares of the words for the first step of the most frequent words.
+SENT_ROWS = 20_000
+SHARES = 64
 MAX_LANGUAGES = 256
 #: Largest accepted distance of character classes and of common words.
 MAX_CHAR_DISTANCE = 0.28
@@ -145,35 +151,43 @@ def js_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
     """{lang: {"chars": class counts, "words": {word: count}, "total": words}} over all rows with a language."""
     schema = "lang string, kind string, item string, n long"
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
 
     def run(batches):
         words: dict[str, Counter] = {}
         chars: dict[str, np.ndarray] = {}
         total: Counter = Counter()
+        read = 0
+
+        def sent(rows):
+            while part := list(islice(rows, SENT_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=["lang", "kind", "item", "n"])
+
+        def word_rows():
+            return ((k, "word", w.decode("utf-8", "replace"), n) for k, seen in words.items() for w, n in seen.items())
+
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 lang, data = lang.as_py(), text.as_py()
                 ws = common_words(data)
-                seen = words.setdefault(lang, Counter())
-                seen.update(ws)
+                words.setdefault(lang, Counter()).update(ws)
                 total[lang] += len(ws)
                 chars[lang] = chars.get(lang, 0) + char_classes(data)
-                if len(seen) > 8 * TASK_WORDS:
-                    words[lang] = Counter(dict(seen.most_common(TASK_WORDS)))
-        rows = [(k, "total", "", n) for k, n in total.items()]
-        rows += [(k, "char", str(i), int(n)) for k, v in chars.items() for i, n in enumerate(v)]
-        for k, seen in words.items():
-            rows += [(k, "word", w.decode("utf-8", "replace"), n) for w, n in seen.most_common(SENT_WORDS)]
-        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)],
-            names=["lang", "kind", "item", "n"],
-        )
+                read += len(data)
+                if read > TASK_BYTES or sum(map(len, words.values())) > TASK_WORDS:
+                    yield from sent(word_rows())
+                    words, read = {}, 0
+        yield from sent(word_rows())
+        yield from sent((k, "total", "", n) for k, n in total.items())
+        yield from sent((k, "char", str(i), int(n)) for k, v in chars.items() for i, n in enumerate(v))
 
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, F.col(text_col).cast("binary"))
     sums = written(rows.mapInArrow(run, schema).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "quality-counts")  # read twice
-    floor = sums.filter("kind = 'total'").select(F.col("lang").alias("_l"), (F.col("n") / 5000).alias("_floor"))
-    frequent = sums.join(F.broadcast(floor), F.col("lang") == F.col("_l")).filter("kind != 'word' or n >= _floor").drop("_l", "_floor")
+    best = sums.filter("kind = 'word'")
+    for part in (["lang", F.pmod(F.crc32(F.col("item").cast("binary")), F.lit(SHARES))], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("n"), "item"))
+        best = best.withColumn("_rank", rank).filter(F.col("_rank") <= TOP_WORDS).drop("_rank")
+    frequent = sums.filter("kind != 'word'").unionByName(best)
     model: dict = {}
     for r in collect_bounded(frequent, MAX_LANGUAGES * 5100, "language references"):
         m = model.setdefault(r["lang"], {"chars": [0.0] * len(CLASSES), "words": {}, "total": 0})
@@ -184,7 +198,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         else:
             m["words"][r["item"]] = r["n"]
     for m in model.values():
-        m["words"] = dict(sorted(m["words"].items(), key=lambda x: (-x[1], x[0]))[:TOP_WORDS])
+        m["words"] = dict(sorted(m["words"].items(), key=lambda x: (-x[1], x[0])))
     return {k: m for k, m in model.items() if m["total"]}
 
 

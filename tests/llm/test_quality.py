@@ -55,3 +55,32 @@ def test_edge_rows(spark):
     assert quality.learn(docs.limit(0)) == {}
     assert quality.assess(docs, {}).filter("quality.kept").count() == 0  # 30 equal words repeat; the rest is too short
     assert quality.assess(docs.limit(0), model).count() == 0
+
+
+def exact(rows):
+    """{lang: (total, the most frequent words)} by plain counting."""
+    counts = {}
+    for lang, text in rows:
+        counts.setdefault(lang, Counter()).update(quality.common_words(text.encode()))
+    return {k: (c.total(), dict(sorted(((w.decode(), n) for w, n in c.items()), key=lambda x: (-x[1], x[0].encode()))[:quality.TOP_WORDS])) for k, c in counts.items()}
+
+
+def test_references_are_exact_for_any_partitions(spark):
+    # every task's own words outrank the words that are frequent in the corpus as a whole
+    rows = [("en", " ".join([f"own{t}x{i} " * 2 for i in range(2500)] + [f"shared{i}" for i in range(250)])) for t in range(5)]
+    rows += [("de", "eins zwei zwei"), ("de", "drei é z")]
+    want = exact(rows)
+    assert set(want["en"][1]) == {f"shared{i}" for i in sorted(range(250), key=lambda i: f"shared{i}")[:200]}
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    for n in (1, 7):
+        model = quality.learn(docs.repartition(n))
+        assert {k: (m["total"], m["words"]) for k, m in model.items()} == want
+
+
+def test_full_tables_are_sent_on(spark, monkeypatch):
+    rows = [("en", f"a b c{i} d{i % 3} " + "é" * (i % 5)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    for name, small in (("TASK_WORDS", 5), ("TASK_BYTES", 40), ("SENT_ROWS", 2)):
+        monkeypatch.setattr(quality, name, small)
+        model = quality.learn(docs)
+        assert {k: (m["total"], m["words"]) for k, m in model.items()} == exact(rows)
