@@ -6,10 +6,12 @@ node (punctuation-to-path ratio) are aggregated, smoothed over neighbouring
 paths in page order, and fused by their product, damped by the share of
 linked text. Paths whose fused ratio reaches the threshold (a share of the
 text-weighted mean) are content paths. The smallest element that holds the
-bulk of the content (an article or main element if the content lies in one)
-is the content region, and the text of the whole region is the result:
-headings and short paragraphs inside it belong to it although their own
-ratio is low.
+bulk of the content (all article or main elements with content if half of it
+lies in them) is the content region, and its whole text belongs to the
+result: headings and short paragraphs inside it although their own ratio is
+low. Content text outside the region is not dropped: its blocks belong to
+the result too, and so do headings before the region (if it has no h1) or
+before such a block, beside it or beside an element around it below body.
 
 Elements that never hold the article (menus, footers, headers outside it,
 asides, forms, scripts, styles) and those whose class, id or role names an
@@ -38,7 +40,7 @@ from .common import add_struct
 
 #: Share of the text-weighted mean ratio that makes a path content.
 THRESHOLD = 0.25
-#: Share of the content text that a region must hold.
+#: Share of the content text that an element must hold to be the region.
 REGION_SHARE = 0.9
 
 # Element classes of HTML.
@@ -53,6 +55,7 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 REGION_TAGS = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form alertdialog".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|"
@@ -218,8 +221,8 @@ def _content_paths(pieces: list) -> set[int]:
     return {p for p, f in zip(paths, fused, strict=True) if f > 0 and f >= THRESHOLD * mean}
 
 
-def _region(page: _Page, content: set[int]) -> _Node | None:
-    """The region tag, else the smallest element, that holds the bulk of the content text."""
+def _regions(page: _Page, content: set[int]) -> list[_Node]:
+    """The region tags, else the smallest element, that hold the bulk of the content text."""
     total = 0
     for node, _, text, _ in page.pieces:
         n = len(text.strip())
@@ -227,16 +230,54 @@ def _region(page: _Page, content: set[int]) -> _Node | None:
             total += n
             node.weight += n
     if not total:
-        return None
+        return []
     for node in reversed(page.nodes):  # children before parents
         if node.parent is not None:
             node.parent.weight += node.weight
     for tag in REGION_TAGS:
-        best = max((n for n in page.nodes if n.tag == tag), key=lambda n: (n.weight, -n.depth), default=None)
-        if best is not None and best.weight >= 0.5 * total:
-            return best
+        outer, within = [], {}
+        for node in page.nodes:  # parents before children
+            inside = node.parent is not None and within[node.parent]
+            within[node] = inside or node.tag == tag
+            if node.tag == tag and not inside and node.weight:
+                outer.append(node)
+        if sum(n.weight for n in outer) >= 0.5 * total:
+            return outer
     enough = (n for n in page.nodes if n.weight >= REGION_SHARE * total and n.tag not in INLINE and n.tag not in ("p", "h1", "h2", "li", "td"))
-    return max(enough, key=lambda n: (n.depth, n.weight), default=None)
+    best = max(enough, key=lambda n: (n.depth, n.weight), default=None)
+    return [] if best is None else [best]
+
+
+def _take_headings(page: _Page, regions: list[_Node], loose: list[_Node]) -> None:
+    """Mark headings (or elements of headings only) that stand before a region without h1 or before loose content, beside it or around it."""
+    place = {n: i for i, n in enumerate(page.nodes)}
+    titled: set[_Node] = set()
+    has_text: set[_Node] = set()
+    other: set[_Node] = set()  # elements with text outside headings
+    heading: dict[_Node, bool] = {}
+    for node in page.nodes:
+        heading[node] = node.tag in HEADINGS or node.parent is not None and heading[node.parent]
+    for node, _, text, _ in page.pieces:
+        if text.strip():
+            has_text.add(node)
+            if not heading[node]:
+                other.add(node)
+    for node in reversed(page.nodes):
+        if node.parent is not None:
+            for marks in (has_text, other):
+                if node in marks:
+                    marks.add(node.parent)
+            if node in titled or node.tag == "h1" and node in has_text:
+                titled.add(node.parent)
+    last: dict[_Node, int] = {}  # elements around an anchor, with the place of their last anchor
+    for anchor in sorted([*(r for r in regions if r not in titled), *loose], key=place.get, reverse=True):
+        n = anchor.parent
+        while n is not None and n not in last and (n is anchor.parent or n.tag not in ("", "html", "body")):
+            last[n] = place[anchor]
+            n = n.parent
+    for node in page.nodes:
+        if node.parent is not None and (node.parent.inside or node in has_text and node not in other and place[node] < last.get(node.parent, -1)):
+            node.inside = True
 
 
 def extract_text(html: str | None) -> str:
@@ -244,15 +285,21 @@ def extract_text(html: str | None) -> str:
         return ""
     page = _Page()
     page.feed(html)
-    region = _region(page, _content_paths(page.pieces))
-    if region is None:
+    content = _content_paths(page.pieces)
+    regions = _regions(page, content)
+    if not regions:
         return ""
+    for node in regions:
+        node.inside = True
     for node in page.nodes:
-        node.inside = node is region or node.parent is not None and node.parent.inside
+        node.inside = node.inside or node.parent is not None and node.parent.inside
+    outside = [(node, block) for node, block, text, _ in page.pieces if not node.inside and node.path in content and text.strip()]
+    taken = {block for _, block in outside}  # blocks of content text outside the regions
+    _take_headings(page, regions, list(dict.fromkeys(node for node, _ in outside)))
     blocks: list[str] = []
     current, number = [], None
     for node, block, text, _ in page.pieces:
-        if not node.inside:
+        if not node.inside and block not in taken:
             continue
         if block != number:
             blocks.append("".join(current))

@@ -37,6 +37,27 @@ def test_names():
     assert htmltext.extract_text(page.replace("article", "div")) == TEXT
 
 
+def test_content_outside_the_region_is_kept():
+    long = "".join(f"<p>Paragraph {i}, with words. It goes on, and on, as paragraphs do; and then, it ends.</p>" for i in range(20))
+    text = re.sub("</p><p>", "\n", long)[3:-4]
+    lead = "A lead, with words. It comes first, and is short."
+    menu = '<ul><li><a href="/a">Home</a></li><li><a href="/b">More</a></li></ul>'
+    # the title beside the body container, directly or wrapped
+    for title in ("<h1>Title</h1>", "<div><h1>Title</h1></div>", '<h1><a href="/t">Title</a></h1>'):
+        assert htmltext.extract_text(f'<body>{menu}<div class="post">{title}<div class="entry">{long}</div></div>{menu}') == "Title\n" + text
+    # up to a tenth of the content in a sibling container, before and after
+    page = f'<body>{menu}<div class="a"><p>{lead}</p></div>{menu}<div class="b"><h2>Part</h2>{long}</div>{menu}<div class="c"><h2>End</h2><p>{lead}</p></div>{menu}'
+    assert htmltext.extract_text(page) == f"{lead}\nPart\n{text}\nEnd\n{lead}"
+    # several articles, and a lead before the article
+    parts = long.split("<p>Paragraph 12,")
+    page = f"<body>{menu}<article><h2>One</h2>{parts[0]}</article>{menu}<article><h2>Two</h2><p>Paragraph 12,{parts[1]}</article>{menu}"
+    assert htmltext.extract_text(page) == "One\n" + text.replace("Paragraph 12,", "Two\nParagraph 12,")
+    page = f"<main><h1>Title</h1><div><p>{lead}</p></div>{menu}<article>{long}</article></main>"
+    assert htmltext.extract_text(page) == f"Title\n{lead}\n{text}"
+    deep = "<div>" * 3000 + f"<p>{lead}</p>" + "</div>" * 3000
+    assert htmltext.extract_text(f"<article>{long}</article>{deep * 3}") == "\n".join([text] + [lead] * 3)
+
+
 def test_edges():
     assert htmltext.extract_text(None) == htmltext.extract_text("") == htmltext.extract_text("<nav>only, menus.</nav>") == ""
     assert htmltext.extract_text("<p>a < b, and c > d.") == "a < b, and c > d."
