@@ -6,9 +6,12 @@ identifiers, secrets and endpoints, some of them too weak to report alone
 (short assigned values, mixed-class random tokens, user names, URLs with a
 host). Within a scope (a paragraph, and at most ``REACH`` characters away)
 parts are joined as intervals: a weak part is reported only when a part of a
-complementary kind lies within reach, and both are given the same link. The
-join is one sorted sweep per document that keeps the nearest partner of each
-kind, so its output is linear in the number of parts.
+complementary kind lies within reach, and both are given the same link. Linked
+parts do not overlap, and an unnamed token inside an endpoint is a piece of it
+and no part; a token in the user part of a URL (before "@") is one, and the
+endpoint is then what follows it. The join is one sorted sweep per document
+that keeps the nearest partner of each kind, so its output is linear in the
+number of parts.
 
 Offsets are code points, end exclusive. Defined cases: null text is empty and
 has no spans; whole texts are searched; repeated rows get equal results.
@@ -42,8 +45,10 @@ _HEX_BYTES = bytes(0x78 if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x66 else 0x20 for
 _HEX_RUN = b"x" * 24
 # weak parts
 _USER = re.compile(r"(?:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@+/_.-]{3,})", re.IGNORECASE | re.ASCII)
-_WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,63}[0-9])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
+_WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
+_DIGIT = re.compile(r"[0-9]")
 _ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z0-9]{1,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+")
+_USER_PART = re.compile(r"[a-z0-9]+(?::[a-z0-9]+)?://[^\s\"'<>/?#@]*@")
 _BREAK = re.compile(r"\n[\x20\t\r]*\n")
 #: Parts that complete each other.
 PARTNERS = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
@@ -80,11 +85,27 @@ def weak_parts(text: str, lower: str, assigned: list[re.Match], base: list[tuple
     found = []
     if any(k in lower for k in ("user", "login", "client", "account")):
         found += [(m.start(), 3, m.end(1)) for m in _USER.finditer(text)]
-    if "://" in text:
-        found += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
     found += [(m.start(), 4, m.end()) for m in assigned if len(m[1]) < 6]
-    if found or any(k == 1 for _, k, _ in base):  # an unnamed token can only complete an identifier or an endpoint
-        found += [(m.start(), 4, m.end()) for m in _WEAK.finditer(text) if entropy(m[0]) >= MIN_ENTROPY]
+    urls = [m.span() for m in _ENDPOINT.finditer(text)] if "://" in text else []
+    tokens = []
+    if found or urls or any(k == 1 for _, k, _ in base):  # an unnamed token can only complete an identifier or an endpoint
+        tokens = [m.span() for m in _WEAK.finditer(text) if _DIGIT.search(m[0]) and entropy(m[0]) >= MIN_ENTROPY]
+    at = 0
+    for s, e in urls:
+        user = _USER_PART.match(text, s, e)
+        host = user.end() if user else s
+        while at < len(tokens) and tokens[at][1] <= s:
+            found.append((tokens[at][0], 4, tokens[at][1]))
+            at += 1
+        start = s
+        while at < len(tokens) and tokens[at][0] < e:
+            if tokens[at][1] <= host and tokens[at][0] > s:
+                found.append((tokens[at][0], 4, tokens[at][1]))
+                start = host
+            at += 1
+        if start < e:
+            found.append((start, 5, e))
+    found += [(s, 4, e) for s, e in tokens[at:]]
     starts = [s for s, _, _ in base]
     ends, most = [], 0
     for _, _, e in base:  # base spans may overlap: running maxima of their ends
@@ -99,31 +120,35 @@ def weak_parts(text: str, lower: str, assigned: list[re.Match], base: list[tuple
 
 
 def link(parts: list[tuple[int, int, int]], breaks: list[int], reach: int = REACH) -> list[int]:
-    """For each part (sorted by start) the index of its nearest complementary part within reach and scope, or -1.
+    """For each part (sorted by start) the index of its nearest complementary part within reach and scope that does not overlap it, or -1.
 
-    One sweep to the right and one to the left, remembering the last part of each role.
+    To the left the part of a role that ends last before the start (one sweep by ends), to the right the one that starts
+    first after the end. Parts hold no scope break, so a nearest part in another scope has none of this scope behind it.
     """
-    best = [(reach + 1, -1)] * len(parts)
     scope = [bisect_left(breaks, s) for s, _, _ in parts]
     role = [ROLE[KINDS[k]] for _, k, _ in parts]
-    last: dict[str, int] = {}  # the part of each role that reaches furthest right so far in this scope
+    starts: dict[str, list[int]] = {r: [] for r in PARTNERS}
+    order: dict[str, list[int]] = {r: [] for r in PARTNERS}
+    for i, (s, _, _) in enumerate(parts):
+        starts[role[i]].append(s)
+        order[role[i]].append(i)
+    by_end = sorted(range(len(parts)), key=lambda i: (parts[i][2], i))
+    last: dict[str, int] = {}
+    found, at = [], 0
     for i, (s, _, e) in enumerate(parts):
+        while at < len(parts) and parts[by_end[at]][2] <= s:
+            last[role[by_end[at]]] = by_end[at]
+            at += 1
+        best = (reach + 1, -1)
         for r in PARTNERS[role[i]]:
             j = last.get(r, -1)
-            if j >= 0 and scope[j] == scope[i] and (gap := max(0, s - parts[j][2])) < best[i][0]:
-                best[i] = (gap, j)
-        j = last.get(role[i], -1)
-        if j < 0 or scope[j] != scope[i] or parts[j][2] <= e:
-            last[role[i]] = i
-    last = {}
-    for i in range(len(parts) - 1, -1, -1):
-        e = parts[i][2]
-        for r in PARTNERS[role[i]]:
-            j = last.get(r, -1)
-            if j >= 0 and scope[j] == scope[i] and (gap := max(0, parts[j][0] - e)) < best[i][0]:
-                best[i] = (gap, j)
-        last[role[i]] = i
-    return [j for _, j in best]
+            if j >= 0 and scope[j] == scope[i] and s - parts[j][2] < best[0]:
+                best = (s - parts[j][2], j)
+            k = bisect_left(starts[r], e)
+            if k < len(order[r]) and scope[j := order[r][k]] == scope[i] and starts[r][k] - e < best[0]:
+                best = (starts[r][k] - e, j)
+        found.append(best[1])
+    return found
 
 
 def find(text: str | None, reach: int = REACH) -> list[tuple[str, int, int, int]]:
