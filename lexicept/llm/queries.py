@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, licenses, mixing, pii, quality, secretscan, simhash, toxicity
+from ..session import table_path
+from . import alignment, decontaminate, htmltext, importance, langid, licenses, mixing, pii, quality, secretscan, simhash, tokenbin, toxicity
 from .common import crc_fold, table, text_batches
 
 
@@ -69,9 +72,37 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    path = table_path(spark, "token-ids-" + uuid.uuid4().hex)
+    tokenbin.write(table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"), end_id=2)
+    return tokenbin.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return alignment.link_scores(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))[0]
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_decontamination, op3_licenses, op4_language, op5_mixing, op6_pii, op7_secrets, op8_quality, op9_simhash, op10_html)
+    for f in (
+        op1_toxicity, op2_decontamination, op3_licenses, op4_language, op5_mixing, op6_pii, op7_secrets, op8_quality, op9_simhash, op10_html,
+        op11_token_ids, op12_importance, op13_alignment,
+    )
 }
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
