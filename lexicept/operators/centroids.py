@@ -5,14 +5,16 @@ Output shape everywhere: ``(category, cluster int, centroid array<double>)``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import stable_hash
 from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded, maybe_broadcast
-from ..functions.vectors import as_double, sq_distance, vector_mean
+from ..functions.vectors import as_double, vector_mean, vector_sum
 
 #: A centre that moves less than this in every coordinate stands still (sums differ in their last bits between runs).
 SETTLED = 1e-12
@@ -51,104 +53,123 @@ def align_centroids(centroids: DataFrame, categories: DataFrame) -> DataFrame:
     return centroids.join(maybe_broadcast(cats, MODEL_MAX_ROWS), "category", "inner")
 
 
-def _centers_frame(spark: SparkSession, centers: dict) -> DataFrame:
-    """Small driver-side centre table -> one row per category with its K centres."""
-    by_cat: dict = {}
-    for (cat, cl), vec in centers.items():
-        by_cat.setdefault(cat, []).append((int(cl), [float(x) for x in vec]))
-    rows = [(cat, sorted(v)) for cat, v in by_cat.items()]
-    schema = T.StructType(
-        [
-            T.StructField("category", T.StringType()),
-            T.StructField(
-                "centers",
-                T.ArrayType(
-                    T.StructType(
-                        [T.StructField("cluster", T.IntegerType()), T.StructField("c", T.ArrayType(T.DoubleType()))]
-                    )
-                ),
-            ),
-        ]
-    )
-    return spark.createDataFrame(rows, schema)
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster, squared distance) of every row's nearest centre; ties go to the lower cluster."""
+    d2 = np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
+    best = d2.argmin(axis=1)
+    return best, d2[np.arange(len(x)), best]
 
 
-def _assign(points: DataFrame, centers_df: DataFrame) -> DataFrame:
-    """Nearest centre within the point's category; ties go to the lower cluster id.
+def _lloyd_sums(rows: DataFrame, centers: dict[str, dict[str, np.ndarray]]) -> dict[str, dict[str, np.ndarray]]:
+    """Per variant and category: clusters x (members, squared distances, vector sum), in one job for all variants.
 
-    The (bounded) centre list rides along each point through a broadcast
-    equi-join on category, and the argmin is a per-row array expression, so
-    assignment needs no shuffle.
+    ``rows`` has (category, vec, one boolean column per variant). Every task adds up its batches in numpy and sends one
+    row per (variant, category) it met.
     """
-    joined = points.join(F.broadcast(centers_df), "category", "inner")
-    cand = F.transform("centers", lambda s: F.struct(sq_distance("vec", s["c"]).alias("d"), s["cluster"].alias("cluster")))
-    best = F.array_min(cand)
-    return joined.select("category", "key", "vec", best["cluster"].alias("cluster"), best["d"].alias("d2"))
-
-
-def kmeans_centroids(points: DataFrame, k: int, seed: int = 230706, iterations: int = 300,
-                     category_col: str = "category", key_col: str = "key", vec_col: str = "embedding",
-                     max_centers: int = MODEL_MAX_ROWS) -> DataFrame:
-    """Grouped Lloyd's k-means: K clusters inside every category, all categories in one job per step.
-
-    * start centres: the K rows with the smallest ``stable_hash(key, seed)`` in
-      each category (a category with fewer than K rows gets one cluster per row);
-    * Lloyd steps until no centre moves (``iterations`` is an emergency stop); an
-      empty cluster keeps its previous centre;
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(centers)
+
+    def run(batches):
+        centers = shared.value
+        sums: dict = {}
+        for b in batches:
+            names = np.array(b.column("category").to_pylist(), dtype=object)
+            x = np.asarray(b.column("vec").flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
+            for cat in set(names):
+                of_cat = names == cat
+                for variant, by_cat in centers.items():
+                    use = of_cat & b.column(variant).to_numpy(zero_copy_only=False)
+                    if cat not in by_cat or not use.any():
+                        continue
+                    xs, c = x[use], by_cat[cat]
+                    best, d2 = _nearest(xs, c)
+                    at = sums.setdefault((variant, cat), np.zeros((len(c), 2 + xs.shape[1])))
+                    at[:, 0] += np.bincount(best, minlength=len(c))
+                    at[:, 1] += np.bincount(best, weights=d2, minlength=len(c))
+                    for j in range(len(c)):
+                        at[j, 2:] += xs[best == j].sum(axis=0)
+        for (variant, cat), v in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([variant]), pa.array([cat], pa.string()), pa.array([v.ravel()], pa.list_(pa.float64()))], names=["variant", "category", "v"])
+
+    variants = list(centers)
+    added = rows.select("category", "vec", *variants).mapInArrow(run, "variant string, category string, v array<double>")
+    found = collect_bounded(added.groupBy("variant", "category").agg(vector_sum("v").alias("v")), MODEL_MAX_ROWS, "k-means sums")
+    shared.unpersist()
+    out: dict = {v: {} for v in variants}
+    for r in found:
+        out[r["variant"]][r["category"]] = np.array(r["v"]).reshape(len(centers[r["variant"]][r["category"]]), -1)
+    return out
+
+
+def kmeans_models(points: DataFrame, variants: dict[str, tuple[int, Column | None]], seed: int = 230706, iterations: int = 300,
+                  category_col: str = "category", key_col: str = "key", vec_col: str = "embedding",
+                  max_centers: int = MODEL_MAX_ROWS) -> dict[str, DataFrame]:
+    """Grouped Lloyd's k-means of several variants {name: (K, rows that take part)} in shared passes; centroids per variant.
+
+    * start centres: the K rows with the smallest ``stable_hash(key, seed)`` in each category (a category with fewer than
+      K rows gets one cluster per row);
+    * Lloyd steps until no centre of any variant moves (``iterations`` is an emergency stop); an empty cluster keeps its
+      previous centre;
     * result: members of each cluster under the final centres, averaged.
 
-    Only the C*K centres (size-checked) visit the driver between steps,
-    which is the loop control; the points stay distributed and persisted.
+    A step is one job for all variants and categories: the C*K centres (size-checked) are broadcast, tasks assign whole
+    batches with matrix operations and send sums. The points stay distributed and persisted. Rows without a category or
+    vector take no part.
     """
     spark = points.sparkSession
-    cached = points.select(
-        F.col(category_col).alias("category"), F.col(key_col).alias("key"), as_double(vec_col).alias("vec")
+    names = {v: f"_in_{i}" for i, v in enumerate(variants)}
+    # where each start row lies: the flags are one column per distinct condition
+    rows = points.filter(F.col(category_col).isNotNull() & F.col(vec_col).isNotNull()).select(
+        F.col(category_col).alias("category"), F.col(key_col).alias("key"), as_double(vec_col).alias("vec"),
+        *[F.coalesce(F.lit(True) if flag is None else flag, F.lit(False)).alias(names[v]) for v, (_, flag) in variants.items()],
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    pts = cached.withColumn("h", F.struct(stable_hash("key", seed).alias("h"), F.col("key")))
+    try:
+        centers: dict = {}
+        for v, (k, _) in variants.items():
+            order = Window.partitionBy("category").orderBy(stable_hash("key", seed), "key")  # cut to K rows before the shuffle
+            start = rows.filter(names[v]).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+            found = collect_bounded(start.select("category", "_r", "vec"), max_centers, "k-means start rows")
+            by_cat: dict = {}
+            for r in sorted(found, key=lambda r: (r["category"], r["_r"])):
+                by_cat.setdefault(r["category"], []).append(r["vec"])
+            centers[names[v]] = {c: np.array(x, float) for c, x in by_cat.items()}
+        for _ in range(iterations):
+            moved = 0.0
+            for v, by_cat in _lloyd_sums(rows, centers).items():
+                for cat, s in by_cat.items():
+                    c, full = centers[v][cat], s[:, 0] > 0
+                    new = c.copy()
+                    new[full] = s[full, 2:] / s[full, :1]
+                    moved = max(moved, float(np.abs(new - c).max(initial=0.0)))
+                    centers[v][cat] = new
+            if moved <= SETTLED:
+                break
+        final = _lloyd_sums(rows, centers)
+    finally:
+        rows.unpersist()
+    out = {}
+    for v in variants:
+        table = [
+            (cat, j, (row[2:] / row[0]).tolist()) for cat, s in final[names[v]].items() for j, row in enumerate(s) if row[0] > 0
+        ]
+        out[v] = spark.createDataFrame(table, CENTROID_SCHEMA)
+    return out
 
-    # Start rows: K passes of a partial min_by per category (no window sort of a hot category).
-    centers: dict = {}
-    picked: list = []
-    chosen = None
-    for j in range(k):
-        cand = pts if chosen is None else pts.join(F.broadcast(chosen), ["category", "key"], "left_anti")
-        pick = cand.groupBy("category").agg(F.min_by(F.struct("key", "vec"), "h").alias("p"))
-        rows = collect_bounded(pick.select("category", "p.key", "p.vec"), max_centers, "k-means start rows")
-        if not rows:
-            break
-        for r in rows:
-            centers[(r["category"], j)] = r["vec"]
-            picked.append((r["category"], int(r["key"])))
-        if len(centers) > max_centers:
-            raise ValueError(f"more than {max_centers} k-means centres")
-        chosen = spark.createDataFrame(picked, "category string, key long")
-
-    base = pts.select("category", "key", "vec")
-    for _ in range(iterations):
-        assigned = _assign(base, _centers_frame(spark, centers))
-        means = assigned.groupBy("category", "cluster").agg(vector_mean("vec").alias("c"))
-        moved = 0.0
-        for r in collect_bounded(means, max_centers, "k-means centres"):
-            at = (r["category"], int(r["cluster"]))
-            moved = max(moved, max((abs(x - y) for x, y in zip(r["c"], centers[at], strict=True)), default=0.0))
-            centers[at] = r["c"]
-        if moved <= SETTLED:
-            break
-
-    final = _assign(base, _centers_frame(spark, centers)).groupBy("category", F.col("cluster").cast("int").alias("cluster")).agg(
-        vector_mean("vec").alias("centroid")
-    )
-    # the result is C*K centres (bounded like every step before); materialise it and release the points
-    rows = collect_bounded(final, max_centers, "k-means centroids")
-    cached.unpersist()
-    return spark.createDataFrame([(r["category"], int(r["cluster"]), [float(x) for x in r["centroid"]]) for r in rows],
-                                 CENTROID_SCHEMA)
+
+def kmeans_centroids(points: DataFrame, k: int, seed: int = 230706, iterations: int = 300,
+                     category_col: str = "category", key_col: str = "key", vec_col: str = "embedding",
+                     max_centers: int = MODEL_MAX_ROWS) -> DataFrame:
+    """``kmeans_models`` of one variant: K clusters inside every category."""
+    return kmeans_models(points, {"all": (k, None)}, seed, iterations, category_col, key_col, vec_col, max_centers)["all"]
 
 
 def kmeans_objective(points: DataFrame, centroids: DataFrame, category_col: str = "category",
                      key_col: str = "key", vec_col: str = "embedding") -> float:
     """Sum of squared distances to the nearest centre (a test invariant)."""
-    spark = points.sparkSession
-    centers = {(r["category"], int(r["cluster"])): r["centroid"] for r in collect_bounded(centroids, MODEL_MAX_ROWS)}
-    pts = points.select(F.col(category_col).alias("category"), F.col(key_col).alias("key"), as_double(vec_col).alias("vec"))
-    return float(_assign(pts, _centers_frame(spark, centers)).agg(F.sum("d2")).first()[0])
+    centers: dict = {}
+    for r in sorted(collect_bounded(centroids, MODEL_MAX_ROWS), key=lambda r: (r["category"], r["cluster"])):
+        centers.setdefault(r["category"], []).append(r["centroid"])
+    pts = points.select(F.col(category_col).alias("category"), as_double(vec_col).alias("vec"), F.lit(True).alias("all"))
+    sums = _lloyd_sums(pts, {"all": {c: np.array(x, float) for c, x in centers.items()}})
+    return float(sum(s[:, 1].sum() for s in sums["all"].values()))

@@ -12,9 +12,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _sum(cols: list[Column]) -> Column:
@@ -97,3 +100,14 @@ def select_features(df: DataFrame, categories: list[str], keep: list[str] | None
     keep = keep or []
     present = [c for c in sorted(categories) if c in df.columns]
     return df.select(*keep, *present)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def row_standardize_array(scores: pa.Array) -> pa.Array:
+    """Every array to mean 0 and population deviation 1 (constant arrays to 0); all arrays of a batch have one length, null stays null."""
+    valid = np.asarray(scores.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+    x = np.asarray(scores.flatten().to_numpy(zero_copy_only=False), float).reshape(int(valid.sum()), -1) if valid.any() else np.zeros((0, 0))
+    sd = x.std(axis=1, keepdims=True)
+    x = (x - x.mean(axis=1, keepdims=True)) / np.where(sd > 0, sd, 1.0) if len(x) else x
+    ends = np.cumsum(np.concatenate([[0], valid * x.shape[1]])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel(), pa.float64()), mask=pa.array(~valid))

@@ -7,21 +7,25 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from ..functions.hashing import stable_hash_sql
+from ..functions.hashing import stable_hash, stable_hash_sql
 from ..operators import evaluate as V
 from ..operators import lexicon as L
 from ..operators import scaling as S
-from ..operators.centroids import kmeans_centroids, mean_centroids
-from ..operators.represent import concept_matrix
+from ..operators.centroids import kmeans_models, mean_centroids
+from ..operators.represent import concept_matrix, score_blocks
+from ..operators.shared_fit import Loss, evaluate_many
 from ..session import table_path
 from ..sources import fixtures as fx
 from ..sources.readers import sample_n, select_run, write_result
 from .common import POINT_CATEGORIES, long_, r6, sql_centroid_lists, sql_r6
 from .q_lexicon import EXPANDED_TOKENS, LEX_CATS, _counts_sql
+from .fit_sql import logistic_sql, regression_sql
 from .registry import query
 
 W = fx.with_ctes
 FOLD_SEED, SPLIT_SEED, SAMPLE_SEED = 3, 203948, 220511
+#: Rows that stand for the kernel's span.
+LANDMARKS = 96
 
 
 def _emb(spark, sf):
@@ -194,19 +198,43 @@ def q_fit_classifier(spark, sf):
     return g.select("class", "feature", (F.round("gradient", 3) + F.lit(0.0)).alias("gradient"), F.lit(tr.count()).cast("long").alias("n_train"))
 
 
-@query(
-    "fit_svm",
-    W(_TRAIN_SQL) + "SELECT CAST(count(*) FILTER (WHERE train) AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE NOT train) AS BIGINT) AS n_test, "
-    "true AS beats_majority FROM tr",
-)
+def _arrays(df, cols, *keep):
+    return df.select(*keep, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+
+
+def _class_numbers(df):
+    """Rows with the number of their class, and how many classes there are."""
+    mapping = V.label_index(df, "label")
+    return V.index_labels(df, mapping, "label", "y"), len(mapping)
+
+
+def _majority(df):
+    """(fold, baseline): the accuracy of the test fold's own majority."""
+    return V.majority_baseline_cv(df, "label").select(F.col("fold").cast("int").alias("fold"), r6("accuracy", "baseline"))
+
+
+def _held_split(spark, sf):
+    """The split as folds: training rows 0, validation rows 1."""
+    m = V.random_split(_features(spark, sf), "vec_id", SPLIT_SEED)
+    return m.withColumn("fold", F.when(F.col("split") == "train", 0).otherwise(1))
+
+
+@query("fit_svm")
 def q_fit_svm(spark, sf):
-    """Rows predicted, and whether the held-out accuracy exceeds the training mode's."""
-    tr, te = _scaled_split(spark, sf)
-    fitted, mapping = V.fit_model(tr, POINT_CATEGORIES, "label", model="svm")
-    m = V.classification_metrics(V.predict(fitted, mapping, te, POINT_CATEGORIES, "label"), "label_idx", "prediction")
-    base = V.majority_baseline_holdout(tr, te, "label")
-    return m.select(F.lit(tr.count()).cast("long").alias("n_train"), long_("n", "n_test"),
-                    (F.col("accuracy") > base.select("accuracy").scalar()).alias("beats_majority"))
+    """Linear support vector machines, one against the rest: held-out accuracy and the gradient left at the solution."""
+    rows, n = _class_numbers(_arrays(_held_split(spark, sf), POINT_CATEGORIES, "vec_id", "label", "fold"))
+    res = evaluate_many(rows, ["x"], "y", "fold", [1], Loss("hinge"), classes=n)
+    return res.select("n_train", "n_test", r6("accuracy", "accuracy"), (F.round("gradient", 6) + F.lit(0.0)).alias("gradient"))
+
+
+@query("fit_kernel_svm")
+def q_fit_kernel_svm(spark, sf):
+    """Radial-kernel support vector machines, pairs of classes voting, five stratified folds against the folds' majority."""
+    folds = V.stratified_folds(_features(spark, sf), "vec_id", "label")
+    rows, n = _class_numbers(_arrays(folds, POINT_CATEGORIES, "vec_id", "label", "fold"))
+    res = evaluate_many(rows, ["x"], "y", "fold", list(range(5)), Loss("hinge"), classes=n, pairs=True, landmarks=LANDMARKS, key="vec_id")
+    out = res.join(_majority(folds), "fold")
+    return out.select(long_("fold", "fold"), "n_train", "n_test", "baseline", r6("accuracy", "accuracy"), (F.round("gradient", 6) + F.lit(0.0)).alias("gradient"))
 
 
 _REGRESSION_SPLIT_SQL = f"({stable_hash_sql('doc_id', SPLIT_SEED)}) % 100 < 75"
@@ -230,117 +258,100 @@ def q_fit_regressor(spark, sf):
     return m.select("feature", (F.round("moment", 5) + F.lit(0.0)).alias("moment"), F.lit(tr.count()).cast("long").alias("n_train"))
 
 
-_FOLD_MAJORITY_SQL = (
-    "fc AS (SELECT fold, label, count(*) AS n FROM sfolds GROUP BY fold, label)",
-    "fm AS (SELECT fold, " + sql_r6("max(n) / sum(n)") + " AS baseline, true AS at_least_baseline FROM fc GROUP BY fold)",
-)
-
-
-@query("cross_validate", W(*_STRAT_SQL, *_FOLD_MAJORITY_SQL) + "SELECT fold, baseline, at_least_baseline FROM fm")
+@query("cross_validate", logistic_sql("cv"))
 def q_cross_validate(spark, sf):
-    """Five stratified folds: rows standardised, then columns refitted per fold."""
-    rows = S.row_standardize(_features(spark, sf), POINT_CATEGORIES)
-    m = V.stratified_folds(rows, "vec_id", "label")
-    res = V.compare_with_baseline(V.cross_validate(m, POINT_CATEGORIES, "label", scale_cols=POINT_CATEGORIES), ["fold"])
-    return res.select(long_("fold", "fold"), r6("baseline", "baseline"), "at_least_baseline")
+    """Five stratified folds of logistic fits: rows standardised, then columns refitted per fold; accuracy and the folds' majority."""
+    folds = V.stratified_folds(S.row_standardize(_features(spark, sf), POINT_CATEGORIES), "vec_id", "label")
+    rows, n = _class_numbers(_arrays(folds, POINT_CATEGORIES, "label", "fold"))
+    out = evaluate_many(rows, ["x"], "y", "fold", list(range(5)), Loss("logistic"), classes=n).join(_majority(folds), "fold")
+    return out.select(long_("fold", "fold"), "n_test", "baseline", r6("accuracy", "accuracy"))
 
 
-_REG_FOLDS_SQL = (
-    "f AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS y, ntile(5) OVER (ORDER BY doc_id) - 1 AS fold FROM documents)",
-    "st AS (SELECT fold, sum(y) AS s, count(*) AS n FROM f GROUP BY fold)",
-    "fm AS (SELECT fold, ((SELECT sum(s) FROM st) - s) / ((SELECT sum(n) FROM st) - n) AS m_train FROM st)",
-)
-
-
-@query(
-    "cross_validate_regression",
-    W(*_REG_FOLDS_SQL) + "SELECT CAST(f.fold AS BIGINT) AS fold, " + sql_r6("sqrt(avg((y - m_train) ^ 2))")
-    + " AS baseline, true AS at_least_baseline FROM f JOIN fm ON fm.fold = f.fold GROUP BY f.fold",
-)
+@query("cross_validate_regression", regression_sql("cv"))
 def q_cross_validate_regression(spark, sf):
-    """Five contiguous folds of a regression, against predicting the other folds' mean."""
+    """Five contiguous folds of least squares: R2 and RMSE beside predicting the other folds' mean."""
     m = V.contiguous_folds(_regression_rows(spark, sf), "doc_id")
-    res = V.cross_validate(m, LEX_CATS, "n_chars", task="regression", scale_cols=LEX_CATS)
-    out = V.compare_with_baseline(res, ["fold"], "regression")
-    return out.select(long_("fold", "fold"), r6("baseline", "baseline"), "at_least_baseline")
-
+    res = evaluate_many(_arrays(m, LEX_CATS, "n_chars", "fold"), ["x"], "n_chars", "fold", list(range(5)), Loss("squared"))
+    base = V.mean_baseline_cv(m, "n_chars").select(F.col("fold").cast("int").alias("fold"), r6("rmse", "baseline"))
+    return res.join(base, "fold").select(long_("fold", "fold"), "n_test", "baseline", r6("r2", "r2"), r6("rmse", "rmse"))
 
-_HOLDOUT_MAJORITY_SQL = (
-    _TRAIN_SQL,
-    "mode AS (SELECT label FROM tr WHERE train GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)",
-    "b AS (SELECT " + sql_r6("avg(CASE WHEN label = (SELECT label FROM mode) THEN 1.0 ELSE 0.0 END)") + " AS baseline FROM tr WHERE NOT train)",
-)
 
-
-@query("holdout_evaluate", W(*_HOLDOUT_MAJORITY_SQL) + "SELECT baseline, true AS at_least_baseline FROM b")
+@query("holdout_evaluate", logistic_sql("holdout"))
 def q_holdout_evaluate(spark, sf):
-    tr, te = _split_features(spark, sf)
-    tr, te = S.row_standardize(tr, POINT_CATEGORIES), S.row_standardize(te, POINT_CATEGORIES)
-    res = V.compare_with_baseline(V.holdout_evaluate(tr, te, POINT_CATEGORIES, "label", scale_cols=POINT_CATEGORIES), [])
-    return res.select(r6("baseline", "baseline"), "at_least_baseline")
+    """A logistic fit on the training split: held-out accuracy beside the training mode's."""
+    m = S.row_standardize(_held_split(spark, sf), POINT_CATEGORIES)
+    rows, n = _class_numbers(_arrays(m, POINT_CATEGORIES, "label", "fold"))
+    res = evaluate_many(rows, ["x"], "y", "fold", [1], Loss("logistic"), classes=n)
+    base = V.majority_baseline_holdout(m.filter("fold = 0"), m.filter("fold = 1"), "label")
+    return res.select("n_test", r6(base.select("accuracy").scalar(), "baseline"), r6("accuracy", "accuracy"))
 
 
-@query(
-    "holdout_regression",
-    f"WITH f AS (SELECT CAST(n_chars AS DOUBLE) AS y, {_REGRESSION_SPLIT_SQL} AS train FROM documents) SELECT "
-    + sql_r6("sqrt(avg((y - (SELECT avg(y) FROM f WHERE train)) ^ 2))") + " AS baseline, true AS at_least_baseline FROM f WHERE NOT train",
-)
+@query("holdout_regression", regression_sql("holdout"))
 def q_holdout_regression(spark, sf):
-    split = V.random_split(_regression_rows(spark, sf), "doc_id", SPLIT_SEED)
-    tr, te = split.filter("split = 'train'"), split.filter("split = 'validation'")
-    res = V.compare_with_baseline(V.holdout_evaluate(tr, te, LEX_CATS, "n_chars", "regression", scale_cols=LEX_CATS), [], "regression")
-    return res.select(r6("baseline", "baseline"), "at_least_baseline")
+    """Least squares on the training split: held-out R2 and RMSE beside predicting the training mean."""
+    split = V.random_split(_regression_rows(spark, sf), "doc_id", SPLIT_SEED).withColumn("fold", F.when(F.col("split") == "train", 0).otherwise(1))
+    res = evaluate_many(_arrays(split, LEX_CATS, "n_chars", "fold"), ["x"], "n_chars", "fold", [1], Loss("squared"))
+    base = V.mean_baseline_holdout(split.filter("fold = 0"), split.filter("fold = 1"), "n_chars")
+    return res.select("n_test", r6(base.select("rmse").scalar(), "baseline"), r6("r2", "r2"), r6("rmse", "rmse"))
 
 
-@query(
-    "raw_vector_baseline",
-    W(*_STRAT_SQL, *_FOLD_MAJORITY_SQL) + "SELECT s.scaled, fold, baseline, true AS scored FROM fm CROSS JOIN (VALUES (true), (false)) s(scaled)",
-)
-def q_raw_vector_baseline(spark, sf):
-    """The vectors themselves as features: five folds, with and without column scaling; ``scored``: the fold has an accuracy.
+@query("fit_svr")
+def q_fit_svr(spark, sf):
+    """Support vector regression with a radial kernel, five contiguous folds; the target in its own deviations."""
+    m = V.contiguous_folds(_regression_rows(spark, sf), "doc_id")
+    spread = m.agg(F.stddev_pop("n_chars")).first()[0] or 1.0  # the margin of 0.1 is meant for a target of unit size
+    rows = _arrays(m.withColumn("y", F.col("n_chars") / F.lit(spread)), LEX_CATS, "doc_id", "y", "fold")
+    res = evaluate_many(rows, ["x"], "y", "fold", list(range(5)), Loss("insensitive"), landmarks=LANDMARKS, key="doc_id")
+    return res.select(long_("fold", "fold"), "n_train", "n_test", r6("r2", "r2"), r6(F.col("rmse") * F.lit(spread), "rmse"),
+                      (F.round("gradient", 6) + F.lit(0.0)).alias("gradient"))
 
-    On the provided vectors the labels are near chance, so the accuracy itself is no invariant.
-    """
-    emb = _emb(spark, sf)
-    dim = len(emb.select("embedding").first()[0])
-    cols = [f"x{i}" for i in range(dim)]
-    wide = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    m = V.stratified_folds(wide, "vec_id", "label")
+
+@query("raw_vector_baseline")
+def q_raw_vector_baseline(spark, sf):
+    """The vectors themselves as features: logistic fits of five folds, with and without column scaling, and the folds' majority."""
+    folds = V.stratified_folds(_emb(spark, sf), "vec_id", "label")
+    rows, n = _class_numbers(folds)
     parts = [
-        V.compare_with_baseline(V.cross_validate(m, cols, "label", scale_cols=cols if scaled else None), ["fold"])
-        .select(F.lit(scaled).alias("scaled"), long_("fold", "fold"), r6("baseline", "baseline"), F.col("at_least_baseline").isNotNull().alias("scored"))
+        evaluate_many(rows, ["embedding"], "y", "fold", list(range(5)), Loss("logistic"), classes=n, scale=scaled).withColumn("scaled", F.lit(scaled))
         for scaled in (True, False)
     ]
-    return parts[0].unionByName(parts[1])
+    out = parts[0].unionByName(parts[1]).join(_majority(folds), "fold")
+    return out.select("scaled", long_("fold", "fold"), "n_test", "baseline", r6("accuracy", "accuracy"))
 
 
 GRID = [{"k": k, "distance": d, "reference": r} for k in (1, 2, 3, 4) for d in ("cosine", "l2") for r in ("all", "train")]
 
 
-@query(
-    "experiment_grid",
-    W(*_HOLDOUT_MAJORITY_SQL) + "SELECT CAST(k AS BIGINT) AS k, distance, reference, baseline, true AS at_least_baseline FROM b "
-    "CROSS JOIN (VALUES (1), (2), (3), (4)) a(k) CROSS JOIN (VALUES ('cosine'), ('l2')) d(distance) CROSS JOIN (VALUES ('all'), ('train')) r(reference)",
-)
+def grid_scores(spark, sf):
+    """Every configuration's row-standardised score array on the same rows: (vec_id, label, fold, one array per configuration)."""
+    pts, cats = fx.fx_centroid_points(spark, sf), fx.fx_point_categories(spark, sf)
+    in_train = F.pmod(stable_hash("key", SPLIT_SEED), F.lit(100)) < 75
+    sources = {"all": (None, pts), "train": (in_train, pts.filter(in_train))}
+    models = {(1, r): mean_centroids(p) for r, (_, p) in sources.items()}
+    found = kmeans_models(pts, {f"{k}-{r}": (k, flag) for k in (2, 3, 4) for r, (flag, _) in sources.items()}, seed=7)
+    models |= {(int(v.split("-")[0]), v.split("-")[1]): c for v, c in found.items()}
+    rows = V.random_split(_emb(spark, sf), "vec_id", SPLIT_SEED).withColumn("fold", F.when(F.col("split") == "train", 0).otherwise(1))
+    names = []
+    for c in GRID:
+        name = f"run_{c['k']}_{c['distance']}_{c['reference']}"
+        rows, scores = score_blocks(rows, models[c["k"], c["reference"]], cats, "embedding", c["distance"], prefix=f"_{name}_")
+        rows = rows.withColumn(name, S.row_standardize_array(F.array(*scores.values())))
+        names.append(name)
+    return rows.select("vec_id", "label", "fold", *names), names
+
+
+@query("experiment_grid")
 def q_experiment_grid(spark, sf):
-    """K x distance x reference corpus, each a held-out fit; results stored by run coordinates and read back by them."""
-    pts = fx.fx_centroid_points(spark, sf)
-    cats = fx.fx_point_categories(spark, sf)
-    split = V.random_split(_emb(spark, sf), "vec_id", SPLIT_SEED)
-    train_keys = split.filter("split = 'train'").select(F.col("vec_id").alias("key"))
-    sources = {"all": pts, "train": pts.join(train_keys, "key", "left_semi")}
-    models = {(k, r): mean_centroids(p) if k == 1 else kmeans_centroids(p, k=k, seed=7) for k in (1, 2, 3, 4) for r, p in sources.items()}
-
-    def build(c):
-        m = concept_matrix(split, models[(c["k"], c["reference"])], cats, "vec_id", metric=c["distance"], keep=["label", "split"])
-        rows = S.row_standardize(m, POINT_CATEGORIES)
-        return rows.filter("split = 'train'"), rows.filter("split = 'validation'")
-
-    res = V.experiment_grid(build, GRID, POINT_CATEGORIES, "label")
-    path = write_result(res, table_path(spark, "grid-" + uuid.uuid4().hex), ["k", "distance", "reference"])
-    runs = [select_run(spark, path, distance=d) for d in ("cosine", "l2")]
-    out = V.compare_with_baseline(runs[0].unionByName(runs[1]), ["k", "distance", "reference"])
-    return out.select(long_("k", "k"), "distance", "reference", r6("baseline", "baseline"), "at_least_baseline")
+    """K x distance x reference corpus, all held-out fits in shared passes; results stored by run coordinates and read back by them."""
+    rows, names = grid_scores(spark, sf)
+    numbered, n = _class_numbers(rows)
+    res = evaluate_many(numbered, names, "y", "fold", [1], Loss("logistic"), classes=n)
+    runs = spark.createDataFrame([(m, *c.values()) for m, c in zip(names, GRID, strict=True)], "features string, k int, distance string, reference string")
+    base = V.majority_baseline_holdout(rows.filter("fold = 0"), rows.filter("fold = 1"), "label").select("accuracy").scalar()
+    table = res.join(F.broadcast(runs), "features").select("k", "distance", "reference", "n_test", r6(base, "baseline"), r6("accuracy", "accuracy"))
+    path = write_result(table, table_path(spark, "grid-" + uuid.uuid4().hex), ["k", "distance", "reference"])
+    stored = [select_run(spark, path, distance=d) for d in ("cosine", "l2")]
+    return stored[0].unionByName(stored[1]).select(long_("k", "k"), "distance", "reference", "n_test", "baseline", "accuracy")
 
 
 # ---------------------------------------------------------------- sources and sinks
