@@ -57,7 +57,10 @@ def select_rank(df: DataFrame, value: str, rank: Column, group_cols: list[str] |
             bounds = spark.createDataFrame(todo, schema)
             inside = rows.join(F.broadcast(bounds), _same(g) & F.col("_v").between(F.col("lo"), F.col("hi")))
             half = lambda c: F.col(c).cast("double") / 2  # noqa: E731  halves: no overflow between the extremes
-            share = (half("_v") - half("lo")) / (half("hi") - half("lo"))
+            share = F.try_divide(half("_v") - half("lo"), half("hi") - half("lo"))
+            if not floating:  # neighbours that doubles cannot tell apart
+                share = F.coalesce(F.try_subtract("_v", "lo").cast("double") / F.try_subtract("hi", "lo").cast("double"), share)
+            share = F.coalesce(share, F.lit(0.5))
             bucket = F.when(F.col("_v") >= F.col("hi"), F.lit(BUCKETS - 1)).when(F.col("_v") <= F.col("lo"), F.lit(0)).otherwise(
                 F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS).cast("int"))))
             held = [f"_g_{c}" for c in g] + ["n", "r", "below"]
@@ -82,13 +85,13 @@ def exact_median(df: DataFrame, value: str, group_cols: list[str] | None = None)
     larger = df.join(F.broadcast(b), _same(g) & (F.col(value) > F.col("_low")))
     if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
         larger = larger.filter(~F.isnan(value))
-    following = larger.groupBy(*[f"_g_{c}" for c in g]).agg(F.min(value).alias("_next"))
-    both = b
-    if g:
-        f = following.select(*[F.col(f"_g_{c}").alias(c) for c in g], "_next")
-        both = b.join(F.broadcast(f), _same(g), "left").drop(*g)
-    else:
-        both = b.withColumn("_next", following.select("_next").scalar())
-    upper = F.when((F.col("n") % 2 == 0) & (F.col("below") + F.col("equal") == F.col("rank")), F.col("_next")).otherwise(F.col("_low"))
-    low_d, up_d = F.col("_low").cast("double"), upper.cast("double")
-    return both.select(*[F.col(f"_g_{c}").alias(c) for c in g], (low_d / 2 + up_d / 2).alias("median"))
+    names = [f"_g_{c}" for c in g]
+    following = collect_bounded(larger.groupBy(*names).agg(F.min(value).alias("_next")), MODEL_MAX_ROWS, "groups")
+    after = {tuple(r[c] for c in names): r["_next"] for r in following}
+    out = []
+    for r in low.collect():  # one row a group, bounded by select_rank
+        k = tuple(r[c] for c in g)
+        upper = after[k] if r["n"] % 2 == 0 and r["below"] + r["equal"] == r["rank"] else r["value"]
+        out.append((*k, float(r["value"]) / 2 + float(upper) / 2))
+    schema = T.StructType([*[df.schema[c] for c in g], T.StructField("median", T.DoubleType())])
+    return df.sparkSession.createDataFrame(out, schema)

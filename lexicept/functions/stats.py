@@ -12,10 +12,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .order_stats import exact_median
+from .sizing import MODEL_MAX_ROWS, collect_bounded
+
 
 def _tail_fraction(a: float, b: float, x: float) -> float:
     """1 / (1 + d1 / (1 + d2 / (1 + ...))) of the incomplete beta function, DLMF 8.17.22, summed from its tail.
@@ -170,5 +174,60 @@ def stack_columns(df: DataFrame, id_cols: list[str], columns: dict[str, str], na
 
 
 def column_summary(long: DataFrame, group_col: str, value_col: str) -> DataFrame:
-    """(group, mean, median) of a long table; nulls count nowhere."""
-    return long.groupBy(group_col).agg(F.avg(value_col).alias("mean"), F.median(value_col).alias("median"))
+    """(group, mean, median) of a long table, the median exact at any size; nulls count nowhere."""
+    rows = long.select(group_col, value_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        means = collect_bounded(rows.groupBy(group_col).agg(F.avg(value_col).alias("mean")), MODEL_MAX_ROWS, "groups")
+        medians = {r[0]: r["median"] for r in exact_median(rows, value_col, [group_col]).collect()}  # one row a group
+    finally:
+        rows.unpersist()
+    schema = T.StructType([long.schema[group_col], T.StructField("mean", T.DoubleType()), T.StructField("median", T.DoubleType())])
+    return long.sparkSession.createDataFrame([(r[0], r["mean"], medians.get(r[0])) for r in means], schema)
+
+
+def f_quantile(p: float, d1: float, d2: float) -> float:
+    """x with P(F(d1, d2) <= x) = p, by bisection of the incomplete beta function at d1 x / (d1 x + d2)."""
+    if not (0.0 < p < 1.0 and d1 > 0 and d2 > 0):
+        return float("nan")
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        if mid in (low, high):
+            break
+        if betainc(d1 / 2, d2 / 2, mid) < p:
+            low = mid
+        else:
+            high = mid
+    t = (low + high) / 2
+    return d2 * t / (d1 * (1.0 - t)) if t < 1.0 else float("inf")
+
+
+def icc_bounds(msr: float, msc: float, mse: float, icc: float, n: int, k: int, alpha: float = 0.05) -> tuple[float, float]:
+    """Confidence limits of the two-way agreement ICC of average ratings (McGraw and Wong 1996, table 7).
+
+    The denominator's degrees of freedom are Satterthwaite's for c MSC + d MSE. Without error variance, or for an ICC of 1,
+    the limits do not exist (NaN).
+    """
+    if n < 2 or k < 2 or not mse > 0 or icc is None or math.isnan(icc) or icc >= 1.0:
+        return float("nan"), float("nan")
+    c = icc / (n * (1.0 - icc))
+    d = 1.0 + icc * (n - 1) / (n * (1.0 - icc))
+    v = (c * msc + d * mse) ** 2 / ((c * msc) ** 2 / (k - 1) + (d * mse) ** 2 / ((n - 1) * (k - 1)))
+    below, above = f_quantile(1 - alpha / 2, n - 1, v), f_quantile(1 - alpha / 2, v, n - 1)
+    lower = n * (msr - below * mse) / (below * (msc - mse) + n * msr)
+    upper = n * (above * msr - mse) / (msc - mse + n * above * msr)
+    return lower, upper
+
+
+def icc_interval(long: DataFrame, object_col: str = "object", rater_col: str = "rater", score_col: str = "score",
+                 group_cols: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
+    """``icc_average`` with the limits (lower, upper) of its confidence interval, worked out on the aggregated rows."""
+
+    @F.pandas_udf("lower double, upper double")
+    def limits(msr: pd.Series, msc: pd.Series, mse: pd.Series, icc: pd.Series, n: pd.Series, k: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([icc_bounds(*row, alpha) for row in zip(msr, msc, mse, icc, n, k, strict=True)], columns=["lower", "upper"])
+
+    per = icc_average(long, object_col, rater_col, score_col, group_cols)
+    found = per.withColumn("_l", limits("msr", "msc", "mse", "icc", "n_objects", "n_raters"))
+    number = lambda c: F.when(~F.isnan(f"_l.{c}"), F.col(f"_l.{c}")).alias(c)
+    return found.select(*per.columns, number("lower"), number("upper"))

@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,3 +146,94 @@ def static_text_encoder(word_vectors: DataFrame, pattern: str = TOKEN_PATTERN, t
 
     return encode
 
+
+# ---------------------------------------------------------------- contextual token vectors
+
+SPAN_VECTORS = T.StructType([
+    T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())),
+    T.StructField("vectors", T.ArrayType(T.FloatType())),
+])
+
+
+class WindowTokenEncoder:
+    """A deterministic contextual encoder standing in for a language model: (starts, ends, vectors) of a text's tokens.
+
+    A token's vector is its own md5 place (as in ``Md5Encoder``) plus those of its neighbours up to ``reach`` tokens away,
+    each halved once per token of distance. Offsets are characters of the text, the end exclusive.
+    """
+
+    def __init__(self, dim: int = 16, reach: int = 2, pattern: str = r"[^\W\d_]+"):
+        import re
+
+        self.dim, self.reach, self.token = dim, reach, re.compile(pattern)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        import hashlib
+
+        out = []
+        for text in texts:
+            found = [(m.start(), m.end(), m.group().lower()) for m in self.token.finditer(text or "")]
+            places = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % self.dim for _, _, t in found]
+            vectors = np.zeros((len(found), self.dim), np.float32)
+            for step in range(-self.reach, self.reach + 1):
+                for i in range(max(0, -step), min(len(found), len(found) - step)):
+                    vectors[i, places[i + step]] += 0.5 ** abs(step)
+            out.append((np.array([f[0] for f in found], np.int32), np.array([f[1] for f in found], np.int32), vectors))
+        return out
+
+
+def encode_token_spans(df: DataFrame, text_col: str = "text", encoder_factory: Callable = WindowTokenEncoder, out_col: str = "spans",
+                       encoder_id: str | None = None) -> DataFrame:
+    """Append one struct per text: starts and ends of its tokens and all their vectors in one flat array.
+
+    The encoder sees whole batches of texts and returns (starts, ends, tokens x dim) per text; a text's tokens stay in its row, as
+    nested Arrow lists, until ``keyword_vector``, ``pool_spans`` or ``span_rows`` picks some. A null text has no tokens.
+    """
+    key = encoder_id or uuid.uuid4().hex
+
+    @F.arrow_udf(SPAN_VECTORS)
+    def encode(texts: pa.Array) -> pa.Array:
+        found = worker_encoder(encoder_factory, key)(texts.to_pylist())
+        lists = []
+        for k, kind in ((0, pa.int32()), (1, pa.int32()), (2, pa.float32())):
+            parts = [np.asarray(f[k]).ravel() for f in found]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0)]), kind)))
+        return pa.StructArray.from_arrays(lists, fields=[pa.field(n, x.type) for n, x in zip(("starts", "ends", "vectors"), lists, strict=True)])
+
+    return df.withColumn(out_col, encode(F.col(text_col)))
+
+
+def _width(spans: str) -> Column:
+    return F.try_divide(F.size(f"{spans}.vectors"), F.size(f"{spans}.starts")).cast("int")
+
+
+def keyword_vector(df: DataFrame, keyword: str, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """Per text the first token that contains the keyword: (pos, start, end, token, embedding) columns; null where there is none."""
+    starts, ends = F.col(f"{spans_col}.starts"), F.col(f"{spans_col}.ends")
+    piece = lambda a, b: F.lower(F.substring(F.col(text_col), a + 1, b - a))
+    indexed = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s, i: F.struct(i.alias("pos"), s["a"].alias("start"), s["b"].alias("end"), piece(s["a"], s["b"]).alias("token")))
+    hit = F.try_element_at(F.filter(indexed, lambda s: s["token"].contains(keyword.lower())), F.lit(1))
+    out = df.withColumn("_hit", hit)
+    vector = F.slice(f"{spans_col}.vectors", F.col("_hit.pos") * _width(spans_col) + 1, _width(spans_col))
+    return out.select(*df.columns, "_hit.*", F.when(F.col("_hit").isNotNull(), vector).alias("embedding")).drop(spans_col)
+
+
+def pool_spans(spans_col: str = "spans") -> Column:
+    """Mean of a text's token vectors, one reshape per text; null without tokens."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def pool(spans: pa.Array) -> pa.Array:
+        starts, vectors = spans.field("starts"), spans.field("vectors")
+        out = [np.asarray(v.values).reshape(len(s), -1).mean(axis=0, dtype=float) if len(s) else None for s, v in zip(starts, vectors, strict=True)]
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return pool(F.col(spans_col))
+
+
+def span_rows(df: DataFrame, id_col: str, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """One row per token (id, pos, start, end, token, embedding), for callers that want them."""
+    s = F.arrays_zip(F.col(f"{spans_col}.starts").alias("a"), F.col(f"{spans_col}.ends").alias("b"))
+    rows = df.select(id_col, F.col(text_col).alias("_t"), F.col(f"{spans_col}.vectors").alias("_v"), _width(spans_col).alias("_d"), F.posexplode(s).alias("pos", "_s"))
+    return rows.select(id_col, F.col("pos").cast("long").alias("pos"), F.col("_s.a").alias("start"), F.col("_s.b").alias("end"),
+                       F.expr("substring(_t, _s.a + 1, _s.b - _s.a)").alias("token"), F.slice("_v", F.col("pos") * F.col("_d") + 1, F.col("_d")).alias("embedding"))

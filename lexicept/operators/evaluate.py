@@ -2,15 +2,13 @@
 
 Folds and baselines are plain DataFrame work. Fold positions come from a
 range-partitioned rank (no single-task global window); baselines and
-metrics are aggregates over small per-fold / per-class tables. Model fits
-use Spark ML estimators; the loop over the five folds runs on the driver
-(one distributed fit per fold), as ``CrossValidator`` does.
+metrics are aggregates over small per-fold / per-class tables. ``fit_model``
+uses Spark ML estimators for a single model; cross-validation, held-out
+evaluation and grids of many models are in ``shared_fit``.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
@@ -22,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import stable_hash
+from ..functions.order_stats import select_rank
 from ..functions.ranking import global_row_number
 from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded
-from .scaling import apply_columns, fit_columns
 
 #: Doubles per partition of a cached fit input (rows times features).
 CELLS_PER_FIT_PARTITION = 4_000_000
@@ -80,6 +78,25 @@ def stratified_folds(df: DataFrame, key: str, label: str, n_folds: int = 5, out_
     return placed.withColumn(out_col, fold.cast("int")).drop("_r", "_label", "_cum")
 
 
+def exact_split(df: DataFrame, key: str, seed: int, train_share: float = 0.75, out_col: str = "split") -> DataFrame:
+    """Seeded split with exactly floor(share * n) training rows: the smallest stable hashes, ties by an integer key.
+
+    The cut is an exact order statistic found by refining counts; rows are neither sorted nor moved. Rows that share a key
+    stay together, so copies of the cutting key may exceed the size.
+    """
+    hashed = df.withColumn("_h", stable_hash(key, seed))
+    size = F.floor(F.col("n") * F.lit(train_share))
+    cut = select_rank(hashed, "_h", size).first()
+    if cut is None:
+        return df.withColumn(out_col, F.lit("validation"))
+    tied = hashed.filter(F.col("_h") == F.lit(cut["value"])).withColumn("_k", F.col(key).cast("long"))
+    last = select_rank(tied, "_k", F.lit(cut["rank"] - cut["below"])).first()
+    inside = F.col("_h") < F.lit(cut["value"])
+    if last is not None:
+        inside = inside | ((F.col("_h") == F.lit(cut["value"])) & (F.col(key).cast("long") <= F.lit(last["value"])))
+    return hashed.withColumn(out_col, F.when(inside, F.lit("train")).otherwise(F.lit("validation"))).drop("_h")
+
+
 def random_split(df: DataFrame, key: str, seed: int, train_pct: int = 75, out_col: str = "split") -> DataFrame:
     """Seeded train/validation split from a stable hash of the key (repartition-proof)."""
     bucket = F.pmod(stable_hash(key, seed), F.lit(100))
@@ -249,59 +266,6 @@ def predict(fitted, mapping, df: DataFrame, features, label: str, task: str = "c
     return fitted.transform(data.withColumn("label_y", F.col(label).cast("double")))
 
 
-def holdout_evaluate(train: DataFrame, test: DataFrame, features, label: str, task: str = "classification",
-                     model: str = "lr", scale_cols: list[str] | None = None, max_iter: int = MAX_ITER) -> DataFrame:
-    """Fit on train, score on test; columns scaled with a population scaler fitted on train.
-
-    Returns (metric, value) rows, the model's and the baseline's.
-    """
-    if scale_cols:
-        fitted_scale = fit_columns(train, scale_cols)
-        train, test = apply_columns(train, fitted_scale, scale_cols), apply_columns(test, fitted_scale, scale_cols)
-    fitted, mapping = fit_model(train, features, label, task, model, max_iter)
-    pred = predict(fitted, mapping, test, features, label, task)
-    if task == "classification":
-        m = classification_metrics(pred, "label_idx", "prediction")
-        base = majority_baseline_holdout(train, test, label)
-        return m.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")).unionByName(
-            base.select(F.lit("majority_accuracy").alias("metric"), F.col("accuracy").alias("value"))
-        )
-    m = regression_metrics(pred, "label_y", "prediction")
-    base = mean_baseline_holdout(train, test, label)
-    return m.select(F.lit("r2").alias("metric"), F.col("r2").alias("value")).unionByName(
-        m.select(F.lit("rmse").alias("metric"), F.col("rmse").alias("value"))
-    ).unionByName(base.select(F.lit("baseline_r2").alias("metric"), F.col("r2").alias("value"))).unionByName(
-        base.select(F.lit("baseline_rmse").alias("metric"), F.col("rmse").alias("value"))
-    )
-
-
-def cross_validate(df: DataFrame, features, label: str, fold_col: str = "fold", task: str = "classification",
-                   model: str = "lr", scale_cols: list[str] | None = None, max_iter: int = MAX_ITER,
-                   n_folds: int = 5, parallelism: int = 5) -> DataFrame:
-    """Per fold: scaler fitted on the training part, model fitted, test fold scored.
-
-    Returns (fold, metric, value); baselines follow the reference (the CV
-    majority baseline uses the test fold's own mode).
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # scanned once per fold and per fitted scaler
-
-    def one_fold(f: int) -> DataFrame:
-        tr, te = df.filter(F.col(fold_col) != f), df.filter(F.col(fold_col) == f)
-        res = holdout_evaluate(tr, te, features, label, task, model, scale_cols, max_iter)
-        return res.withColumn(fold_col, F.lit(f))
-
-    # folds are independent fits: submit them concurrently (as CrossValidator's parallelism does)
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:
-        parts = list(pool.map(one_fold, range(n_folds)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if task == "classification":
-        maj = majority_baseline_cv(df, label, fold_col).select(fold_col, F.lit("cv_majority_accuracy").alias("metric"), F.col("accuracy").alias("value"))
-        out = out.filter(F.col("metric") != "majority_accuracy").unionByName(maj)
-    return out
-
-
 # ---------------------------------------------------------------- optimality and reports
 
 
@@ -335,34 +299,3 @@ def residual_moments(pred: DataFrame, features: list[str], label: str) -> DataFr
         cos = F.coalesce(F.try_divide(F.sum(r * x), F.sqrt(F.sum(r * r)) * F.sqrt(F.sum(x * x))), F.lit(0.0))
         cells.append(F.struct(F.lit(c).alias("feature"), cos.alias("moment")))
     return pred.agg(F.array(*cells).alias("c")).select(F.inline("c"))
-
-
-def compare_with_baseline(results: DataFrame, group_cols: list[str], task: str = "classification") -> DataFrame:
-    """(groups..., baseline, at_least_baseline) from (groups..., metric, value) rows."""
-    value = lambda *names: F.max(F.when(F.col("metric").isin(*names), F.col("value")))
-    if task == "classification":
-        got, base = value("accuracy"), value("majority_accuracy", "cv_majority_accuracy")
-        good = got >= base - 1e-9
-    else:
-        got, base = value("rmse"), value("baseline_rmse")
-        good = got <= base * (1 + 1e-9)
-    return results.groupBy(*group_cols).agg(base.alias("baseline"), good.alias("at_least_baseline"))
-
-
-def experiment_grid(build, configs: list[dict], features, label: str, task: str = "classification", parallelism: int = 4) -> DataFrame:
-    """Held-out evaluation of every configuration: ``build(config) -> (train, test)``; (coordinates..., metric, value).
-
-    Configurations are independent and submitted concurrently.
-    """
-
-    def one(config: dict) -> DataFrame:
-        train, test = build(config)
-        res = holdout_evaluate(train, test, features, label, task, scale_cols=features if isinstance(features, list) else None)
-        return res.select(*[F.lit(v).alias(k) for k, v in config.items()], "metric", "value")
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(configs)))) as pool:
-        parts = list(pool.map(one, configs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

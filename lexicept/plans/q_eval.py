@@ -72,6 +72,15 @@ def q_random_split(spark, sf):
     return V.random_split(fx.documents(spark, sf), "doc_id", SPLIT_SEED).select("doc_id", "split")
 
 
+@query(
+    "exact_split",
+    f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY ({stable_hash_sql('doc_id', SPLIT_SEED)}), doc_id) <= floor(0.75 * count(*) OVER ()) "
+    "THEN 'train' ELSE 'validation' END AS split FROM documents",
+)
+def q_exact_split(spark, sf):
+    return V.exact_split(fx.table(spark, sf, "documents").select("doc_id"), "doc_id", SPLIT_SEED)
+
+
 @query(
     "clean_targets",
     "SELECT d.doc_id, CAST(l.quality AS BIGINT) AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id "

@@ -362,6 +362,47 @@ def q_encode_tokens(spark, sf):
     return tv.select("doc_id", "pos", "token", r6(F.col("embedding")[0], "x0"))
 
 
+#: Characters of a text before its tokens: the gaps between tokens and the tokens before, added up.
+CONTEXT_DIM, CONTEXT_KEYWORD = 16, "an"
+_SPAN_TOKENS_SQL = (
+    "st AS (SELECT doc_id, regexp_extract_all(text, '\\p{L}+') AS t, regexp_split_to_array(text, '\\p{L}+') AS g FROM documents WHERE text IS NOT NULL)",
+    "tok AS MATERIALIZED (SELECT doc_id, i, lower(t[i]) AS token, "
+    "CAST(sum(length(g[i]) + length(t[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(t[i]) AS BIGINT) AS s, length(t[i]) AS n "
+    "FROM (SELECT doc_id, t, g, unnest(range(1, len(t) + 1)) AS i FROM st))",
+    f"place AS MATERIALIZED (SELECT doc_id, i, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % {CONTEXT_DIM} AS p FROM tok)",
+)
+
+
+@query(
+    "keyword_token_vector",
+    W(*_SPAN_TOKENS_SQL,
+      f"hit AS (SELECT doc_id, i, token, s, n FROM tok WHERE contains(token, '{CONTEXT_KEYWORD}') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1)")
+    + "SELECT h.doc_id, CAST(h.i - 1 AS BIGINT) AS pos, h.s AS start, h.s + h.n AS \"end\", h.token, q.d AS dim, "
+    + sql_r6("coalesce(sum(power(0.5, abs(p.i - h.i))), 0)") + f" AS x FROM hit h CROSS JOIN range({CONTEXT_DIM}) q(d) "
+    "LEFT JOIN place p ON p.doc_id = h.doc_id AND abs(p.i - h.i) <= 2 AND p.p = q.d GROUP BY ALL",
+)
+def q_keyword_token_vector(spark, sf):
+    """Contextual vector and character offsets of every text's first token that contains the keyword."""
+    spans = E.encode_token_spans(_docs(spark, sf).select("doc_id", "text"), encoder_factory=partial(E.WindowTokenEncoder, CONTEXT_DIM), encoder_id=f"window-{CONTEXT_DIM}")
+    hits = E.keyword_vector(spans, CONTEXT_KEYWORD).filter(F.col("pos").isNotNull())
+    long = hits.select("doc_id", long_("pos", "pos"), long_("start", "start"), long_("end", "end"), "token", F.posexplode("embedding").alias("dim", "x"))
+    return long.select("doc_id", "pos", "start", "end", "token", long_("dim", "dim"), r6("x", "x"))
+
+
+@query(
+    "pool_token_vectors",
+    W(*_SPAN_TOKENS_SQL,
+      f"v AS (SELECT a.doc_id, b.p AS d, sum(power(0.5, abs(a.i - b.i))) AS x FROM place a JOIN place b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 2 AND a.i + 2 GROUP BY ALL)",
+      "n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id)")
+    + "SELECT n.doc_id, q.d AS dim, " + sql_r6("coalesce(v.x, 0) / n.n") + f" AS x FROM n CROSS JOIN range({CONTEXT_DIM}) q(d) LEFT JOIN v ON v.doc_id = n.doc_id AND v.d = q.d",
+)
+def q_pool_token_vectors(spark, sf):
+    """Mean of a text's contextual token vectors, pooled inside the row."""
+    spans = E.encode_token_spans(_docs(spark, sf).select("doc_id", "text"), encoder_factory=partial(E.WindowTokenEncoder, CONTEXT_DIM), encoder_id=f"window-{CONTEXT_DIM}")
+    pooled = spans.select("doc_id", E.pool_spans().alias("v"))
+    return pooled.select("doc_id", F.posexplode("v").alias("dim", "x")).select("doc_id", long_("dim", "dim"), r6("x", "x"))
+
+
 _POOL_SQL = (
     W(fx.TOKENS_SQL, fx.WORD_VECTORS_SQL)
     + "SELECT doc_id, CAST(i - 1 AS BIGINT) AS dim, " + sql_r6("avg(CAST(embedding[i] AS DOUBLE))") + " AS x FROM ("

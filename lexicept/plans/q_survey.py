@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from ..functions.stats import column_summary, icc_average, paired_t_test, row_pearson, stack_columns
+from ..functions.stats import column_summary, icc_average, icc_interval, paired_t_test, row_pearson, stack_columns
 from ..operators import lexicon as L
 from ..operators import scaling as S
 from ..operators import sense as N
@@ -353,6 +353,18 @@ def q_icc_average(spark, sf):
                       r6("icc", "icc"), r6(per.agg(F.avg("icc")).scalar(), "mean_icc"))
 
 
+@query("icc_interval")
+def q_icc_interval(spark, sf):
+    """The ICC of every batch with its 95 % limits, and the means of all three over the batches."""
+    long = fx.fx_survey_long(spark, sf).join(
+        fx.table(spark, sf, "documents").select(F.col("doc_id").alias("object"), F.col("lang").alias("batch")), "object"
+    )
+    per = icc_interval(long, "object", "rater", "score", ["batch"])
+    means = per.agg(F.avg("icc").alias("icc"), F.avg("lower").alias("lower"), F.avg("upper").alias("upper"))
+    cols = ["icc", "lower", "upper"]
+    return per.select("batch", "n_objects", "n_raters", *[r6(c, c) for c in cols], *[r6(means.select(c).scalar(), f"mean_{c}") for c in cols])
+
+
 # ---------------------------------------------------------------- word senses
 
 KW = fx.SENSE_KEYWORD

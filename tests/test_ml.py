@@ -6,12 +6,6 @@ from lexicept.operators import evaluate as V
 from lexicept.plans import q_eval
 
 
-def test_holdout_classifier_beats_majority(spark, sf_small):
-    tr, te = q_eval._scaled_split(spark, sf_small)
-    res = {r["metric"]: r["value"] for r in V.holdout_evaluate(tr, te, q_eval.POINT_CATEGORIES, "label").collect()}
-    assert res["accuracy"] > res["majority_accuracy"] + 0.1
-
-
 def test_unconverged_weights_fail_the_certificate(spark, sf_small):
     tr, _ = q_eval._scaled_split(spark, sf_small)
     fitted, mapping = V.fit_model(tr, q_eval.POINT_CATEGORIES, "label", max_iter=1)
