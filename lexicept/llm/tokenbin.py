@@ -23,8 +23,9 @@ shards without documents. Document ids are integers.
 from __future__ import annotations
 
 import json
-import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .words import CUT, LETTERS, BytePairIds, Memo, cuts_hold, slices, tokenizer
+from .words import BytePairIds, Memo, cuts_hold, split_dropped, tokenizer
 
 MAGIC = b"IDPLANE1"
 #: Ids of a block.
@@ -49,25 +50,31 @@ BATCH_BYTES = 4 << 20
 
 # ---------------------------------------------------------------- texts to ids
 
-_MARKED_CUT = re.compile(rf"{CUT.pattern}|(?<=[{LETTERS}])(?=[.,;:!?])")
 _ENCODERS: dict = {}
 
 
+def pack(ids: array) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    if sys.byteorder == "big":
+        ids = ids[:]
+        ids.byteswap()
+    return ids.tobytes()
+
+
 def _encoder(path: str, end_id: int | None):
     """texts -> ids as little-endian 32-bit integers; a worker keeps the pieces it has met."""
     if (path, end_id) in _ENCODERS:
         return _ENCODERS[path, end_id]
     model = tokenizer(path)
     how = cuts_hold(model)
-    pack = lambda ids: np.array(ids, "<u4").tobytes()
     ids = BytePairIds(model, how)
-    memo = Memo(lambda pieces: [pack(x) for x in ids(pieces)])
-    end = b"" if end_id is None else pack([end_id])
+    memo = Memo(lambda pieces: [pack(x) for x in ids(pieces)], cut=split_dropped)
+    end = b"" if end_id is None else pack(array("I", [end_id]))
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        if how == "dropped":  # marks behind letters are words of their own, so both are met again more often
-            return [b"".join([*parts, end]) for parts in memo.texts(texts, _MARKED_CUT)]
-        return [pack(model.encode(t, add_special_tokens=False).ids) + end if t else end for t in texts]
+        if how == "dropped":
+            return [b"".join(parts) + end for parts in memo.texts(texts)]
+        return [pack(array("I", model.encode(t, add_special_tokens=False).ids)) + end if t else end for t in texts]
 
     _ENCODERS[path, end_id] = encode
     return encode

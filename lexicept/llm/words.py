@@ -11,18 +11,21 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: A single space between two characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: One run of letters and the marks behind it: at most two words for the tokenizers below.
-SIMPLE = re.compile(rf"([{LETTERS}]+)([.,;:!?]*)")
+#: Marks, a run of letters, marks: at most three words for the tokenizers below. No apostrophe (it may start a word
+#: with letters) and no angle bracket (special tokens have them).
+SIMPLE = re.compile(rf"([!-&(-/:;=?@\[-`{{-~]*)([{LETTERS}]+)([!-&(-/:;=?@\[-`{{-~]*)")
 #: Characters a text is taken at a time; the next cut behind ends the slice.
 SLICE = 1 << 20
 #: Pieces kept by a worker and the longest of them. They bound its memory; results do not depend on them.
-MEMO_PIECES, MEMO_CHARS = 300_000, 64
+MEMO_PIECES, MEMO_CHARS = 400_000, 64
 #: Fixed value: the splitting pattern of tokenizers whose words hold no white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -54,6 +57,8 @@ def cuts_hold(model) -> str | None:
         inner = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
         return None if inner or model.encode("a  b", out_type=str) != model.encode("a", out_type=str) + ["▁", "▁b"] else "led"
     spec = json.loads(model.to_str())
+    if any("<" not in t["content"] for t in spec["added_tokens"]):
+        return None
     steps, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
     if steps.get("type") == "ByteLevel" and steps["use_regex"] and not steps["add_prefix_space"] and norm is None:
         return "led"
@@ -82,36 +87,38 @@ def byte_letters() -> dict[int, str]:
 class Memo:
     """piece -> value. The unknown pieces of a part of a batch are made together, so that a tokenizer sees lists."""
 
-    def __init__(self, make, limit: int = MEMO_PIECES):
-        self.make, self.limit, self.known = make, limit, {}
+    def __init__(self, make, limit: int = MEMO_PIECES, cut=CUT.split):
+        self.make, self.limit, self.cut, self.known = make, limit, cut, {}
 
     def _values(self, pieces: list[list[str]]) -> list[list]:
-        met = set().union(*pieces)
-        new = list(met - self.known.keys())
-        if new:
-            self.known.update(zip(new, self.make(new), strict=True))
         known = self.known
-        out = [[known[p] for p in ps] for ps in pieces]
+        out = [list(map(known.get, ps)) for ps in pieces]
+        short = [k for k, values in enumerate(out) if None in values]
+        new = list({p for k in short for p, v in zip(pieces[k], out[k], strict=True) if v is None})
+        if new:
+            known.update(zip(new, self.make(new), strict=True))
+        for k in short:
+            out[k] = [known[p] if v is None else v for p, v in zip(pieces[k], out[k], strict=True)]
         if len(known) > self.limit:  # go on with the pieces of this part
-            kept = {p: known[p] for p in met if len(p) <= MEMO_CHARS}
+            kept = {p: known[p] for p in set(chain.from_iterable(pieces)) if len(p) <= MEMO_CHARS}
             self.known = kept if len(kept) <= self.limit else {}
         return out
 
-    def texts(self, texts: list[str | None], cut: re.Pattern = CUT) -> list[list]:
+    def texts(self, texts: list[str | None]) -> list[list]:
         """The values of every text's pieces, in order; texts are taken in parts of about ``SLICE`` characters."""
         out: list[list] = [[] for _ in texts]
         numbers, pieces, chars = [], [], 0
 
         def settle() -> None:
             for i, values in zip(numbers, self._values(pieces), strict=True):
-                out[i] += values
+                out[i] = out[i] + values if out[i] else values
             numbers.clear()
             pieces.clear()
 
         for i, t in enumerate(texts):
             for s in slices(t) if t else ():
                 numbers.append(i)
-                pieces.append(cut.split(s))
+                pieces.append(self.cut(s))
                 chars += len(s)
                 if chars >= SLICE:
                     settle()
@@ -120,20 +127,34 @@ class Memo:
         return out
 
 
+def split_dropped(text: str) -> list[str]:
+    """Pieces for tokenizers that drop white space: every space and line end is a cut, whatever stands around it."""
+    return text.replace("\n", " ").split(" ")
+
+
 class BytePairIds:
     """Ids of pieces (without special tokens), as ``encode`` gives them.
 
-    Runs of Latin letters, the common case, go straight to the model as the one word the tokenizer would make of them.
+    Runs of Latin letters, the common case, go straight to the model as the one word the tokenizer would make of them;
+    their ids are kept as well, because the same word comes with different marks behind it.
     """
 
-    def __init__(self, model, how: str | None):
-        self.model, self.how, self.table = model, how, byte_letters()
-        self.marks: dict[str, list[int]] = {}
-
-    def _word(self, s: str) -> list[int]:
-        return [t.id for t in self.model.model.tokenize(s.encode().decode("latin-1").translate(self.table))]
-
-    def __call__(self, pieces: list[str]) -> list[list[int]]:
+    def __init__(self, model, how: str | None, limit: int = MEMO_PIECES):
+        self.model, self.how, self.limit, self.table = model, how, limit, byte_letters()
+        self.words: dict[str, array] = {}
+
+    def _word(self, s: str) -> array:
+        found = self.words.get(s)
+        if found is None:
+            shown = s.encode().decode("latin-1").translate(self.table)
+            found = array("I", [t.id for t in self.model.model.tokenize(shown)])
+            if len(s) <= MEMO_CHARS:
+                if len(self.words) >= self.limit:
+                    self.words.clear()
+                self.words[s] = found
+        return found
+
+    def __call__(self, pieces: list[str]) -> list[array]:
         dropped = self.how == "dropped"
         out: list = [None] * len(pieces)
         others = []
@@ -142,15 +163,18 @@ class BytePairIds:
             if m is None:
                 others.append(i)
                 continue
-            letters, marks = m.groups()
-            out[i] = self._word(letters.lower() if dropped else " " + letters)
-            if marks:
-                if marks not in self.marks:
-                    if len(self.marks) > 1000:
-                        self.marks.clear()
-                    self.marks[marks] = self._word(marks)
-                out[i] = out[i] + self.marks[marks]
+            before, letters, behind = m.groups()
+            if dropped:
+                letters = letters.lower()
+            elif before:
+                before = " " + before
+            else:
+                letters = " " + letters
+            found = self._word(letters)
+            if before:
+                found = self._word(before) + found
+            out[i] = found + self._word(behind) if behind else found
         found = self.model.encode_batch_fast([pieces[i] if dropped else " " + pieces[i] for i in others], add_special_tokens=False)
         for i, e in zip(others, found, strict=True):
-            out[i] = e.ids
+            out[i] = array("I", e.ids)
         return out

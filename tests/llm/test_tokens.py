@@ -25,7 +25,7 @@ WORD_BPE, BYTE_BPE, PIECE_BPE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50
 ODD = [
     None, "", " ", "  two  spaces ", "tab\tnew\n\nline end \n", "Don't STOP! we'll 'tis O'Neil's", "été, ÉTÉ. straße 北京 日本語のテキスト",
     "é Å ́x Σίσυφος ΣΑΣ", "<|endoftext|> a<|startoftext|>b </s> <s> <0x41> ▁x▁y", "x " * 30, "word " * 25, "1,234.56 3rd x1y2", "a" * 3000,
-    "emoji 👩‍👩‍👧 \x1c sep \x85 nel \xa0 nbsp", "naïve—dash…", "▁", "the cat sat on the mat and looked at the very same cat " * 400,
+    "emoji 👩‍👩‍👧 \x1c sep \x85 nel \xa0 nbsp", "naïve—dash…", "▁", "(see) [it] \"quoted\" a|b <b>bold</b> x! !y ...z... 'quoted' it's. he'll, *a_b* #tag @me {c} e=mc", "the cat sat on the mat and looked at the very same cat " * 400,
 ]
 
 
@@ -49,12 +49,12 @@ def test_word_by_word_ids_are_the_tokenizers_own(rows):
         model = words.tokenizer(path, plain)
         how = words.cuts_hold(model)
         assert how
-        ids = words.BytePairIds(model, how)
+        ids = words.BytePairIds(model, how, 50)
         lead = "" if how == "dropped" else " "
-        cut = tokenbin._MARKED_CUT if how == "dropped" else words.CUT
+        cut = words.split_dropped if how == "dropped" else words.CUT.split
         for limit in (words.MEMO_PIECES, 3):
-            memo = words.Memo(ids, limit)
-            got = [[i for part in parts for i in part] for parts in memo.texts(texts, cut)]
+            memo = words.Memo(ids, limit, cut)
+            got = [[i for part in parts for i in part] for parts in memo.texts(texts)]
             assert got == [model.encode(lead + t, add_special_tokens=False).ids for t in texts]
     model = words.sentence_model(PIECE_BPE)
     assert words.cuts_hold(model) == "led"
