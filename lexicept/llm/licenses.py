@@ -115,7 +115,12 @@ SENTENCE_END = r"[.!?;:]+(?:\s+|$)"
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
     """The rule as a pattern over '|id|id|...|'; what stands between its identifiers is captured."""
-    return r"\|" + r"\|((?:[a-z0-9_]+\|)*?)".join(ids) + r"\|"
+    return r"\|" + r"\|((?:[a-z0-9_|]*?\|)??)".join(ids) + r"\|"
+
+
+def occurs(ids: tuple[str, ...]) -> str:
+    """Whether the identifiers occur in this order at all, without going back: each part takes its first place for good."""
+    return rf"^(?>[a-z0-9_|]*?\|{ids[0]}\|)" + "".join(rf"(?>(?:[a-z0-9_|]*?\|)??{i}\|)" for i in ids[1:])
 
 
 def _kept(ids: tuple[str, ...]) -> str:
@@ -140,7 +145,7 @@ def _sequence(text: Column, wrapped: bool) -> Column:
 def _matched(sequence: Column) -> Column:
     """Ranks (from 1) of the rules that match the sequence, each tried on what earlier rules left."""
     rules = F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.lit(rule_pattern(ids)).alias("p"), F.lit(_kept(ids)).alias("rest"))
+        F.struct(F.lit(i).alias("rank"), F.lit(occurs(ids)).alias("there"), F.lit(rule_pattern(ids)).alias("p"), F.lit(_kept(ids)).alias("rest"))
         for i, (_, _, ids) in enumerate(RULES, 1)
     ])
     start = F.struct(
@@ -149,10 +154,10 @@ def _matched(sequence: Column) -> Column:
     )
     return F.aggregate(
         rules, start,
-        lambda acc, r: F.struct(
-            F.regexp_replace(acc["seq"], r["p"], r["rest"]).alias("seq"),
-            F.when(F.rlike(acc["seq"], r["p"]), F.concat(acc["found"], F.array(r["rank"]))).otherwise(acc["found"]).alias("found"),
-        ),
+        lambda acc, r: F.when(
+            F.rlike(acc["seq"], r["there"]),
+            F.struct(F.regexp_replace(acc["seq"], r["p"], r["rest"]).alias("seq"), F.concat(acc["found"], F.array(r["rank"])).alias("found")),
+        ).otherwise(acc),
         lambda acc: acc["found"],
     )
 
