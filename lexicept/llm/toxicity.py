@@ -17,9 +17,9 @@ output tapes plain / targeted / negated / quoted / threat. A document's tapes
 are sums over its matched clauses; a logistic model over these sums, fitted
 by Newton steps on labelled rows, gives the score.
 
-Learning is bounded: at most about ``SAMPLE_DOCS`` labelled rows chosen by a
-hash of the text teach the lexicon weights (log odds of document counts) and
-the model. Scoring reads whole texts of all rows, by text alone.
+Learning is bounded: at most about ``SAMPLE_DOCS`` labelled ids chosen by a
+hash, and as many different texts of theirs, teach the lexicon weights (log
+odds of document counts) and the model; copies of a text teach once. Scoring reads whole texts of all rows, by text alone.
 
 Defined cases: null, empty and wordless texts are scored like a text without
 matches; without labels of both kinds the fixed words alone are scored with
@@ -247,7 +247,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = known.filter(u < F.lit(int(rate * (1 << 30))))
     sample = docs.filter(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(picked), id_col)
     half = F.pmod(F.xxhash64("_t"), F.lit(2)).cast("int")
-    rows = written(sample.select(F.col("_t").alias("t"), (F.col("_y") > 0).cast("int").alias("y"), half.alias("half")), "toxicity-sample")
+    texts = sample.select(F.col("_t").alias("t"), (F.col("_y") > 0).cast("int").alias("y"), half.alias("half")).distinct()
+    rows = written(texts, "toxicity-sample")
+    found = rows.count()
+    if found > 2 * SAMPLE_DOCS:  # few ids with many texts: the texts are sampled again
+        share = F.pmod(F.xxhash64("t", F.lit(23)), F.lit(1 << 30))
+        rows = written(rows.filter(share < F.lit(int(SAMPLE_DOCS / found * (1 << 30)))), "toxicity-sample-texts")
     if rows.select("y").distinct().count() < 2:
         return {"words": {}, "stems": {}, "weights": DEFAULT_WEIGHTS}
     lexicons = learn_lexicons(rows)
