@@ -8,9 +8,11 @@ the dictionary in play however long the text is. When the runner-up needs
 less than ``MIN_MARGIN`` more bytes than the winner, or the text has no
 letter, the result is marked rejected.
 
-The dictionaries come from a bounded sample of labelled rows: at most about
-``SAMPLE_DOCS`` rows per language, chosen by a hash of the text, at most
-``SAMPLE_BYTES`` bytes of each. Language counts cover all training rows.
+The dictionaries come from a bounded sample of labelled rows: about
+``SAMPLE_DOCS`` different texts per language, chosen by a hash of the text, a
+window of at most ``SAMPLE_BYTES`` bytes of each, placed anywhere by another
+hash. The texts of a language are counted over all training rows, copies once,
+so a language held by few texts keeps all of them.
 
 Defined cases: null, empty or letterless text is ``und`` with score 0 and
 rejected; rows with null lang or text teach nothing; without any training row
@@ -47,15 +49,18 @@ RESULT = "struct<lang_pred:string,score:double,margin:double,rejected:boolean>"
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Raw-content dictionary per language from labelled rows (null labels and texts are left out)."""
     rows = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in collect_bounded(rows.groupBy(lang_col).count(), MAX_LANGUAGES, "language list")}
+    different = rows.groupBy(lang_col).agg(F.approx_count_distinct(F.xxhash64(text_col)))  # copies teach once
+    counts = {r[0]: max(1, r[1]) for r in collect_bounded(different, MAX_LANGUAGES, "language list")}
     if not counts:
         return {}
     rate = F.coalesce(
         *[F.when(F.col(lang_col) == F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / n))) for k, n in sorted(counts.items())]
     )
     u = F.pmod(F.xxhash64(text_col), F.lit(1 << 30))
+    data = F.encode(text_col, "utf-8")
+    start = F.pmod(F.xxhash64(text_col, F.lit(5)), F.greatest(F.lit(1), F.octet_length(data) - SAMPLE_BYTES + 1))
     sample = rows.filter(u < rate * F.lit(1 << 30)).select(
-        F.col(lang_col).alias("lang"), F.substring(F.encode(text_col, "utf-8"), 1, SAMPLE_BYTES).alias("t"), u.alias("u")
+        F.col(lang_col).alias("lang"), F.substring(data, (start + 1).cast("int"), F.lit(SAMPLE_BYTES)).alias("t"), u.alias("u")
     ).distinct()
     parts: dict[str, list[bytes]] = {}
     for r in sorted(collect_bounded(sample, 4 * SAMPLE_DOCS * len(counts), "language sample"), key=lambda r: (r["lang"], r["u"])):
