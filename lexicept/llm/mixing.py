@@ -14,17 +14,22 @@ documents there are. Rounding goes through a source's cells from large to
 small documents and gives each a whole number of copies, carrying the tokens
 it is over or under; the error that is left is below half of its smallest
 documents. Inside a cell the extra copies go to the documents with the
-smallest hashes: exactly in cells up to ``RANKED_DOCS`` documents, by the
-hash quantile (off by a few of thousands) in larger ones, so no cell is ever
-sorted or gathered in one task.
+smallest hashes, exactly as many as planned at every size: hashes are counted
+in buckets of about ``BUCKET_DOCS`` documents, the bucket that holds the last
+extra copy is opened, and its distinct hashes are counted. Equal rows share a
+hash; those at the cut are told apart by their place in the input, by the same
+counts. So no cell is ever sorted or gathered in one task.
 
 Targets: sources in code-point order, null last, weigh ``WEIGHTS`` in turn
 and share ``SHARE`` of all tokens; a target stops at MAX_COPIES times its
 source and the excess is shared again by weight.
 
 Defined cases: null or empty text has size 0 and takes nothing; a null source
-is a source of its own; equal rows (same id, text and source) are treated
-alike; an empty table gives an empty mix; reruns agree, as hashes decide.
+is a source of its own; equal rows (same id, text and source) may get
+different numbers of copies, which of them is settled by their place in the
+input; an empty table gives an empty mix; reruns over the same files agree;
+texts of any length are counted whole; extra columns of any name are kept by
+``mixed_documents`` and ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from .common import written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
-RANKED_DOCS = 2000
+BUCKET_DOCS = 1000
 CELLS_PER_OCTAVE = 64
 TOLERANCE = 1e-9
 STEPS_PER_ROUND = 6
@@ -126,14 +131,37 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """(id, src, size, cell, h): what mixing needs of a document; texts are read once."""
     return docs.select(
         F.col(id_col).alias("id"), source_key(source_col).alias("src"), size_of(text_col).alias("size"),
-        F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("h"),
+        F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("h"), place().alias("t"),
     ).withColumn("cell", cell_of("size"))
 
 
+def place() -> Column:
+    """A hash of the row's place in the input: the same whenever the same files are read."""
+    return F.xxhash64(F.monotonically_increasing_id())
+
+
+def hash_cuts(rows: DataFrame, wanted: DataFrame, keys: list[str], h: str) -> DataFrame:
+    """(keys, cut, short, tied): ``short`` of the ``tied`` rows at hash ``cut`` and all rows below it are the ``extra`` smallest.
+
+    ``wanted`` has (keys, n, extra), the rows of a group and how many of them are wanted.
+    """
+    group = Window.partitionBy(*keys)
+    spread = F.greatest(F.lit(1), (F.col("n") / F.lit(BUCKET_DOCS)).cast("long"))
+    of = F.least(spread - 1, F.floor((F.col(h) / F.lit(2.0**64) + F.lit(0.5)) * spread)).cast("long")
+    marked = rows.join(wanted.filter("extra > 0"), keys).withColumn("b", of)
+    upto = lambda order: F.sum("m").over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    holds = F.col("want").between(F.col("upto") - F.col("m") + 1, F.col("upto"))
+    counts = marked.groupBy(*keys, "b").agg(F.count("*").alias("m"), F.first("extra").alias("want"))
+    bucket = counts.withColumn("upto", upto("b")).filter(holds).select(*keys, "b", (F.col("want") - F.col("upto") + F.col("m")).alias("want"))
+    inside = marked.join(bucket, [*keys, "b"]).groupBy(*keys, F.col(h).alias("cut")).agg(F.count("*").alias("m"), F.first("want").alias("want"))
+    found = inside.withColumn("upto", upto("cut")).filter(holds)
+    return found.select(*keys, "cut", (F.col("want") - F.col("upto") + F.col("m")).alias("short"), F.col("m").alias("tied"))
+
+
 def plan(rows: DataFrame, share: float = SHARE) -> DataFrame:
-    """Copies per cell from ``measured`` rows: (src, cell, source_size, target, base, cut).
+    """Copies per cell from ``measured`` rows: (src, cell, source_size, target, base, cut, tie).
 
-    A document takes ``base`` copies and one more when its hash is at most ``cut``.
+    A document takes ``base`` copies and one more when its hash is below ``cut``, or equal and its place hash not above ``tie``.
     """
     cells = written(rows.groupBy("src", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")), "mixing-cells")
     goal = written(targets(cells.groupBy("src").agg(F.sum("tokens").alias("source_size"), F.sum("n").alias("docs"))
@@ -160,17 +188,12 @@ def plan(rows: DataFrame, share: float = SHARE) -> DataFrame:
         folded.select("src", "source_size", "target", "c.cell", "c.n", F.expr("c.m div c.n").alias("base"), F.expr("c.m % c.n").alias("extra")),
         "mixing-copies",
     )
-    # the extra copies go to the smallest hashes of a cell
-    small = copies.filter((F.col("extra") > 0) & (F.col("n") <= RANKED_DOCS)).select("src", "cell", "extra")
-    cuts = (
-        rows.select("src", "cell", "h").join(small, ["src", "cell"]).groupBy("src", "cell")
-        .agg(F.element_at(F.array_sort(F.collect_list("h")), F.first("extra").cast("int")).alias("ranked"))
-    )
-    quantile = ((F.col("extra") / F.col("n") - 0.5) * F.lit(2.0**64)).cast("long")
-    return copies.join(cuts, ["src", "cell"], "left").select(
-        "src", "cell", "source_size", "target", "base",
-        F.when(F.col("extra") > 0, F.coalesce("ranked", quantile)).alias("cut"),
-    )
+    cell = ["src", "cell"]
+    cuts = written(hash_cuts(rows.select(*cell, "h"), copies.select(*cell, "n", "extra"), cell, "h"), "mixing-cuts")
+    # equal rows at the cut of which only some are wanted
+    split = cuts.filter(F.col("short") < F.col("tied")).select(*cell, F.col("cut").alias("h"), F.col("tied").alias("n"), F.col("short").alias("extra"))
+    ties = hash_cuts(rows.select(*cell, "h", "t"), split, [*cell, "h"], "t").select(*cell, F.col("cut").alias("tie"))
+    return copies.join(cuts.select(*cell, "cut"), cell, "left").join(ties, cell, "left").select(*cell, "source_size", "target", "base", "cut", "tie")
 
 
 #: Copies of a cell: nearest whole number to what it wants plus what was left over, between 0 and the cap.
@@ -179,8 +202,9 @@ _COPIES = (
 )
 
 
-def copies_of(base: str = "base", cut: str = "cut", h: str = "h") -> Column:
-    return (F.col(base) + F.coalesce((F.col(h) <= F.col(cut)).cast("long"), F.lit(0))).cast("long")
+def copies_of(base: str = "base", cut: str = "cut", tie: str = "tie", h: str = "h", t: str = "t") -> Column:
+    last = (F.col(h) == F.col(cut)) & F.coalesce(F.col(t) <= F.col(tie), F.lit(True))
+    return (F.col(base) + F.coalesce(((F.col(h) < F.col(cut)) | last).cast("long"), F.lit(0))).cast("long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE) -> DataFrame:
@@ -197,14 +221,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its columns. Texts meet only the bounded cell plan."""
     rows = written(measured(docs, id_col, text_col, source_col), "mixing-sizes")
-    cells = written(plan(rows, share), "mixing-plan").select("src", "cell", "base", "cut")
-    # plain columns (prefixed, dropped at the end): the words of a text are counted once per row
-    keyed = docs.withColumns({
-        "_mix_key": source_key(source_col), "_mix_size": size_of(text_col),
-        "_mix_h": F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)),
-    }).withColumn("_mix_place", cell_of("_mix_size"))
-    cells = cells.select(*[F.col(c).alias(f"_mix_{c}") for c in cells.columns])
-    joined = keyed.join(cells, (F.col("_mix_key") == F.col("_mix_src")) & (F.col("_mix_place") == F.col("_mix_cell")))
-    n = F.when(F.col("_mix_size") > 0, copies_of("_mix_base", "_mix_cut", "_mix_h")).otherwise(F.lit(0)).cast("int")
-    taken = joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), n)).alias("_one"))
-    return taken.drop("_one")
+    cells = written(plan(rows, share), "mixing-plan").select("src", "cell", "base", "cut", "tie")
+    # the document rides in one column, so that its columns can have any names; its words are counted once per row
+    keyed = docs.select(
+        F.struct("*").alias("doc"), source_key(source_col).alias("src"), size_of(text_col).alias("size"),
+        F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("h"), place().alias("t"),
+    ).withColumn("cell", cell_of("size"))
+    n = F.when(F.col("size") > 0, copies_of()).otherwise(F.lit(0)).cast("int")
+    return keyed.join(cells, ["src", "cell"]).select("doc", F.explode(F.array_repeat(F.lit(1), n))).select("doc.*")

@@ -85,13 +85,27 @@ def test_newton_solves_the_dual(spark):
         assert lam[s] == pytest.approx(brute_lambda(xs, tokens, t), rel=1e-3, abs=1e-4)
 
 
-def test_large_cells_use_quantiles(spark, monkeypatch):
+def test_cells_of_any_size_get_exactly_the_planned_copies(spark, monkeypatch):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") < 4000, "x").otherwise("y").alias("source"))
-    exact = mixing.mix(docs).groupBy("source_size").agg(F.sum("taken"), F.max("target")).collect()
-    monkeypatch.setattr(mixing, "RANKED_DOCS", 10)
-    for rows in (exact, mixing.mix(docs).groupBy("source_size").agg(F.sum("taken"), F.max("target")).collect()):
-        for _, taken, target in rows:
-            assert taken == pytest.approx(target, rel=0.03)
+    found = []
+    for bucket in (1000, 10, 100_000):
+        monkeypatch.setattr(mixing, "BUCKET_DOCS", bucket)
+        found.append(sorted(map(tuple, mixing.mix(docs).collect())))
+    assert found[0] == found[1] == found[2]
+    for _, taken, target in mixing.mix(docs).groupBy("source_size").agg(F.sum("taken"), F.max("target")).collect():
+        assert abs(taken - target) <= 4
+
+
+def test_equal_rows_meet_the_target(spark, monkeypatch):
+    hot = [(1, "one two three four five six seven eight nine ten", "a")] * 1000 + [(2, "some other words", "a")] * 5
+    docs = spark.createDataFrame(hot, "doc_id long, text string, source string").repartition(6)
+    for bucket in (1000, 7):
+        monkeypatch.setattr(mixing, "BUCKET_DOCS", bucket)
+        rows = mixing.mix(docs).collect()
+        assert abs(sum(r["taken"] for r in rows) - 1.5 * 10_015) <= 10 and max(r["copies"] for r in rows) <= 2
+    kept = mixing.written(docs, "test-mixing")
+    mixed = mixing.mixed_documents(kept)
+    assert mixed.groupBy("doc_id").count().orderBy("doc_id").first()["count"] == sum(r["copies"] for r in mixing.mix(kept).collect() if r["doc_id"] == 1)
 
 
 def test_mixed_documents(spark):
