@@ -39,6 +39,14 @@ RAISING = {
 }
 LOWERING = ("example", "version", "isbn", "order no", "invoice")
 
+
+def _whole(words: tuple[str, ...]) -> re.Pattern:
+    """Any of the words, standing alone (an added s or number is part of it)."""
+    return re.compile(r"(?<![^\W_])(?:" + "|".join(words) + r")s?(?![^\W\d_])")
+
+
+_RAISES, _LOWERS = {k: _whole(w) for k, w in RAISING.items()}, _whole(LOWERING)
+
 # Possessive runs keep each scan linear and match what the plain greedy pattern matches.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -99,12 +107,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _score(kind: str, text: str, start: int) -> float:
-    before = text[max(0, start - CONTEXT_CHARS):start].lower()
+def _score(kind: str, text: str, start: int, end: int) -> float:
+    near = (text[max(0, start - CONTEXT_CHARS):start] + " | " + text[end:end + CONTEXT_CHARS]).lower()
     s = PRIOR[kind]
-    if any(w in before for w in RAISING[kind]):
+    if _RAISES[kind].search(near):
         s = min(1.0, s + 0.3)
-    if any(w in before for w in LOWERING):
+    if _LOWERS.search(near):
         s -= 0.3
     return round(max(0.0, s), 2)
 
@@ -113,10 +121,10 @@ def find(text: str | None, min_score: float = MIN_SCORE) -> list[tuple[str, int,
     """All spans with scores: base spans always, added kinds when their score reaches ``min_score``."""
     if not text:
         return []
-    out = [(k, s, e, _score(k, text, s)) for k, s, e in base_spans(text)]
+    out = [(k, s, e, _score(k, text, s, e)) for k, s, e in base_spans(text)]
     added = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
     added += [("national", *m.span()) for m in _NATIONAL.finditer(text)]
-    out += [(k, s, e, v) for k, s, e in added if (v := _score(k, text, s)) >= min_score]
+    out += [(k, s, e, v) for k, s, e in added if (v := _score(k, text, s, e)) >= min_score]
     return out
 
 

@@ -6,7 +6,10 @@ identifiers, secrets and endpoints, some of them too weak to report alone
 (short assigned values, mixed-class random tokens, user names, URLs with a
 host). Within a scope (a paragraph, and at most ``REACH`` characters away)
 parts are joined as intervals: a weak part is reported only when a part of a
-complementary kind lies within reach, and both are given the same link. Linked
+complementary kind lies within reach, and both are given the same link. A plain
+web address completes a named secret or a token of all character classes, not
+a hex run or another unnamed token, which in prose are commits and slugs; an
+unnamed token must hold a run that looks random. Linked
 parts do not overlap, and an unnamed token inside an endpoint is a piece of it
 and no part; a token in the user part of a URL (before "@") is one, and the
 endpoint is then what follows it. The join is one sorted sweep per document
@@ -14,7 +17,9 @@ that keeps the nearest partner of each kind, so its output is linear in the
 number of parts.
 
 Offsets are code points, end exclusive. Defined cases: null text is empty and
-has no spans; whole texts are searched; repeated rows get equal results.
+has no spans; whole texts of any length are searched; repeated rows get equal
+results; of two added spans that overlap both may be reported, and redaction
+covers their union; a column named like the result is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -31,7 +36,10 @@ from pyspark.sql import functions as F
 from .common import add_struct
 
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "user", "weak", "endpoint")
+#: Kinds by number: base, then parts that need a partner: user names, unnamed tokens, endpoints with a credential of their
+#: own or a service scheme, plain web addresses, short assigned values, unnamed tokens that no slug or digest looks like.
+KINDS = (*BASE_KINDS, "user", "weak", "endpoint", "endpoint", "weak", "weak")
+USER, TOKEN, ENDPOINT, SITE, SHORT, STRONG = 3, 4, 5, 6, 7, 8
 REACH = 300
 MIN_ENTROPY = 3.2
 REDACTED = "[REDACTED]"
@@ -49,10 +57,15 @@ _WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 _DIGIT = re.compile(r"[0-9]")
 _ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z0-9]{1,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+")
 _USER_PART = re.compile(r"[a-z0-9]+(?::[a-z0-9]+)?://[^\s\"'<>/?#@]*@")
+#: A web address that asks for a secret or names one.
+_KEY_PARAMETER = re.compile(r"[?&;](?:access_?key|api_?key|key|token|secret|sig(?:nature)?|auth|password|pwd)=", re.IGNORECASE)
+#: A run without joints that looks drawn at random: long, letters and digits mixed.
+_RANDOM = re.compile(r"(?=[A-Za-z0-9+=]*[0-9])(?=[A-Za-z0-9+=]*[A-Za-z])[A-Za-z0-9+=]{12,}")
+_STRONG = re.compile(r"(?=[A-Za-z0-9+=]*[0-9])(?=[A-Za-z0-9+=]*[a-z])(?=[A-Za-z0-9+=]*[A-Z])[A-Za-z0-9+=]{16,}")
 _BREAK = re.compile(r"\n[\x20\t\r]*\n")
 #: Parts that complete each other.
-PARTNERS = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
-ROLE = {"assign": "secret", "access": "id", "hex": "secret", "user": "id", "weak": "secret", "endpoint": "endpoint"}
+PARTNERS = {"id": ("secret", "named"), "secret": ("id", "endpoint"), "named": ("id", "endpoint", "site"), "endpoint": ("secret", "named"), "site": ("named",)}
+ROLES = ("named", "id", "secret", "id", "secret", "endpoint", "site", "named", "named")
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("link", pa.int32())])
 RESULT = "array<struct<kind:string,start:int,end:int,link:int>>"
 
@@ -84,28 +97,33 @@ def weak_parts(text: str, lower: str, assigned: list[re.Match], base: list[tuple
     """Candidates that need a partner, outside the base spans."""
     found = []
     if any(k in lower for k in ("user", "login", "client", "account")):
-        found += [(m.start(), 3, m.end(1)) for m in _USER.finditer(text)]
-    found += [(m.start(), 4, m.end()) for m in assigned if len(m[1]) < 6]
+        found += [(m.start(), USER, m.end(1)) for m in _USER.finditer(text)]
+    # a short password may be any word; the other names also stand in prose ("secret: yes")
+    found += [(m.start(), SHORT, m.end()) for m in assigned if len(m[1]) < 6 and (m[0][:4].lower() == "pass" or _DIGIT.search(m[1]))]
     urls = [m.span() for m in _ENDPOINT.finditer(text)] if "://" in text else []
     tokens = []
     if found or urls or any(k == 1 for _, k, _ in base):  # an unnamed token can only complete an identifier or an endpoint
-        tokens = [m.span() for m in _WEAK.finditer(text) if _DIGIT.search(m[0]) and entropy(m[0]) >= MIN_ENTROPY]
+        tokens = [
+            (*m.span(), STRONG if _STRONG.search(m[0]) else TOKEN)
+            for m in _WEAK.finditer(text) if _RANDOM.search(m[0]) and entropy(m[0]) >= MIN_ENTROPY
+        ]
     at = 0
     for s, e in urls:
         user = _USER_PART.match(text, s, e)
         host = user.end() if user else s
         while at < len(tokens) and tokens[at][1] <= s:
-            found.append((tokens[at][0], 4, tokens[at][1]))
+            found.append((tokens[at][0], tokens[at][2], tokens[at][1]))
             at += 1
         start = s
+        plain = text.startswith("http", s) and not user and not _KEY_PARAMETER.search(text, s, e)
         while at < len(tokens) and tokens[at][0] < e:
             if tokens[at][1] <= host and tokens[at][0] > s:
-                found.append((tokens[at][0], 4, tokens[at][1]))
+                found.append((tokens[at][0], tokens[at][2], tokens[at][1]))
                 start = host
             at += 1
         if start < e:
-            found.append((start, 5, e))
-    found += [(s, 4, e) for s, e in tokens[at:]]
+            found.append((start, SITE if plain else ENDPOINT, e))
+    found += [(s, k, e) for s, e, k in tokens[at:]]
     starts = [s for s, _, _ in base]
     ends, most = [], 0
     for _, _, e in base:  # base spans may overlap: running maxima of their ends
@@ -126,7 +144,7 @@ def link(parts: list[tuple[int, int, int]], breaks: list[int], reach: int = REAC
     first after the end. Parts hold no scope break, so a nearest part in another scope has none of this scope behind it.
     """
     scope = [bisect_left(breaks, s) for s, _, _ in parts]
-    role = [ROLE[KINDS[k]] for _, k, _ in parts]
+    role = [ROLES[k] for _, k, _ in parts]
     starts: dict[str, list[int]] = {r: [] for r in PARTNERS}
     order: dict[str, list[int]] = {r: [] for r in PARTNERS}
     for i, (s, _, _) in enumerate(parts):
