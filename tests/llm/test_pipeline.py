@@ -52,12 +52,14 @@ def test_edge_rows(spark, sf_small):
     text = "the river and the stone are in the valley and the people of the hills went there for the water"
     rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (1, "a different text of the same id that the others do not have at all", "en", None, 1),
             (None, text, "en", "a", 1), (None, None, None, None, None), (7, "", "en", "b", 0), (8, "12345 !!", "en", "b", 8)]
-    docs = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _key string").drop("_key")
+    own = ["_key", "_i", "_k", "_mix_key", "_language", "doc", "src", "h", "t", "cell", "size", "language", "group", "b", "n"]
+    docs = spark.createDataFrame([(*r, *own) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own))
     for table in (docs, docs.limit(0)):
         out = table
         for name, stage in cp.STAGES:
             out = cp.written(stage(spark, out, sf_small), "test-edge")
             assert out.columns == docs.columns
+            assert out.select(*own).distinct().collect() in ([tuple(own)], [])
             if name == "SimHash near-dedup" and table is docs:
                 kept = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
                 assert kept == sorted([(1, text), (1, rows[2][1])], key=str)
