@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept. All but the last return the columns of ``documents``; the last returns
 them too, a document as often as the mix takes it.
+
+Defined cases: extra columns are kept whatever their names (a document rides in
+one column while stages work on it); null, empty and letterless texts go with
+the first stage; a null doc_id is kept where its text is; repeated rows count
+as near-duplicates of each other; texts of any length are taken whole; an empty
+table passes through all stages empty.
 """
 
 from __future__ import annotations
@@ -23,7 +29,12 @@ from lexicept.llm.common import crc_fold, table, text_batches, written  # noqa:
 from lexicept.session import ship_package  # noqa: E402
 
 #: A document row and an entry (_i, _k) of a narrow table of rows, null ids included.
-SAME = "doc_id <=> _i and _key <=> _k"
+SAME = "doc.doc_id <=> _i and _key <=> _k"
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc, _key): the whole row in one column, so that its columns can have any names, and the hash of its text."""
+    return docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("_key"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +42,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ship_package(spark)
     text_batches(spark)
     model = langid.fit(docs.filter(crc_fold("doc_id", 4) != 2))
-    found = langid.identify(docs, model, out_col="_language")
-    return found.filter(~F.col("_language.rejected")).drop("_language")
+    found = langid.identify(docs.select(F.struct("*").alias("doc"), "text"), model, out_col="language")
+    return found.filter(~F.col("language.rejected")).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +55,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship_package(spark)
     text_batches(spark)
     row = ["doc_id", "_key"]
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    found = simhash.near_duplicates(keyed, keep=["_key"])
+    keyed = _packed(docs)
+    found = simhash.near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("_key")), keep=["_key"])
     rows = written(found.groupBy("group", "component_id", *row).agg(F.count("*").alias("n")), "pipeline-groups")
     first = rows.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     # written, so that the join below has plain inputs and a large group can be split
@@ -56,18 +67,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = keyed.join(maybe_broadcast(gone.select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k"))), F.expr(SAME), "left_anti")
     if not twice.isEmpty():  # rows equal in id and text: one of each stays
         some = maybe_broadcast(twice.select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")))
-        kept = kept.join(some, F.expr(SAME), "left_anti").unionByName(kept.join(some, F.expr(SAME), "left_semi").dropDuplicates(row))
-    return kept.select(*docs.columns)
+        kept = kept.join(some, F.expr(SAME), "left_anti").unionByName(kept.join(some, F.expr(SAME), "left_semi").withColumn("_id", F.col("doc.doc_id")).dropDuplicates(["_id", "_key"]).drop("_id"))
+    return kept.select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark window."""
     ship_package(spark)
     text_batches(spark)
-    found = decontaminate.match(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.match(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     bad = written(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_i"), F.col("doc_key").alias("_k")).distinct(), "pipeline-contaminated")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    return keyed.join(maybe_broadcast(bad), F.expr(SAME), "left_anti").select(*docs.columns)
+    return _packed(docs).join(maybe_broadcast(bad), F.expr(SAME), "left_anti").select("doc.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
