@@ -59,13 +59,15 @@ _ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z0-9]{1,20}|postgres(?:ql)?|mysql|mon
 _USER_PART = re.compile(r"[a-z0-9]+(?::[a-z0-9]+)?://[^\s\"'<>/?#@]*@")
 #: A web address that asks for a secret or names one.
 _KEY_PARAMETER = re.compile(r"[?&;](?:access_?key|api_?key|key|token|secret|sig(?:nature)?|auth|password|pwd)=", re.IGNORECASE)
-#: A run without joints that looks drawn at random: long, letters and digits mixed.
-_RANDOM = re.compile(r"(?=[A-Za-z0-9+=]*[0-9])(?=[A-Za-z0-9+=]*[A-Za-z])[A-Za-z0-9+=]{12,}")
-_STRONG = re.compile(r"(?=[A-Za-z0-9+=]*[0-9])(?=[A-Za-z0-9+=]*[a-z])(?=[A-Za-z0-9+=]*[A-Z])[A-Za-z0-9+=]{16,}")
+#: Runs without joints; one that is long and mixes letters and digits looks drawn at random.
+_RUN = re.compile(r"[A-Za-z0-9+=]{12,}+")
+_LOWER, _UPPER = re.compile(r"[a-z]"), re.compile(r"[A-Z]")
 _BREAK = re.compile(r"\n[\x20\t\r]*\n")
 #: Parts that complete each other.
 PARTNERS = {"id": ("secret", "named"), "secret": ("id", "endpoint"), "named": ("id", "endpoint", "site"), "endpoint": ("secret", "named"), "site": ("named",)}
+#: Roles by kind number, and by kind name for the first number of each.
 ROLES = ("named", "id", "secret", "id", "secret", "endpoint", "site", "named", "named")
+ROLE = dict(zip(KINDS[:6], ROLES, strict=False))
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("link", pa.int32())])
 RESULT = "array<struct<kind:string,start:int,end:int,link:int>>"
 
@@ -93,6 +95,14 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
 
 
+def token_kind(token: str) -> int | None:
+    """STRONG, TOKEN, or None for an unnamed token that does not look like a secret; linear in the token."""
+    mixed = [r for r in _RUN.findall(token) if _DIGIT.search(r) and (_LOWER.search(r) or _UPPER.search(r))]
+    if not mixed or entropy(token) < MIN_ENTROPY:
+        return None
+    return STRONG if any(len(r) >= 16 and _LOWER.search(r) and _UPPER.search(r) for r in mixed) else TOKEN
+
+
 def weak_parts(text: str, lower: str, assigned: list[re.Match], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates that need a partner, outside the base spans."""
     found = []
@@ -103,10 +113,7 @@ def weak_parts(text: str, lower: str, assigned: list[re.Match], base: list[tuple
     urls = [m.span() for m in _ENDPOINT.finditer(text)] if "://" in text else []
     tokens = []
     if found or urls or any(k == 1 for _, k, _ in base):  # an unnamed token can only complete an identifier or an endpoint
-        tokens = [
-            (*m.span(), STRONG if _STRONG.search(m[0]) else TOKEN)
-            for m in _WEAK.finditer(text) if _RANDOM.search(m[0]) and entropy(m[0]) >= MIN_ENTROPY
-        ]
+        tokens = [(*m.span(), k) for m in _WEAK.finditer(text) if (k := token_kind(m[0]))]
     at = 0
     for s, e in urls:
         user = _USER_PART.match(text, s, e)
