@@ -1,6 +1,6 @@
 """Token ids as binary shards: fixed-size id blocks, bit-plane or byte-plane shuffled, zstandard per plane, a chunk index.
 
-``encode`` turns texts into ids, ``write`` stores them in ascending document order as one shard file per partition,
+``encode`` turns texts into ids, ``write`` stores them, encoded, in ascending document order as one shard file per partition,
 ``read`` gives them back. ``IdPlanes`` is the Spark data source behind both, so Spark's commit protocol covers the
 files: a task writes under a name of its own, and only files named by a commit that reached the driver enter the
 manifest; what lost executors or failed attempts leave behind is never read.
@@ -225,6 +225,7 @@ class Shard(InputPartition):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options):
         self.path, self.kind, self.block = options["path"], options.get("planes", "byte"), int(options.get("block", BLOCK))
+        self.tokenizer, self.end_id = options.get("tokenizer"), int(options["end_id"]) if "end_id" in options else None
 
     def write(self, iterator):
         import uuid
@@ -239,11 +240,12 @@ class _Writer(DataSourceArrowWriter):
         with store.open_output_stream(f"{root}/{name}") as out:
             shard = ShardWriter(out, self.kind, self.block)
             for batch in iterator:
-                keys, ids = batch.column("doc_id").cast(pa.int64()), batch.column("ids")
-                sizes = np.array([len(x.as_buffer()) for x in ids], np.int64) // 4
-                data = b"".join(x.as_py() for x in ids)
-                valid = np.array([k.is_valid for k in keys], np.int64)
-                shard.add(keys.fill_null(0).to_numpy(zero_copy_only=False), valid, sizes, np.frombuffer(data, "<u4"))
+                keys = batch.column(0).cast(pa.int64())
+                rows = batch.column(1).to_pylist()
+                coded = _encoder(self.tokenizer, self.end_id)(rows) if self.tokenizer else rows
+                sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+                valid = keys.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+                shard.add(keys.fill_null(0).to_numpy(zero_copy_only=False), valid, sizes, np.frombuffer(b"".join(coded), "<u4"))
             docs, n = shard.close()
         return Written(part, name, docs, n)
 
@@ -312,7 +314,11 @@ class _Reader(DataSourceReader):
 
 
 class IdPlanes(DataSource):
-    """``spark.read.format("id_planes")`` and ``df.write.format("id_planes")``; options: planes (byte or bit), block."""
+    """``spark.read.format("id_planes")`` and ``df.write.format("id_planes")``; options: planes (byte or bit), block.
+
+    Rows to write are (doc_id, ids as little-endian 32-bit integers), or (doc_id, text) with the options tokenizer and end_id:
+    the writing task then encodes them itself, so that ids do not travel between Python workers.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -340,8 +346,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     order = [F.asc_nulls_first("doc_id"), F.asc("_h"), F.asc("_m")]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    coded = dealt.select(F.col("doc_id").cast("bigint").alias("doc_id"), encode("_text", tokenizer_path, end_id).alias("ids"))
-    coded.write.format("id_planes").option("planes", planes).option("block", block).mode("append").save(path)
+    out = dealt.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_text").alias("text")).write.format("id_planes")
+    if end_id is not None:
+        out = out.option("end_id", end_id)
+    out.option("tokenizer", tokenizer_path).option("planes", planes).option("block", block).mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -25,7 +25,7 @@ SIMPLE = re.compile(rf"([!-&(-/:;=?@\[-`{{-~]*)([{LETTERS}]+)([!-&(-/:;=?@\[-`{{
 #: Characters a text is taken at a time; the next cut behind ends the slice.
 SLICE = 1 << 20
 #: Pieces kept by a worker and the longest of them. They bound its memory; results do not depend on them.
-MEMO_PIECES, MEMO_CHARS = 400_000, 64
+MEMO_PIECES, MEMO_CHARS = 350_000, 64
 #: Fixed value: the splitting pattern of tokenizers whose words hold no white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
