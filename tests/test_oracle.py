@@ -21,7 +21,8 @@ SUBSET = [
     "soft_lexicon_counts", "reference_pairs", "attach_embeddings", "reference_centroids", "embed", "mean_pool",
     "kmeans_centroids", "concept_similarity_max", "row_then_column", "column_then_row", "stratified_folds",
     "contiguous_folds", "majority_baseline", "metrics", "survey_to_long", "rating_matrix", "icc_average",
-    "sense_similarity", "attach_targets", "sample_n",
+    "sense_similarity", "attach_targets", "sample_n", "exact_split", "cross_validate", "holdout_evaluate", "holdout_regression",
+    "cross_validate_regression", "keyword_token_vector", "pool_token_vectors", "column_summary",
 ]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("LEXICEPT_FULL_ORACLE") else SUBSET
 
