@@ -41,6 +41,8 @@ from .words import BytePairIds, Memo, cuts_hold, split_dropped, tokenizer
 MAGIC = b"IDPLANE1"
 #: Ids of a block.
 BLOCK = 1 << 16
+#: Pieces of texts kept by a worker with their ids; memory only, results do not depend on it.
+KEPT_PIECES = 700_000
 #: Compression level of the planes.
 LEVEL = 3
 SCHEMA = "shard int, doc_id bigint, start bigint, n_tokens bigint, ids binary"
@@ -68,7 +70,7 @@ def _encoder(path: str, end_id: int | None):
     model = tokenizer(path)
     how = cuts_hold(model)
     ids = BytePairIds(model, how)
-    memo = Memo(lambda pieces: [pack(x) for x in ids(pieces)], cut=split_dropped)
+    memo = Memo(lambda pieces: [pack(x) for x in ids(pieces)], limit=KEPT_PIECES, cut=split_dropped)
     end = b"" if end_id is None else pack(array("I", [end_id]))
 
     def encode(texts: list[str | None]) -> list[bytes]:
