@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_concepts, q_eval, q_lexicon, q_scaling, q_stream, q_survey  # noqa: F401
+from . import q_concepts, q_eval, q_lexicon, q_phrases, q_scaling, q_stream, q_survey  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
