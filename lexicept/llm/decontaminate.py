@@ -11,9 +11,11 @@ stored when the test vocabulary is small enough to send to the tasks; beyond
 A window's lists are intersected from its rarest term in that segment on:
 each occurrence proposes a start, and the other terms' offset-adjusted lists
 are probed in order of rarity, so most windows end after one or two lists.
-A start that survives with displacement zero everywhere is an exact phrase;
-one whose terms all lie within ``SLACK`` positions of their place is a
-proximity match. No posting is shuffled: a segment is one row. Test sets
+A start that survives with displacement zero everywhere is an exact phrase.
+A whole window whose terms all occur in a document, displaced from their
+places by amounts at most ``SLACK`` apart, is a proximity match; all common
+shifts around the anchor are tried, so neither the anchor nor the segment
+decides what matches. No posting is shuffled: a segment is one row. Test sets
 larger than ``BLOCK_WORDS`` words are taken in blocks, each matched against
 the whole index.
 
@@ -170,8 +172,14 @@ class Windows:
         self.items = [sorted(x for x in s if x is not None) for s in owners.values()]
 
 
+def _between(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether sorted ``keys`` hold a value from ``low`` to ``high``, for each pair of bounds."""
+    i = np.searchsorted(keys, low)
+    return (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] <= high)
+
+
 def _segment_matches(seg: dict, q: Windows, slack: int) -> tuple[np.ndarray, ...]:
-    """(window, doc, start, exact) of all phrase and proximity matches in one segment."""
+    """(window, doc, start, exact) of all phrase matches in one segment, and of one proximity match per window and document."""
     terms, starts = seg["terms"], seg["starts"]
     sizes = seg["n_words"]
     gap = q.window + slack + 1
@@ -213,18 +221,24 @@ def _segment_matches(seg: dict, q: Windows, slack: int) -> tuple[np.ndarray, ...
             off = order[win, step]
             ends = past[win, off]
             key = (np.where(ends, 0, w[win, off]) << shift) | (begin + off)
-            i = np.searchsorted(keys, key - slack)
-            hit = keys[np.minimum(i, len(keys) - 1)]
-            near = ends | ((i < len(keys)) & (hit <= key + slack) & (hit >= key - slack))
-            j = np.searchsorted(keys, key)
-            exact &= ends | ((j < len(keys)) & (keys[np.minimum(j, len(keys) - 1)] == key))
+            near = ends | _between(keys, key - slack, key + slack)
+            exact &= ends | _between(keys, key, key)
             near &= exact | (size[win] == q.window)
             win, begin, exact = win[near], begin[near], exact[near]
         doc = np.searchsorted(base, begin, side="right") - 1
         start = begin - base[doc] - gap
-        inside = (start >= 0) & (start + size[win] <= sizes[doc])
-        ok = ~exact | inside
+        ok = exact & (start >= 0) & (start + size[win] <= sizes[doc])
         found.append((alive[win[ok]], doc[ok], start[ok], exact[ok]))
+        whole = size[win] == q.window
+        shifts = np.arange(-slack, 1)
+        win, begin = np.repeat(win[whole], len(shifts)), (begin[whole][:, None] + shifts).ravel()
+        for off in range(q.window):
+            low = (w[win, off] << shift) | (begin + off)
+            near = _between(keys, low, low + slack)
+            win, begin = win[near], begin[near]
+        doc = np.searchsorted(base, begin, side="right") - 1
+        _, one = np.unique(win * len(base) + doc, return_index=True)  # a window is near a document or not
+        found.append((alive[win[one]], doc[one], (begin - base[doc] - gap)[one], np.zeros(len(one), bool)))
         at = upto
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 

@@ -22,8 +22,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    found = decontaminate.report(decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
-    return found.drop("n_near_items")  # proximity matches have no short SQL form; the operator's own tests cover them
+    return decontaminate.report(decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,10 +117,23 @@ dw AS (SELECT r, k, n, w[k:k + n - 1] AS g FROM (SELECT r, w, n, unnest(range(1,
 hit AS (SELECT r, k, n, item_id FROM dw JOIN win ON dw.g = win.g),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
-  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY r),
+g AS (SELECT row_number() OVER () AS gid, g FROM (SELECT DISTINCT g FROM win WHERE len(g) = 10)),
+gw AS (SELECT gid, o, g[o] AS t FROM (SELECT gid, g, unnest(range(1, 11)) AS o FROM g)),
+occ AS (SELECT r, p, w[p] AS t FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE w[p] IN (SELECT t FROM gw)),
+rare AS (SELECT gid, arg_min(o, c) AS o, arg_min(t, c) AS t FROM (SELECT gid, o, gw.t, coalesce(n, 0) AS c FROM gw
+  LEFT JOIN (SELECT t, count(*) AS n FROM occ GROUP BY t) f ON f.t = gw.t) GROUP BY gid),
+starts AS (SELECT DISTINCT gid, r, p - o + s AS b FROM rare JOIN occ USING (t), (SELECT unnest(range(-2, 1)) AS s)),
+near AS (SELECT DISTINCT gid, r FROM (SELECT s.gid, s.r, s.b FROM starts s JOIN gw ON gw.gid = s.gid
+  JOIN (SELECT r, t, p - s AS p FROM occ, (SELECT unnest(range(0, 3)) AS s)) x ON x.r = s.r AND x.t = gw.t AND x.p = s.b + gw.o
+  GROUP BY s.gid, s.r, s.b HAVING count(DISTINCT gw.o) = 10)),
+nears AS (SELECT r, count(*) AS n_near FROM (
+  SELECT DISTINCT near.r, item_id FROM near JOIN g ON g.gid = near.gid JOIN win ON win.g = g.g WHERE item_id IS NOT NULL
+  EXCEPT SELECT r, item_id FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN nears USING (r)
 """
 
 ORACLE = {"op2_decontamination": OP2_SQL, "op3_licenses": licenses.oracle_sql()}

@@ -47,6 +47,51 @@ def case(seed):
     return docs, items
 
 
+def brute_near(docs, items, window=10, slack=2):
+    """Items of a whole window whose words all lie 0 to ``slack`` behind their places from some start, without exact ones."""
+    out = []
+    for d, t in docs:
+        w = words(t)
+        at = {}
+        for p, x in enumerate(w):
+            at.setdefault(x, []).append(p)
+        near, exact = set(), set()
+        for i, text in items:
+            g = words(text)
+            for k in range(len(g) - window + 1):
+                win = g[k:k + window]
+                if any(w[s:s + window] == win for s in range(len(w))):
+                    exact.add(i)
+                if any(all(any(0 <= p - s - o <= slack for p in at.get(x, ())) for o, x in enumerate(win)) for s in range(-window - slack, len(w) + slack)):
+                    near.add(i)
+            if 0 < len(g) < window and any(w[s:s + len(g)] == g for s in range(len(w))):
+                exact.add(i)
+        out.append((d, len(w), sorted(x for x in near - exact if x is not None)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("segment,block,parts", [(1 << 18, 10**6, 1), (64, 10**6, 3), (1, 30, 7)])
+def test_proximity_matches_brute_force_at_every_segmentation(spark, monkeypatch, segment, block, parts):
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
+    rng = random.Random(13)
+    vocab = [f"w{i}" for i in range(14)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([4, 10, 10, 12])))) for i in range(10)]
+    docs = []
+    for d in range(40):
+        body = rng.choices(vocab, k=rng.randint(0, 30))
+        planted = words(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 3)):  # displaced, swapped or interrupted copies
+            k = rng.randrange(len(planted))
+            planted.insert(rng.randrange(len(planted) + 1), planted.pop(k) if rng.random() < 0.6 else "zz")
+        body[len(body) // 2:len(body) // 2] = planted
+        docs.append((d, " ".join(body)))
+    got = D.match(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts),
+                  spark.createDataFrame(items, "item_id long, text string"), segment_tokens=segment)
+    want = brute_near(docs, items)
+    assert sorted(((r["doc_id"], r["n_words"], r["near_items"]) for r in got.collect()), key=str) == want
+    assert sum(len(n) for _, _, n in want) > 10
+
+
 @pytest.mark.parametrize("seed,segment,block", [(1, 1 << 18, 10**6), (2, 64, 10**6), (3, 64, 30), (4, 1, 1)])
 def test_matches_brute_force(spark, monkeypatch, seed, segment, block):
     monkeypatch.setattr(D, "BLOCK_WORDS", block)
