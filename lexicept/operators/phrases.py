@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded
 
 # White space between tokens, letters, and the token rules in order of precedence.
-SPACES = r"\x09-\x0D\x20 　"
+SPACES = r"\x09-\x0D\x20\xA0\u3000"
 LETTER = r"[\p{L}\p{M}]"
 RULES = {
     "number": r"[0-9]+(?:[.,:][0-9]+)*",

@@ -26,7 +26,7 @@ PHRASE_ROWS = [
 PHRASE_CATEGORIES = ["article", "link", "opening", "gap", "mark", "absent"]
 LONGEST_PATTERN = 3
 
-_MARK = ""  # private-use character: where a clitic begins
+_MARK = chr(0xE000)  # private-use character: where a clitic begins
 _LETTERS = r"\p{L}\p{M}"
 _CLITIC = "[''’](?:[rR][eE]|[vV][eE]|[lL][lL]|[sSdDmM])"
 _NEGATION = "[nN][''’][tT]"
