@@ -77,7 +77,7 @@ def test_proximity_matches_brute_force_at_every_segmentation(spark, monkeypatch,
     vocab = [f"w{i}" for i in range(14)]
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([4, 10, 10, 12])))) for i in range(10)]
     docs = []
-    for d in range(40):
+    for d in range(80):
         body = rng.choices(vocab, k=rng.randint(0, 30))
         planted = words(rng.choice(items)[1])
         for _ in range(rng.randint(0, 3)):  # displaced, swapped or interrupted copies
