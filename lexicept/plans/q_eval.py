@@ -17,6 +17,7 @@ from ..operators.shared_fit import Loss, evaluate_many
 from ..session import table_path
 from ..sources import fixtures as fx
 from ..sources.readers import sample_n, select_run, write_result
+from ..sources.runs import current_runs, store_runs, stored_runs, write_attempt
 from .common import POINT_CATEGORIES, long_, r6, sql_centroid_lists, sql_r6
 from .q_lexicon import EXPANDED_TOKENS, LEX_CATS, _counts_sql
 from .fit_sql import logistic_sql, regression_sql
@@ -390,6 +391,37 @@ def q_select_run(spark, sf):
     return select_run(spark, path, lexicon="test", lang="en").select("doc_id", "category", "n", "lang")
 
 
+_RERUN_SQL = _COUNTS_LANG.replace("SELECT c.doc_id, c.category, c.n, d.lang", "SELECT c.doc_id, c.category, "
+                                  "CASE WHEN d.lang = 'en' THEN CAST(c.n > 0 AS BIGINT) ELSE c.n END AS n, d.lang")
+
+
+def _rerun_store(spark, sf):
+    """Counts stored as one run per language; then 'en' is run again as flags, and a rerun of 'de' ends before its commit."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    counts = L.lexicon_counts_wide(docs, fx.fx_lexicon(spark), LEX_CATS, contractions=fx.fx_contractions(spark), keep=["lang"])
+    path = table_path(spark, "runs-" + uuid.uuid4().hex)
+    first = counts.unpivot(["doc_id", "lang"], LEX_CATS, "category", "n").withColumn("lexicon", F.lit("test"))
+    store_runs(first, path, ["lexicon", "lang"])
+    stored = stored_runs(spark, path, lexicon="test")
+    flags = stored.filter("lang = 'en'").withColumn("n", (F.col("n") > 0).cast("long"))
+    store_runs(flags, path, ["lexicon", "lang"])
+    write_attempt(stored.filter("lang = 'de'").withColumn("n", F.lit(-1).cast("long")), path, ["lexicon", "lang"])
+    return path
+
+
+@query("stored_runs", _RERUN_SQL)
+def q_stored_runs(spark, sf):
+    return stored_runs(spark, _rerun_store(spark, sf), lexicon="test").select("doc_id", "category", "n", "lang")
+
+
+@query(
+    "current_runs",
+    "SELECT lang, CAST(count(*) * " + str(len(LEX_CATS)) + " AS BIGINT) AS n_rows FROM documents GROUP BY lang",
+)
+def q_current_runs(spark, sf):
+    return current_runs(spark, _rerun_store(spark, sf)).select("lang", "n_rows")
+
+
 @query(
     "sample_n",
     f"SELECT doc_id, md5(text) AS text_md5 FROM documents ORDER BY ({stable_hash_sql('doc_id', SAMPLE_SEED)}), doc_id LIMIT 5",
