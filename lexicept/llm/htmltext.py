@@ -45,7 +45,7 @@ REGION_SHARE = 0.9
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template head title nav aside footer form button select option textarea iframe object "
+SKIPPED = frozenset("script style noscript template head title nav aside footer button select option textarea iframe object "
                     "svg canvas audio video dialog menu map datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr img input".split())
@@ -69,20 +69,27 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = frozenset("script style textarea title noscript iframe".split())
-#: Layout words such as "has-sidebar" say what stands beside an element, not what it is.
-_LAYOUT = re.compile(r"(?:^|\s)(?:has|with|without|no)[_-]\S*", re.IGNORECASE)
+#: Class names that do not say what an element is: what stands beside it ("has-sidebar"), a post's subjects ("tag-login"), the page
+#: builder's boxes ("elementor-widget"), and the title block of a post ("entry-header").
+_LAYOUT = re.compile(
+    r"(?:^|\s)(?:(?:has|with|without|no|category|tag|topic|elementor)[_-]\S*|(?:post|entry|article|story|content|page)[_-]{1,2}header)(?=\s|$)",
+    re.IGNORECASE,
+)
+#: Share of the page's text at which an element with the title or the main element counts as content whatever its name.
+PAGE_SHARE = 0.5
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。，！？；：]")
 
 
 def _boilerplate(tag: str, rest: str) -> bool:
+    """Whether an element is left out whatever it holds: by its tag, its role, or because it is hidden."""
     if tag in SKIPPED:
         return True
     if not rest or tag in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(rest):
         k, v = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if k in ("class", "id") and _NAMES.search(_LAYOUT.sub(" ", v)) or k == "role" and v.lower() in _ROLES or k == "hidden":
+        if k == "role" and v.lower() in _ROLES or k == "hidden":
             return True
         if k == "style" and "display:none" in v.replace(" ", "").lower():
             return True
@@ -91,11 +98,22 @@ def _boilerplate(tag: str, rest: str) -> bool:
     return False
 
 
+def _named_boilerplate(tag: str, rest: str) -> bool:
+    """Whether an element's names (or a form's tag) speak against it; what it holds can speak for it."""
+    if tag == "form":
+        return True
+    if not rest or tag in ("html", "body", "main"):
+        return False
+    return any(
+        m[1].lower() in ("class", "id") and _NAMES.search(_LAYOUT.sub(" ", m[2] or m[3] or m[4] or "")) for m in _ATTRIBUTE.finditer(rest)
+    )
+
+
 class _Node:
-    __slots__ = ("tag", "parent", "path", "skip", "depth", "in_region", "weight", "inside")
+    __slots__ = ("tag", "parent", "path", "skip", "named", "depth", "in_region", "weight", "inside")
 
-    def __init__(self, tag: str, parent: _Node | None, skip: bool, path: int):
-        self.tag, self.parent, self.skip, self.path = tag, parent, skip, path
+    def __init__(self, tag: str, parent: _Node | None, skip: bool, path: int, named: bool = False):
+        self.tag, self.parent, self.skip, self.path, self.named = tag, parent, skip, path, named
         self.depth = parent.depth + 1 if parent else 0
         self.in_region = tag in REGION_TAGS or parent is not None and parent.in_region
         self.weight, self.inside = 0, False
@@ -173,7 +191,8 @@ class _Page:
         skip = self.top.skip or _boilerplate(tag, rest) or tag == "header" and not self.top.in_region
         if tag == "a":
             self.links += 1
-        self.top = _Node(tag, self.top, skip, self.paths.setdefault((self.top.path, tag), len(self.paths) + 1))
+        named = not skip and _named_boilerplate(tag, rest)
+        self.top = _Node(tag, self.top, skip, self.paths.setdefault((self.top.path, tag), len(self.paths) + 1), named)
         self.nodes.append(self.top)
         self.open[tag] += 1
 
@@ -193,6 +212,38 @@ class _Page:
             self.pieces.append((self.top, self.block, unescape(data) if "&" in data else data, self.links > 0))
 
 
+def _drop_named(page: _Page) -> None:
+    """Leave out elements whose names speak against them, unless they hold the page: its title or main element and most of its text."""
+    if not any(node.named for node in page.nodes):
+        return
+    held: set[_Node] = set()  # elements that hold a title or the main element with text
+    article: set[_Node] = set()  # elements that hold an article with text
+    filled = {node for node, _, text, _ in page.pieces if text.strip()}
+    for node in reversed(page.nodes):  # children before parents
+        up = node.parent
+        if up is None or node not in filled:
+            continue
+        filled.add(up)
+        if node in held or node.tag in ("h1", "main"):
+            held.add(up)
+        if node in article or node.tag == "article" and not node.named:
+            article.add(up)
+
+    def drop(gone) -> None:
+        for node in page.nodes:  # parents before children
+            node.skip = node.skip or node.parent is not None and node.parent.skip or node.named and gone(node)
+        page.pieces = [p for p in page.pieces if not p[0].skip]
+
+    drop(lambda node: node not in held and not (node.tag == "form" and node in article))
+    weight: Counter = Counter()  # of what is left
+    for node, _, text, _ in page.pieces:
+        weight[node] += len(text.strip())
+    for node in reversed(page.nodes):
+        if node.parent is not None:
+            weight[node.parent] += weight[node]
+    drop(lambda node: weight[node] < PAGE_SHARE * weight[page.nodes[0]])
+
+
 def _content_paths(pieces: list) -> set[int]:
     """Paths whose smoothed and fused ratio reaches the threshold."""
     stats: dict[int, list[float]] = {}
@@ -285,6 +336,7 @@ def extract_text(html: str | None) -> str:
         return ""
     page = _Page()
     page.feed(html)
+    _drop_named(page)
     content = _content_paths(page.pieces)
     regions = _regions(page, content)
     if not regions:

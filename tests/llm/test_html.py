@@ -37,6 +37,27 @@ def test_names():
     assert htmltext.extract_text(page.replace("article", "div")) == TEXT
 
 
+def test_names_do_not_outweigh_the_page():
+    h1, rest = BODY.split("</h1>")
+    pages = [
+        f'<article><header class="entry-header">{h1}</h1></header>{rest}</article>',
+        f'<div class="post"><div class="post-header">{h1}</h1></div>{rest}</div>',
+        f'<article class="post category-social">{BODY}</article>',
+        f'<div class="post tag-login-help">{BODY}</div>',
+        f'<div class="elementor-widget">{h1}</h1></div><div class="elementor-widget elementor-widget-text">{rest}</div>',
+        f'<form id="aspnetForm">{"".join(NOISE)}<div>{BODY}</div></form>',
+        f'<form id="aspnetForm"><article>{BODY}</article><div class="comments"><p>Nice, thanks.</p></div></form>',
+        f'<div class="promo-layout">{BODY}</div>',
+    ]
+    for i, page in enumerate(pages):
+        for around in ("", "".join(NOISE)):
+            assert htmltext.extract_text(f"<body>{around if i != 7 else ''}{page}{around if i != 7 else ''}</body>") == TEXT, (i, page)
+    talk = "<p>I agree, fully, with all of it; and more, much more.</p>" * 200
+    for noise in (f'<section id="comments">{talk}</section>', f'<div class="comments"><article class="comment">{talk}</article></div>',
+                  f'<form class="newsletter"><p>{"Join us, now. " * 300}</p></form>', f'<div class="header"><h1>Site, name.</h1></div><div class="menu">{talk}</div>'):
+        assert htmltext.extract_text(f"<body><article>{BODY}</article>{noise}</body>") == TEXT
+
+
 def test_content_outside_the_region_is_kept():
     long = "".join(f"<p>Paragraph {i}, with words. It goes on, and on, as paragraphs do; and then, it ends.</p>" for i in range(20))
     text = re.sub("</p><p>", "\n", long)[3:-4]
