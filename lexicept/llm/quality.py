@@ -114,8 +114,10 @@ def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
     starts = np.flatnonzero(runs[window - 1:] - runs[:-(window - 1)] == window - 1)
     if len(starts) < 2:
         return 0
-    _, back, counts = np.unique(ids[starts[:, None] + np.arange(window)], axis=0, return_inverse=True, return_counts=True)
-    often = starts[counts[back.ravel()] > 1]
+    code = ids[starts]  # windows named word by word: a longer prefix's name comes from its shorter one's and the next word
+    for k in range(1, window):
+        code = np.unique(code * n + ids[starts + k], return_inverse=True)[1]
+    often = starts[np.bincount(code)[code] > 1]
     edge = np.zeros(n + 1, np.int64)
     edge[often] += 1  # starts are distinct
     edge[often + window] -= 1
