@@ -12,6 +12,10 @@ claim the same sentences.
 Everything is row-local: no shuffle, no join. Texts without any of the words
 that every known sentence has one of are passed over.
 
+A rule that one cut matches gives way to a fuller rule (all its identifiers
+and more) that only the other cut completes, so a wrapped clause does not add
+a second licence.
+
 Defined cases: null and empty texts have no sentences and no licence;
 repeated rows get equal results; sentences split over several lines are found
 by the second cut.
@@ -51,6 +55,32 @@ SENTENCES = {
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd_endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_endorse_owner": "neither the name of the copyright owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc_asis": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "mpl_subject": "this source code form is subject to the terms of the mozilla public license v",
+    "lgpl_terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl3_terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21_terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl21_either": "either version 2 1 of the license or at your option any later version",
+    "agpl_terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "agpl3_terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "unlicense_free": "this is free and unencumbered software released into the public domain",
+    "cc0_law": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "spdx_mit": "spdx license identifier mit",
+    "spdx_apache": "spdx license identifier apache 2 0",
+    "spdx_bsd2": "spdx license identifier bsd 2 clause",
+    "spdx_bsd3": "spdx license identifier bsd 3 clause",
+    "spdx_isc": "spdx license identifier isc",
+    "spdx_mpl": "spdx license identifier mpl 2 0",
+    "spdx_gpl2": "spdx license identifier gpl 2 0 only",
+    "spdx_gpl2_later": "spdx license identifier gpl 2 0 or later",
+    "spdx_gpl3": "spdx license identifier gpl 3 0 only",
+    "spdx_gpl3_later": "spdx license identifier gpl 3 0 or later",
+    "spdx_lgpl21_later": "spdx license identifier lgpl 2 1 or later",
+    "spdx_agpl3_later": "spdx license identifier agpl 3 0 or later",
+    "spdx_cc0": "spdx license identifier cc0 1 0",
+    "spdx_unlicense": "spdx license identifier unlicense",
     "gpl3_line": "this work is licensed under the gnu general public license version 3",
     "gpl2_line": "this work is licensed under the gnu general public license version 2",
     "gpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
@@ -79,7 +109,15 @@ RULES = (
     ("Apache-2.0", "permissive", ("apache_grant", "apache_use", "apache_at", "apache_url", "apache_asis", "apache_see")),
     ("Apache-2.0", "permissive", ("apache_grant", "apache_use", "apache_at", "apache_urls", "apache_asis", "apache_see")),
     ("BSD-3-Clause", "permissive", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
+    ("BSD-3-Clause", "permissive", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse_owner")),
     ("BSD-2-Clause", "permissive", ("bsd_grant", "bsd_source", "bsd_binary")),
+    ("ISC", "permissive", ("isc_grant", "isc_asis")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3_terms",)),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl_terms", "gpl3_either")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl21_terms",)),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl_terms", "lgpl21_either")),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3_terms",)),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl_terms", "gpl3_either")),
     ("GPL-3.0-or-later", "copyleft", ("gpl_free", "gpl_warranty", "gpl_copy")),
     ("GPL-3.0-or-later", "copyleft", ("gpl3_terms", "gpl_hope", "gpl_even", "gpl_copy")),
     ("GPL-3.0-or-later", "copyleft", ("gpl_terms", "gpl3_either", "gpl_hope", "gpl_even", "gpl_copy")),
@@ -105,12 +143,34 @@ RULES = (
     ("CC-BY-SA-4.0", "copyleft", ("cc_by_sa_line",)),
     ("CC-BY-4.0", "permissive", ("cc_by_line",)),
     ("CC-BY-4.0", "permissive", ("cc_by_long",)),
+    ("ISC", "permissive", ("isc_grant",)),
+    ("MPL-2.0", "copyleft", ("mpl_subject",)),
+    ("Unlicense", "permissive", ("unlicense_free",)),
+    ("CC0-1.0", "permissive", ("cc0_law",)),
+    ("MIT", "permissive", ("spdx_mit",)),
+    ("Apache-2.0", "permissive", ("spdx_apache",)),
+    ("BSD-2-Clause", "permissive", ("spdx_bsd2",)),
+    ("BSD-3-Clause", "permissive", ("spdx_bsd3",)),
+    ("ISC", "permissive", ("spdx_isc",)),
+    ("MPL-2.0", "copyleft", ("spdx_mpl",)),
+    ("GPL-2.0-only", "copyleft", ("spdx_gpl2",)),
+    ("GPL-2.0-or-later", "copyleft", ("spdx_gpl2_later",)),
+    ("GPL-3.0-only", "copyleft", ("spdx_gpl3",)),
+    ("GPL-3.0-or-later", "copyleft", ("spdx_gpl3_later",)),
+    ("LGPL-2.1-or-later", "copyleft", ("spdx_lgpl21_later",)),
+    ("AGPL-3.0-or-later", "copyleft", ("spdx_agpl3_later",)),
+    ("CC0-1.0", "permissive", ("spdx_cc0",)),
+    ("Unlicense", "permissive", ("spdx_unlicense",)),
     ("Public-Domain", "permissive", ("public_domain",)),
     ("Proprietary", "proprietary", ("all_rights",)),
 )
 #: Every known sentence holds one of these; parts of single words, because they are searched before white space and marks are normalised.
-MARKERS = "licen|copyright|reserved|warrant|redistribut|permission"
+MARKERS = "licen|copyright|reserved|warrant|redistribut|permission|unencumbered"
+#: For each rule the ranks of the rules with all its identifiers and more.
+FULLER = tuple(tuple(i for i, (_, _, more) in enumerate(RULES, 1) if set(ids) < set(more)) for _, _, ids in RULES)
 SENTENCE_END = r"[.!?;:]+(?:\s+|$)"
+#: The colon of an SPDX line does not end a sentence.
+SPDX_TAG = "spdx-license-identifier"
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
@@ -129,10 +189,10 @@ def _kept(ids: tuple[str, ...]) -> str:
 
 def sentences(text: Column, wrapped: bool) -> Column:
     """Normalised sentences; ``wrapped`` takes line ends as spaces."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, SENTENCE_END, "\n")
+    t = F.replace(F.lower(text), F.lit(f"{SPDX_TAG}:"), F.lit(SPDX_TAG))
     if wrapped:
-        t = F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", " "), SENTENCE_END, "\n")
+        t = F.regexp_replace(t, r"\s+", " ")
+    t = F.regexp_replace(t, SENTENCE_END, "\n")
     return F.transform(F.split(t, "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
@@ -162,6 +222,12 @@ def _matched(sequence: Column) -> Column:
     )
 
 
+def _not_fuller(found: Column, other: Column) -> Column:
+    """Rules of one cut without those of which the other cut has a fuller rule in their place."""
+    fuller = F.array(*[F.array(*[F.lit(i) for i in more]).cast("array<int>") for more in FULLER])
+    return F.filter(found, lambda k: F.array_contains(other, k) | ~F.arrays_overlap(F.element_at(fuller, k), other))
+
+
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "license") -> DataFrame:
     """``docs`` with a struct column: sentence_ids (by lines), licenses (names, by rule order) and classes."""
     text = F.col(text_col)
@@ -169,12 +235,12 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "license") -> D
     empty = F.array().cast("array<string>")
     by_line = F.when(marked, _sequence(text, False)).otherwise(empty)
     by_text = F.when(marked, _sequence(text, True)).otherwise(empty)
-    step = add_struct(docs, out_col, F.struct(by_line.alias("by_line"), by_text.alias("by_text")))
+    cuts = add_struct(docs, out_col, F.struct(by_line.alias("by_line"), by_text.alias("by_text")))
+    of_cut = lambda cut: F.when(F.size(f"{out_col}.{cut}") > 0, _matched(F.col(f"{out_col}.{cut}"))).otherwise(F.array().cast("array<int>")).alias(f"{cut}_rules")
+    step = cuts.withColumn(out_col, F.struct(f"{out_col}.by_line", f"{out_col}.by_text", of_cut("by_line"), of_cut("by_text")))
+    line, text_ = F.col(f"{out_col}.by_line_rules"), F.col(f"{out_col}.by_text_rules")
     names, classes = (F.array(*[F.lit(r[i]) for r in RULES]) for i in (0, 1))
-    found = F.when(
-        (F.size(f"{out_col}.by_line") > 0) | (F.size(f"{out_col}.by_text") > 0),
-        F.array_sort(F.array_union(_matched(F.col(f"{out_col}.by_line")), _matched(F.col(f"{out_col}.by_text")))),
-    ).otherwise(F.array().cast("array<int>"))
+    found = F.array_sort(F.array_union(_not_fuller(line, text_), _not_fuller(text_, line)))
     pick = lambda a: F.array_distinct(F.transform(found, lambda i: F.element_at(a, i)))
     return step.withColumn(out_col, F.struct(
         F.col(f"{out_col}.by_line").alias("sentence_ids"), pick(names).alias("licenses"), pick(classes).alias("classes")))
@@ -194,10 +260,10 @@ def oracle_sql() -> str:
     known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
     norm = "trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))"
     steps = [
-        "t AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents)",
+        f"t AS (SELECT row_number() OVER () AS r, doc_id, replace(lower(text), '{SPDX_TAG}:', '{SPDX_TAG}') AS text FROM documents)",
         f"known(id, s) AS (VALUES {known})",
-        f"cuts AS (SELECT r, 'line' AS how, string_split(regexp_replace(lower(text), '{SENTENCE_END}', chr(10), 'g'), chr(10)) AS ss FROM t "
-        f"UNION ALL SELECT r, 'text', string_split(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '{SENTENCE_END}', chr(10), 'g'), chr(10)) FROM t)",
+        f"cuts AS (SELECT r, 'line' AS how, string_split(regexp_replace(text, '{SENTENCE_END}', chr(10), 'g'), chr(10)) AS ss FROM t "
+        f"UNION ALL SELECT r, 'text', string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '{SENTENCE_END}', chr(10), 'g'), chr(10)) FROM t)",
         "ex AS (SELECT r, how, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM cuts)",
         f"hit AS (SELECT r, how, i, id FROM ex JOIN known ON known.s = {norm.replace('(s,', '(ex.s,')})",
         "q0 AS (SELECT r, how, '|' || string_agg(id || '|', '' ORDER BY i) AS seq, CAST([] AS INTEGER[]) AS found FROM hit GROUP BY r, how)",
@@ -209,10 +275,15 @@ def oracle_sql() -> str:
             f"q{i} AS (SELECT r, how, regexp_replace(seq, '{p}', '{rest}', 'g') AS seq, "
             f"CASE WHEN regexp_matches(seq, '{p}') THEN list_append(found, {i}) ELSE found END AS found FROM q{i - 1})"
         )
+    fuller = ", ".join(f"({i}, {j})" for i, more in enumerate(FULLER, 1) for j in more)
     rules = ", ".join(f"({i}, '{n}', '{c}')" for i, (n, c, _) in enumerate(RULES, 1))
     steps += [
         f"rules(k, name, class) AS (VALUES {rules})",
-        f"m AS (SELECT DISTINCT r, unnest(found) AS k FROM q{len(RULES)})",
+        f"fuller(k, more) AS (VALUES {fuller})",
+        f"f AS (SELECT r, how, unnest(found) AS k FROM q{len(RULES)})",
+        "gone AS (SELECT a.r, a.how, a.k FROM f a JOIN fuller USING (k) JOIN f b ON b.r = a.r AND b.how <> a.how AND b.k = more "
+        "WHERE NOT EXISTS (SELECT 1 FROM f c WHERE c.r = a.r AND c.how <> a.how AND c.k = a.k))",
+        "m AS (SELECT DISTINCT r, k FROM (SELECT r, how, k FROM f EXCEPT SELECT r, how, k FROM gone))",
         "names AS (SELECT r, name, min(k) AS k FROM m JOIN rules USING (k) GROUP BY r, name)",
         "classes AS (SELECT r, class, min(k) AS k FROM m JOIN rules USING (k) GROUP BY r, class)",
         "l AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM hit WHERE how = 'line' GROUP BY r)",

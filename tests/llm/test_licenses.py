@@ -108,3 +108,38 @@ def test_markers_do_not_depend_on_spacing(spark):
     texts = ["All rights\nreserved.", "x. All rights  reserved.", "All rights-reserved.", "All\nrights\u00a0reserved.", "Tables are reserved."]
     assert [g[2] for g in found(spark, *texts)] == ["Proprietary"] * 4 + [""]
     assert re.fullmatch("[a-z0-9|]+", licenses.MARKERS)
+
+
+LGPL = GPL.replace("GNU General", "GNU Lesser General").replace("program is free", "library is free")
+MORE = {
+    "ISC": ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "LGPL-3.0-or-later": [LGPL, LGPL.replace("Foundation, ", "Foundation; ")],
+    "LGPL-2.1-or-later": [LGPL.replace("version 3", "version 2.1"), LGPL.replace("Foundation, either version 3", "Foundation; either version 2.1")],
+    "AGPL-3.0-or-later": [GPL.replace("GNU General", "GNU Affero General")],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software."],
+    "CC0-1.0": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
+}
+
+
+def test_more_genuine_texts(spark):
+    texts = [(name, form(t)) for name, ts in MORE.items() for t in ts for form in (str, wrapped, lambda t: wrapped(t, "", 45))]
+    assert [g[2] for g in found(spark, *[x for _, x in texts])] == [name for name, _ in texts]
+
+
+def test_spdx_lines(spark):
+    names = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+             "LGPL-2.1-or-later", "AGPL-3.0-or-later", "CC0-1.0", "Unlicense"]
+    texts = [f"#!/bin/sh\n{mark} SPDX-License-Identifier: {n} {end}\nint x;" for n in names for mark, end in (("//", ""), ("/*", "*/"), ("#", ""))]
+    assert [g[2] for g in found(spark, *texts)] == [n for n in names for _ in range(3)]
+    assert [g[2] for g in found(spark, "Copyright. Geh mit. Apache 2.0.", "SPDX-License-Identifier: Unknown-1.0")] == ["", ""]
+
+
+def test_one_verdict_per_passage(spark):
+    bsd = [licenses.SENTENCES[k] for k in ("bsd_grant", "bsd_source", "bsd_binary")]
+    for end in ("bsd_endorse", "bsd_endorse_owner"):
+        last = "\n".join(re.findall(r".{1,60}(?:\s|$)", licenses.SENTENCES[end]))
+        three = "\n".join(f"{x}." for x in [*bsd, last])  # only the last clause is wrapped
+        assert [g[2] for g in found(spark, three)] == ["BSD-3-Clause"]
