@@ -439,3 +439,15 @@ def q_read_corpus(spark, sf):
 
     df = read_corpus(spark, f"{sf.rstrip('/')}/documents.parquet")
     return df.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+@query("read_corpus_csv", "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
+def q_read_corpus_csv(spark, sf):
+    """The documents as CSV, columns in another order and the key as an index column, read back."""
+    from ..sources.readers import read_corpus_csv
+
+    path = table_path(spark, "corpus-csv-" + uuid.uuid4().hex)
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("row"), "source", "text", "n_chars", "lang")
+    docs.write.option("header", True).option("escape", '"').csv(path)
+    df = read_corpus_csv(spark, path, index_col="row")
+    return df.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))

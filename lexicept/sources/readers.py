@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import stable_hash
 from ..operators.text import TOKEN_PATTERN, token_array
@@ -33,6 +34,30 @@ def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA, fmt
     return balanced(df.select(*columns) if columns else df)
 
 
+def read_corpus_csv(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA, index_col: str | None = None,
+                    key_col: str = "doc_id") -> DataFrame:
+    """Text table from CSV files with a header; columns are found by name, in any order, and cast to ``schema``.
+
+    ``index_col`` names a column that becomes the key ("" for the unnamed first column that data frame libraries write).
+    Without it and without a ``key_col`` in the files the key is a hash of the row, so equal rows share it. Other columns
+    that the schema lacks are left out; declared columns that the files lack are null.
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    index = "_c0" if index_col == "" else index_col
+    if index is not None and index not in raw.columns:
+        raise ValueError(f"no index column {index_col!r} in {raw.columns}")
+    key = f"`{index}`" if index is not None else f"`{key_col}`" if key_col in raw.columns else None
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])
+    out = []
+    for field in T.StructType.fromDDL(schema):
+        if field.name == key_col:
+            value = row_hash if key is None else F.col(key)
+        else:
+            value = F.col(f"`{field.name}`") if field.name in raw.columns else F.lit(None)
+        out.append(value.cast(field.dataType).alias(field.name))
+    return balanced(raw.select(*out))
+
+
 def read_vectors(spark: SparkSession, path: str, schema: str = VECTORS_SCHEMA) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 

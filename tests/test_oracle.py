@@ -23,7 +23,7 @@ SUBSET = [
     "contiguous_folds", "majority_baseline", "metrics", "survey_to_long", "rating_matrix", "icc_average",
     "sense_similarity", "attach_targets", "sample_n", "exact_split", "cross_validate", "holdout_evaluate", "holdout_regression",
     "cross_validate_regression", "keyword_token_vector", "pool_token_vectors", "column_summary",
-    "token_spans", "phrase_hits_all", "phrase_hits", "phrase_counts", "stored_runs", "current_runs",
+    "token_spans", "phrase_hits_all", "phrase_hits", "phrase_counts", "stored_runs", "current_runs", "read_corpus_csv",
 ]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("LEXICEPT_FULL_ORACLE") else SUBSET
 

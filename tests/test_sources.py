@@ -42,3 +42,21 @@ def test_sample_and_split_do_not_depend_on_partitioning(spark, sf_small):
     assert s1.exceptAll(s2).count() == 0
     share = s1.filter(F.col("split") == "train").count() / s1.count()
     assert 0.6 < share < 0.9
+
+
+def test_read_corpus_csv(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from lexicept.sources.readers import read_corpus_csv
+
+    unnamed, plain = tmp_path / "a.csv", tmp_path / "b.csv"
+    unnamed.write_text(',text,extra,lang\n7,"one, ""two""\nthree",x,en\n8,,y,de\n', encoding="utf8")
+    plain.write_text("lang,text\nen,same\nen,same\nde,other\n", encoding="utf8")
+    rows = read_corpus_csv(spark, str(unnamed), index_col="").orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(7, 'one, "two"\nthree', "en", None, None), (8, None, "de", None, None)]
+    keyed = read_corpus_csv(spark, str(plain))
+    assert keyed.filter(F.col("doc_id").isNull()).count() == 0
+    assert (keyed.count(), keyed.select("doc_id").distinct().count()) == (3, 2)
+    with pytest.raises(ValueError):
+        read_corpus_csv(spark, str(plain), index_col="absent")
