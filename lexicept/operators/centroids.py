@@ -53,62 +53,120 @@ def align_centroids(centroids: DataFrame, categories: DataFrame) -> DataFrame:
     return centroids.join(maybe_broadcast(cats, MODEL_MAX_ROWS), "category", "inner")
 
 
-def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cluster, squared distance) of every row's nearest centre; ties go to the lower cluster."""
-    d2 = np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
-    best = d2.argmin(axis=1)
-    return best, d2[np.arange(len(x)), best]
+def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster, squared distance) of every row's nearest centre; ties go to the lower cluster.
 
-
-def _lloyd_sums(rows: DataFrame, centers: dict[str, dict[str, np.ndarray]]) -> dict[str, dict[str, np.ndarray]]:
-    """Per variant and category: clusters x (members, squared distances, vector sum), in one job for all variants.
-
-    ``rows`` has (category, vec, one boolean column per variant). Every task adds up its batches in numpy and sends one
-    row per (variant, category) it met.
+    One matrix product ranks the centres; rows whose two best lie within rounding are compared by their differences.
+    """
+    best = np.zeros(len(x), int)
+    if len(centers) > 1:
+        norms = np.einsum("ij,ij->i", centers, centers)
+        part = norms - 2 * (x @ centers.T)
+        best = part.argmin(axis=1)
+        two = np.partition(part, 1, axis=1)[:, :2]
+        close = np.flatnonzero(~(two[:, 1] - two[:, 0] > 1e-9 * (np.einsum("ij,ij->i", x, x) + norms.max())))
+        if len(close):
+            best[close] = np.stack([((x[close] - c) ** 2).sum(axis=1) for c in centers], axis=1).argmin(axis=1)
+    diff = x - centers[best]
+    return best, np.einsum("ij,ij->i", diff, diff)
+
+
+def arrow_points(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Category names and the (n, d) matrix of a batch of points."""
+    names = np.array(batch.column("category").to_pylist(), dtype=object)
+    return names, np.asarray(batch.column("vec").flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
+
+
+def lloyd_sums(rows: DataFrame, centers: dict[str, dict[str, np.ndarray]], flags: dict[str, str] | None = None) -> dict[str, dict[str, np.ndarray]]:
+    """Per model and category: clusters x (members, squared distances, vector sum), in one job for all models.
+
+    ``rows`` has (category, vec) and boolean columns; ``flags`` names the column of the rows that take part in a model (by
+    default the one called like it). Every task adds up its batches in numpy and sends one row per (model, category) it met.
     """
     spark = rows.sparkSession
+    flags = flags or {m: m for m in centers}
     shared = spark.sparkContext.broadcast(centers)
 
     def run(batches):
         centers = shared.value
         sums: dict = {}
         for b in batches:
-            names = np.array(b.column("category").to_pylist(), dtype=object)
-            x = np.asarray(b.column("vec").flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
+            names, x = arrow_points(b)
             for cat in set(names):
                 of_cat = names == cat
-                for variant, by_cat in centers.items():
-                    use = of_cat & b.column(variant).to_numpy(zero_copy_only=False)
+                for model, by_cat in centers.items():
+                    use = of_cat & b.column(flags[model]).to_numpy(zero_copy_only=False)
                     if cat not in by_cat or not use.any():
                         continue
                     xs, c = x[use], by_cat[cat]
-                    best, d2 = _nearest(xs, c)
-                    at = sums.setdefault((variant, cat), np.zeros((len(c), 2 + xs.shape[1])))
+                    best, d2 = nearest(xs, c)
+                    at = sums.setdefault((model, cat), np.zeros((len(c), 2 + xs.shape[1])))
                     at[:, 0] += np.bincount(best, minlength=len(c))
                     at[:, 1] += np.bincount(best, weights=d2, minlength=len(c))
                     for j in range(len(c)):
                         at[j, 2:] += xs[best == j].sum(axis=0)
-        for (variant, cat), v in sums.items():
+        for (model, cat), v in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([variant]), pa.array([cat], pa.string()), pa.array([v.ravel()], pa.list_(pa.float64()))], names=["variant", "category", "v"])
+                [pa.array([model]), pa.array([cat], pa.string()), pa.array([v.ravel()], pa.list_(pa.float64()))], names=["model", "category", "v"])
 
-    variants = list(centers)
-    added = rows.select("category", "vec", *variants).mapInArrow(run, "variant string, category string, v array<double>")
-    found = collect_bounded(added.groupBy("variant", "category").agg(vector_sum("v").alias("v")), MODEL_MAX_ROWS, "k-means sums")
+    added = rows.select("category", "vec", *sorted({flags[m] for m in centers})).mapInArrow(run, "model string, category string, v array<double>")
+    found = collect_bounded(added.groupBy("model", "category").agg(vector_sum("v").alias("v")), MODEL_MAX_ROWS, "k-means sums")
     shared.unpersist()
-    out: dict = {v: {} for v in variants}
+    out: dict = {m: {} for m in centers}
     for r in found:
-        out[r["variant"]][r["category"]] = np.array(r["v"]).reshape(len(centers[r["variant"]][r["category"]]), -1)
+        out[r["model"]][r["category"]] = np.array(r["v"]).reshape(len(centers[r["model"]][r["category"]]), -1)
     return out
 
 
+def point_rows(points: DataFrame, flags: dict[str, Column | None], category_col: str, key_col: str, vec_col: str) -> DataFrame:
+    """(category, key, vec, one boolean column per flag): the rows that have a category and a vector."""
+    return points.filter(F.col(category_col).isNotNull() & F.col(vec_col).isNotNull()).select(
+        F.col(category_col).alias("category"), F.col(key_col).alias("key"), as_double(vec_col).alias("vec"),
+        *[F.coalesce(F.lit(True) if flag is None else flag, F.lit(False)).alias(name) for name, flag in flags.items()],
+    )
+
+
+def hash_starts(rows: DataFrame, flag: str, k: int, seed: int, max_centers: int) -> dict[str, np.ndarray]:
+    """Per category the vectors of the K rows with the smallest ``stable_hash(key, seed)``."""
+    order = Window.partitionBy("category").orderBy(stable_hash("key", seed), "key")  # cut to K rows before the shuffle
+    start = rows.filter(flag).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    found = collect_bounded(start.select("category", "_r", "vec"), max_centers, "k-means start rows")
+    by_cat: dict = {}
+    for r in sorted(found, key=lambda r: (r["category"], r["_r"])):
+        by_cat.setdefault(r["category"], []).append(r["vec"])
+    return {c: np.array(x, float) for c, x in by_cat.items()}
+
+
+def settle(rows: DataFrame, centers: dict[str, dict[str, np.ndarray]], flags: dict[str, str], iterations: int) -> dict[str, dict[str, np.ndarray]]:
+    """Lloyd steps until every centre stands still; then the sums of ``lloyd_sums`` under the final centres.
+
+    A step is one job for all models and categories; a category that has settled in a model takes no part in further steps.
+    An empty cluster keeps its centre. ``centers`` is moved in place.
+    """
+    active = {m: dict(by_cat) for m, by_cat in centers.items() if by_cat}
+    for _ in range(iterations):
+        if not active:
+            break
+        still: dict = {}
+        for m, by_cat in lloyd_sums(rows, active, flags).items():
+            for cat, s in by_cat.items():
+                old, full = centers[m][cat], s[:, 0] > 0
+                new = old.copy()
+                new[full] = s[full, 2:] / s[full, :1]
+                centers[m][cat] = new
+                if np.abs(new - old).max(initial=0.0) > SETTLED:
+                    still.setdefault(m, {})[cat] = new
+        active = still
+    return lloyd_sums(rows, centers, flags)
+
+
 def kmeans_models(points: DataFrame, variants: dict[str, tuple[int, Column | None]], seed: int = 230706, iterations: int = 300,
                   category_col: str = "category", key_col: str = "key", vec_col: str = "embedding",
                   max_centers: int = MODEL_MAX_ROWS) -> dict[str, DataFrame]:
     """Grouped Lloyd's k-means of several variants {name: (K, rows that take part)} in shared passes; centroids per variant.
 
     * start centres: the K rows with the smallest ``stable_hash(key, seed)`` in each category (a category with fewer than
-      K rows gets one cluster per row);
+      K rows gets one cluster per row); ``restarts.kmeans_restarts`` seeds by distance and keeps the best of several starts;
     * Lloyd steps until no centre of any variant moves (``iterations`` is an emergency stop); an empty cluster keeps its
       previous centre;
     * result: members of each cluster under the final centres, averaged.
@@ -119,40 +177,17 @@ def kmeans_models(points: DataFrame, variants: dict[str, tuple[int, Column | Non
     """
     spark = points.sparkSession
     names = {v: f"_in_{i}" for i, v in enumerate(variants)}
-    # where each start row lies: the flags are one column per distinct condition
-    rows = points.filter(F.col(category_col).isNotNull() & F.col(vec_col).isNotNull()).select(
-        F.col(category_col).alias("category"), F.col(key_col).alias("key"), as_double(vec_col).alias("vec"),
-        *[F.coalesce(F.lit(True) if flag is None else flag, F.lit(False)).alias(names[v]) for v, (_, flag) in variants.items()],
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = point_rows(points, {names[v]: flag for v, (_, flag) in variants.items()}, category_col, key_col, vec_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        centers: dict = {}
-        for v, (k, _) in variants.items():
-            order = Window.partitionBy("category").orderBy(stable_hash("key", seed), "key")  # cut to K rows before the shuffle
-            start = rows.filter(names[v]).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-            found = collect_bounded(start.select("category", "_r", "vec"), max_centers, "k-means start rows")
-            by_cat: dict = {}
-            for r in sorted(found, key=lambda r: (r["category"], r["_r"])):
-                by_cat.setdefault(r["category"], []).append(r["vec"])
-            centers[names[v]] = {c: np.array(x, float) for c, x in by_cat.items()}
-        for _ in range(iterations):
-            moved = 0.0
-            for v, by_cat in _lloyd_sums(rows, centers).items():
-                for cat, s in by_cat.items():
-                    c, full = centers[v][cat], s[:, 0] > 0
-                    new = c.copy()
-                    new[full] = s[full, 2:] / s[full, :1]
-                    moved = max(moved, float(np.abs(new - c).max(initial=0.0)))
-                    centers[v][cat] = new
-            if moved <= SETTLED:
-                break
-        final = _lloyd_sums(rows, centers)
+        centers = {v: hash_starts(rows, names[v], k, seed, max_centers) for v, (k, _) in variants.items()}
+        final = settle(rows, centers, names, iterations)
     finally:
         rows.unpersist()
     out = {}
     for v in variants:
-        table = [
-            (cat, j, (row[2:] / row[0]).tolist()) for cat, s in final[names[v]].items() for j, row in enumerate(s) if row[0] > 0
-        ]
+        table = []
+        for cat, s in final[v].items():
+            table += [(cat, j, (row[2:] / row[0]).tolist()) for j, row in enumerate(s) if row[0] > 0]
         out[v] = spark.createDataFrame(table, CENTROID_SCHEMA)
     return out
 
@@ -171,5 +206,5 @@ def kmeans_objective(points: DataFrame, centroids: DataFrame, category_col: str
     for r in sorted(collect_bounded(centroids, MODEL_MAX_ROWS), key=lambda r: (r["category"], r["cluster"])):
         centers.setdefault(r["category"], []).append(r["centroid"])
     pts = points.select(F.col(category_col).alias("category"), as_double(vec_col).alias("vec"), F.lit(True).alias("all"))
-    sums = _lloyd_sums(pts, {"all": {c: np.array(x, float) for c, x in centers.items()}})
+    sums = lloyd_sums(pts, {"all": {c: np.array(x, float) for c, x in centers.items()}})
     return float(sum(s[:, 1].sum() for s in sums["all"].values()))

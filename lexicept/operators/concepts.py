@@ -18,6 +18,7 @@ from .embed import encode_distinct, encode_texts
 from .lexicon import lexicon_counts_wide
 from .refcorpus import reference_centroids
 from .represent import concept_matrix, ordered_categories
+from .restarts import kmeans_restarts
 
 
 def encode(texts: DataFrame, encoder_factory: Callable, id_col: str = "doc_id", text_col: str = "text",
@@ -27,20 +28,25 @@ def encode(texts: DataFrame, encoder_factory: Callable, id_col: str = "doc_id",
 
 
 def category_centroids(corpus: DataFrame, lexicon: DataFrame, k: int = 1, id_col: str = "doc_id", text_col: str = "text",
-                       vec_col: str = "embedding", seed: int = 230706) -> DataFrame:
-    """Centroids of the reference corpus: the weighted mean per category, or K cluster means of its hit texts."""
+                       vec_col: str = "embedding", seed: int = 230706, starts: int = 1) -> DataFrame:
+    """Centroids of the reference corpus: the weighted mean per category, or K cluster means of its hit texts.
+
+    With several ``starts`` every category keeps the best of them (``kmeans_restarts``).
+    """
     if k == 1:
         return reference_centroids(corpus, lexicon, id_col, text_col, vec_col)
     cats = ordered_categories(read_lexicon(lexicon).select("category", "ord"))
     counts = lexicon_counts_wide(corpus.select(id_col, text_col), lexicon, cats, id_col, text_col, fill_missing=False)
     long = counts.unpivot([id_col], cats, "category", "weight").filter("weight > 0")
     points = long.join(corpus.select(id_col, vec_col).na.drop(), id_col)
+    if starts > 1:
+        return kmeans_restarts(points, {"all": (k, None)}, starts, seed, key_col=id_col, vec_col=vec_col)["all"].select("category", "cluster", "centroid")
     return kmeans_centroids(points, k, seed, key_col=id_col, vec_col=vec_col)
 
 
 def embed(texts: DataFrame, lexicon: DataFrame, encoder_factory: Callable, reference: DataFrame | None = None,
           centroids: DataFrame | None = None, k: int = 1, metric: str = "cosine", id_col: str = "doc_id", text_col: str = "text",
-          encoder_id: str | None = None) -> DataFrame:
+          encoder_id: str | None = None, starts: int = 1) -> DataFrame:
     """Wide concept representation of ``texts``.
 
     ``reference`` is the corpus the centroids come from (by default the texts
@@ -50,6 +56,6 @@ def embed(texts: DataFrame, lexicon: DataFrame, encoder_factory: Callable, refer
     vectors = encode(texts.select(id_col, text_col), encoder_factory, id_col, text_col, encoder_id)
     if centroids is None:
         corpus = vectors if reference is None else encode(reference.select(id_col, text_col), encoder_factory, id_col, text_col, encoder_id)
-        centroids = category_centroids(corpus, lexicon, k, id_col, text_col)
+        centroids = category_centroids(corpus, lexicon, k, id_col, text_col, starts=starts)
     categories = read_lexicon(lexicon).select("category", F.col("ord")).distinct()
     return concept_matrix(vectors, centroids, categories, id_col, metric=metric)

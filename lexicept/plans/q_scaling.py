@@ -9,6 +9,7 @@ from ..functions.vectors import explode_vector
 from ..operators import scaling as S
 from ..operators.centroids import kmeans_centroids
 from ..operators.represent import concept_matrix, concept_similarity
+from ..operators.restarts import kmeans_restarts
 from ..sources import fixtures as fx
 from .common import POINT_CATEGORIES, long_, r6, sql_centroid_lists, sql_r6
 from .registry import query
@@ -68,6 +69,14 @@ def q_kmeans_centroids(spark, sf):
     return explode_vector(cent.select("category", long_("cluster", "cluster"), "centroid"), ["category", "cluster"], "centroid")
 
 
+@query("kmeans_restarts")
+def q_kmeans_restarts(spark, sf):
+    """Best of four starts per category, three of them seeded by distance; tested against exhaustive search."""
+    cent = kmeans_restarts(_points(spark, sf), {"all": (K, None)}, starts=4, seed=SEED, key_col="key")["all"]
+    kept = ["category", long_("cluster", "cluster"), "size", long_("start", "start"), r6("objective", "objective"), "centroid"]
+    return explode_vector(cent.select(*kept), ["category", "cluster", "size", "start", "objective"], "centroid")
+
+
 @query(
     "concept_similarity_max",
     W(fx.CENTROID_POINTS_SQL, fx.POINT_CATEGORIES_SQL, *kmeans_sql())
