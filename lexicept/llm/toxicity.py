@@ -1,24 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is a sequence of clauses (sentence ends, commas, quotes and line ends
-separate). Five transducers read the word classes of a clause and are
-composed over it:
-
-* insult: words and word stems with learned weights, plus a few fixed words;
-* threat: an act of violence after a modal or a first person;
-* target: second person or a person word, which raises an insult near it;
-* negation: takes an insult within the next words out of the plain reading;
-* reported speech: a verb of saying, or an opening quote, marks what follows
-  in the sentence as quoted.
-
-The composition walks one clause word by word with the state (negated for n
-more words, quoted, last target, armed threat) and emits weight on one of the
-output tapes plain / targeted / negated / quoted / threat. A document's tapes
+separate). Words are read as sets of classes, and five transducers pass them on
+with marks added, each reading what the one before wrote:
+
+* reported speech: marks what follows a verb of saying up to the sentence end,
+  and what stands between quotes (an opening quote without a closing one in its
+  line is none);
+* negation: marks the next words of the clause, up to a word of contrast;
+* target: second person or a person word marks the next words of the clause;
+* threat: an act of violence after a modal or a first person, with a person
+  between them or right after the act, is marked as a threat once it is complete;
+* insult: sends the weight of words and word stems (learned, plus a few fixed
+  words) to the tape of their marks: quoted, negated, targeted or, when the
+  clause ends without a target, plain.
+
+``Composition`` chains them into one machine whose transitions are worked out
+when first met. A document's tapes plain / targeted / negated / quoted / threat
 are sums over its matched clauses; a logistic model over these sums, fitted
 by Newton steps on labelled rows, gives the score.
 
 Learning is bounded: at most about ``SAMPLE_DOCS`` labelled ids chosen by a
-hash, and as many different texts of theirs, teach the lexicon weights (log
+hash of the id, and as many different texts of theirs, teach the lexicon weights (log
 odds of document counts) and the model; copies of a text teach once. Scoring reads whole texts of all rows, by text alone.
 
 Defined cases: null, empty and wordless texts are scored like a text without
@@ -51,32 +54,135 @@ PRIOR_ROWS = 2.0
 #: Lexicon entries kept, by evidence.
 LEXICON_SIZE = 50_000
 STEM_LENGTHS = (5, 6, 7, 8, 10)
-NEGATION_REACH = 3
+#: Words that a negation, a target, a threat's cue and an act of violence reach forward within their clause.
+NEGATION_REACH = 5
 TARGET_REACH = 4
+CUE_REACH = 3
+OBJECT_REACH = 2
+#: Weight of a complete threat and of a fixed insult.
+FIXED_WEIGHT = 4.0
 
 # Word classes of the grammar (English, French, German, Spanish).
 INSULTS = {"idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown",
            "imbecile", "crétin", "salaud", "dummkopf", "abschaum", "imbécil", "estúpido", "basura"}
 ACTS = {"kill", "hurt", "beat", "shoot", "destroy", "stab", "tuer", "töten", "matar"}
 THREAT_CUES = {"will", "gonna", "shall", "ll", "must", "i", "we", "vais", "werde", "voy"}
-TARGETS = {"you", "your", "yours", "u", "ur", "he", "she", "they", "them", "people", "tu", "toi", "vous", "du", "dich",
-           "ihr", "sie", "tú", "usted", "ustedes"}
-NEGATIONS = {"not", "never", "no", "isn", "aren", "don", "without", "pas", "jamais", "nicht", "kein", "keine", "nunca"}
+TARGETS = {"you", "your", "yours", "u", "ur", "he", "him", "she", "her", "they", "them", "people", "tu", "te", "toi", "vous",
+           "du", "dich", "ihr", "sie", "tú", "usted", "ustedes"}
+NEGATIONS = {"not", "never", "no", "nor", "neither", "cannot", "isn", "aren", "don", "without", "pas", "jamais", "nicht", "kein",
+             "keine", "nunca"}
+CONTRASTS = {"but", "mais", "aber", "sondern", "pero", "sino"}
 SAYINGS = {"said", "says", "wrote", "called", "quoted", "claimed", "dit", "sagte", "dijo"}
+OBJECTS = {"it", "everyone", "everybody", "anyone"}
+FILLERS = {"all", "of", "the", "every", "each", "those", "these"}
 
 TAPES = ("plain", "targeted", "negated", "quoted", "threat")
-_TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]|[.!?;\n]+|,")
+QUOTES = '"“”„«»'
+# a word keeps a final n't
+_TOKEN = re.compile(r"[^\W\d_]+(?:(?<=n)['’]t(?![^\W\d_]))?|[\"“”„«»]|[.!?;]+|,")
 RESULT = "struct<score:double,predicted:int,plain:double,targeted:double,negated:double,quoted:double,threat:double,clauses:int>"
 
 
+# Word classes (bits of a symbol) and the marks that transducers add. A symbol with BREAK is no word: it ends a clause.
+INSULT, ACT, CUE, TARGET, OBJECT, NEGATION, CONTRAST, SAYING, FILLER, BREAK, QUOTE, STOP, LINE = (1 << i for i in range(13))
+QUOTED, NEGATED, TARGETED, THREAT, THREAT_QUOTED, THREAT_NEGATED = (1 << i for i in range(13, 19))
+
+
+def reported_speech(state: str, symbol: int) -> tuple[str, int]:
+    """States: plain, said (up to the sentence end), quote (up to the closing quote)."""
+    if symbol & LINE:
+        return "plain", symbol
+    if symbol & QUOTE:
+        return ("plain" if state == "quote" else "quote"), symbol
+    if symbol & STOP and state == "said":
+        return "plain", symbol
+    if symbol & BREAK:
+        return state, symbol
+    marked = symbol if state == "plain" else symbol | QUOTED
+    return ("said" if state == "plain" and symbol & SAYING else state), marked
+
+
+def negation(left: int, symbol: int) -> tuple[int, int]:
+    """State: words that the last negation still reaches."""
+    if symbol & (BREAK | CONTRAST):
+        return 0, symbol
+    marked = symbol | NEGATED if left else symbol
+    return (NEGATION_REACH if symbol & NEGATION else max(0, left - 1)), marked
+
+
+def target(left: int, symbol: int) -> tuple[int, int]:
+    """State: words that the last target still reaches."""
+    if symbol & BREAK:
+        return 0, symbol
+    marked = symbol | TARGETED if left else symbol
+    return (TARGET_REACH if symbol & TARGET else max(0, left - 1)), marked
+
+
+def threat(state: tuple[int, bool, int, int], symbol: int) -> tuple[tuple[int, bool, int, int], int]:
+    """State: words the cue still reaches, a person since the cue, words in which an act awaits its object, the act's mark."""
+    if symbol & BREAK:
+        return (0, False, 0, 0), symbol
+    cue, person, waits, mark = state
+    if waits and symbol & (TARGET | OBJECT):
+        symbol, waits = symbol | mark, 0
+    elif waits and not symbol & FILLER:
+        waits -= 1
+    if symbol & ACT and cue:
+        mark = THREAT_QUOTED if symbol & QUOTED else THREAT_NEGATED if symbol & NEGATED else THREAT
+        if person:
+            symbol, waits = symbol | mark, 0
+        else:
+            waits = OBJECT_REACH
+    person = cue > 0 and (person or bool(symbol & TARGET))
+    cue = max(0, cue - 1)
+    if symbol & CUE:
+        cue, person = CUE_REACH, False
+    return (cue, person and cue > 0, waits, mark if waits else 0), symbol
+
+
+#: Registers of the insult transducer: the tapes, and the weights of the clause that wait for a target.
+WAITING = len(TAPES)
+
+
+def insult(state: int, symbol: int) -> tuple[int, tuple[int, int, int]]:
+    """(register for the word's weight, tape for the waiting weights, tape for a threat); -1 is none. One state."""
+    if symbol & BREAK:
+        return state, (-1, 0, -1)
+    word = -1
+    if symbol & INSULT:
+        word = 3 if symbol & QUOTED else 2 if symbol & NEGATED else 1 if symbol & TARGETED else WAITING
+    done = 4 if symbol & THREAT else 3 if symbol & THREAT_QUOTED else 2 if symbol & THREAT_NEGATED else -1
+    return state, (word, 1 if symbol & TARGET else -1, done)
+
+
+class Composition:
+    """The transducers in a chain as one machine; a transition is worked out once and kept (reaches bound their number)."""
+
+    CHAIN = (reported_speech, negation, target, threat, insult)
+    START = ("plain", 0, 0, (0, False, 0, 0), 0)
+
+    def __init__(self):
+        self.arcs: dict = {}
+
+    def arc(self, state: tuple, symbol: int) -> tuple:
+        found = self.arcs.get((state, symbol))
+        if found is None:
+            out, states = symbol, []
+            for t, s in zip(self.CHAIN, state, strict=True):
+                s, out = t(s, out)
+                states.append(s)
+            found = self.arcs[state, symbol] = (tuple(states), *out)
+        return found
+
+
 class Grammar:
-    """Weighted lexicon (whole words and stems) composed with the fixed word classes."""
+    """Weighted lexicon (whole words and stems) read by the composed transducers."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words = {**{w: 4.0 for w in INSULTS}, **words}
+        self.words = {**{w: FIXED_WEIGHT for w in INSULTS}, **words}
         self.stems = stems
-        self.cache: dict[str, float] = {}
-        self.watched = TARGETS | NEGATIONS | SAYINGS | THREAT_CUES | ACTS
+        self.cache: dict[str, tuple[int, float]] = {}
+        self.machine = Composition()
 
     def weight(self, word: str) -> float:
         w = self.words.get(word)
@@ -89,72 +195,62 @@ class Grammar:
             best = max(best, self.stems.get(word[:n], 0.0))
         return best
 
+    def symbol(self, token: str) -> tuple[int, float]:
+        """Classes and insult weight of a token."""
+        if token[0] in ".!?;,":
+            return (BREAK if token == "," else BREAK | STOP), 0.0
+        if token in QUOTES:
+            return BREAK | QUOTE, 0.0
+        w = self.weight(token)
+        classes = ((INSULT, w > 0), (ACT, token in ACTS), (CUE, token in THREAT_CUES), (TARGET, token in TARGETS),
+                   (OBJECT, token in OBJECTS), (NEGATION, token in NEGATIONS or token.endswith(("n't", "n’t"))), (CONTRAST, token in CONTRASTS),
+                   (SAYING, token in SAYINGS), (FILLER, token in FILLERS))
+        return sum(bit for bit, holds in classes if holds), w
+
+    def tokens(self, text: str) -> Iterator[list[str]]:
+        """Tokens of each line; the last of an odd number of quotes in a line is left out."""
+        for line in text.lower().split("\n"):
+            found = _TOKEN.findall(line)
+            quotes = [i for i, t in enumerate(found) if t in QUOTES]
+            if len(quotes) % 2:
+                del found[quotes[-1]]
+            yield found
+
     def tapes(self, text: str) -> tuple[list[float], int, int]:
         """Summed output tapes, matched clauses and words of a text."""
-        out = [0.0] * 5
+        out = [0.0] * (WAITING + 1)
         matched = words = 0
-        quoted = False
-        negated = target = armed = 0
-        pending: list[float] = []
-        hit = False
-
-        def close() -> None:
-            nonlocal matched, hit, negated, target, armed
-            out[0] += sum(pending)
-            pending.clear()
-            matched += hit
-            hit = False
-            negated = target = armed = 0
-
+        lines = list(self.tokens(text))
         cache = self.cache
-        tokens = _TOKEN.findall(text.lower())
-        kinds = set(tokens)
-        for tok in kinds:
+        if len(cache) > 500_000:
+            cache.clear()
+        for tok in {t for line in lines for t in line}:
             if tok not in cache:
-                if len(cache) > 500_000:
-                    cache.clear()
-                cache[tok] = self.weight(tok)
-        if not any(cache.get(t) or t in ACTS for t in kinds):  # no path to an accepting state: nothing can be emitted
-            return out, 0, sum(t[0].isalpha() for t in tokens)
-        for tok in tokens:
-            c = tok[0]
-            if not c.isalpha():
-                close()
-                if c in ".!?;\n":
-                    quoted = False
-                elif c != ",":
-                    quoted = not quoted
+                cache[tok] = self.symbol(tok)
+        arc, arcs = self.machine.arc, self.machine.arcs
+        state, hit = Composition.START, False
+        for line in lines:
+            read = [cache[t] for t in line]
+            words += sum(not s & BREAK for s, _ in read)
+            if not any(s & (INSULT | ACT) for s, _ in read):  # no path to an accepting state; the line end resets all states
                 continue
-            words += 1
-            w = cache.get(tok) or self.weight(tok)
-            if w:
-                hit = True
-                if quoted:
-                    out[3] += w
-                elif negated:
-                    out[2] += w
-                elif target:
-                    out[1] += w
-                else:
-                    pending.append(w)
-            negated, target, armed = max(0, negated - 1), max(0, target - 1), max(0, armed - 1)
-            if tok in self.watched:
-                if tok in TARGETS:
-                    target = TARGET_REACH
-                    if pending:  # "idiot you": the target transducer also looks back inside the clause
-                        out[1] += sum(pending)
-                        pending.clear()
-                if tok in NEGATIONS:
-                    negated = NEGATION_REACH
-                if tok in SAYINGS:
-                    quoted = True
-                if tok in ACTS and armed:
+            for symbol, weight in (*read, (BREAK | LINE, 0.0)):
+                if not symbol and state == Composition.START:
+                    continue
+                state, word, flush, done = arcs.get((state, symbol)) or arc(state, symbol)
+                if word >= 0:
+                    out[word] += weight
+                    hit = True
+                if flush >= 0 and out[WAITING]:
+                    out[flush] += out[WAITING]
+                    out[WAITING] = 0.0
+                if done >= 0:
+                    out[done] += FIXED_WEIGHT
                     hit = True
-                    out[4 if not quoted else 3] += 4.0
-                if tok in THREAT_CUES:
-                    armed = NEGATION_REACH
-        close()
-        return out, matched, words
+                if symbol & BREAK:
+                    matched += hit
+                    hit = False
+        return out[:WAITING], matched, words
 
 
 def features(tapes: list[float], words: int) -> list[float]:
