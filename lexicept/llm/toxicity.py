@@ -182,6 +182,7 @@ class Grammar:
         self.words = {**{w: FIXED_WEIGHT for w in INSULTS}, **words}
         self.stems = stems
         self.cache: dict[str, tuple[int, float]] = {}
+        self.classed = ACTS | THREAT_CUES | TARGETS | OBJECTS | NEGATIONS | CONTRASTS | SAYINGS | FILLERS
         self.machine = Composition()
 
     def weight(self, word: str) -> float:
@@ -202,6 +203,8 @@ class Grammar:
         if token in QUOTES:
             return BREAK | QUOTE, 0.0
         w = self.weight(token)
+        if token not in self.classed and not token.endswith("t"):  # most words
+            return (INSULT if w > 0 else 0), w
         classes = ((INSULT, w > 0), (ACT, token in ACTS), (CUE, token in THREAT_CUES), (TARGET, token in TARGETS),
                    (OBJECT, token in OBJECTS), (NEGATION, token in NEGATIONS or token.endswith(("n't", "n’t"))), (CONTRAST, token in CONTRASTS),
                    (SAYING, token in SAYINGS), (FILLER, token in FILLERS))
@@ -211,9 +214,10 @@ class Grammar:
         """Tokens of each line; the last of an odd number of quotes in a line is left out."""
         for line in text.lower().split("\n"):
             found = _TOKEN.findall(line)
-            quotes = [i for i, t in enumerate(found) if t in QUOTES]
-            if len(quotes) % 2:
-                del found[quotes[-1]]
+            if any(q in line for q in QUOTES):
+                quotes = [i for i, t in enumerate(found) if t in QUOTES]
+                if len(quotes) % 2:
+                    del found[quotes[-1]]
             yield found
 
     def tapes(self, text: str) -> tuple[list[float], int, int]:
@@ -224,16 +228,19 @@ class Grammar:
         cache = self.cache
         if len(cache) > 500_000:
             cache.clear()
-        for tok in {t for line in lines for t in line}:
+        kinds = set().union(*lines)
+        for tok in kinds:
             if tok not in cache:
                 cache[tok] = self.symbol(tok)
+        marks = {t for t in kinds if cache[t][0] & BREAK}
+        live = {t for t in kinds if cache[t][0] & (INSULT | ACT)}
         arc, arcs = self.machine.arc, self.machine.arcs
         state, hit = Composition.START, False
         for line in lines:
-            read = [cache[t] for t in line]
-            words += sum(not s & BREAK for s, _ in read)
-            if not any(s & (INSULT | ACT) for s, _ in read):  # no path to an accepting state; the line end resets all states
+            words += len(line) - sum(map(marks.__contains__, line))
+            if live.isdisjoint(line):  # no path to an accepting state; the line end resets all states
                 continue
+            read = [cache[t] for t in line]
             for symbol, weight in (*read, (BREAK | LINE, 0.0)):
                 if not symbol and state == Composition.START:
                     continue
