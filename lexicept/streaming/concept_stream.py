@@ -23,11 +23,12 @@ from ..sources.readers import CORPUS_SCHEMA
 
 def stream_table(spark: SparkSession, directory: str, name: str, schema: str = CORPUS_SCHEMA,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream the parquet files called ``name``.parquet (or a directory of them) under ``directory``."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """Stream the parquet file called ``name``.parquet, or the part files of the directory of that name, under ``directory``."""
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(directory)
+    # a pattern, because a plain path of a streaming source must be a directory
+    return reader.parquet(f"{directory.rstrip('/')}/{name}{{.parquet}}")
 
 
 def stream_concept_matrix(texts: DataFrame, vectors: DataFrame, centroids: DataFrame, categories: DataFrame,
