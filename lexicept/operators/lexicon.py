@@ -15,23 +15,28 @@ rows) is needed. Prefix patterns are matched by generating, per token, the
 candidate prefixes of the few prefix lengths the lexicon uses, and probing
 the broadcast hash table with them.
 
-Counting runs one aggregation keyed by the text id with one conditional
-count per category: every text's hits are folded map-side into one row
-before the only shuffle.
+Counting stays in the text's row: an Arrow UDF probes the distinct tokens of
+a batch and adds up their hits per text and category, so no token or hit
+becomes a row; one aggregate folds repeated ids in the only shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded, lookup_join, maybe_broadcast
 from ..functions.vectors import l2_normalize, vector_sum
 from ..sources.readers import read_lexicon
-from .text import TOKEN_PATTERN, tokenize
+from .text import TEXTS_AT_A_TIME, TOKEN_PATTERN, token_array, tokenize
 
 
 CONDITIONAL_COUNT_MAX_CATEGORIES = 64
@@ -128,6 +133,50 @@ def category_words(word_cats: DataFrame, word_vectors: DataFrame, token_col: str
     return lookup_join(word_cats, vocab, "word", ["word", "category"], "left_semi").select("category", "word")
 
 
+def _count_matches(table: list, lens: list[int], categories: list[str]):
+    """UDF: a text's tokens -> hits per category, and as last element the hits of all categories together.
+
+    A batch's tokens are encoded by their distinct values once; the values are probed like rows (whole, and by their prefixes of
+    the lengths in use) and the hits counted by text in one pass.
+    """
+    place = {c: i for i, c in enumerate(categories)}
+    width = len(categories) + 1
+    probes = []  # (prefix length or None, stems, first place in ``which`` per stem, places)
+    for n in [None, *lens]:
+        found: dict[str, list[int]] = {}
+        for r in table:
+            if (len(r["stem"]) if r["is_prefix"] else None) == n:
+                found.setdefault(r["stem"], []).extend([place[r["category"]], width - 1] if r["category"] in place else [width - 1])
+        if found:
+            counts = [len(v) for v in found.values()]
+            probes.append((n, list(found), np.array([0, *np.cumsum(counts)]), np.concatenate([*found.values()]).astype(np.int64)))
+
+    def count(tokens: pa.Array) -> np.ndarray:
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = tokens.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        text = np.repeat(np.arange(len(tokens)), sizes) * width
+        out = np.zeros(len(tokens) * width, np.int64)
+        for n, stems, first, which in probes:
+            keys = words if n is None else pc.utf8_slice_codeunits(words, 0, n)
+            stem = pc.fill_null(pc.index_in(keys, value_set=pa.array(stems, words.type)), -1).to_numpy(zero_copy_only=False)[codes]
+            hit = np.flatnonzero(stem >= 0)
+            stem, many = stem[hit], first[stem[hit] + 1] - first[stem[hit]]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            out += np.bincount(np.repeat(text[hit], many) + which[np.repeat(first[stem], many) + step], minlength=len(out))
+        return out
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            for at in range(0, len(whole), TEXTS_AT_A_TIME):
+                tokens = whole.slice(at, TEXTS_AT_A_TIME)
+                ends = pa.array(np.arange(len(tokens) + 1) * width, pa.int32())
+                yield pa.ListArray.from_arrays(ends, pa.array(count(tokens), pa.int64()))
+
+    return counts
+
+
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  pattern: str = TOKEN_PATTERN, contractions=None, max_chars: int | None = None) -> DataFrame:
     """(id, pos, token, category) for every lexicon hit in every text."""
@@ -145,17 +194,13 @@ def lexicon_counts_wide(docs: DataFrame, lexicon: DataFrame, categories: list[st
     """
     keep = keep or []
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    hits = lexicon_hits(docs.select(*ids, text_col), lexicon, ids, text_col, pattern, contractions, max_chars)
-    rows = hits.select(*ids, "category")
-    if fill_missing:
-        rows = rows.unionByName(docs.select(*ids, F.lit(None).cast("string").alias("category")))
-    if len(categories) <= CONDITIONAL_COUNT_MAX_CATEGORIES:
-        # one aggregate keyed by the text, one conditional count per category: a single shuffle
-        wide = rows.groupBy(*ids).agg(*[F.count_if(F.col("category") == F.lit(c)).alias(c) for c in categories])
-    else:
-        # wide lexicons: a fixed-list pivot keeps one array buffer per text instead of C fields
-        # (C fields beyond spark.sql.codegen.maxFields would switch whole-stage codegen off)
-        wide = rows.groupBy(*ids).pivot("category", categories).count().fillna(0, subset=categories)
+    table, lens = compile_lexicon(lexicon)
+    counts = _count_matches(table.collect(), lens, categories)  # local rows, bounded by the compile
+    # every text is counted in its row: one narrow row per text meets the aggregate, which folds repeated ids
+    rows = docs.select(*ids, counts(token_array(text_col, pattern, max_chars, contractions)).alias("_n"))
+    if not fill_missing:
+        rows = rows.filter(F.col("_n")[len(categories)] > 0)
+    wide = rows.groupBy(*ids).agg(*[F.sum(F.col("_n")[i]).alias(c) for i, c in enumerate(categories)])
     if binary:
         wide = wide.select(*ids, *[(F.col(c) > 0).cast("long").alias(c) for c in categories])
     if keep:  # ids may be null or repeated: every input row gets its own counts

@@ -6,7 +6,12 @@ All of it is native string/regex/array expressions evaluated row by row
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +21,9 @@ from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded
 # Fixed value: word-token pattern (letters in any script).
 TOKEN_PATTERN = r"\p{L}+"
 
+#: Texts that a Python worker turns into tokens, vectors or hits before it hands them on: bounds its memory, whatever the batch.
+TEXTS_AT_A_TIME = 256
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -35,8 +43,8 @@ def expand_contractions_expr(text, rules: list[tuple[str, str]]) -> Column:
 
     Rules are literal text. Each contraction first becomes a marker (its rule
     number between two private-use characters) and all markers are expanded
-    at the end, so no rule sees another rule's expansion. One combined
-    ``rlike`` test gates the work: a text without contractions is scanned once.
+    at the end, so no rule sees another rule's expansion. Plain searches and
+    one combined ``rlike`` test gate the work.
     """
     t = _c(text)
     if not rules:
@@ -47,7 +55,9 @@ def expand_contractions_expr(text, rules: list[tuple[str, str]]) -> Column:
         out = F.regexp_replace(out, F.lit(p), F.lit(f"\ue000{i}\ue001"))
     for i, (_, dst) in enumerate(rules):
         out = F.replace(out, F.lit(f"\ue000{i}\ue001"), F.lit(dst))
-    return F.when(t.rlike("|".join(literal)), out).otherwise(t)
+    # a plain search first: most texts hold no contraction, and the combined pattern is slow to find none
+    held = reduce(lambda a, b: a | b, [t.contains(src) for src, _ in rules])
+    return F.when(held, F.when(t.rlike("|".join(literal)), out).otherwise(t)).otherwise(t)
 
 
 def prepared_text(text, max_chars: int | None = None, contractions=None) -> Column:
@@ -123,7 +133,7 @@ def subword_tokens(df: DataFrame, id_col: str, text_col: str, pieces: DataFrame,
     """Greedy longest-match subword split over a user piece list (continuations carry '##').
 
     Words come from the native tokenizer; only the per-word greedy split runs in
-    an Arrow-batched pandas UDF against a size-checked broadcast piece set.
+    an Arrow UDF, some texts at a time, against a size-checked broadcast piece set.
     """
     spark = df.sparkSession
     vocab = frozenset(r[0] for r in collect_bounded(pieces.select(piece_col), 1_000_000, "piece list"))
@@ -146,20 +156,25 @@ def subword_tokens(df: DataFrame, id_col: str, text_col: str, pieces: DataFrame,
             start = end
         return parts
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split_words(words: pd.Series) -> pd.Series:
+    def split(words: pa.Array, v: frozenset) -> pa.Array:
+        # one split per distinct word of the texts at hand; the pieces are dealt out by position, not as Python strings
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        found = [split_one(w, v) for w in coded.dictionary.to_pylist()]
+        counts = np.array([len(p) for p in found], np.int64)
+        first, many = (np.cumsum(counts) - counts)[codes], counts[codes]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        at = np.repeat(first - ends[:-1], many) + np.arange(ends[-1])
+        pieces = pa.array([p for parts in found for p in parts], pa.string()).take(pa.array(at, pa.int64()))
+        return pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], np.cumsum(sizes)])], pa.int32()), pieces)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def split_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = bc.value
-        memo: dict = {}  # one split per distinct word of the batch: work follows the vocabulary
-        out = []
-        for word_list in words:
-            res = []
-            for w in (word_list if word_list is not None else []):
-                parts = memo.get(w)
-                if parts is None:
-                    parts = memo[w] = split_one(w, v)
-                res.extend(parts)
-            out.append(res)
-        return pd.Series(out)
+        for whole in batches:
+            for at in range(0, len(whole), TEXTS_AT_A_TIME):
+                yield split(whole.slice(at, TEXTS_AT_A_TIME), v)
 
     arr = split_words(token_array(text_col, pattern, max_chars))
     return df.select(id_col, F.posexplode(arr).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
