@@ -22,14 +22,16 @@ an empty lexicon matches nothing; patterns without a token (null, empty, white s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sizing import MODEL_MAX_ROWS, collect_bounded
+from .text import TEXTS_AT_A_TIME
 
 # White space between tokens, letters, and the token rules in order of precedence.
 SPACES = r"\x09-\x0D\x20\xA0\u3000"
@@ -59,10 +61,31 @@ def spans_of(text: str | None) -> list[tuple[int, int, str]]:
     return [(*m.span(), m.group()) for m in _TOKEN.finditer(text or "")]
 
 
-@F.pandas_udf(SPANS)
-def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield batch.map(lambda t: [{"start_char": s, "end_char": e, "token": w} for s, e, w in spans_of(t)])
+def _texts(batches: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    """Some texts at a time, so that a task holds the tokens of a few texts, whatever the batch."""
+    for whole in batches:
+        for at in range(0, len(whole), TEXTS_AT_A_TIME):
+            yield whole.slice(at, TEXTS_AT_A_TIME).to_pylist()
+
+
+def _lists(sizes: list[int], columns: list[list], kind: T.ArrayType) -> pa.Array:
+    """One list of structs per text from flat columns and the lists' lengths."""
+    fields = [pa.field(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in kind.elementType.fields]
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), rows)
+
+
+@F.arrow_udf(SPANS)
+def _spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in _texts(batches):
+        sizes, starts, ends, words = [], [], [], []
+        for t in texts:
+            at = [m.span() for m in _TOKEN.finditer(t or "")]
+            sizes.append(len(at))
+            starts += [s for s, _ in at]
+            ends += [e for _, e in at]
+            words += [t[s:e] for s, e in at]
+        yield _lists(sizes, [starts, ends, words], SPANS)
 
 
 def token_spans(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
@@ -71,6 +94,10 @@ def token_spans(df: DataFrame, id_col: str, text_col: str, keep: list[str] | Non
     return rows.select(id_col, *(keep or []), F.col("pos").cast("long").alias("pos"), "_s.start_char", "_s.end_char", "_s.token")
 
 
+#: Words whose first step in the trie a task keeps.
+OPENS_KEPT = 200_000
+
+
 class Trie:
     """Token patterns as a trie; ``ends[node]`` holds the categories of the patterns that end there."""
 
@@ -78,6 +105,7 @@ class Trie:
         self.words: list[dict[str, int]] = [{}]
         self.stems: list[dict[int, dict[str, int]]] = [{}]
         self.ends: list[set[str]] = [set()]
+        self._opens: dict[str, bool] = {}
         for pattern, category in rows:
             node = 0
             for token, is_stem in self.pattern_tokens(pattern):
@@ -133,10 +161,21 @@ class Trie:
             self._depth = max(deep)
         return self._depth
 
+    def opens(self, word: str) -> bool:
+        """Whether a pattern can begin with the word; the answers of the first words are kept."""
+        known = word in self.words[0] or any(len(word) >= size and word[:size] in kids for size, kids in self.stems[0].items())
+        if len(self._opens) < OPENS_KEPT:
+            self._opens[word] = known
+        return known
+
     def walk(self, words: list[str], longest: bool) -> Iterator[tuple[int, int, set[str]]]:
         """(pos, length, categories) over a whole text."""
-        i = 0
+        i, known = 0, self._opens
         while i < len(words):
+            w = words[i]
+            if not (known[w] if w in known else self.opens(w)):
+                i += 1
+                continue
             here = list(self.at(words, i))
             if longest and here:
                 yield (i, *here[-1])
@@ -147,9 +186,10 @@ class Trie:
             i += 1
 
 
-def _lowered(text: str | None) -> tuple[list[tuple[int, int, str]], list[str]]:
-    spans = spans_of(text)
-    return spans, [w.lower() for _, _, w in spans]
+def _lowered(text: str | None) -> tuple[list[tuple[int, int]], list[str]]:
+    """Spans of the tokens and the tokens in lower case."""
+    spans = [m.span() for m in _TOKEN.finditer(text or "")]
+    return spans, [text[s:e].lower() for s, e in spans]
 
 
 def phrase_trie(lexicon: DataFrame) -> Trie:
@@ -170,19 +210,17 @@ def phrase_hits(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_
     longest = _check_mode(mode)
     sent = df.sparkSession.sparkContext.broadcast(phrase_trie(lexicon))
 
-    @F.pandas_udf(HITS)
-    def hits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(HITS)
+    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie = sent.value
-
-        def of(text):
-            spans, words = _lowered(text)
-            return [
-                {"pos": i, "n_tokens": n, "start_char": spans[i][0], "end_char": spans[i + n - 1][1], "category": c}
-                for i, n, found in trie.walk(words, longest) for c in sorted(found)
-            ]
-
-        for batch in texts:
-            yield batch.map(of)
+        for texts in _texts(batches):
+            sizes, rows = [], []
+            for text in texts:
+                spans, words = _lowered(text)
+                before = len(rows)
+                rows += [(i, n, spans[i][0], spans[i + n - 1][1], c) for i, n, found in trie.walk(words, longest) for c in sorted(found)]
+                sizes.append(len(rows) - before)
+            yield _lists(sizes, list(zip(*rows, strict=True)) or [[]] * 5, HITS)
 
     rows = df.select(id_col, *(keep or []), F.explode(hits(F.col(text_col))).alias("_h"))
     return rows.select(id_col, *(keep or []), "_h.pos", "_h.n_tokens", "_h.start_char", "_h.end_char", "_h.category")
@@ -194,20 +232,20 @@ def phrase_counts(df: DataFrame, lexicon: DataFrame, categories: list[str], id_c
     longest = _check_mode(mode)
     sent = df.sparkSession.sparkContext.broadcast((phrase_trie(lexicon), {c: i for i, c in enumerate(categories)}))
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def counts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie, place = sent.value
 
         def of(text):
             n = [0] * len(place)
-            for _, _, found in trie.walk(_lowered(text)[1], longest):
+            for _, _, found in trie.walk([w.lower() for w in _TOKEN.findall(text or "")], longest):
                 for c in found:
                     if c in place:
                         n[place[c]] += 1
             return n
 
-        for batch in texts:
-            yield batch.map(of)
+        for texts in _texts(batches):
+            yield pa.array([of(t) for t in texts], pa.list_(pa.int64()))
 
     names = F.array(*[F.lit(c) for c in categories])
     rows = df.select(id_col, F.explode(F.arrays_zip(names.alias("category"), counts(F.col(text_col)).alias("n"))).alias("_z"))
