@@ -29,7 +29,8 @@ def _width(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
             return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _width(x, kind.elementType)), F.lit(0)) + F.lit(16)
-        return F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0)) * F.lit(8) + F.lit(16)
+        wide = 4 if isinstance(kind.elementType, (T.FloatType, T.IntegerType)) else 8
+        return F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0)) * F.lit(wide) + F.lit(16)
     if isinstance(kind, T.StructType):
         out = F.lit(8).cast("long")
         for f in kind.fields:

@@ -12,17 +12,19 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sizing import BROADCAST_MAX_BYTES, lookup_join
 from ..functions.vectors import vector_mean
-from .text import TOKEN_PATTERN, tokenize
+from .text import TEXTS_AT_A_TIME, TOKEN_PATTERN, tokenize
 
 _ENCODERS: dict = {}
 
@@ -38,28 +40,46 @@ def worker_encoder(factory: Callable, key: str):
     return _ENCODERS[key]
 
 
+def _some_at_a_time(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Slices of ``TEXTS_AT_A_TIME`` rows: what a worker holds does not follow the batch size."""
+    for whole in batches:
+        for at in range(0, len(whole), TEXTS_AT_A_TIME):
+            yield whole.slice(at, TEXTS_AT_A_TIME)
+
+
 #: Assumed bytes of one encoded text when the distinct texts are sized for a broadcast (1,024 floats and the key).
 VECTOR_BYTES = 4096 + 64
 
 
+class Md5Places(dict):
+    """Token -> first 8 hex digits of its md5, mod ``dim``; the first ``KEPT`` tokens are kept, the others worked out again."""
+
+    KEPT = 200_000
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        place = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+        if len(self) < self.KEPT:
+            self[token] = place
+        return place
+
+
 class Md5Encoder:
     """Feature hashing by md5, whose arithmetic SQL can repeat: a token adds 1 to place h mod d, h its first 8 hex digits."""
 
     def __init__(self, dim: int = 16):
         self.dim = dim
         self._word = re.compile(r"[^\W\d_]+")
-        self._place: dict[str, int] = {}
+        self._place = Md5Places(dim)
 
     def __call__(self, texts: list) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for i, t in enumerate(texts):
-            for w in self._word.findall(t.lower()) if t else ():
-                p = self._place.get(w)
-                if p is None:
-                    p = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dim
-                    if len(self._place) < 1_000_000:
-                        self._place[w] = p
-                out[i, p] += 1.0
+            words = self._word.findall(t.lower()) if t else ()
+            out[i] = np.bincount(np.fromiter(map(self._place.__getitem__, words), np.int64, len(words)), minlength=self.dim)
         return out
 
 
@@ -97,10 +117,11 @@ def encode_texts(df: DataFrame, text_col: str = "text", encoder_factory: Callabl
     key = encoder_id or uuid.uuid4().hex
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def encode(texts: pa.Array) -> pa.Array:
-        vecs = np.asarray(worker_encoder(encoder_factory, key)(texts.to_pylist()), dtype=np.float32)
-        dim = vecs.shape[1] if vecs.ndim == 2 else 0
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(vecs.ravel(), pa.float32()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in _some_at_a_time(batches):
+            vecs = np.asarray(worker_encoder(encoder_factory, key)(texts.to_pylist()), dtype=np.float32)
+            dim = vecs.shape[1] if vecs.ndim == 2 else 0
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(vecs.ravel(), pa.float32()))
 
     return df.withColumn(out_col, encode(F.col(text_col)))
 
@@ -114,8 +135,21 @@ def encode_tokens(df: DataFrame, word_vectors: DataFrame, id_col: str = "doc_id"
 
 
 def mean_pool(token_vectors: DataFrame, id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
-    """Average of a text's token vectors (partial Summarizer per text, one shuffle)."""
-    return token_vectors.groupBy(id_col).agg(vector_mean(vec_col).alias(vec_col))
+    """Average of a text's token vectors: one sum per element, folded by text map-side, one shuffle.
+
+    Plain sums stay in a hash table of one row per text; an aggregate over whole vectors falls back to sorting every token's
+    vector once a task has met more than a few texts. The width comes from the first vector; other widths raise.
+    """
+    v = F.col(vec_col)
+    some = token_vectors.filter(v.isNotNull()).select(F.size(v)).first()
+    if some is None:
+        return token_vectors.groupBy(id_col).agg(vector_mean(vec_col).alias(vec_col))
+    dim = some[0]
+    sums = [F.sum(F.get(v, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)]
+    pooled = token_vectors.groupBy(id_col).agg(*sums, F.count(v).alias("_n"), F.count_if(F.size(v) != dim).alias("_other"))
+    mean = F.array(*[F.try_divide(f"_{i}", "_n") for i in range(dim)])
+    checked = F.when(F.col("_other") > 0, F.raise_error(F.lit(f"vectors of other widths than {dim}"))).otherwise(mean)
+    return pooled.select(id_col, F.when(F.col("_n") > 0, checked).alias(vec_col))
 
 
 def encode_distinct(df: DataFrame, encode: Callable[[DataFrame], DataFrame], id_col: str = "doc_id",
@@ -163,22 +197,20 @@ class WindowTokenEncoder:
     """
 
     def __init__(self, dim: int = 16, reach: int = 2, pattern: str = r"[^\W\d_]+"):
-        import re
-
         self.dim, self.reach, self.token = dim, reach, re.compile(pattern)
+        self._place = Md5Places(dim)
 
     def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        import hashlib
-
         out = []
         for text in texts:
-            found = [(m.start(), m.end(), m.group().lower()) for m in self.token.finditer(text or "")]
-            places = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % self.dim for _, _, t in found]
-            vectors = np.zeros((len(found), self.dim), np.float32)
+            at = np.array([m.span() for m in self.token.finditer(text or "")], np.int32).reshape(-1, 2)
+            n = len(at)
+            places = np.fromiter((self._place[text[a:b].lower()] for a, b in at.tolist()), np.int64, n)
+            vectors = np.zeros((n, self.dim), np.float32)
             for step in range(-self.reach, self.reach + 1):
-                for i in range(max(0, -step), min(len(found), len(found) - step)):
-                    vectors[i, places[i + step]] += 0.5 ** abs(step)
-            out.append((np.array([f[0] for f in found], np.int32), np.array([f[1] for f in found], np.int32), vectors))
+                i = np.arange(max(0, -step), min(n, n - step))  # a row meets one neighbour a step
+                vectors[i, places[i + step]] += 0.5 ** abs(step)
+            out.append((at[:, 0], at[:, 1], vectors))
         return out
 
 
@@ -192,14 +224,15 @@ def encode_token_spans(df: DataFrame, text_col: str = "text", encoder_factory: C
     key = encoder_id or uuid.uuid4().hex
 
     @F.arrow_udf(SPAN_VECTORS)
-    def encode(texts: pa.Array) -> pa.Array:
-        found = worker_encoder(encoder_factory, key)(texts.to_pylist())
-        lists = []
-        for k, kind in ((0, pa.int32()), (1, pa.int32()), (2, pa.float32())):
-            parts = [np.asarray(f[k]).ravel() for f in found]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-            lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0)]), kind)))
-        return pa.StructArray.from_arrays(lists, fields=[pa.field(n, x.type) for n, x in zip(("starts", "ends", "vectors"), lists, strict=True)])
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in _some_at_a_time(batches):
+            found = worker_encoder(encoder_factory, key)(texts.to_pylist())
+            lists = []
+            for k, kind in ((0, np.int32), (1, np.int32), (2, np.float32)):
+                parts = [np.asarray(f[k], kind).ravel() for f in found]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, kind)]))))
+            yield pa.StructArray.from_arrays(lists, fields=[pa.field(n, x.type) for n, x in zip(("starts", "ends", "vectors"), lists, strict=True)])
 
     return df.withColumn(out_col, encode(F.col(text_col)))
 
@@ -210,11 +243,29 @@ def _width(spans: str) -> Column:
 
 def keyword_vector(df: DataFrame, keyword: str, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """Per text the first token that contains the keyword: (pos, start, end, token, embedding) columns; null where there is none."""
-    starts, ends = F.col(f"{spans_col}.starts"), F.col(f"{spans_col}.ends")
-    piece = lambda a, b: F.lower(F.substring(F.col(text_col), a + 1, b - a))
-    indexed = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s, i: F.struct(i.alias("pos"), s["a"].alias("start"), s["b"].alias("end"), piece(s["a"], s["b"]).alias("token")))
-    hit = F.try_element_at(F.filter(indexed, lambda s: s["token"].contains(keyword.lower())), F.lit(1))
-    out = df.withColumn("_hit", hit)
+    wanted = keyword.lower()
+
+    def first(text: str | None, starts: np.ndarray, ends: np.ndarray) -> dict | None:
+        if text is None or wanted not in text.lower():  # a token that holds it is part of the text
+            return None
+        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            token = text[a:b].lower()
+            if wanted in token:
+                return {"pos": i, "start": a, "end": b, "token": token}
+        return None
+
+    # slices of a Python string take no search; by ``substring`` every token would walk its text from the start
+    @F.arrow_udf("pos int, start int, end int, token string")
+    def find(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("token", pa.string())])
+        for texts, starts, ends in batches:
+            for at in range(0, len(texts), TEXTS_AT_A_TIME):
+                t, s, e = (x.slice(at, TEXTS_AT_A_TIME) for x in (texts, starts, ends))
+                bounds = [0, *accumulate(pc.fill_null(pc.list_value_length(s), 0).to_pylist())]
+                s, e = s.flatten().to_numpy(zero_copy_only=False), e.flatten().to_numpy(zero_copy_only=False)
+                yield pa.array([first(x, s[i:j], e[i:j]) for x, i, j in zip(t.to_pylist(), bounds, bounds[1:], strict=False)], kind)
+
+    out = df.withColumn("_hit", find(F.col(text_col), F.col(f"{spans_col}.starts"), F.col(f"{spans_col}.ends")))
     vector = F.slice(f"{spans_col}.vectors", F.col("_hit.pos") * _width(spans_col) + 1, _width(spans_col))
     return out.select(*df.columns, "_hit.*", F.when(F.col("_hit").isNotNull(), vector).alias("embedding")).drop(spans_col)
 
@@ -223,10 +274,11 @@ def pool_spans(spans_col: str = "spans") -> Column:
     """Mean of a text's token vectors, one reshape per text; null without tokens."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def pool(spans: pa.Array) -> pa.Array:
-        starts, vectors = spans.field("starts"), spans.field("vectors")
-        out = [np.asarray(v.values).reshape(len(s), -1).mean(axis=0, dtype=float) if len(s) else None for s, v in zip(starts, vectors, strict=True)]
-        return pa.array(out, pa.list_(pa.float64()))
+    def pool(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for spans in _some_at_a_time(batches):
+            starts, vectors = spans.field("starts"), spans.field("vectors")
+            out = [np.asarray(v.values).reshape(len(s), -1).mean(axis=0, dtype=float) if len(s) else None for s, v in zip(starts, vectors, strict=True)]
+            yield pa.array(out, pa.list_(pa.float64()))
 
     return pool(F.col(spans_col))
 
