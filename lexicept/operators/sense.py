@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sizing import lookup_join
 from ..functions.stats import paired_t_test
-from ..functions.vectors import vector_mean
+from .embed import mean_pool
 from .represent import concept_matrix
 from .scaling import apply_columns, fit_columns, row_standardize
 from .text import TOKEN_PATTERN, token_array
@@ -33,7 +33,7 @@ def keyword_context_vectors(docs: DataFrame, word_vectors: DataFrame, keyword: s
     rows = docs.select(id_col, ctx.alias("ctx")).filter(F.col("ctx").isNotNull())
     ex = rows.select(id_col, F.posexplode("ctx").alias("pos", "token"))
     wv = word_vectors.select(F.col(token_col).alias("token"), F.col(vec_col).alias("v"))
-    return lookup_join(ex, wv, "token", [id_col, "pos"]).groupBy(id_col).agg(vector_mean("v").alias(vec_col))
+    return mean_pool(lookup_join(ex, wv, "token", [id_col, "pos"]).withColumnRenamed("v", vec_col), id_col, vec_col)
 
 
 def sense_word_vectors(senses: DataFrame, word_vectors: DataFrame, token_col: str = "token",
