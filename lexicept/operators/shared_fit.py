@@ -18,7 +18,7 @@ training rows the map is exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +43,10 @@ MAX_STEPS = 200
 MAX_CELLS = 40_000_000
 #: Widths of the rounded kinks, in order. A wide first stage gives the narrow one a start.
 DELTAS = (1.0, 0.2, 0.05)
+#: Shares of a step whose losses a pass gives along with the whole step's.
+SHARES = (0.7, 0.5, 0.35, 0.25, 0.12, 0.06, 0.03, 0.01, 0.003)
+#: Rows of a fold, and doubles of all fits' rows, over which a kernel machine's descent finds its start.
+START_ROWS, START_CELLS = 1024, 2_000_000
 #: Rows handed to numpy at a time.
 BLOCK = 2048
 
@@ -162,12 +166,16 @@ def _scalings(rows: DataFrame, sets: list[str], held: list[int], scale: bool) ->
     return out
 
 
-def _add_kernel(rows: DataFrame, fits: list[Fit], landmarks: int, seed: int) -> None:
-    """Landmarks of every fit: the ``landmarks`` training rows with the smallest key hash (of every fold so many are fetched)."""
+def _add_kernel(rows: DataFrame, fits: list[Fit], landmarks: int, seed: int) -> list:
+    """Landmarks of every fit: the ``landmarks`` training rows with the smallest key hash. Returns the rows fetched, in that order.
+
+    Of every fold so many are fetched, or more, up to ``START_ROWS``, for ``_start``.
+    """
     sets = sorted({f.features for f in fits})
     order = [stable_hash("_key", seed), F.col("_key")]
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_fold").orderBy(*order))).filter(F.col("_rank") <= landmarks)
-    found = collect_bounded(ranked.select("_fold", order[0].alias("_h"), "_key", *sets), 1_000_000, "landmark candidates")
+    most = max(landmarks, min(START_ROWS, START_CELLS // sum(len(f.mean) for f in fits)))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_fold").orderBy(*order))).filter(F.col("_rank") <= most)
+    found = collect_bounded(ranked.select("_fold", "_y", order[0].alias("_h"), "_key", *sets), 1_000_000, "landmark candidates")
     found.sort(key=lambda r: (r["_h"], r["_key"]))
     for f in fits:
         z = np.array([r[f.features] for r in found if r["_fold"] != f.held][:landmarks], float)
@@ -178,6 +186,7 @@ def _add_kernel(rows: DataFrame, fits: list[Fit], landmarks: int, seed: int) ->
         value, vector = np.linalg.eigh(radial(z, z, f.gamma))
         keep = value > value.max() * 1e-10
         f.kernel_root = vector[:, keep] / np.sqrt(value[keep])
+    return found
 
 
 def _signs(y: np.ndarray, sides: list[tuple[int, int | None]]) -> np.ndarray:
@@ -185,59 +194,93 @@ def _signs(y: np.ndarray, sides: list[tuple[int, int | None]]) -> np.ndarray:
     return np.stack([np.where(y == a, 1.0, -1.0 if b is None else np.where(y == b, -1.0, 0.0)) for a, b in sides], axis=1)
 
 
-def _pass(rows: DataFrame, fits: list[Fit], trial: list[np.ndarray], open_: list[int], loss: Loss, delta: float) -> dict[int, np.ndarray]:
-    """Per open fit, problems x (loss, gradient, upper Hessian) at the trial weights: one job."""
+def _add_sums(at: np.ndarray, phi: np.ndarray, target: np.ndarray, sides: list[tuple[int, int | None]], points: np.ndarray, loss: Loss, delta: float) -> None:
+    """Add the rows' sums to ``at``: per problem the losses between its points, then loss, gradient and upper Hessian at the second.
+
+    ``points`` is problems x 2 x features: the best weights and the trial weights.
+    """
+    d = phi.shape[1]
+    signs = _signs(target, sides) if sides else target[:, None]
+    part = signs != 0 if sides else np.ones(signs.shape, bool)
+    own = signs[part]  # a row meets only the problems it takes part in
+    base, end = (phi @ points[:, i].T for i in (0, 1))
+    base, end = base[part], end[part]
+    whole = np.zeros(signs.shape)
+    for i, share in enumerate(SHARES):
+        whole[part] = loss.at(base + share * (end - base), own, delta)[0]
+        at[:, i] += whole.sum(axis=0)
+    value, first, second = (np.zeros(signs.shape) for _ in range(3))
+    value[part], first[part], second[part] = loss.at(end, own, delta)
+    at[:, len(SHARES)] += value.sum(axis=0)
+    at[:, len(SHARES) + 1 : len(SHARES) + 1 + d] += first.T @ phi
+    upper = np.triu_indices(d)
+    for j in range(len(points)):
+        weighted = second[:, j] > 0
+        p = phi[weighted]
+        at[j, len(SHARES) + 1 + d :] += ((p.T * second[weighted, j]) @ p)[upper]
+
+
+def _pass(rows: DataFrame, fits: list[Fit], points: dict[int, np.ndarray], open_: dict[int, list[int]], loss: Loss, delta: float) -> dict[int, np.ndarray]:
+    """The sums of the open problems of every fit (see ``_add_sums``): one job."""
     sets = sorted({fits[k].features for k in open_})
-    shared = rows.sparkSession.sparkContext.broadcast((fits, trial))
+    slim = {k: replace(fits[k], weights=None) for k in open_}
+    shared = rows.sparkSession.sparkContext.broadcast((slim, points))
 
     def run(batches):
-        fits, trial = shared.value
+        fits, points = shared.value
         sums: dict[int, np.ndarray] = {}
         for x, y, fold in _blocks(batches, sets):
-            for k in open_:
-                f, w = fits[k], trial[k]
+            for k, f in fits.items():
                 use = fold != f.held
                 if not use.any():
                     continue
-                phi, target = f.map(x[f.features][use]), y[use]
-                upper = np.triu_indices(phi.shape[1])
-                signs = _signs(target, f.sides) if f.sides else (target - f.target_mean)[:, None]
-                value, first, second = loss.at(phi @ w.T, signs, delta)
-                if f.sides:
-                    part = signs != 0
-                    value, first, second = value * part, first * part, second * part
-                at = sums.setdefault(k, np.zeros((len(w), 1 + phi.shape[1] + len(upper[0]))))
-                at[:, 0] += value.sum(axis=0)
-                at[:, 1 : 1 + phi.shape[1]] += first.T @ phi
-                for j in range(len(w)):
-                    weighted = second[:, j] > 0
-                    p = phi[weighted]
-                    at[j, 1 + phi.shape[1] :] += ((p.T * second[weighted, j]) @ p)[upper]
+                phi = f.map(x[f.features][use])
+                d = phi.shape[1]
+                at = sums.setdefault(k, np.zeros((len(points[k]), len(SHARES) + 1 + d + d * (d + 1) // 2)))
+                sides = [f.sides[j] for j in open_[k]] if f.sides else []
+                _add_sums(at, phi, y[use] if f.sides else y[use] - f.target_mean, sides, points[k], loss, delta)
         for k, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.ravel()], pa.list_(pa.float64()))], names=["k", "v"])
 
     added = rows.select("_y", "_fold", *sets).mapInArrow(run, "k int, v array<double>").groupBy("k").agg(vector_sum("v").alias("v"))
-    out = {r["k"]: np.array(r["v"]).reshape(len(trial[r["k"]]), -1) for r in added.collect()}  # one row a fit, sized by MAX_CELLS
+    found = added.toArrow()  # one row a fit, sized by MAX_CELLS
+    out = {k: np.asarray(v.values).reshape(len(open_[k]), -1) for k, v in zip(found["k"].to_pylist(), found["v"], strict=True)}
     shared.unpersist()
     return out
 
 
 class _Problem:
-    """One problem's descent: the best weights with their gradient and Hessian, and a damping that grows after a failed step."""
+    """One problem's descent: the best weights with their gradient and Hessian, the step from there and a damping.
+
+    A pass gives the loss at several shares of the step. Where a share does clearly better than the whole step, the step is cut to it;
+    where none does better than the best weights, the damping grows.
+    """
 
     def __init__(self, weights: np.ndarray, penalty: np.ndarray, unit: float):
         self.best, self.trial, self.penalty, self.unit = weights.copy(), weights.copy(), penalty, unit
-        self.value, self.worst, self.damping = np.inf, np.inf, 0.0
+        self.value, self.worst, self.damping, self.cut = np.inf, np.inf, 0.0, False
+
+    def points(self) -> np.ndarray:
+        return np.stack([self.best, self.trial])
 
     def take(self, sums: np.ndarray, c: float) -> None:
-        """Judge the trial weights by their sums (loss, gradient, upper Hessian) and set the next trial."""
-        w, d = self.trial, len(self.trial)
-        now = c * sums[0] + 0.5 * (self.penalty * w) @ w
-        if now <= self.value + 1e-13 * abs(now):
+        """Judge the trial weights by their sums (losses of the shares, loss, gradient, upper Hessian) and set the next trial."""
+        w, d, n = self.trial, len(self.trial), len(SHARES)
+        objective = lambda at, v: c * at + 0.5 * (self.penalty * v) @ v
+        now = objective(sums[n], w)
+        ways = [objective(at, self.best + share * (w - self.best)) for at, share in zip(sums, SHARES, strict=False)]
+        least = int(np.argmin(ways))
+        noise = 1e-13 * abs(now)
+        fell = now <= self.value + noise
+        if not self.cut and ways[least] < self.value - noise and not (fell and (self.value - now >= 0.5 * (self.value - ways[least]) or now <= ways[least] + noise)):
+            self.trial, self.cut = self.best + SHARES[least] * (w - self.best), True
+            return
+        self.cut = False
+        if fell:
             hess = np.zeros((d, d))
-            hess[np.triu_indices(d)] = c * sums[1 + d :]
+            hess[np.triu_indices(d)] = c * sums[n + 1 + d :]
             self.hess = hess + np.triu(hess, 1).T + np.diag(self.penalty)
-            self.grad = c * sums[1 : 1 + d] + self.penalty * w
+            self.grad = c * sums[n + 1 : n + 1 + d] + self.penalty * w
             self.best, self.value = w, now
             self.worst = np.abs(self.grad).max() / self.unit
             self.damping = self.damping / 10 if self.damping > 1e-9 * self.unit else 0.0
@@ -251,26 +294,69 @@ class _Problem:
         self.trial = self.best - step
 
 
+def _problems(f: Fit, loss: Loss) -> list[_Problem]:
+    penalty = np.full(f.weights.shape[1], 0.0 if loss.name == "squared" else 1.0)
+    penalty[-1] = 0.0
+    return [_Problem(w, penalty, loss.c * f.n_train) for w in f.weights]
+
+
+def _start(rows: DataFrame, found: list, fits: list[Fit], loss: Loss, most: int = 8) -> None:
+    """First weights of every problem: its solution over the fetched rows alone, some problems a task.
+
+    Only where the descent over all rows begins; that ends at the same weights from anywhere.
+    """
+    sets = sorted({f.features for f in fits})
+    fold, y = np.array([r["_fold"] for r in found]), np.array([r["_y"] for r in found], float)
+    x = {s: np.array([r[s] for r in found], float) for s in sets}
+    parts = [(k, j, min(j + most, len(f.weights))) for k, f in enumerate(fits) for j in range(0, len(f.weights), most)]
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((fits, parts, x, y, fold))
+
+    def run(batches):
+        fits, parts, x, y, fold = shared.value
+        for b in batches:
+            for part in b.column(0).to_pylist():
+                k, lo, hi = parts[part]
+                f = fits[k]
+                use = fold != f.held
+                phi, target = f.map(x[f.features][use]), y[use] if f.sides else y[use] - f.target_mean
+                c = loss.c * f.n_train / len(phi)  # the rows stand for all training rows
+                work = _problems(f, loss)[lo:hi]
+                for delta in DELTAS:
+                    work = [_Problem(p.best, p.penalty, p.unit) for p in work]
+                    for _ in range(MAX_STEPS):
+                        left = [j for j, p in enumerate(work) if p.worst > (TOLERANCE if delta == DELTAS[-1] else START_TOLERANCE)]
+                        if not left:
+                            break
+                        sums = np.zeros((len(left), len(SHARES) + 1 + phi.shape[1] + phi.shape[1] * (phi.shape[1] + 1) // 2))
+                        _add_sums(sums, phi, target, [f.sides[lo + j] for j in left] if f.sides else [], np.stack([work[j].points() for j in left]), loss, delta)
+                        for j, row in zip(left, sums, strict=True):
+                            work[j].take(row, c)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.concatenate([p.best for p in work])], pa.list_(pa.float64()))], names=["part", "w"])
+
+    # one row a task: every part has its own
+    solved = spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, "part int, w array<double>").toArrow()
+    for part, w in zip(solved["part"].to_pylist(), solved["w"], strict=True):
+        k, lo, hi = parts[part]
+        fits[k].weights[lo:hi] = np.asarray(w.values).reshape(hi - lo, -1)
+    shared.unpersist()
+
+
 def _solve(rows: DataFrame, fits: list[Fit], loss: Loss, delta: float, tolerance: float = TOLERANCE) -> int:
     """Damped Newton steps of all fits until each problem's gradient is within ``tolerance``; returns the passes used."""
-    work: list[list[_Problem]] = []
-    for f in fits:
-        penalty = np.full(f.weights.shape[1], 0.0 if loss.name == "squared" else 1.0)
-        penalty[-1] = 0.0
-        work.append([_Problem(w, penalty, loss.c * f.n_train) for w in f.weights])
-    open_ = list(range(len(fits)))
+    work = [_problems(f, loss) for f in fits]
+    open_ = {k: list(range(len(ps))) for k, ps in enumerate(work)}
     for passes in range(1, MAX_STEPS + 1):
-        sums = _pass(rows, fits, [np.stack([p.trial for p in ps]) for ps in work], open_, loss, delta)
-        for k in open_:
-            for p, row in zip(work[k], sums[k], strict=True):
-                if p.worst > tolerance:
-                    p.take(row, loss.c)
-                if p.worst <= tolerance:
-                    p.trial = p.best
+        sums = _pass(rows, fits, {k: np.stack([work[k][j].points() for j in js]) for k, js in open_.items()}, open_, loss, delta)
+        for k, js in open_.items():
+            for j, row in zip(js, sums[k], strict=True):
+                work[k][j].take(row, loss.c)
             fits[k].weights = np.stack([p.best for p in work[k]])
             fits[k].gradient, fits[k].loss = float(max(p.worst for p in work[k])), float(sum(p.value for p in work[k]))
-        # a quadratic is solved by one step; what is left of its gradient is rounding
-        open_ = [k for k in open_ if fits[k].gradient > tolerance] if loss.name != "squared" or passes < 3 else []
+        # a solved problem takes no part in later passes; a quadratic is solved by one step, what is left of its gradient is rounding
+        open_ = {k: left for k, js in open_.items() if (left := [j for j in js if work[k][j].worst > tolerance])}
+        if loss.name == "squared" and passes >= 3:
+            open_ = {}
         if not open_:
             return passes
     raise RuntimeError(f"{len(open_)} fits are not solved after {MAX_STEPS} steps")
@@ -290,18 +376,19 @@ def fit_many(df: DataFrame, sets: list[str], target: str, fold: str, held: list[
         *([F.col(key).alias("_key")] if key else []), F.col(target).cast("double").alias("_y"), F.col(fold).cast("int").alias("_fold"),
         *[F.col(s).cast(T.ArrayType(T.DoubleType())).alias(s) for s in sets]).persist(StorageLevel.MEMORY_AND_DISK)
     fits = _scalings(rows, sets, held, scale)
-    if landmarks:
-        _add_kernel(rows, fits, landmarks, seed)
+    found = _add_kernel(rows, fits, landmarks, seed) if landmarks else []
     sides = list(combinations(range(classes), 2)) if pairs else [(k, None) for k in range(classes)]
     cells = 0
     for f in fits:
         f.sides = [] if loss.regression else sides
         d = (len(f.mean) if f.landmarks is None else f.kernel_root.shape[1]) + 1
         f.weights = np.zeros((max(1, len(f.sides)), d))
-        cells += f.weights.size * (d + 3) // 2
+        cells += len(f.weights) * (len(SHARES) + 1 + d + d * (d + 1) // 2)
     if cells > MAX_CELLS:
         raise TooLargeError(f"the problems take {cells} sums, more than {MAX_CELLS}; fit fewer sets or folds at a time")
-    stages = DELTAS if loss.kinked else DELTAS[-1:]
+    if found and loss.kinked:
+        _start(rows, found, fits, loss)
+    stages = DELTAS if loss.kinked and not found else DELTAS[-1:]
     for delta in stages:
         _solve(rows, fits, loss, delta, TOLERANCE if delta == stages[-1] else START_TOLERANCE)
     return rows, fits

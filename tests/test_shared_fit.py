@@ -118,6 +118,35 @@ def test_kernel_svm_agrees_with_the_exact_dual(sample):
     assert few["accuracy"] >= score - 0.15
 
 
+@pytest.mark.parametrize(("loss", "target", "how"), [("hinge", "c", {"classes": 3, "pairs": True}), ("insensitive", "y", {})])
+def test_kernel_machines_start_near_their_end(sample, monkeypatch, loss, target, how):
+    df = sample[0]
+    passes, one = [], S._pass
+    monkeypatch.setattr(S, "_pass", lambda *a: passes.append(1) or one(*a))
+    fit = lambda: S.fit_many(df, ["a"], target, "fold", [0, 1, 2], S.Loss(loss), key="id", landmarks=30, **how)[1]
+    whole = fit()
+    assert len(passes) <= 3  # the start has met every row; without it some dozen passes
+    monkeypatch.setattr(S, "START_ROWS", 1)  # then the landmarks alone: the descent over all rows ends at the same place
+    few = fit()
+    assert len(passes) < 33
+    for a, b in zip(whole, few, strict=True):
+        assert max(a.gradient, b.gradient) <= S.TOLERANCE and b.loss == pytest.approx(a.loss, rel=1e-6)
+        assert np.abs(a.weights - b.weights).max() < 1e-3
+
+
+def test_a_step_that_overshoots_is_cut_by_its_shares():
+    # |w| rounded at 0.05 from far outside: the curvature is the penalty's alone and the whole step overshoots
+    loss, phi, y = S.Loss("insensitive", epsilon=0.0), np.ones((40, 1)), np.concatenate([np.linspace(1, 2, 39), [50.0]])
+    p = S._Problem(np.zeros(1), np.full(1, 1e-3), 40.0)
+    for passes in range(1, 40):
+        sums = np.zeros((1, len(S.SHARES) + 3))
+        S._add_sums(sums, phi, y, [], p.points()[None], loss, 0.05)
+        p.take(sums[0], 1.0)
+        if p.worst <= S.TOLERANCE:
+            break
+    assert passes < 25 and p.best[0] == pytest.approx(np.median(y), abs=0.05)
+
+
 def test_support_vector_regression_is_optimal(sample):
     df, xs, _, y, fold = sample
     rows, (fit,) = S.fit_many(df, ["a"], "y", "fold", [1], S.Loss("insensitive"), key="id", landmarks=1000)
