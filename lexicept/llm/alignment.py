@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +36,7 @@ from .common import written
 from .words import BytePairIds, Memo, byte_letters, cuts_hold, sentence_model, tokenizer
 
 #: Words kept by a worker; memory only.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 500_000
 RESULT = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
@@ -114,31 +114,52 @@ class Aligner:
         # a token's id as text with the mark behind it: A inside a group, A at its end, B inside, B at its end
         ids = (len(self.a_bytes), len(self.b_bytes))
         self.marked = [b"%d%s" % (i, mark) for n, marks in zip(ids, (b",|", b",;"), strict=True) for mark in (marks[:1], marks[1:]) for i in range(n)]
+        self.marked_len = np.fromiter(map(len, self.marked), np.int64, len(self.marked))
         self.memo = Memo(self.align, MEMO_WORDS)
 
-    def align(self, pieces: list[str]) -> list[Aligned]:
-        """The alignment of a space and each piece, all halved together."""
-        out = [NOTHING] * len(pieces)
-        kept, a_ids, b_ids = [], [], []
-        for k, (piece, x, y) in enumerate(zip(pieces, self.a_ids(pieces), self.b.encode(pieces, num_threads=1), strict=True)):
-            want = (" " + piece).encode()
-            if b"".join([self.a_bytes[i] for i in x]) == want and b"".join([self.b_bytes[i] for i in y]) == want:
-                kept.append(k)
-                a_ids.append(x)
-                b_ids.append(y)
-        if not kept:
+    def align(self, pieces: list[str]) -> list[tuple]:
+        """The alignment (fields of ``Aligned``) of a space and each piece, all halved together."""
+        if not pieces:
+            return []
+        all_a, all_b = self.a_ids(pieces), self.b.encode(pieces, num_threads=1)
+        a_cuts, b_cuts, ids_a, ids_b, a, b = self.spelled(all_a, all_b)
+        want = " " + " ".join(pieces)
+        ends_at = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)) + 1)
+        # all pieces are looked at together; only where they are not given back, one by one
+        sound = len(a) and len(b) and a_cuts[1:].all() and b_cuts[1:].all() and (a[a_cuts[1:] - 1] == ends_at).all() and (b[b_cuts[1:] - 1] == ends_at).all()
+        if not (sound and self.bytes_of(ids_a, self.a_bytes) == want.encode() == self.bytes_of(ids_b, self.b_bytes)):
+            out = [tuple(NOTHING)] * len(pieces)
+            kept = []
+            for k, (piece, x, y) in enumerate(zip(pieces, all_a, all_b, strict=True)):
+                one = (" " + piece).encode()
+                if b"".join([self.a_bytes[i] for i in x]) == one and b"".join([self.b_bytes[i] for i in y]) == one:
+                    kept.append(k)
+            if kept:
+                found = self.laid_out(*self.spelled([all_a[k] for k in kept], [all_b[k] for k in kept]))
+                for k, r in zip(kept, found, strict=True):
+                    out[k] = r
             return out
+        return self.laid_out(a_cuts, b_cuts, ids_a, ids_b, a, b)
+
+    @staticmethod
+    def bytes_of(ids: np.ndarray, of: list[bytes]) -> bytes:
+        return b"".join(map(of.__getitem__, ids.tolist()))
+
+    def spelled(self, a_ids: list, b_ids: list) -> tuple[np.ndarray, ...]:
+        """Of id lists: where they end, all ids in a row, and the ends of the tokens in the joined bytes; for A and B."""
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_ids, b_ids))
         a_cuts, b_cuts = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
         ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n[-1])) for x, n in ((a_ids, a_cuts), (b_ids, b_cuts)))
-        a, b = np.cumsum(self.a_len[ids_a]), np.cumsum(self.b_len[ids_b])  # ends in the joined bytes of all pieces
+        return a_cuts, b_cuts, ids_a, ids_b, np.cumsum(self.a_len[ids_a]), np.cumsum(self.b_len[ids_b])
+
+    def laid_out(self, a_cuts: np.ndarray, b_cuts: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        """The alignments (fields of ``Aligned``) of strings whose id lists spell the same bytes."""
         a_from, a_to, b_from, b_to = leaf_groups(a, b, a_cuts, b_cuts)
         # between two neighbouring ends of either side lies the overlap of exactly one pair
         ends = np.union1d(a, b)
         left, right = np.searchsorted(a, ends), np.searchsorted(b, ends)
         pairs = (ids_a[left] * self.b_size + ids_b[right]).astype("<i8").tobytes()
-        link_cuts = np.searchsorted(left, a_cuts).tolist()
-        group_cuts = np.searchsorted(a_from, a_cuts).tolist()
+        link_cuts, group_cuts = np.searchsorted(left, a_cuts), np.searchsorted(a_from, a_cuts)
         # the order of the text: a group's A ids, then its B ids
         group_a, group_b = (np.repeat(np.arange(len(a_from)), x) for x in (a_to - a_from, b_to - b_from))
         size_a, size_b = len(self.a_bytes), len(self.b_bytes)
@@ -146,25 +167,24 @@ class Aligner:
         ia, ib = np.arange(len(a)), np.arange(len(b))
         coded[ia + b_from[group_a]] = ids_a + size_a * (ia == a_to[group_a] - 1)
         coded[ib + a_to[group_b]] = 2 * size_a + ids_b + size_b * (ib == b_to[group_b] - 1)
-        shown = [self.marked[c] for c in coded.tolist()]
-        token_cuts = (a_cuts + b_cuts).tolist()
-        for r, k in enumerate(kept):
-            lo, hi = link_cuts[r], link_cuts[r + 1]
-            out[k] = Aligned(
-                len(a_ids[r]), len(b_ids[r]), group_cuts[r + 1] - group_cuts[r], hi - lo,
-                b"".join(shown[token_cuts[r] : token_cuts[r + 1]]), pairs[8 * lo : 8 * hi], True,
-            )
-        return out
+        shown = self.bytes_of(coded, self.marked)
+        shown_cuts = np.concatenate([[0], np.cumsum(self.marked_len[coded])])[a_cuts + b_cuts].tolist()
+        pair_cuts = (8 * link_cuts).tolist()
+        # plain tuples: those of numbers and bytes are nothing to the garbage collector, however many the memo holds
+        return list(zip(
+            *(np.diff(x).tolist() for x in (a_cuts, b_cuts, group_cuts, link_cuts)),
+            [shown[i:j] for i, j in pairwise(shown_cuts)], [pairs[i:j] for i, j in pairwise(pair_cuts)], repeat(True),
+        ))
 
     def texts(self, texts: list[str | None]) -> list[Aligned]:
         if not self.cut:
-            return [self.align([t])[0] if t else NOTHING for t in texts]
+            return [Aligned(*self.align([t])[0]) if t else NOTHING for t in texts]
         out = []
         for t, parts in zip(texts, self.memo.texts(texts), strict=True):
             if not parts:
                 out.append(NOTHING)
             elif not all([p[6] for p in parts]):
-                out.append(self.align([t])[0])  # the whole text decides
+                out.append(Aligned(*self.align([t])[0]))  # the whole text decides
             else:
                 out.append(Aligned(
                     sum([p[0] for p in parts]), sum([p[1] for p in parts]), sum([p[2] for p in parts]), sum([p[3] for p in parts]),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import io
 import math
@@ -193,6 +194,16 @@ def test_equal_scores_and_one_id_for_many_rows(spark):
     assert got.count() == 600 and ranks == list(range(1, 301))
 
 
+def test_frequent_pieces_stay_in_the_memo():
+    made = []
+    memo = words.Memo(lambda ps: made.extend(ps) or [p.upper() for p in ps], 20)
+    for n in range(60):  # a piece of every second part among rare ones
+        part = [f"rare{n}x{i}" for i in range(6)] + ["often"] * (n % 2 == 0)
+        assert memo.texts([" ".join(part)]) == [[p.upper() for p in part]]
+        assert len(memo.known) + len(memo.older) <= 40
+    assert made.count("often") == 1 and len(made) == 6 * 60 + 1
+
+
 # ---------------------------------------------------------------- alignment
 
 
@@ -269,3 +280,18 @@ def test_groups_as_text(spark):
     got = [r[0] for r in df.orderBy("doc_id").select(alignment.groups_of("text", BYTE_BPE, PIECE_BPE)).collect()]
     assert re.fullmatch(r"[\d,]+\|[\d,]+(;[\d,]+\|[\d,]+)*", got[0]) and got[1] == ""
     assert got[0].count("|") == df.filter("doc_id = 1").select(alignment.align("text", BYTE_BPE, PIECE_BPE).alias("r")).select(F.col("r.n_groups")).first()[0]
+
+
+def test_pieces_aligned_together_or_alone():
+    one, pieces = alignment.Aligner(BYTE_BPE, PIECE_BPE), ["word", "word,", "Zé.\nthe", "</s>", "\ufffd", "a\u2581b", "12", "<s>x", "don't", ""]
+    alone = [one.align([p])[0] for p in pieces]
+    assert one.align(pieces) == alone and one.align([]) == []
+    assert any(r[6] for r in alone) and not all(r[6] for r in alone)  # a piece that is not given back leaves the others
+    good = [p for p, r in zip(pieces, alone, strict=True) if r[6]]
+    assert one.align(good) == [r for r in alone if r[6]]
+    assert not any(map(gc.is_tracked, _after_collection(one.align(good))))
+
+
+def _after_collection(values):
+    gc.collect()
+    return values
