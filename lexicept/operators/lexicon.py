@@ -22,14 +22,14 @@ becomes a row; one aggregate folds repeated ids in the only shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,6 +133,31 @@ def category_words(word_cats: DataFrame, word_vectors: DataFrame, token_col: str
     return lookup_join(word_cats, vocab, "word", ["word", "category"], "left_semi").select("category", "word")
 
 
+def _stem_probes(table: list, lens: list[int], targets: Callable) -> list[tuple]:
+    """(prefix length or None, stems, first place in ``which`` per stem, which): what a stem's rows stand for, by length."""
+    probes = []
+    for n in [None, *lens]:
+        found: dict[str, list[int]] = {}
+        for r in table:
+            if (len(r["stem"]) if r["is_prefix"] else None) == n:
+                found.setdefault(r["stem"], []).extend(targets(r))
+        if found:
+            counts = [len(v) for v in found.values()]
+            probes.append((n, list(found), np.array([0, *np.cumsum(counts)]), np.concatenate([*found.values()]).astype(np.int64)))
+    return probes
+
+
+def _probed(words: pa.Array, codes: np.ndarray, probes: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(token, what its stem stands for) of all hits, as two arrays per probe; the distinct ``words`` are probed once."""
+    for n, stems, first, which in probes:
+        keys = words if n is None else pc.utf8_slice_codeunits(words, 0, n)
+        stem = pc.fill_null(pc.index_in(keys, value_set=pa.array(stems, words.type)), -1).to_numpy(zero_copy_only=False)[codes]
+        hit = np.flatnonzero(stem >= 0)
+        stem, many = stem[hit], first[stem[hit] + 1] - first[stem[hit]]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        yield np.repeat(hit, many), which[np.repeat(first[stem], many) + step]
+
+
 def _count_matches(table: list, lens: list[int], categories: list[str]):
     """UDF: a text's tokens -> hits per category, and as last element the hits of all categories together.
 
@@ -141,15 +166,7 @@ def _count_matches(table: list, lens: list[int], categories: list[str]):
     """
     place = {c: i for i, c in enumerate(categories)}
     width = len(categories) + 1
-    probes = []  # (prefix length or None, stems, first place in ``which`` per stem, places)
-    for n in [None, *lens]:
-        found: dict[str, list[int]] = {}
-        for r in table:
-            if (len(r["stem"]) if r["is_prefix"] else None) == n:
-                found.setdefault(r["stem"], []).extend([place[r["category"]], width - 1] if r["category"] in place else [width - 1])
-        if found:
-            counts = [len(v) for v in found.values()]
-            probes.append((n, list(found), np.array([0, *np.cumsum(counts)]), np.concatenate([*found.values()]).astype(np.int64)))
+    probes = _stem_probes(table, lens, lambda r: [place[r["category"]], width - 1] if r["category"] in place else [width - 1])
 
     def count(tokens: pa.Array) -> np.ndarray:
         sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -157,13 +174,8 @@ def _count_matches(table: list, lens: list[int], categories: list[str]):
         codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         text = np.repeat(np.arange(len(tokens)), sizes) * width
         out = np.zeros(len(tokens) * width, np.int64)
-        for n, stems, first, which in probes:
-            keys = words if n is None else pc.utf8_slice_codeunits(words, 0, n)
-            stem = pc.fill_null(pc.index_in(keys, value_set=pa.array(stems, words.type)), -1).to_numpy(zero_copy_only=False)[codes]
-            hit = np.flatnonzero(stem >= 0)
-            stem, many = stem[hit], first[stem[hit] + 1] - first[stem[hit]]
-            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            out += np.bincount(np.repeat(text[hit], many) + which[np.repeat(first[stem], many) + step], minlength=len(out))
+        for hit, what in _probed(words, codes, probes):
+            out += np.bincount(text[hit] + what, minlength=len(out))
         return out
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -177,6 +189,45 @@ def _count_matches(table: list, lens: list[int], categories: list[str]):
     return counts
 
 
+def packed_hits(tokens: Column, lexicon: DataFrame) -> Column:
+    """A text's token array -> its hits as (category, word, places) entries, one for each category and word it holds.
+
+    ``places`` are the word's positions in the text, ascending. Hits stay in their text's row; each (position, category) is there once.
+    """
+    table, lens = compile_lexicon(lexicon)
+    table = list({(r["category"], r["is_prefix"], r["stem"]): r for r in table.collect()}.values())  # a row may come twice
+    categories = sorted({r["category"] for r in table})
+    place = {c: i for i, c in enumerate(categories)}
+    probes = _stem_probes(table, lens, lambda r: [place[r["category"]]])
+
+    def find(tokens: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = tokens.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        found = [*_probed(words, codes, probes), (np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        at, cat = (np.concatenate(x) for x in zip(*found, strict=True))
+        text, pos = np.repeat(np.arange(len(tokens)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.lexsort((at, codes[at], cat, text[at]))
+        at, cat = at[order], cat[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(text[at]) != 0) | (np.diff(cat) != 0) | (np.diff(codes[at]) != 0)
+        first = np.flatnonzero(new)
+        entries = pa.StructArray.from_arrays(
+            [pa.array(categories, pa.string()).take(pa.array(cat[first], pa.int64())), words.take(pa.array(codes[at[first]], pa.int64())),
+             pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(pos[at], pa.int32()))],
+            names=["category", "word", "places"])
+        per_text = np.bincount(text[at[first]], minlength=len(tokens))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32()), entries)
+
+    @F.arrow_udf("array<struct<category: string, word: string, places: array<int>>>")
+    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            for at in range(0, len(whole), TEXTS_AT_A_TIME):
+                yield find(whole.slice(at, TEXTS_AT_A_TIME))
+
+    return hits(tokens)
+
+
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  pattern: str = TOKEN_PATTERN, contractions=None, max_chars: int | None = None) -> DataFrame:
     """(id, pos, token, category) for every lexicon hit in every text."""

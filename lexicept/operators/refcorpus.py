@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from .centroids import mean_centroids
 from ..sources.readers import read_lexicon
-from .lexicon import lexicon_counts_wide, lexicon_hits, match_tokens
-from .text import TOKEN_PATTERN, tokenize
+from .lexicon import lexicon_counts_wide, lexicon_hits, match_tokens, packed_hits
+from .text import TOKEN_PATTERN, token_array, tokenize
 
 
 def reference_pairs(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    max_chars: int | None = None, pattern: str = TOKEN_PATTERN, with_text: bool = False) -> DataFrame:
+                    max_chars: int | None = None, pattern: str = TOKEN_PATTERN, with_text: bool = False,
+                    packed: bool = False) -> DataFrame:
     """(id, category, word, word_idx, sentence_key): one row per (token position, category) hit.
 
     ``sentence_key`` is a SHA-256 digest of the text, computed once per text
@@ -30,8 +31,13 @@ def reference_pairs(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id
     the sentence and no join back to the texts is needed. ``with_text=True``
     attaches the sentence by key. ``max_chars`` reproduces an encoder input
     window (the reference uses 512); the default reads whole texts.
+    ``packed=True`` leaves the hits in their text's row: (id, sentence_key, hits), every row of the corpus once, its hits as in
+    ``packed_hits``; ``dedupe_pairs`` takes both forms.
     """
     keyed = corpus.select(id_col, text_col).withColumn("sentence_key", F.sha2(F.col(text_col), 256))
+    if packed:
+        hits = packed_hits(token_array(text_col, pattern, max_chars), lexicon).alias("hits")
+        return keyed.select(id_col, "sentence_key", hits, *([F.col(text_col).alias("sentence")] if with_text else []))
     toks = tokenize(keyed, id_col, text_col, pattern, max_chars=max_chars, keep=["sentence_key"])
     pairs = match_tokens(toks, lexicon).select(
         id_col, "category", F.col("token").alias("word"), F.col("pos").alias("word_idx"), "sentence_key"
@@ -42,7 +48,16 @@ def reference_pairs(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id
 
 
 def dedupe_pairs(pairs: DataFrame) -> DataFrame:
-    """Distinct (category, word, word_idx, sentence), compared through the sentence key."""
+    """Distinct (category, word, word_idx, sentence), compared through the sentence key.
+
+    Packed pairs (of one lexicon, pattern and window) meet by text: a text's hits are the same in all its copies and distinct
+    among themselves, so one row per text is kept, copies leave map-side first, and hits become rows behind the shuffle.
+    """
+    if "hits" in pairs.columns:
+        once = pairs.select("sentence_key", "hits").filter(F.size("hits") > 0).dropDuplicates(["sentence_key"])
+        words = once.select("sentence_key", F.inline("hits"))
+        flat = words.select("category", "word", F.explode("places").alias("word_idx"), "sentence_key")
+        return flat.withColumn("word_idx", F.col("word_idx").cast("long"))
     return pairs.dropDuplicates(["category", "word", "word_idx", "sentence_key"])
 
 

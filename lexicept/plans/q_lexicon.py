@@ -252,7 +252,7 @@ _DEDUPE_SQL = (
     _HITS_SQL.rstrip("\n") + ",\n" + _DEDUPE_SQL + "\nSELECT category, word, word_idx, sha256(sentence) AS sentence_key FROM dd",
 )
 def q_dedupe_pairs(spark, sf):
-    pairs = R.dedupe_pairs(R.reference_pairs(_docs(spark, sf), _lex(spark)))
+    pairs = R.dedupe_pairs(R.reference_pairs(_docs(spark, sf), _lex(spark), packed=True))
     return pairs.select("category", "word", "word_idx", "sentence_key")
 
 

@@ -9,6 +9,7 @@ from lexicept.functions.hashing import stable_hash
 from lexicept.functions.stats import icc_average, pearson_agg
 from lexicept.operators import embed as E
 from lexicept.operators import lexicon as L
+from lexicept.operators import refcorpus as RC
 from lexicept.operators import represent as R
 from lexicept.operators import text as T
 from lexicept.operators.concepts import embed
@@ -109,3 +110,26 @@ def test_moments_keep_large_offsets(spark):
     near = icc_average(spark.createDataFrame(scores, "object int, rater int, score double")).first()
     far = icc_average(spark.createDataFrame([(o, r, s + 1e8) for o, r, s in scores], "object int, rater int, score double")).first()
     assert far["icc"] == pytest.approx(near["icc"], abs=1e-6)
+
+
+def test_packed_pairs_meet_by_text(spark):
+    lex = spark.createDataFrame([("c", 0, "red*"), ("c", 0, "blue"), ("c", 0, "blue"), ("d", 1, "re*"), ("e", 2, "zz")], "category string, ord int, pattern string")
+    texts = ["red Blue redder red", "red Blue redder red", "none here", None, "", "été blue", "reé \U0001f600 re"]
+    docs = spark.createDataFrame([(i // 2 or None, t) for i, t in enumerate(texts * 2)], "doc_id long, text string").repartition(3)
+    keys = ["category", "word", "word_idx", "sentence_key"]
+    packed = RC.reference_pairs(docs, lex, packed=True, with_text=True)
+    assert packed.count() == 14 and {"hits", "sentence"} <= set(packed.columns)
+    out = RC.dedupe_pairs(packed)
+    got = rows(out.select(keys))
+    assert got == rows(RC.dedupe_pairs(RC.reference_pairs(docs, lex)).select(keys)) and len(got) == 7 + 1 + 2
+    assert rows(RC.dedupe_pairs(RC.reference_pairs(docs, lex, packed=True, max_chars=8))) == rows(RC.dedupe_pairs(RC.reference_pairs(docs, lex, max_chars=8)).select(keys))
+    # what is shuffled is one row per text: the only exchange is by the text's key
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sentence_key" in plan and "hashpartitioning(category" not in plan
+
+
+def test_dedupe_pairs_query_moves_texts_not_hits(spark, sf_small):
+    from lexicept.plans.catalog import QUERIES
+
+    plan = QUERIES["dedupe_pairs"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sentence_key" in plan and "hashpartitioning(category" not in plan
