@@ -90,7 +90,7 @@ def _row_bytes(value) -> int:
 
 
 def lookup_join(big: DataFrame, table: DataFrame, key: str, salt_cols: list[str], how: str = "inner",
-                bound: int = BROADCAST_MAX_ROWS, buckets: int = 32, small: bool | None = None) -> DataFrame:
+                bound: int = BROADCAST_MAX_ROWS, buckets: int = 32, small: bool | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Join a large row set to a lookup table on ``key`` without a hot-key bottleneck.
 
     A table measured to be small is broadcast (``small`` passes a verdict the
@@ -99,10 +99,18 @@ def lookup_join(big: DataFrame, table: DataFrame, key: str, salt_cols: list[str]
     of ``buckets`` salts from a hash of ``salt_cols`` (deterministic, so
     retried tasks agree) and the table is replicated once per salt. A key that
     holds a third of the big side (a very frequent token) is then spread over
-    ``buckets`` reducers instead of one.
+    ``buckets`` reducers instead of one. A caller that knows the frequent keys passes them as ``hot`` (one column ``key``, each
+    once, few enough to broadcast): only these are salted and replicated, any other row of the table moves once.
     """
     if is_small(table, bound) if small is None else small:
         return big.join(F.broadcast(table), key, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(buckets)))
-    replicated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    salt, salts = F.pmod(F.xxhash64(*salt_cols), F.lit(buckets)), F.sequence(F.lit(0), F.lit(buckets - 1))
+    if hot is None:
+        salted = big.withColumn("_salt", salt)
+        replicated = table.withColumn("_salt", F.explode(salts))
+    else:  # null keys meet nothing and are as many as they like
+        some = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+        flag = F.coalesce(F.col("_hot"), F.lit(False))
+        salted = big.join(some, key, "left").withColumn("_salt", F.when(flag | F.col(key).isNull(), salt).otherwise(F.lit(0).cast("long"))).drop("_hot")
+        replicated = table.join(some, key, "left").withColumn("_salt", F.explode(F.when(flag, salts).otherwise(F.array(F.lit(0))))).drop("_hot")
     return salted.join(replicated, [key, "_salt"], how).drop("_salt")

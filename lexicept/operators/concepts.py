@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +29,17 @@ def encode(texts: DataFrame, encoder_factory: Callable, id_col: str = "doc_id",
 
 
 def category_centroids(corpus: DataFrame, lexicon: DataFrame, k: int = 1, id_col: str = "doc_id", text_col: str = "text",
-                       vec_col: str = "embedding", seed: int = 230706, starts: int = 1) -> DataFrame:
+                       vec_col: str = "embedding", seed: int = 230706, starts: int = 1, vectors: DataFrame | None = None) -> DataFrame:
     """Centroids of the reference corpus: the weighted mean per category, or K cluster means of its hit texts.
 
-    With several ``starts`` every category keeps the best of them (``kmeans_restarts``).
+    ``vectors`` (id, vector) may be a table of its own, one row per corpus row. With several ``starts`` every category keeps the best of them (``kmeans_restarts``).
     """
     if k == 1:
-        return reference_centroids(corpus, lexicon, id_col, text_col, vec_col)
+        return reference_centroids(corpus, lexicon, id_col, text_col, vec_col, vectors=vectors)
     cats = ordered_categories(read_lexicon(lexicon).select("category", "ord"))
     counts = lexicon_counts_wide(corpus.select(id_col, text_col), lexicon, cats, id_col, text_col, fill_missing=False)
     long = counts.unpivot([id_col], cats, "category", "weight").filter("weight > 0")
-    points = long.join(corpus.select(id_col, vec_col).na.drop(), id_col)
+    points = long.join((corpus if vectors is None else vectors).select(id_col, vec_col).na.drop(), id_col)
     if starts > 1:
         return kmeans_restarts(points, {"all": (k, None)}, starts, seed, key_col=id_col, vec_col=vec_col)["all"].select("category", "cluster", "centroid")
     return kmeans_centroids(points, k, seed, key_col=id_col, vec_col=vec_col)
@@ -51,11 +52,15 @@ def embed(texts: DataFrame, lexicon: DataFrame, encoder_factory: Callable, refer
 
     ``reference`` is the corpus the centroids come from (by default the texts
     themselves), ``centroids`` skips that step. A null text scores 0
-    everywhere; every input row gets a row.
+    everywhere; every input row gets a row. Hits are counted on the texts where they lie; of the encoded rows only ids and
+    vectors go on, kept when they serve both the centroids and the scores.
     """
-    vectors = encode(texts.select(id_col, text_col), encoder_factory, id_col, text_col, encoder_id)
+    encoded = lambda rows: encode(rows.select(id_col, text_col), encoder_factory, id_col, text_col, encoder_id).select(id_col, "embedding")
+    vectors = encoded(texts)
     if centroids is None:
-        corpus = vectors if reference is None else encode(reference.select(id_col, text_col), encoder_factory, id_col, text_col, encoder_id)
-        centroids = category_centroids(corpus, lexicon, k, id_col, text_col, starts=starts)
+        if reference is None:
+            vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+        corpus, own = (texts, vectors) if reference is None else (reference, encoded(reference))
+        centroids = category_centroids(corpus, lexicon, k, id_col, text_col, starts=starts, vectors=own)
     categories = read_lexicon(lexicon).select("category", F.col("ord")).distinct()
     return concept_matrix(vectors, centroids, categories, id_col, metric=metric)

@@ -49,6 +49,8 @@ def _some_at_a_time(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 #: Assumed bytes of one encoded text when the distinct texts are sized for a broadcast (1,024 floats and the key).
 VECTOR_BYTES = 4096 + 64
+#: Rows beyond which one text's rows are spread over several tasks; of n rows at most n / HOT_ROWS texts have so many.
+HOT_ROWS = 50_000
 
 
 class Md5Places(dict):
@@ -164,10 +166,12 @@ def encode_distinct(df: DataFrame, encode: Callable[[DataFrame], DataFrame], id_
     keyed = df.select(id_col, text_col).withColumn("_tk", F.sha2(F.col(text_col), 256))
     distinct = keyed.select("_tk", text_col).na.drop().dropDuplicates(["_tk"])
     vecs = encode(distinct).select("_tk", vec_col)
-    # a text repeated in many rows is a hot key: broadcast when small, else salted by row id; the check counts keys, so
-    # nothing is encoded for it
-    keys = keyed.select("_tk").na.drop().distinct().count()
-    return lookup_join(keyed, vecs, "_tk", [id_col], how="left", small=keys * VECTOR_BYTES <= BROADCAST_MAX_BYTES).drop("_tk")
+    # broadcast when small, else shuffled by key, with only the texts repeated in many rows salted by row id; the check counts
+    # keys, so nothing is encoded for it
+    rows = keyed.select("_tk").na.drop().groupBy("_tk").agg(F.count("*").alias("n"))
+    keys, hot = rows.agg(F.count("*"), F.collect_list(F.when(F.col("n") > HOT_ROWS, F.col("_tk")))).first()
+    hot_keys = df.sparkSession.createDataFrame([(k,) for k in hot], "_tk string")
+    return lookup_join(keyed, vecs, "_tk", [id_col], how="left", small=keys * VECTOR_BYTES <= BROADCAST_MAX_BYTES, hot=hot_keys).drop("_tk")
 
 
 def static_text_encoder(word_vectors: DataFrame, pattern: str = TOKEN_PATTERN, text_col: str = "text",

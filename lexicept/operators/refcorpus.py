@@ -79,20 +79,21 @@ def attach_embeddings(weights: DataFrame, vectors: DataFrame, id_col: str = "doc
 
 
 def reference_centroids(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                        vec_col: str = "embedding", max_chars: int | None = None) -> DataFrame:
+                        vec_col: str = "embedding", max_chars: int | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Weighted mean vector per category over the reference corpus.
 
     Hits are counted per corpus row into one row of C counts (a single
     shuffle keyed by the row id, after map-side folding), that row meets the
     row's vector in one join on the id (only the vector side moves), and an
     ``unpivot`` turns it into (category, weight, vector) rows for a weighted
-    ``Summarizer`` per category. Rows without a vector or without hits drop out.
+    ``Summarizer`` per category. Rows without a vector or without hits drop out. ``vectors`` (id, vector) are the corpus rows'
+    vectors when they stand in a table of their own, so that texts need not pass the joins that made them.
     """
     from .represent import ordered_categories
 
     cats = ordered_categories(read_lexicon(lexicon).select("category", "ord"))
     counts = lexicon_counts_wide(corpus.select(id_col, text_col), lexicon, cats, id_col, text_col,
                                  max_chars=max_chars, fill_missing=False)
-    joined = counts.join(corpus.select(id_col, vec_col).na.drop(), id_col)
+    joined = counts.join((corpus if vectors is None else vectors).select(id_col, vec_col).na.drop(), id_col)
     long = joined.unpivot([id_col, vec_col], cats, "category", "weight").filter(F.col("weight") > 0)
     return mean_centroids(long, "category", vec_col, "weight")

@@ -63,6 +63,36 @@ def test_lookup_join_paths(spark):
     assert rows(sizing.lookup_join(big, table, "key", ["id"], "left", small=True)) == rows(sizing.lookup_join(big, table, "key", ["id"], "left", small=False))
 
 
+def test_only_hot_keys_are_replicated(spark, monkeypatch):
+    big = spark.createDataFrame([(i, None if i % 5 == 0 else "hot" if i % 2 else f"k{i}") for i in range(400)], "id long, key string")
+    table = spark.createDataFrame([("hot", 1), ("k4", 2), ("k6", 3)], "key string, v int")
+    hot = spark.createDataFrame([("hot",)], "key string")
+    for how in ("left", "inner"):
+        want = rows(sizing.lookup_join(big, table, "key", ["id"], how, small=True))
+        for some in (hot, hot.limit(0)):
+            assert rows(sizing.lookup_join(big, table, "key", ["id"], how, small=False, hot=some)) == want
+    texts = spark.createDataFrame([(i, None if i % 7 == 0 else f"word {i % 3 if i % 2 else i}") for i in range(60)], "doc_id long, text string")
+    run = lambda: rows(E.encode_distinct(texts, lambda t: E.encode_texts(t, "text", E.Md5Encoder, encoder_id="hot")))
+    want = run()
+    monkeypatch.setattr(E, "BROADCAST_MAX_BYTES", 0)
+    monkeypatch.setattr(E, "HOT_ROWS", 4)
+    salted, seen = E.lookup_join, []
+    monkeypatch.setattr(E, "lookup_join", lambda *a, **k: seen.append(k["hot"].count()) or salted(*a, **k))
+    assert run() == want and len(want) == 60 and seen == [3]
+
+
+def test_embed_moves_texts_once(spark):
+    """Hits are counted on the texts themselves: the rows of the centroids do not pass the join of texts with vectors."""
+    lex = spark.createDataFrame([("c", 0, "red*"), ("d", 1, "blue")], "category string, ord int, pattern string")
+    texts = spark.createDataFrame([(1, "red one"), (2, "blue two"), (3, None), (4, "red one"), (4, "red blue")], "doc_id long, text string")
+    out = embed(texts, lex, E.Md5Encoder, encoder_id="once")
+    assert "InMemoryTableScan" in out._jdf.queryExecution().executedPlan().toString()
+    vectors = E.encode_distinct(texts, lambda t: E.encode_texts(t, "text", E.Md5Encoder, encoder_id="once"))
+    cent = RC.reference_centroids(vectors, lex)
+    assert rows(RC.reference_centroids(texts, lex, vectors=vectors.select("doc_id", "embedding"))) == rows(cent)
+    assert rows(out) == rows(R.concept_matrix(vectors, cent, lex.select("category", "ord")))
+
+
 def test_one_encoder_per_worker_and_one_encoding_per_text(spark, tmp_path):
     made, seen = str(tmp_path / "made"), str(tmp_path / "seen")
 
