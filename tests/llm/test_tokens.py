@@ -63,6 +63,23 @@ def test_word_by_word_ids_are_the_tokenizers_own(rows):
     assert [[i for part in parts for i in part] for parts in memo.texts(texts)] == model.encode(texts)
 
 
+def test_plain_words_take_no_pattern(monkeypatch):
+    """Letters alone go to the model as they are; only pieces with marks or other letters meet the pattern."""
+    model = words.tokenizer(WORD_BPE)
+    met = []
+
+    class Counting:
+        def fullmatch(self, piece, whole=words.SIMPLE):
+            met.append(piece)
+            return whole.fullmatch(piece)
+
+    monkeypatch.setattr(words, "SIMPLE", Counting())
+    pieces = ["plain", "Words", "naïve", "a,", "(b)", "x1", "ÉTÉ", "it's", "ＡＢ", "\x7f", "tab\tbed"]
+    got = words.BytePairIds(model, "dropped")(pieces)
+    assert [list(x) for x in got] == [model.encode(p, add_special_tokens=False).ids for p in pieces]
+    assert met == pieces[2:]
+
+
 def test_slices_put_together_are_the_text():
     text = "ab cd  ef\ngh " * 50
     parts = list(words.slices(text, 40))
