@@ -223,11 +223,10 @@ def _prefixed(df, prefix, cats):
 
 def _correlations(spark, sf):
     """Per document: Pearson r between the lexicon counts and each method, all scaled rows-then-columns."""
-    corpus = fx.fx_doc_vectors(spark, sf)
     lex, con, cats_df = fx.fx_lexicon(spark), fx.fx_contractions(spark), fx.fx_categories(spark)
-    docs = corpus.select("doc_id", "text")
-    cent = reference_centroids(corpus, lex).persist(StorageLevel.MEMORY_AND_DISK)  # one model, two metrics
-    vecs = corpus.select("doc_id", "embedding")
+    docs = fx.fx_doc_texts(spark, sf)  # texts and vectors apart: texts pass no shuffle
+    vecs = fx.fx_doc_vectors(spark, sf).select("doc_id", "embedding")
+    cent = reference_centroids(docs, lex, vectors=vecs).persist(StorageLevel.MEMORY_AND_DISK)  # one model, two metrics
     counts = L.lexicon_counts_wide(docs, lex, LEX_CATS, contractions=con).persist(StorageLevel.MEMORY_AND_DISK)
     tables = {
         "hum": counts,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_row_number
+from ..functions.sizing import maybe_broadcast
 from ..operators.text import TOKEN_PATTERN, tokenize
 from ..session import shared_dir
 from .readers import balanced
@@ -97,10 +98,19 @@ def fx_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     The modulus is a scalar subquery (evaluated once), not a cross join.
     """
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return _vector_keyed(spark, sf_dir).join(emb, "vec_id").select("doc_id", "text", "vec_id", "embedding")
+
+
+def fx_doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of ``fx_doc_vectors``, the same rows: texts stay where they lie and meet the broadcast vector ids alone."""
+    ids = table(spark, sf_dir, "embeddings", spread=False).select("vec_id")
+    return _vector_keyed(spark, sf_dir).join(maybe_broadcast(ids), "vec_id").select("doc_id", "text")
+
+
+def _vector_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_vec = table(spark, sf_dir, "embeddings", spread=False).agg(F.count("*")).scalar()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed = docs.withColumn("vec_id", F.pmod(F.col("doc_id"), n_vec))
-    return keyed.join(emb, "vec_id").select("doc_id", "text", "vec_id", "embedding")
+    return docs.withColumn("vec_id", F.pmod(F.col("doc_id"), n_vec))
 
 
 def fx_centroid_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,3 +163,16 @@ def test_dedupe_pairs_query_moves_texts_not_hits(spark, sf_small):
 
     plan = QUERIES["dedupe_pairs"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(sentence_key" in plan and "hashpartitioning(category" not in plan
+
+
+def test_doc_texts_are_the_rows_of_doc_vectors(spark, tmp_path):
+    from lexicept.sources import fixtures as fx
+
+    docs = [(1, "one"), (1, "again"), (None, "no id"), (7, None), (-3, "below"), (5, "five")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    vecs = [(0, [0.5]), (1, [1.0]), (1, [2.0]), (None, [3.0]), (9, [4.0])]  # repeated, null and unreached ids
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    texts = fx.fx_doc_texts(spark, str(tmp_path))
+    assert rows(texts) == rows(fx.fx_doc_vectors(spark, str(tmp_path)).select("doc_id", "text")) and len(rows(texts)) == 5
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
