@@ -23,26 +23,28 @@ shards without documents. Document ids are integers.
 from __future__ import annotations
 
 import json
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .words import BytePairIds, Memo, cuts_hold, split_dropped, tokenizer
+from .words import BytePairIds, Memo, cuts_hold, slices, tokenizer
 
 MAGIC = b"IDPLANE1"
 #: Ids of a block.
 BLOCK = 1 << 16
-#: Pieces of texts kept by a worker with their ids; memory only, results do not depend on it.
+#: Elements of texts kept by a worker with their ids; memory only, results do not depend on it.
 KEPT_PIECES = 700_000
+#: Bytes of texts encoded at a time; a longer text goes in slices between cuts.
+PART_BYTES = 8 << 20
 #: Compression level of the planes.
 LEVEL = 3
 SCHEMA = "shard int, doc_id bigint, start bigint, n_tokens bigint, ids binary"
@@ -53,30 +55,107 @@ BATCH_BYTES = 4 << 20
 # ---------------------------------------------------------------- texts to ids
 
 _ENCODERS: dict = {}
+SPACE, LETTER, MARK, DIGIT, OTHER = range(5)
 
 
-def pack(ids: array) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    if sys.byteorder == "big":
-        ids = ids[:]
-        ids.byteswap()
-    return ids.tobytes()
+def _kinds() -> np.ndarray:
+    """The kind of every byte of UTF-8; letters are A-Z, a-z and, by their two bytes, U+00C0 to U+00FF."""
+    kinds = np.full(256, OTHER, np.uint8)
+    kinds[33:127] = MARK
+    kinds[[ord(c) for c in "'<>"]] = OTHER
+    kinds[[9, 10, 11, 12, 13, 32]] = SPACE
+    kinds[48:58] = DIGIT
+    kinds[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = LETTER
+    return kinds
+
+
+KINDS = _kinds()
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive texts of about ``PART_BYTES`` with the row of the first; a longer text comes in slices, each a part of its row."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    i = 0
+    while i < len(texts):
+        if sizes[i] > PART_BYTES:
+            yield from ((i, pa.array([s], pa.string())) for s in slices(texts[i].as_py()))
+            i += 1
+        else:
+            j = int(np.searchsorted(ends, ends[i] - sizes[i] + PART_BYTES, "right"))
+            yield i, texts.slice(i, j - i)
+            i = j
+
+
+def _elements(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(elements of all texts, where each text's begin): what stands between ASCII white space, and that white space itself.
+
+    Pieces of Latin letters, marks and digits alone are cut into the tokenizer's words, letters A-Z in small; a piece with
+    any other character stays whole, because apostrophes, special tokens and normal forms reach over such cuts.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    _, offsets, data = texts.buffers()
+    begins = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data or b"", np.uint8)[begins[0] : begins[-1]]
+    begins = begins - begins[0]
+    if not len(raw):
+        return pa.array([], pa.binary()), begins
+    kind = KINDS[raw]
+    kind[1:][(raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))] = OTHER  # the signs of multiplication and division
+    cut = kind == DIGIT
+    cut[1:] |= kind[1:] != kind[:-1]
+    cut[begins[begins < len(raw)]] = True
+    at = np.flatnonzero(cut).astype(np.int32)
+    kind = kind[at]
+    first = np.zeros(len(at), bool)
+    first[np.searchsorted(at, begins[begins < len(raw)])] = True
+    first[1:] |= kind[:-1] == SPACE
+    first &= kind != SPACE
+    piece = np.cumsum(first, dtype=np.int32)
+    odd = np.zeros(piece[-1] + 1, bool)
+    odd[piece[kind == OTHER]] = True
+    odd = odd[piece]
+    kept = first | (kind == SPACE) | ~odd
+    at, small = at[kept], ((kind == LETTER) & ~odd)[kept]
+    ends = np.append(at[1:], np.int32(len(raw)))
+    raw = raw + ((raw - 65 < 26) & np.repeat(small, ends - at)) * np.uint8(32)
+    return binaries(raw.tobytes(), ends - at), np.searchsorted(at, begins)
+
+
+def _of_pieces(memo: Memo, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, ids of each); only a part's distinct elements become Python values and are looked up."""
+    elements, begins = _elements(texts)
+    if not len(elements):
+        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+    coded = elements.dictionary_encode()
+    values = memo.distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    taken = binaries(b"".join(values), np.fromiter(map(len, values), np.int64, len(values))).take(coded.indices)
+    _, ends, data = taken.buffers()
+    ends = np.frombuffer(ends, np.int32, len(taken) + 1) // 4
+    return np.frombuffer(data or b"", np.uint32, ends[-1]), np.diff(ends[begins])
 
 
 def _encoder(path: str, end_id: int | None):
-    """texts -> ids as little-endian 32-bit integers; a worker keeps the pieces it has met."""
+    """texts -> (ids of all texts, ids of each); a worker keeps the elements of texts it has met."""
     if (path, end_id) in _ENCODERS:
         return _ENCODERS[path, end_id]
     model = tokenizer(path)
     how = cuts_hold(model)
-    ids = BytePairIds(model, how)
-    memo = Memo(lambda pieces: [pack(x) for x in ids(pieces)], limit=KEPT_PIECES, cut=split_dropped)
-    end = b"" if end_id is None else pack(array("I", [end_id]))
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        if how == "dropped":
-            return [b"".join(parts) + end for parts in memo.texts(texts)]
-        return [pack(array("I", model.encode(t, add_special_tokens=False).ids)) + end if t else end for t in texts]
+    ids_of_words = BytePairIds(model, how)
+    memo = Memo(lambda pieces: [x.tobytes() for x in ids_of_words([p.decode() for p in pieces])], limit=KEPT_PIECES)
+
+    def whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [model.encode(t, add_special_tokens=False).ids if t else [] for t in texts.to_pylist()]
+        return np.array([*chain.from_iterable(found)], np.uint32), np.array([*map(len, found)], np.int64)
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        runs, sizes = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for row, part in _parts(texts) if how == "dropped" else [(0, texts)]:
+            ids, each = _of_pieces(memo, part) if how == "dropped" else whole(part)
+            runs.append(ids)
+            sizes[row : row + len(each)] += each
+        ids = np.concatenate(runs).astype("<u4")
+        return (ids, sizes) if end_id is None else (np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
 
     _ENCODERS[path, end_id] = encode
     return encode
@@ -89,11 +168,18 @@ def encode(text_col: str, tokenizer_path: str, end_id: int | None = None) -> Col
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         many = _encoder(tokenizer_path, end_id)
         for texts in batches:
-            yield pa.array(many(texts.to_pylist()), pa.binary())
+            ids, sizes = many(texts)
+            yield binaries(ids.tobytes(), 4 * sizes)
 
     return run(F.col(text_col))
 
 
+def binaries(data: bytes, sizes: np.ndarray) -> pa.Array:
+    """Consecutive runs of ``sizes`` bytes as binary values."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 # ---------------------------------------------------------------- blocks
 
 
@@ -243,11 +329,13 @@ class _Writer(DataSourceArrowWriter):
             shard = ShardWriter(out, self.kind, self.block)
             for batch in iterator:
                 keys = batch.column(0).cast(pa.int64())
-                rows = batch.column(1).to_pylist()
-                coded = _encoder(self.tokenizer, self.end_id)(rows) if self.tokenizer else rows
-                sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+                if self.tokenizer:
+                    ids, sizes = _encoder(self.tokenizer, self.end_id)(batch.column(1))
+                else:
+                    rows = batch.column(1).to_pylist()
+                    ids, sizes = np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
                 valid = keys.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
-                shard.add(keys.fill_null(0).to_numpy(zero_copy_only=False), valid, sizes, np.frombuffer(b"".join(coded), "<u4"))
+                shard.add(keys.fill_null(0).to_numpy(zero_copy_only=False), valid, sizes, ids)
             docs, n = shard.close()
         return Written(part, name, docs, n)
 
@@ -301,7 +389,6 @@ class _Reader(DataSourceReader):
                 for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                     base = int(ends[lo - a - 1]) if lo > a else 0
                     n = lengths[lo:hi]
-                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32) * 4
                     data = ids[base : base + int(n.sum())].tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -309,7 +396,7 @@ class _Reader(DataSourceReader):
                             pa.array(keys[lo:hi], mask=valid[lo:hi] == 0),
                             pa.array(starts[lo:hi]),
                             pa.array(n),
-                            pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+                            binaries(data, 4 * n),
                         ],
                         names=["shard", "doc_id", "start", "n_tokens", "ids"],
                     )

@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -80,6 +81,63 @@ def test_plain_words_take_no_pattern(monkeypatch):
     assert met == pieces[2:]
 
 
+def test_only_words_not_met_before_reach_the_tokenizer(monkeypatch):
+    """Marks, digits and capitals around a word make no piece of their own; a piece with other characters stays whole."""
+    made = []
+
+    class Counting(words.BytePairIds):
+        def __call__(self, pieces):
+            made.extend(pieces)
+            return super().__call__(pieces)
+
+    monkeypatch.setattr(tokenbin, "BytePairIds", Counting)
+    monkeypatch.setattr(tokenbin, "_ENCODERS", {})
+    texts = ["cat, Cat. (cat)\ncat!", None, "", "dog 12 cat's été, ÉTÉ", "CAT;dog"]
+    model = words.tokenizer(WORD_BPE)
+    for _ in range(2):
+        ids, sizes = tokenbin._encoder(WORD_BPE, 2)(pa.array(texts))
+        want = [[*(model.encode(t, add_special_tokens=False).ids if t else []), 2] for t in texts]
+        assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+    assert sorted(made) == sorted(["cat", ",", " ", ".", "(", ")", "\n", "!", "dog", "1", "2", "cat's", "été", "ÉtÉ", ";"])
+
+
+def test_any_characters_give_the_tokenizers_own_ids(spark, monkeypatch):
+    model, rng = words.tokenizer(WORD_BPE), np.random.default_rng(4)
+    letters = [*"abzAZ  '<>|.,;-_09\n\t\r\x0b\x0c\x1c\x00\x7f×÷éÉßÿªµ½\x85\xa0", "́", "̇", *"İΣ北가ſK👩", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", " word", "DON'T"]
+    texts = [None if k % 20 == 0 else "".join(rng.choice(letters, rng.choice([0, 1, 3, 30, 150]))) for k in range(300)]
+    want = [[*(model.encode(t, add_special_tokens=False).ids if t else []), 2] for t in texts]
+    for part, size in ((tokenbin.PART_BYTES, 1 << 20), (60, 10)):  # at last most texts are longer than a part, and cut
+        monkeypatch.setattr(tokenbin, "PART_BYTES", part)
+        monkeypatch.setattr(tokenbin, "slices", lambda t, size=size: words.slices(t, size))
+        monkeypatch.setattr(tokenbin, "_ENCODERS", {})
+        for given in (pa.array(["before", *texts]).slice(1), pa.array(texts, pa.large_string())):
+            ids, sizes = tokenbin._encoder(WORD_BPE, 2)(given)
+            assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts) if "\x00" not in (t or "")], "k long, text string")
+    got = df.select("k", tokenbin.encode("text", WORD_BPE, 2).alias("ids")).collect()
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == want[r.k] for r in got) and len(got) == df.count()
+
+
+def test_other_tokenizers_get_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokenbin, "cuts_hold", lambda model: None)
+    monkeypatch.setattr(tokenbin, "_ENCODERS", {})
+    model = words.tokenizer(WORD_BPE)
+    ids, sizes = tokenbin._encoder(WORD_BPE, None)(pa.array(ODD))
+    want = [model.encode(t, add_special_tokens=False).ids if t else [] for t in ODD]
+    assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+
+
+def test_distinct_pieces_are_made_once_while_they_are_frequent():
+    made = []
+    memo = words.Memo(lambda ps: made.extend(ps) or [p.upper() for p in ps], 20)
+    for n in range(60):
+        part = [f"rare{n}x{i}" for i in range(6)] + ["often"] * (n % 2 == 0) + ["y" * 65]
+        assert memo.distinct(part) == [p.upper() for p in part]
+        assert len(memo.known) + len(memo.older) <= 40 and "y" * 65 not in memo.older
+    assert made.count("often") == 1
+    assert memo.distinct([f"new{i}" for i in range(50)]) == [f"NEW{i}" for i in range(50)] and memo.distinct([]) == []
+
+
 def test_slices_put_together_are_the_text():
     text = "ab cd  ef\ngh " * 50
     parts = list(words.slices(text, 40))
