@@ -10,7 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "lexicept") -> SparkSession:
-    """A local session for tests and benchmarks (no UI, AQE on, UTC)."""
+    """A local session for tests and benchmarks (no UI, AQE on, UTC).
+
+    No more Python workers stay idle than there are cores: a plan with two Python steps starts two a task, and each
+    worker that is kept loads its own encoder.
+    """
+    slots = (os.cpu_count() or 1) if cores == "*" else int(cores)
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -20,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.factory.idleWorkerMaxPoolSize", str(slots))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
