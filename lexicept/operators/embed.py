@@ -47,6 +47,20 @@ def _some_at_a_time(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield whole.slice(at, TEXTS_AT_A_TIME)
 
 
+def _some_bytes_at_a_time(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same slices of texts, cut again beyond ``TEXT_BYTES_AT_A_TIME``; a longer text comes alone."""
+    for some in _some_at_a_time(batches):
+        begun = held = 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(some), 0).to_pylist()):
+            if i > begun and held + size > TEXT_BYTES_AT_A_TIME:
+                yield some.slice(begun, i - begun)
+                begun, held = i, 0
+            held += size
+        yield some.slice(begun)
+
+
+#: Bytes of text that a Python worker turns into token vectors at once: these take a dozen times the bytes of their text.
+TEXT_BYTES_AT_A_TIME = 1 << 20
 #: Assumed bytes of one encoded text when the distinct texts are sized for a broadcast (1,024 floats and the key).
 VECTOR_BYTES = 4096 + 64
 #: Rows beyond which one text's rows are spread over several tasks; of n rows at most n / HOT_ROWS texts have so many.
@@ -189,7 +203,7 @@ def static_text_encoder(word_vectors: DataFrame, pattern: str = TOKEN_PATTERN, t
 
 SPAN_VECTORS = T.StructType([
     T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())),
-    T.StructField("vectors", T.ArrayType(T.FloatType())),
+    T.StructField("vectors", T.ArrayType(T.FloatType())), T.StructField("text", T.StringType()),
 ])
 
 
@@ -220,23 +234,25 @@ class WindowTokenEncoder:
 
 def encode_token_spans(df: DataFrame, text_col: str = "text", encoder_factory: Callable = WindowTokenEncoder, out_col: str = "spans",
                        encoder_id: str | None = None) -> DataFrame:
-    """Append one struct per text: starts and ends of its tokens and all their vectors in one flat array.
+    """Append one struct per text: starts and ends of its tokens, all their vectors in one flat array, and the text itself.
 
-    The encoder sees whole batches of texts and returns (starts, ends, tokens x dim) per text; a text's tokens stay in its row, as
+    The encoder sees some texts at a time and returns (starts, ends, tokens x dim) per text; a text's tokens stay in its row, as
     nested Arrow lists, until ``keyword_vector``, ``pool_spans`` or ``span_rows`` picks some. A null text has no tokens.
+    ``keyword_vector`` and ``pool_spans`` take the struct alone, so Spark runs them in the encoder's worker and no vectors
+    travel between the two.
     """
     key = encoder_id or uuid.uuid4().hex
 
     @F.arrow_udf(SPAN_VECTORS)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in _some_at_a_time(batches):
+        for texts in _some_bytes_at_a_time(batches):
             found = worker_encoder(encoder_factory, key)(texts.to_pylist())
             lists = []
             for k, kind in ((0, np.int32), (1, np.int32), (2, np.float32)):
                 parts = [np.asarray(f[k], kind).ravel() for f in found]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, kind)]))))
-            yield pa.StructArray.from_arrays(lists, fields=[pa.field(n, x.type) for n, x in zip(("starts", "ends", "vectors"), lists, strict=True)])
+            yield pa.StructArray.from_arrays([*lists, texts], names=SPAN_VECTORS.names)
 
     return df.withColumn(out_col, encode(F.col(text_col)))
 
@@ -246,32 +262,41 @@ def _width(spans: str) -> Column:
 
 
 def keyword_vector(df: DataFrame, keyword: str, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
-    """Per text the first token that contains the keyword: (pos, start, end, token, embedding) columns; null where there is none."""
+    """Per text the first token that contains the keyword: (pos, start, end, token, embedding) columns; null where there is none.
+
+    The step is marked nondeterministic so that a filter on its columns stays above it: moved below, it would encode every
+    text a second time. Filter other columns first. ``text_col`` serves spans that do not hold their text.
+    """
     wanted = keyword.lower()
 
-    def first(text: str | None, starts: np.ndarray, ends: np.ndarray) -> dict | None:
+    def first(text: str | None, starts: np.ndarray, ends: np.ndarray, vectors: np.ndarray) -> dict | None:
         if text is None or wanted not in text.lower():  # a token that holds it is part of the text
             return None
         for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
             token = text[a:b].lower()
             if wanted in token:
-                return {"pos": i, "start": a, "end": b, "token": token}
+                width = len(vectors) // len(starts)
+                return {"pos": i, "start": a, "end": b, "token": token, "embedding": vectors[i * width : (i + 1) * width]}
         return None
 
     # slices of a Python string take no search; by ``substring`` every token would walk its text from the start
-    @F.arrow_udf("pos int, start int, end int, token string")
-    def find(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("token", pa.string())])
-        for texts, starts, ends in batches:
-            for at in range(0, len(texts), TEXTS_AT_A_TIME):
-                t, s, e = (x.slice(at, TEXTS_AT_A_TIME) for x in (texts, starts, ends))
-                bounds = [0, *accumulate(pc.fill_null(pc.list_value_length(s), 0).to_pylist())]
-                s, e = s.flatten().to_numpy(zero_copy_only=False), e.flatten().to_numpy(zero_copy_only=False)
-                yield pa.array([first(x, s[i:j], e[i:j]) for x, i, j in zip(t.to_pylist(), bounds, bounds[1:], strict=False)], kind)
-
-    out = df.withColumn("_hit", find(F.col(text_col), F.col(f"{spans_col}.starts"), F.col(f"{spans_col}.ends")))
-    vector = F.slice(f"{spans_col}.vectors", F.col("_hit.pos") * _width(spans_col) + 1, _width(spans_col))
-    return out.select(*df.columns, "_hit.*", F.when(F.col("_hit").isNotNull(), vector).alias("embedding")).drop(spans_col)
+    @F.arrow_udf("pos int, start int, end int, token string, embedding array<float>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("token", pa.string()), ("embedding", pa.list_(pa.float32()))])
+        for spans in _some_at_a_time(batches):
+            of = dict(zip((f.name for f in spans.type), spans.flatten(), strict=True))
+            lists = []
+            for name in ("starts", "ends", "vectors"):
+                bounds = [0, *accumulate(pc.fill_null(pc.list_value_length(of[name]), 0).to_pylist())]
+                flat = of[name].flatten().to_numpy(zero_copy_only=False)
+                lists.append([flat[i:j] for i, j in zip(bounds, bounds[1:], strict=False)])
+            yield pa.array([first(*x) for x in zip(of["text"].to_pylist(), *lists, strict=True)], kind)
+
+    spans = F.col(spans_col)
+    if "text" not in df.schema[spans_col].dataType.names:
+        spans = F.struct(f"{spans_col}.*", F.col(text_col).alias("text"))
+    kept = [c for c in df.columns if c != spans_col]
+    return df.select(*kept, find.asNondeterministic()(spans).alias("_hit")).select(*kept, "_hit.*")
 
 
 def pool_spans(spans_col: str = "spans") -> Column:

@@ -90,6 +90,51 @@ def test_keyword_vector_takes_no_substring_per_token(spark):
     assert found == {1: (1, 2, 5, "can", False), 2: none, 3: none, 4: none}
 
 
+def test_keyword_vector_encodes_a_text_once_in_one_python_step(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    class _Counting(E.WindowTokenEncoder):
+        def __call__(self, texts):
+            with open(seen, "a") as f:
+                f.write("x" * len(texts))
+            return super().__call__(texts)
+
+    texts = [(i, f"the land {i} and sand" if i % 3 else "no hit") for i in range(30)] + [(30, None), (31, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    hits = E.keyword_vector(E.encode_token_spans(docs, encoder_factory=_Counting), "an").filter(F.col("pos").isNotNull())
+    out = hits.select("doc_id", "token", F.posexplode("embedding"))
+    assert _plan(out).count("ArrowEvalPython") == 1
+    assert {r["doc_id"] for r in out.collect()} == {i for i in range(30) if i % 3}
+    assert len(open(seen).read()) == len(texts)
+
+
+def test_keyword_vector_of_stored_spans(spark, tmp_path):
+    texts = [(1, "É Can 😀 pan"), (2, None), (3, "none here"), (4, "xx a n"), (5, "")] + [(i, f"x{i} " * (i % 9) + "Sand y") for i in range(6, 300)]
+    spans = E.encode_token_spans(spark.createDataFrame(texts, "doc_id long, text string"))
+    want = sorted(E.keyword_vector(spans, "an").collect())
+    spans.withColumn("old", F.col("spans").dropFields("text")).write.parquet(str(tmp_path / "spans"))
+    stored = spark.read.parquet(str(tmp_path / "spans"))
+    assert sorted(E.keyword_vector(stored.drop("old"), "an").collect()) == want
+    assert sorted(E.keyword_vector(stored.drop("spans"), "an", spans_col="old").collect()) == want
+    lost = stored.withColumn("spans", F.when(F.col("doc_id") > 5, F.col("spans"))).drop("old")
+    got = {r["doc_id"]: r for r in E.keyword_vector(lost, "an").collect()}
+    assert got[1]["pos"] is None and got[1]["embedding"] is None and all(got[r["doc_id"]] == r for r in want if r["doc_id"] > 5)
+
+
+def test_long_texts_are_encoded_some_bytes_at_a_time(spark):
+    class _Held:
+        def __call__(self, texts):
+            held = sum(len((t or "").encode()) for t in texts)
+            return [(np.array([0]), np.array([1]), np.array([[len(texts), held]], np.float32)) for _ in texts]
+
+    size = E.TEXT_BYTES_AT_A_TIME
+    texts = [None, "é" * (size // 3)] * 5 + ["", "x" * (2 * size), "y", None] + ["z" * (size // 4)] * 9
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [tuple(r[0]) for r in E.encode_token_spans(docs, encoder_factory=_Held).select("spans.vectors").collect()]
+    assert len(got) == len(texts) and all(held <= size or n == 1 for n, held in got)
+    assert sum(1 / n for n, _ in got) < 12  # slices
+
+
 def test_phrase_steps_skip_words_that_open_nothing(spark):
     trie = P.Trie([("the * of", "a"), ("in*", "b"), (".", "c")])
     words = "we see the end of it inside .".split()
